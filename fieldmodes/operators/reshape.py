@@ -155,7 +155,8 @@ def hconcat(mats: list[DataFrame], how: str = "inner") -> DataFrame:
     u = reduce(DataFrame.unionByName, tagged)
     g = u.groupBy("row_id").agg(F.collect_list(F.struct("piece", "vector")).alias("_p"))
     g = g.where(F.size("_p") == n)
-    g = g.withColumn("_p", F.when(F.size(F.array_distinct(F.transform("_p", lambda x: x["piece"]))) != n,
+    # Safe even if evaluated before the filter: compares with the row's own size.
+    g = g.withColumn("_p", F.when(F.size(F.array_distinct(F.transform("_p", lambda x: x["piece"]))) != F.size("_p"),
                                   F.raise_error(F.lit("row repeated inside one piece"))).otherwise(F.col("_p")))
     return g.select("row_id", F.flatten(F.transform(F.array_sort("_p"), lambda x: x["vector"])).alias("vector"))
 
