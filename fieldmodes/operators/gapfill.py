@@ -2,8 +2,9 @@
 reconstruction (Beckers & Rixen 2003).
 
 Round 0 fills each missing cell with its row mean.  Each round computes
-the top-k temporal EOFs V of the current (row-centered) field and replaces
-only the missing cells by the rank-k reconstruction x V V^T, until the RMS
+the top-k temporal EOFs V of the current row-centered field and replaces
+only the missing cells by the rank-k reconstruction mean + (x - mean) V V^T,
+until the RMS
 change of the filled cells drops below ``tol``.  Every round is a Spark
 pass with V broadcast; the field is checkpointed into the shared
 checkpoint folder each round so lineage never grows and a lost executor
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmodes.functions.blocks import list_column_to_matrix, matrix_to_list_array, sym_eig_desc
+from fieldmodes.functions.vector import vmean, vshift
 from fieldmodes.operators.products import GRAM_MAX_COLS, cov_multiply, gram
 from fieldmodes.session import ensure_checkpoint_dir
 
@@ -36,22 +38,25 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
                 seed: int = 0) -> tuple[DataFrame, dict]:
     """Fill NULL cells of ``(row_id, vector)``; returns (filled, info).
 
-    Output: ``(row_id, vector, filled ARRAY<BOOLEAN>)`` with no NULL cells.
+    The row means are re-estimated from the current filled rows each round,
+    so gaps do not bias the centering.  Output:
+    ``(row_id, vector, filled ARRAY<BOOLEAN>)`` with no NULL cells.
     """
     spark = mat.sparkSession
     ensure_checkpoint_dir(spark)
     miss = F.transform("vector", lambda x: x.isNull())
-    present_mean = F.aggregate(F.filter("vector", lambda x: x.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c")),
-                               lambda a, x: F.struct((a["s"] + x).alias("s"), (a["c"] + 1).alias("c")),
-                               lambda a: F.when(a["c"] > 0, a["s"] / a["c"]).otherwise(F.lit(0.0)))
-    cur = mat.select("row_id", "vector", miss.alias("miss")).withColumn("mean", present_mean)
-    cur = cur.select("row_id", F.transform("vector", lambda x: F.coalesce(x - F.col("mean"), F.lit(0.0))).alias("vector"),
-                     "miss", "mean").checkpoint()
+    present = F.filter("vector", lambda x: x.isNotNull())
+    present_mean = F.when(F.size(present) > 0,
+                          F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present)).otherwise(0.0)
+    cur = mat.select("row_id", "vector", miss.alias("miss"), present_mean.alias("m0"))
+    cur = cur.select("row_id", F.transform("vector", lambda x: F.coalesce(x, F.col("m0"))).alias("vector"),
+                     "miss").checkpoint()
     n = cur.count()
     n_missing = cur.agg(F.sum(F.size(F.filter("miss", lambda b: b)))).first()[0] or 0
     info = {"iterations": 0, "rms_change": None, "n_missing": int(n_missing), "converged": n_missing == 0}
     for it in range(max_iter if n_missing else 0):
-        v = _top_v(cur.select("row_id", "vector"), n_cols, k, n, seed)
+        centered = cur.select("row_id", vshift("vector", vmean("vector")).alias("vector"))
+        v = _top_v(centered, n_cols, k, n, seed)
         bc = spark.sparkContext.broadcast(v)
 
         def step(batches):
@@ -61,14 +66,15 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
                     continue
                 x = list_column_to_matrix(b.column("vector"), n_cols)
                 mk = list_column_to_matrix(b.column("miss").cast(pa.list_(pa.float64())), n_cols) > 0.5
-                rec = (x @ vv) @ vv.T
+                mu = x.mean(axis=1, keepdims=True)
+                rec = ((x - mu) @ vv) @ vv.T + mu
                 new = np.where(mk, rec, x)
                 d2 = np.sum((new - x) ** 2, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row_id"), matrix_to_list_array(new), b.column("miss"), b.column("mean"), pa.array(d2)],
-                    names=["row_id", "vector", "miss", "mean", "d2"])
+                    [b.column("row_id"), matrix_to_list_array(new), b.column("miss"), pa.array(d2)],
+                    names=["row_id", "vector", "miss", "d2"])
 
-        nxt = cur.mapInArrow(step, "row_id bigint, vector array<double>, miss array<boolean>, mean double, d2 double")
+        nxt = cur.mapInArrow(step, "row_id bigint, vector array<double>, miss array<boolean>, d2 double")
         nxt = nxt.checkpoint()  # reliable: cuts lineage, survives executor loss
         rms = float(np.sqrt((nxt.agg(F.sum("d2")).first()[0] or 0.0) / n_missing))
         cur = nxt.drop("d2")
@@ -76,6 +82,4 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
         if rms < tol:
             info["converged"] = True
             break
-    out = cur.select("row_id", F.transform("vector", lambda x: x + F.col("mean")).alias("vector"),
-                     F.col("miss").alias("filled"))
-    return out, info
+    return cur.select("row_id", "vector", F.col("miss").alias("filled")), info
