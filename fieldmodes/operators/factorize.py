@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldmodes.functions.blocks import sign_fix, sym_eig_desc
 from fieldmodes.operators.products import GRAM_MAX_COLS, cov_multiply, gram, right_multiply, tsqr_r
-from fieldmodes.operators.stats import dims, materialize
+from fieldmodes.operators.stats import dims, materialize_dims
 
 RANK_TOL = 1e-9  # components with sigma <= RANK_TOL * sigma_1 are dropped
 # Reference defaults (fixed values): oversampling 5, 10 power rounds.
@@ -198,5 +198,7 @@ def describe_eofs(res: EOFResult, spark: SparkSession, total_ss: float | None =
 def run_eofs(mat: DataFrame, k: int, method: str = "exact", persist: bool = True, **kw):
     """Persist the matrix once, then factorize (the reference's cache + count)."""
     if persist:
-        mat = materialize(mat.select("row_id", "vector"))
+        mat, n, m = materialize_dims(mat.select("row_id", "vector"))
+        kw.setdefault("n_rows", n)
+        kw.setdefault("n_cols", m)
     return compute_eofs(mat, k, method, **kw), mat

@@ -28,6 +28,10 @@ from fieldmodes.functions.blocks import (
 
 # Upper bound on the bytes one reduce group holds (partials x block size).
 GROUP_TARGET_BYTES = 64 << 20
+# When all partials together (partitions x m_out x r_out doubles) stay below
+# this, the driver sums them directly (treeAggregate's last step) and the
+# grouped reduce stage is skipped.  Checked before every product.
+DRIVER_PARTIALS_MAX_BYTES = 16 << 20
 # Above this many columns the m x m Gram is no longer a "small square".
 GRAM_MAX_COLS = 2048
 
@@ -50,13 +54,7 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block_id": pa.array([b], pa.int32()), "data": matrix_to_list_array(s)})
 
 
-def _reduced_blocks(df: DataFrame, kernel, m_out: int, r_out: int, bcast=None):
-    """Run ``kernel(batch, bvalue) -> (m_out, r_out)`` on every Arrow batch,
-    sum per partition (one partial per task), then per row block across
-    partitions.  Returns the distributed ``(block_id, data)`` sums and the
-    block height."""
-    br = _block_rows(m_out, r_out, num_partitions(df))
-
+def _partials_fn(kernel, br: int, bcast):
     def per_partition(batches):
         acc = None
         bval = bcast.value if bcast is not None else None
@@ -72,12 +70,35 @@ def _reduced_blocks(df: DataFrame, kernel, m_out: int, r_out: int, bcast=None):
             [pa.array(bids, pa.int32()),
              pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(datas)))],
             names=["block_id", "data"])
+    return per_partition
+
 
-    red = df.mapInArrow(per_partition, _PARTIAL_SCHEMA).groupBy("block_id").applyInArrow(
+def _reduced_blocks(df: DataFrame, kernel, m_out: int, r_out: int, bcast=None):
+    """Run ``kernel(batch, bvalue) -> (m_out, r_out)`` on every Arrow batch,
+    sum per partition (one partial per task), then per row block across
+    partitions.  Returns the distributed ``(block_id, data)`` sums and the
+    block height."""
+    br = _block_rows(m_out, r_out, num_partitions(df))
+    red = df.mapInArrow(_partials_fn(kernel, br, bcast), _PARTIAL_SCHEMA).groupBy("block_id").applyInArrow(
         _sum_blocks, _PARTIAL_SCHEMA)
     return red, br
 
 
+def _sum_partials(df: DataFrame, kernel, m_out: int, r_out: int, bcast=None) -> np.ndarray:
+    """Sum of ``kernel`` over all batches as an (m_out, r_out) array.
+
+    Small total partial size (measured: partitions x m_out x r_out): the
+    driver adds the per-task partials.  Otherwise a parallel per-block
+    reduce on executors, so the driver only receives the final sum."""
+    parts = num_partitions(df)
+    if parts * m_out * r_out * 8 <= DRIVER_PARTIALS_MAX_BYTES:
+        out = np.zeros((m_out, r_out))
+        for row in df.mapInArrow(_partials_fn(kernel, m_out, bcast), _PARTIAL_SCHEMA).collect():
+            out += np.asarray(row["data"], dtype=np.float64).reshape(m_out, r_out)
+        return out
+    return _collect_blocks(*_reduced_blocks(df, kernel, m_out, r_out, bcast), m_out, r_out)
+
+
 def _collect_blocks(red: DataFrame, br: int, m_out: int, r_out: int) -> np.ndarray:
     rows = [(r["block_id"], r["data"]) for r in red.collect()]  # m_out x r_out in total
     return assemble_blocks(rows, m_out, r_out, br)
@@ -91,19 +112,23 @@ def _broadcast(mat: DataFrame, value):
     return mat.sparkSession.sparkContext.broadcast(value)
 
 
-def gram(mat: DataFrame, n_cols: int) -> np.ndarray:
-    """A^T A (m x m) in one pass (D9).  Only for m <= GRAM_MAX_COLS."""
-    return _collect_blocks(*_gram_blocks(mat, n_cols), n_cols, n_cols)
-
-
-def _gram_blocks(mat: DataFrame, n_cols: int):
+def _gram_kernel(n_cols: int):
     if n_cols > GRAM_MAX_COLS:
         raise ValueError(f"{n_cols} columns: the Gram matrix is too wide; use cov_multiply")
 
     def k(batch, _):
         x = _x(batch, n_cols)
         return x.T @ x
-    return _reduced_blocks(mat.select("vector"), k, n_cols, n_cols)
+    return k
+
+
+def gram(mat: DataFrame, n_cols: int) -> np.ndarray:
+    """A^T A (m x m) in one pass (D9).  Only for m <= GRAM_MAX_COLS."""
+    return _sum_partials(mat.select("vector"), _gram_kernel(n_cols), n_cols, n_cols)
+
+
+def _gram_blocks(mat: DataFrame, n_cols: int):
+    return _reduced_blocks(mat.select("vector"), _gram_kernel(n_cols), n_cols, n_cols)
 
 
 def gram_long(mat: DataFrame, n_cols: int) -> DataFrame:
@@ -130,7 +155,7 @@ def cov_multiply(mat: DataFrame, rhs: np.ndarray, n_rows: int | None = None) ->
         x = _x(batch, m)
         return x.T @ (x @ b)
     try:
-        out = _collect_blocks(*_reduced_blocks(mat.select("vector"), k, m, r, bc), m, r)
+        out = _sum_partials(mat.select("vector"), k, m, r, bc)
     finally:
         bc.unpersist()
     return out / max(n_rows, 1)
@@ -146,7 +171,7 @@ def left_multiply(lhs: DataFrame, mat: DataFrame, n_cols: int, c: int) -> np.nda
 
     def k(batch, _):
         return list_column_to_matrix(batch.column("coef"), c).T @ _x(batch, n_cols)
-    return _collect_blocks(*_reduced_blocks(j, k, c, n_cols), c, n_cols)
+    return _sum_partials(j, k, c, n_cols)
 
 
 def right_multiply(mat: DataFrame, b: np.ndarray, keep: list[str] | None = None) -> DataFrame:

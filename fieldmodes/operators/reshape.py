@@ -71,14 +71,19 @@ def dense_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
 def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
                row: str = "row_id", col: str = "record_id", value: str = "value",
                on_missing: str = "error", on_duplicate: str = "error",
-               n_cols: int | None = None) -> DataFrame:
+               n_cols: int | None = None, pre_aggregate: bool = True) -> DataFrame:
     """Triplets -> ``(row_id BIGINT, vector ARRAY<DOUBLE>)``.
 
     Position j of every vector holds the cell of ``col_order`` position j
     (fixes M9: the reference silently shortened vectors).
 
-    on_missing   'error' (fail), 'null' (NULL in place), 'drop_row'
-    on_duplicate 'error' (fail) or an aggregate: 'avg' 'sum' 'min' 'max'
+    on_missing    'error' (fail), 'null' (NULL in place), 'drop_row'
+    on_duplicate  'error' (fail) or an aggregate: 'avg' 'sum' 'min' 'max'
+    pre_aggregate collapse duplicate cells map-side before the row shuffle
+                  (default; guards against hot duplicated copies).  Pass
+                  False when the triplets come out of a groupBy on
+                  (row, col): one shuffle instead of two, and duplicates are
+                  still detected inside each row.
     """
     if on_missing not in _MISSING:
         raise ValueError(f"on_missing must be one of {_MISSING}")
@@ -92,14 +97,19 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
     t = triplets.select(F.col(row).cast("long").alias("row_id"), col,
                         F.col(value).cast("double").alias("value"))
     t = t.join(maybe_broadcast(co, n_cols), col).drop(col)
-    # Stage 1: one value per cell.  Map-side partial aggregation collapses a
-    # hot duplicated cell before the shuffle.
-    cells = t.groupBy("row_id", "col_pos").agg(
-        F.count(F.lit(1)).alias("_n"), _DUP_AGGS[on_duplicate]("value").alias("value"))
-    # Stage 2: one row per location; a group holds at most n_cols cells.
-    rows = cells.groupBy("row_id").agg(
-        F.collect_list(F.struct("col_pos", "value")).alias("_cells"),
-        F.max("_n").alias("_dup"))
+    if pre_aggregate or on_duplicate != "error":
+        # Stage 1: one value per cell.  Map-side partial aggregation collapses
+        # a hot duplicated cell before the shuffle.
+        cells = t.groupBy("row_id", "col_pos").agg(
+            F.count(F.lit(1)).alias("_n"), _DUP_AGGS[on_duplicate]("value").alias("value"))
+        # Stage 2: one row per location; a group holds at most n_cols cells.
+        rows = cells.groupBy("row_id").agg(
+            F.collect_list(F.struct("col_pos", "value")).alias("_cells"), F.max("_n").alias("_dup"))
+    else:
+        # Single shuffle; a repeated cell is still caught inside its row.
+        rows = t.groupBy("row_id").agg(F.collect_list(F.struct("col_pos", "value")).alias("_cells"))
+        n_distinct = F.size(F.array_distinct(F.transform("_cells", lambda x: x["col_pos"])))
+        rows = rows.withColumn("_dup", F.when(n_distinct < F.size("_cells"), F.lit(2)).otherwise(F.lit(1)))
     dense = F.transform(F.array_sort("_cells"), lambda x: x["value"])
     if on_missing == "null":
         lookup = F.map_from_entries("_cells")
@@ -110,7 +120,10 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
                      F.raise_error(F.concat(F.lit("missing cell in row "), F.col("row_id").cast("string"))
                                    )).otherwise(dense)
     else:
-        rows = rows.where(F.size("_cells") == n_cols)
+        keep = F.size("_cells") == n_cols
+        if on_duplicate == "error":
+            keep = keep | (F.col("_dup") > 1)  # keep so the duplicate check below fails loudly
+        rows = rows.where(keep)
         vec = dense
     if on_duplicate == "error":
         vec = F.when(F.col("_dup") > 1,

@@ -72,6 +72,11 @@ def col_means(mat: DataFrame) -> DataFrame:
 
 def materialize(mat: DataFrame) -> DataFrame:
     """Persist and force a matrix that several passes will scan."""
+    return materialize_dims(mat)[0]
+
+
+def materialize_dims(mat: DataFrame) -> tuple[DataFrame, int, int]:
+    """Persist a matrix and measure it in the same job: (mat, n_rows, n_cols)."""
     mat = mat.persist(StorageLevel.MEMORY_AND_DISK)
-    mat.count()
-    return mat
+    n, m = dims(mat)
+    return mat, n, m

@@ -92,7 +92,8 @@ def matrix(spark, sf_dir, name: str, on_missing: str = "error"):
     t = TRIPLETS[name](spark, sf_dir)
     co = column_order(t)
     n = co.count()
-    return pivot_rows(t, co, on_missing=on_missing, n_cols=n), co, n
+    # The triplets come out of a groupBy on (row, record): one shuffle suffices.
+    return pivot_rows(t, co, on_missing=on_missing, n_cols=n, pre_aggregate=False), co, n
 
 
 def weights_supplier(spark, sf_dir) -> DataFrame:

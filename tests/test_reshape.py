@@ -57,3 +57,13 @@ def test_dense_index_is_consecutive(spark):
     idx = rs.dense_index(df, ["k"], "i", num_partitions=4).orderBy("k").collect()
     assert [r.i for r in idx] == list(range(len(idx)))
     assert [r.k for r in idx] == list(range(0, 1000, 7))
+
+
+def test_single_shuffle_pivot_still_catches_duplicates(spark):
+    t = _trip(spark, [(0, 0, 1.0), (0, 0, 3.0), (0, 1, 2.0), (1, 0, 1.0), (1, 1, 1.0)])
+    with pytest.raises(Exception, match="duplicate cell"):
+        rs.pivot_rows(t, pre_aggregate=False).collect()
+    with pytest.raises(Exception, match="duplicate cell"):
+        rs.pivot_rows(t, pre_aggregate=False, on_missing="drop_row").collect()
+    ok = _trip(spark, [(0, 0, 1.0), (0, 1, 2.0)])
+    assert rs.pivot_rows(ok, pre_aggregate=False).first().vector == [1.0, 2.0]
