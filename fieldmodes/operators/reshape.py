@@ -36,6 +36,18 @@ def maybe_broadcast(df: DataFrame, n_rows: int | None) -> DataFrame:
     return df
 
 
+def small_table(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
+    """Measure a dimension table once; when it has at most ``max_rows`` rows
+    return it as a local relation (later joins broadcast it without
+    recomputing its plan), else keep it distributed.  Returns (df, rows)."""
+    probe = []
+    for r in df.toLocalIterator():  # streamed; stops after max_rows + 1 rows
+        probe.append(r)
+        if len(probe) > max_rows:
+            return df, df.count()
+    return df.sparkSession.createDataFrame(probe, df.schema), len(probe)
+
+
 def column_order(triplets: DataFrame, col: str = "record_id") -> DataFrame:
     """Sorted distinct column keys with 0-based positions.
 
@@ -92,7 +104,7 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
     if col_order is None:
         col_order = column_order(triplets, col)
     if n_cols is None:
-        n_cols = col_order.count()
+        col_order, n_cols = small_table(col_order)
     co = col_order.select(F.col("col_pos").cast("int").alias("col_pos"), col)
     t = triplets.select(F.col(row).cast("long").alias("row_id"), col,
                         F.col(value).cast("double").alias("value"))

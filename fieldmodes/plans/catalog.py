@@ -189,8 +189,8 @@ def _hconcat_pieces(spark, sf):
     pieces = []
     for cond in (F.col("record_id") <= 1997, F.col("record_id") > 1997):
         tp = t.where(cond)
-        co = rs.column_order(tp)
-        pieces.append(rs.pivot_rows(tp, co, on_missing="drop_row", n_cols=co.count(), pre_aggregate=False))
+        co, n = rs.small_table(rs.column_order(tp))
+        pieces.append(rs.pivot_rows(tp, co, on_missing="drop_row", n_cols=n, pre_aggregate=False))
     return pieces
 
 

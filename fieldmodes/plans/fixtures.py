@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmodes.functions.vector import lat_weight
-from fieldmodes.operators.reshape import column_order, pivot_rows
+from fieldmodes.operators.reshape import column_order, pivot_rows, small_table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -90,8 +90,7 @@ def matrix(spark, sf_dir, name: str, on_missing: str = "error"):
         m = emb.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vector"))
         return m, None, None
     t = TRIPLETS[name](spark, sf_dir)
-    co = column_order(t)
-    n = co.count()
+    co, n = small_table(column_order(t))  # one job; the time dimension is small
     # The triplets come out of a groupBy on (row, record): one shuffle suffices.
     return pivot_rows(t, co, on_missing=on_missing, n_cols=n, pre_aggregate=False), co, n
 
