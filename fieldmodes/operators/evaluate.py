@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmodes.functions.blocks import list_column_to_matrix
+from fieldmodes.operators.products import arrow_batch_guard
 
 
 def sse(mat: DataFrame, u: DataFrame, s: np.ndarray, v: np.ndarray) -> DataFrame:
@@ -17,6 +18,7 @@ def sse(mat: DataFrame, u: DataFrame, s: np.ndarray, v: np.ndarray) -> DataFrame
     V diag(s) is broadcast; the residual is one GEMM per Arrow batch and
     partial sums are combined by a global aggregate."""
     w = np.asarray(v, dtype=np.float64) * np.asarray(s, dtype=np.float64)[None, :]
+    arrow_batch_guard(mat.sparkSession)
     bc = mat.sparkSession.sparkContext.broadcast(w)
     m, k = w.shape
     j = mat.select("row_id", "vector").join(u.select("row_id", F.col("vector").alias("uvec")), "row_id", "left")
@@ -43,6 +45,7 @@ def sse(mat: DataFrame, u: DataFrame, s: np.ndarray, v: np.ndarray) -> DataFrame
 def sse_projection(mat: DataFrame, v: np.ndarray) -> DataFrame:
     """SSE of the projection onto span(V): ||A - A V V^T||^2, no join."""
     v = np.asarray(v, dtype=np.float64)
+    arrow_batch_guard(mat.sparkSession)
     bc = mat.sparkSession.sparkContext.broadcast(v)
     m = v.shape[0]
 

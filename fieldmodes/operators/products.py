@@ -36,9 +36,25 @@ DRIVER_PARTIALS_MAX_BYTES = 16 << 20
 GRAM_MAX_COLS = 2048
 
 _PARTIAL_SCHEMA = "block_id int, data array<double>"
+# Arrow batches handed to Python are capped in bytes, not rows: a row of
+# 46,715 doubles is 374 KB, so a row-count cap alone could build GB batches.
+ARROW_BATCH_BYTES = 64 << 20
+
+
+def arrow_batch_guard(spark) -> None:
+    """Cap Arrow batch bytes for the block kernels (keeps an existing lower cap)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    cur = spark.conf.get(key, None)
+    try:
+        ok = cur is not None and 0 < int(str(cur).rstrip("bB")) <= ARROW_BATCH_BYTES
+    except ValueError:
+        ok = False
+    if not ok:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
 def num_partitions(df: DataFrame) -> int:
+    arrow_batch_guard(df.sparkSession)
     return max(1, df.rdd.getNumPartitions())
 
 
@@ -181,6 +197,7 @@ def right_multiply(mat: DataFrame, b: np.ndarray, keep: list[str] | None = None)
     """
     b = np.ascontiguousarray(b, dtype=np.float64)
     m, k = b.shape
+    arrow_batch_guard(mat.sparkSession)
     bc = _broadcast(mat, b)
     keep = keep or []
 

@@ -20,6 +20,7 @@ from fieldmodes.operators import products as pr
 from fieldmodes.operators import reshape as rs
 from fieldmodes.operators import stats as st
 from fieldmodes.plans import fixtures as fx
+from fieldmodes.plans import jobs as jb
 from fieldmodes.session import scratch_path
 from fieldmodes.sources import readers as rd
 from fieldmodes.sources import writers as wr
@@ -718,3 +719,49 @@ def q_stream_ingest(spark, sf):
     si.ingest_triplet_stream(spark, src, out, ck, max_files_per_trigger=2)
     si.ingest_triplet_stream(spark, src, out, ck)  # rerun: nothing new, nothing duplicated
     return si.read_ingested(spark, out).select("row_id", "record_id", r9("value").alias("value"))
+
+
+# ================================================================ end-to-end jobs
+@register("job_ingest", ORACLES["unpivot_rows"])
+def q_job_ingest(spark, sf):
+    src, out = scratch_path(spark, "job_src"), scratch_path(spark, "job_ingest")
+    wr.write_triplets(fx.triplets_supplier_year(spark, sf), src, block_size=4)
+    paths = jb.ingest_job(spark, src, out)
+    return _long(rd.read_row_matrix(spark, paths["rowmat"]))
+
+
+# Closed form for the row-centered supplier x returnflag field.
+EIG3C = EIG3.replace(
+    "FROM l GROUP BY row_id), g AS",
+    "FROM l GROUP BY row_id), wc AS (SELECT row_id, x0 - (x0 + x1 + x2) / 3 AS x0, "
+    "x1 - (x0 + x1 + x2) / 3 AS x1, x2 - (x0 + x1 + x2) / 3 AS x2 FROM w), g AS").replace(
+    "sum(x2*x2) AS f, count(*) AS n FROM w)", "sum(x2*x2) AS f, count(*) AS n FROM wc)")
+
+
+@register("job_eofs", EIG3C + f"SELECT 0 AS component, {s6('sqrt(l1)')} AS sigma, {s6('l1 / n')} AS eigenvalue "
+          "FROM ev2")
+def q_job_eofs(spark, sf):
+    rows = fx.triplets_supplier_flag(spark, sf)
+    co, n = rs.small_table(rs.column_order(rows))
+    mat = rs.pivot_rows(rows, co, n_cols=n, pre_aggregate=False)
+    rm, out = scratch_path(spark, "job_rowmat"), scratch_path(spark, "job_eofs")
+    wr.write_row_matrix(mat, rm)
+    jb.eof_job(spark, rm, out, 1, "exact", pp.CENTER)
+    return rd.load_factors(spark, out)["s"].select("component", r6("sigma").alias("sigma"),
+                                                    r6("eigenvalue").alias("eigenvalue"))
+
+
+@register("job_export", _EXPAND_SQL.replace(f"CROSS JOIN {RANGE.format(n=2)} k", "CROSS JOIN (SELECT 0 AS comp) k")
+          .replace("CAST(k.comp AS INTEGER) AS component", "-1 AS component"))
+def q_job_export(spark, sf):
+    """part x year field -> EOFs with row means -> mean field on the part grid."""
+    mat, co, n = _mat(spark, sf, "part_year", on_missing="drop_row")
+    rm, fac, out = (scratch_path(spark, x) for x in ("exp_rowmat", "exp_factors", "exp_out"))
+    wr.write_row_matrix(mat, rm)
+    jb.eof_job(spark, rm, fac, 2, "exact", pp.CENTER)
+    observed = rd.read_row_matrix(spark, rm).select(F.col("row_id").alias("cell_id"), F.col("row_id").alias("loc_id"))
+    grid = gd.attach_loc_ids(_grid(spark, sf), observed)
+    jb.export_job(spark, fac, grid, out, col_order=co, record_dates=fx.record_dates_year(fx.triplets_part_year(spark, sf)))
+    f = spark.read.parquet(f"{out}/fields/fields")
+    return f.where(F.col("component") == -1).select("cell_id", F.col("component").cast("int"),
+                                                    r9("value").alias("value"))
