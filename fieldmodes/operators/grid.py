@@ -39,6 +39,18 @@ def build_grid_dim(cells: DataFrame, nlat: int, nlon: int, cell_col: str = "cell
                     F.try_element_at(depths, F.col("level_i") + 1).alias("depth_m"))
 
 
+def depths_table(spark) -> DataFrame:
+    """The fixed 41-row level -> depth table."""
+    return spark.createDataFrame([(i, float(d)) for i, d in enumerate(DEPTHS_M)], "level_i int, depth_m double")
+
+
+def lat_weights(grid: DataFrame, key: str = "loc_id") -> DataFrame:
+    """Per-location area weight abs(cos(lat)) from the grid (E5); masked cells
+    (NULL ``key``) carry no weight row."""
+    from fieldmodes.functions.vector import lat_weight
+    return grid.where(F.col(key).isNotNull()).select(F.col(key).alias("row_id"), lat_weight("lat").alias("weight"))
+
+
 def attach_loc_ids(grid: DataFrame, loc_ids: DataFrame) -> DataFrame:
     """Left-join observed-cell location ids onto the grid; NULL = masked."""
     return grid.join(loc_ids.select("cell_id", "loc_id"), "cell_id", "left")

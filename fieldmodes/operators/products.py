@@ -263,3 +263,12 @@ def apply_right_inverse(x: DataFrame, r: np.ndarray) -> DataFrame:
     k = r.shape[0]
     rinv = np.linalg.solve(r, np.eye(k)) if np.all(np.abs(np.diag(r)) > 0) else np.linalg.pinv(r)
     return right_multiply(x, rinv)
+
+
+multiply = right_multiply  # F5 planned name
+
+
+def tsqr(x: DataFrame, k: int, fanout: int = 64) -> tuple[DataFrame, np.ndarray]:
+    """Thin QR of a distributed n x k matrix: (Q distributed, R small)."""
+    r = tsqr_r(x, k, fanout=fanout)
+    return apply_right_inverse(x, r), r

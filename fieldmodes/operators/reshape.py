@@ -165,6 +165,13 @@ def transpose(mat: DataFrame) -> DataFrame:
     return pivot_rows(swapped, co, n_cols=n_rows)
 
 
+def pivot_components(long: DataFrame, i: str = "i", j: str = "j", value: str = "value") -> DataFrame:
+    """Coordinate triplets (i = location, j = component) -> one row per
+    component holding its values over locations (C5: eofs[j, i] = v)."""
+    t = long.select(F.col(j).alias("row_id"), F.col(i).alias("record_id"), F.col(value).alias("value"))
+    return pivot_rows(t)
+
+
 def hconcat(mats: list[DataFrame], how: str = "inner") -> DataFrame:
     """Glue column blocks side by side on ``row_id``.
 

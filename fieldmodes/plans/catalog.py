@@ -537,6 +537,26 @@ def _expanded(spark, sf):
     return gd.expand_to_grid(u, grid, 2)
 
 
+@register("lat_weights", f"WITH t AS ({PY}), {COMPLETE}, g AS ({_GRID_SQL}) "
+          f"SELECT g.cell_id AS row_id, round(abs(cos(radians(-90.0 + (g.lat_i + 0.5) * {180.0 / NLAT}))), 9) "
+          "AS weight FROM g JOIN full_rows f ON f.row_id = g.cell_id")
+def q_lat_weights(spark, sf):
+    mat, _, _ = _mat(spark, sf, "part_year", on_missing="drop_row")
+    observed = mat.select(F.col("row_id").alias("cell_id"), F.col("row_id").alias("loc_id"))
+    grid = gd.attach_loc_ids(_grid(spark, sf), observed)
+    return gd.lat_weights(grid).select("row_id", r9("weight").alias("weight"))
+
+
+@register("pivot_components", w_long(SY) + "SELECT CAST(col_pos AS BIGINT) AS row_id, CAST(row_id AS INTEGER) "
+          "AS col_pos, round(value, 9) AS value FROM l")
+def q_pivot_components(spark, sf):
+    """Coordinate triplets (supplier, year position) -> one row per year
+    position over suppliers (C5); supplier keys are 0-based and dense."""
+    mat, _, _ = _mat(spark, sf, "supplier_year")
+    comp = rs.pivot_components(rs.unpivot_rows(mat), i="row_id", j="col_pos")
+    return rs.unpivot_rows(comp).select("row_id", "col_pos", r9("value").alias("value"))
+
+
 @register("expand_to_grid", _EXPAND_SQL)
 def q_expand(spark, sf):
     return _expanded(spark, sf).select("cell_id", "component", r9("value").alias("value"))

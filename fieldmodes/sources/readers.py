@@ -103,6 +103,14 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("row_id BIGINT, weight DOUBLE").csv(path)
 
 
+def read_grid(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Grid metadata table (A7): cell_id, level_i, lat_i, lon_i, lat, lon,
+    depth_m and the observed location id (NULL = masked)."""
+    g = spark.read.format(fmt).load(path)
+    cols = ["cell_id", "level_i", "lat_i", "lon_i", "lat", "lon", "depth_m", "loc_id"]
+    return g.select(*[c for c in cols if c in g.columns])
+
+
 def read_coordinate_text(spark: SparkSession, path: str) -> DataFrame:
     """Coordinate text -> 0-based ``(i, j, value)``.
 
