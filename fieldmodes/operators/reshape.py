@@ -4,7 +4,7 @@
 * ``pivot_rows``    triplets -> row vectors aligned on ``col_order`` (C1)
 * ``hconcat``       glue column blocks side by side, one shuffle (C3)
 * ``unpivot_rows``  row vectors -> triplets (C4)
-* ``transpose``     swap rows and columns (C5)
+* ``transpose``     swap rows and columns in bounded row blocks (C5)
 * ``dense_index``   consecutive 0-based numbering without a one-task window (G5)
 """
 
@@ -60,22 +60,37 @@ def column_order(triplets: DataFrame, col: str = "record_id") -> DataFrame:
     )
 
 
-def dense_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
+def dense_index(df: DataFrame, order_cols: list[str] | None, out_col: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
-    """Consecutive 0-based ``out_col`` following ``order_cols``.
+    """Consecutive 0-based ``out_col`` (G5, B3, A5), zipWithIndex-style.
 
-    Distributed: range-partition, number rows inside each partition, then
-    add per-partition offsets from a table with one row per partition.
+    Rows are numbered inside each partition and shifted by per-partition
+    offsets taken from a table with one row per partition (broadcast), so
+    no data row goes through a single task.
+
+    ``order_cols=None`` numbers rows in input order (file order for a scan;
+    no shuffle).  With ``order_cols`` the rows are range-partitioned and
+    sorted first; that order is checkpointed into the shared checkpoint
+    folder before numbering, because range bounds are re-sampled on every
+    evaluation and both the counts and the numbering must see one order.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = (ranged.withColumn("_part", F.shiftright("_mid", 33))
-              .withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1)))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    if order_cols:
+        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # "_tie" (a hash of the whole row) lets the range partitioner split
+        # long runs of equal order keys.
+        keys = [*order_cols, "_tie"]
+        df = (df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+              .repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie"))
+        from fieldmodes.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
+    numbered = (df.withColumn("_mid", F.monotonically_increasing_id())
+                .withColumn("_part", F.shiftright("_mid", 33))
+                .withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1)))
+    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_part")  # one row per partition
+    return (numbered.join(F.broadcast(offsets), "_part")  # one row per partition
             .withColumn(out_col, F.col("_off") + F.col("_pos"))
             .drop("_mid", "_part", "_pos", "_off"))
 
@@ -150,26 +165,45 @@ def unpivot_rows(mat: DataFrame, vector: str = "vector") -> DataFrame:
         "row_id", F.col("col_pos").cast("int"), "value")
 
 
-def transpose(mat: DataFrame) -> DataFrame:
-    """Swap rows and columns (C5 = C4 then C1 on swapped keys).
+TRANSPOSE_BLOCK = 1 << 17  # values per output row block (1 MB of doubles)
+
+
+def group_blocks(long: DataFrame, row: str, pos: str, value: str = "value",
+                 block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
+    """Long cells -> ``(row_id, block, vector)`` with at most ``block_size``
+    values per row block: the group size stays bounded however long the
+    logical row is.  Position p lands in block p // block_size."""
+    t = long.select(F.col(row).cast("long").alias("row_id"), F.col(pos).cast("long").alias("_p"),
+                    F.col(value).cast("double").alias("value"))
+    t = t.withColumn("block", F.floor(F.col("_p") / block_size).cast("int"))
+    g = t.groupBy("row_id", "block").agg(F.collect_list(F.struct("_p", "value")).alias("_c"))
+    return g.select("row_id", "block", F.transform(F.array_sort("_c"), lambda x: x["value"]).alias("vector"))
+
+
+def unpivot_blocks(blocks: DataFrame, block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
+    """``(row_id, block, vector)`` -> ``(row_id, col_pos, value)``."""
+    e = blocks.select("row_id", "block", F.posexplode("vector").alias("p", "value"))
+    return e.select("row_id", (F.col("block").cast("long") * block_size + F.col("p")).alias("col_pos"), "value")
+
+
+def transpose(mat: DataFrame, block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
+    """Swap rows and columns (C5 = C4, then regroup on swapped keys).
 
-    Old row ids become positions through ``dense_index`` (distributed), so
-    the result is a proper 0-based row matrix of the transposed field.
+    Old row ids become dense positions through ``dense_index``
+    (distributed).  A transposed row has one value per old row, so it is
+    emitted in blocks: ``(row_id, block, vector)`` (see ``group_blocks``).
     """
     ids = dense_index(mat.select("row_id"), ["row_id"], "new_col")
-    n_rows = mat.count()
     long = unpivot_rows(mat).join(ids, "row_id")
-    co = ids.select(F.col("new_col").cast("int").alias("col_pos"), F.col("new_col").alias("record_id"))
-    swapped = long.select(F.col("col_pos").cast("long").alias("row_id"),
-                          F.col("new_col").alias("record_id"), "value")
-    return pivot_rows(swapped, co, n_cols=n_rows)
+    return group_blocks(long, "col_pos", "new_col", block_size=block_size)
 
 
-def pivot_components(long: DataFrame, i: str = "i", j: str = "j", value: str = "value") -> DataFrame:
-    """Coordinate triplets (i = location, j = component) -> one row per
-    component holding its values over locations (C5: eofs[j, i] = v)."""
-    t = long.select(F.col(j).alias("row_id"), F.col(i).alias("record_id"), F.col(value).alias("value"))
-    return pivot_rows(t)
+def pivot_components(long: DataFrame, i: str = "i", j: str = "j", value: str = "value",
+                     block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
+    """Coordinate triplets (i = 0-based location, j = component) -> per
+    component its values over locations (C5: eofs[j, i] = v), in bounded
+    row blocks ``(row_id = component, block, vector)``."""
+    return group_blocks(long, j, i, value, block_size)
 
 
 def hconcat(mats: list[DataFrame], how: str = "inner") -> DataFrame:

@@ -173,7 +173,8 @@ def q_unpivot(spark, sf):
           "round(l.value, 9) AS value FROM l JOIN rp USING (row_id)")
 def q_transpose(spark, sf):
     mat, co, n = _mat(spark, sf, "supplier_year")
-    return _long(rs.transpose(mat))
+    return rs.unpivot_blocks(rs.transpose(mat, block_size=16), 16).select(
+        "row_id", F.col("col_pos").cast("int"), r9("value").alias("value"))
 
 
 _HC_SQL = (f"WITH t AS ({PY}), c AS ({CO}), "
@@ -553,8 +554,8 @@ def q_pivot_components(spark, sf):
     """Coordinate triplets (supplier, year position) -> one row per year
     position over suppliers (C5); supplier keys are 0-based and dense."""
     mat, _, _ = _mat(spark, sf, "supplier_year")
-    comp = rs.pivot_components(rs.unpivot_rows(mat), i="row_id", j="col_pos")
-    return rs.unpivot_rows(comp).select("row_id", "col_pos", r9("value").alias("value"))
+    comp = rs.pivot_components(rs.unpivot_rows(mat), i="row_id", j="col_pos", block_size=16)
+    return rs.unpivot_blocks(comp, 16).select("row_id", F.col("col_pos").cast("int"), r9("value").alias("value"))
 
 
 @register("expand_to_grid", _EXPAND_SQL)

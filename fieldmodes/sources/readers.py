@@ -79,11 +79,14 @@ def read_row_matrix(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col(idx).cast("long").alias("row_id"), vec.cast("array<double>").alias("vector"))
 
 
-def read_manifest(spark: SparkSession, entries: list[tuple], order_col: str = "row_id") -> DataFrame:
+def read_manifest(spark: SparkSession, entries: list[tuple], order_col: str = "row_id",
+                  file_order: bool = False) -> DataFrame:
     """Several row-matrix datasets unioned in list order, coalesced to the
     first entry's partition count, rows renumbered 0.. in that order (A5, G4).
 
     ``entries`` = [(path, format, partitions), ...]; format 'parquet' | 'orc'.
+    Rows are numbered by (source, ``order_col``); with ``file_order=True``
+    by (source, position in the files) as the original did, without a sort.
     The source id is kept as ``source_row_id``.
     """
     dfs = []
@@ -92,7 +95,7 @@ def read_manifest(spark: SparkSession, entries: list[tuple], order_col: str = "r
         dfs.append(d.select(F.lit(i).alias("source_ord"), F.col(order_col).alias("source_row_id"), "vector"))
     u = reduce(DataFrame.unionByName, dfs)
     first_parts = entries[0][2] if entries and entries[0][2] else None
-    numbered = dense_index(u, ["source_ord", "source_row_id"], "row_id")
+    numbered = dense_index(u, None if file_order else ["source_ord", "source_row_id"], "row_id")
     if first_parts:
         numbered = numbered.coalesce(int(first_parts))
     return numbered.select("row_id", "source_ord", "source_row_id", F.col("vector").cast("array<double>"))

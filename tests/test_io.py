@@ -63,3 +63,14 @@ def test_record_dates_and_col_order(spark):
     spark.createDataFrame([("1",)], "value string").write.text(p1)
     co = sorted(tuple(r) for r in rd.read_col_order(spark, [p0, p1]).collect())
     assert co == [(0, 3), (1, 7), (2, 1)]
+
+
+def test_manifest_file_order_numbering(spark):
+    p0, p1 = scratch_path(spark, "m0"), scratch_path(spark, "m1")
+    spark.createDataFrame([(5, [1.0]), (3, [2.0])], "row_id bigint, vector array<double>").coalesce(1).write.parquet(p0)
+    spark.createDataFrame([(1, [3.0])], "row_id bigint, vector array<double>").coalesce(1).write.parquet(p1)
+    by_id = {r.row_id: r.source_row_id for r in rd.read_manifest(spark, [(p0, "parquet", 2), (p1, "parquet", 1)]).collect()}
+    assert by_id == {0: 3, 1: 5, 2: 1}
+    by_file = {r.row_id: r.source_row_id for r in
+               rd.read_manifest(spark, [(p0, "parquet", 2), (p1, "parquet", 1)], file_order=True).collect()}
+    assert by_file == {0: 5, 1: 3, 2: 1}

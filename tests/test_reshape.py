@@ -50,6 +50,18 @@ def test_unpivot_and_transpose(spark, mk):
     assert long[(20, 1)] == 5.0 and len(long) == 6
     t = {r.row_id: r.vector for r in rs.transpose(a).collect()}
     assert t == {0: [1.0, 4.0], 1: [2.0, 5.0], 2: [3.0, 6.0]}
+    blocks = {(r.row_id, r.block): r.vector for r in rs.transpose(a, block_size=1).collect()}
+    assert blocks[(2, 0)] == [3.0] and blocks[(2, 1)] == [6.0]
+    back = {(r.row_id, r.col_pos): r.value for r in rs.unpivot_blocks(rs.transpose(a, block_size=1), 1).collect()}
+    assert back[(1, 1)] == 5.0 and len(back) == 6
+
+
+def test_dense_index_splits_equal_keys(spark):
+    df = spark.range(0, 3000).selectExpr("id DIV 1000 AS k", "id")
+    idx = rs.dense_index(df, ["k"], "i", num_partitions=6)
+    assert sorted(r.i for r in idx.collect()) == list(range(3000))
+    per = idx.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in per) < 3000
 
 
 def test_dense_index_is_consecutive(spark):
