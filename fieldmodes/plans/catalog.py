@@ -786,3 +786,32 @@ def q_job_export(spark, sf):
     f = spark.read.parquet(f"{out}/fields/fields")
     return f.where(F.col("component") == -1).select("cell_id", F.col("component").cast("int"),
                                                     r9("value").alias("value"))
+
+
+_CONVERT_SQL = (f"WITH t AS ({PY}), {COMPLETE}, "
+                "locs AS (SELECT row_id AS cell_id, row_number() OVER (ORDER BY row_id) - 1 AS loc_id FROM full_rows), "
+                "num AS (SELECT record_id AS yr, CAST(row_number() OVER (ORDER BY record_id) - 1 AS INTEGER) AS rid "
+                "FROM (SELECT DISTINCT record_id FROM t)) "
+                "SELECT num.rid AS record_id, locs.loc_id AS row_id, round(t.value, 9) AS value FROM t "
+                "JOIN part p ON p.p_partkey = t.row_id JOIN locs ON locs.cell_id = t.row_id "
+                "JOIN num ON num.yr = t.record_id WHERE p.p_size = 207 OR p.p_size BETWEEN 1 AND 40")
+
+
+@register("job_convert_records", _CONVERT_SQL)
+def q_job_convert(spark, sf):
+    """Gridded records (parts as cells, ship years as records, p_size as the
+    message number; missing part-years masked) -> triplets, in two shards
+    run one after the other, the second run skipping converted records."""
+    mat, co, n = _mat(spark, sf, "part_year", on_missing="null")
+    part = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("cell_id"), F.col("p_size").alias("message_no"))
+    key = F.concat(F.lit(KEY_PREFIX), F.col("record_id").cast("string"), F.lit("010100.grb2"))
+    grid_obs = (rs.unpivot_rows(mat).join(F.broadcast(co), "col_pos")  # co: one row per record
+                .select(key.alias("record_key"), F.col("row_id").alias("cell_id"), "value")
+                .join(part, "cell_id"))
+    observed = _mat(spark, sf, "part_year", on_missing="drop_row")[0].select(F.col("row_id").alias("cell_id"))
+    grid = ig.assign_loc_ids(observed)
+    out = scratch_path(spark, "converted")
+    for shard in (0, 1):
+        jb.convert_records_job(spark, grid_obs, grid, out, n_shards=2, shard=shard)
+    jb.convert_records_job(spark, grid_obs, grid, out)  # rerun: everything converted, nothing added
+    return rd.read_triplets(spark, f"{out}/vals").select("record_id", "row_id", r9("value").alias("value"))

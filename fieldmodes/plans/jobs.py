@@ -1,5 +1,7 @@
 """End-to-end jobs composed from the operators.
 
+convert_records_job  long gridded records -> masked triplet text + record
+            dates + rejects (resumable, shardable)
 ingest_job  triplet text -> row matrix Parquet + column order + rejects
 eof_job     row matrix -> preprocess -> EOFs -> factor tables
 export_job  factor tables -> dated temporal EOFs, gridded spatial fields,
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldmodes.operators import factorize as fz
 from fieldmodes.operators import grid as gd
+from fieldmodes.operators import ingest as ig
 from fieldmodes.operators import preprocess as pp
 from fieldmodes.operators import reshape as rs
 from fieldmodes.operators import stats as st
@@ -24,6 +27,40 @@ from fieldmodes.sources import readers as rd
 from fieldmodes.sources import writers as wr
 
 
+def convert_records_job(spark: SparkSession, grid_obs: DataFrame, grid: DataFrame, out: str,
+                        n_shards: int = 1, shard: int = 0, key_fmt: str = "yyyyMMddHH",
+                        block_size: int = wr.RECORD_BLOCK) -> dict:
+    """Gridded records -> triplets, resumable.
+
+    ``grid_obs``: (record_key, message_no, cell_id, value NULL = masked).
+    ``grid``: (cell_id, loc_id NULL = masked), the one fixed mask.
+    Records are numbered by sorted key (B7), dated from the key (B8),
+    sharded (B5); records already present under ``out/record_dates`` are
+    skipped (B6).  The 41 depth messages are kept and leveled (B4), masked
+    values dropped (B2), locations numbered from the grid (B3).  A value at
+    a cell the grid masks goes to ``out/rejects`` (A17).  Appends triplet
+    text (A10) and record dates (A13)."""
+    keys = ig.number_records(grid_obs.select("record_key"))
+    keys = keys.select("record_id", "record_key", ig.date_from_key("record_key", 3, key_fmt).alias("obs_ts"))
+    if n_shards > 1:
+        keys = ig.shard(keys, n_shards, shard)
+    try:
+        done = rd.read_record_dates(spark, f"{out}/record_dates", key_fmt)
+        keys = ig.pending_records(keys, done)
+    except Exception:  # nothing converted yet
+        pass
+    keys, n_new = rs.small_table(keys)  # one row per record file
+    obs = grid_obs.join(rs.maybe_broadcast(keys, n_new), "record_key")
+    obs = ig.compress_mask(ig.select_levels(obs, "message_no"))
+    located = obs.join(grid.select("cell_id", "loc_id"), "cell_id", "left")
+    good = located.where(F.col("loc_id").isNotNull()).select("record_id", F.col("loc_id").alias("row_id"), "value")
+    bad = located.where(F.col("loc_id").isNull()).select("record_id", "record_key", "cell_id", "value")
+    wr.write_triplets(good, f"{out}/vals", block_size=block_size, mode="append")
+    wr.write_record_dates(keys.select("record_id", "obs_ts"), f"{out}/record_dates", key_fmt, mode="append")
+    bad.write.mode("append").parquet(f"{out}/rejects")
+    return {"records": n_new, "vals": f"{out}/vals"}
+
+
 def ingest_job(spark: SparkSession, triplet_path: str, out: str, blocks: list[int] | None = None,
                on_missing: str = "error", on_duplicate: str = "error", mode: str = "errorifexists") -> dict:
     """Triplet text -> ``out/rowmat`` (Parquet), ``out/col_order``, ``out/rejects``.
