@@ -130,18 +130,30 @@ def gaussian_start(m: int, l: int, seed: int | None) -> np.ndarray:
 
 
 def eof_randomized(mat: DataFrame, k: int, oversample: int = OVERSAMPLE, power_iters: int = POWER_ITERS,
-                   seed: int | None = 0, n_rows: int | None = None, n_cols: int | None = None) -> EOFResult:
-    """Randomized top-k EOFs (F2): q rounds of 1/n A^T A Y + QR, then Rayleigh-Ritz."""
+                   seed: int | None = 0, n_rows: int | None = None, n_cols: int | None = None,
+                   product: str = "auto") -> EOFResult:
+    """Randomized top-k EOFs (F2): q rounds of 1/n A^T A Y + QR, then Rayleigh-Ritz.
+
+    product  'distributed': one pass over A per round;
+             'gram': one pass forms A^T A, the rounds run on the m x m Gram;
+             'auto': 'gram' when m <= GRAM_MAX_COLS and the Gram costs no more
+                     flops than the q products (m <= 2 q (k+p)), else distributed.
+    """
     if n_rows is None or n_cols is None:
         n_rows, n_cols = dims(mat)
     _check_k(k, n_cols, "randomized")
+    if product not in ("auto", "gram", "distributed"):
+        raise ValueError("product must be 'auto', 'gram' or 'distributed'")
     l = min(k + oversample, n_cols)
+    if product == "auto":
+        product = "gram" if n_cols <= GRAM_MAX_COLS and n_cols <= 2 * max(power_iters, 1) * l else "distributed"
     y = gaussian_start(n_cols, l, seed)
     y, _ = np.linalg.qr(y)
+    cov = gram(mat, n_cols) / max(n_rows, 1) if product == "gram" else None
     for _ in range(power_iters):
-        y = cov_multiply(mat, y, n_rows)
+        y = cov @ y if cov is not None else cov_multiply(mat, y, n_rows)
         y, _ = np.linalg.qr(y)
-    return _finish(mat, y, k, n_rows, n_cols, "randomized", iterations=power_iters)
+    return _finish(mat, y, k, n_rows, n_cols, "randomized", iterations=power_iters, info={"product": product})
 
 
 def to_eofs(u: DataFrame, fat: np.ndarray) -> EOFResult:
@@ -162,7 +174,8 @@ def compute_eofs(mat: DataFrame, k: int, method: str = "exact", **kw) -> EOFResu
     if method == "exact":
         return eof_exact(mat, k, **{a: b for a, b in kw.items() if a in ("tol", "max_iter", "gram_max_cols", "n_rows", "n_cols")})
     if method == "randomized":
-        return eof_randomized(mat, k, **{a: b for a, b in kw.items() if a in ("oversample", "power_iters", "seed", "n_rows", "n_cols")})
+        return eof_randomized(mat, k, **{a: b for a, b in kw.items()
+                                         if a in ("oversample", "power_iters", "seed", "n_rows", "n_cols", "product")})
     if method == "both":
         n, m = kw.get("n_rows"), kw.get("n_cols")
         if n is None or m is None:

@@ -74,7 +74,10 @@ def test_centered_v_columns_sum_to_zero(spark, mk):
 def test_randomized_matches_exact_with_gap(spark, mk):
     a = _lowrank()
     m = mk(a, parts=3)
-    e, q = fz.eof_exact(m, 3), fz.eof_randomized(m, 3, seed=7)
+    e, q = fz.eof_exact(m, 3), fz.eof_randomized(m, 3, seed=7, product="distributed")
+    g = fz.eof_randomized(m, 3, seed=7, product="gram")
+    assert q.info["product"] == "distributed" and g.info["product"] == "gram"
+    assert np.allclose(g.s, q.s, rtol=1e-12) and np.allclose(g.v, q.v, atol=1e-10)
     assert np.allclose(e.s, q.s, rtol=1e-8)
     assert np.allclose(e.v, q.v, atol=1e-6)
     d = ev.compare_factors(e, q)
