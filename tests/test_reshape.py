@@ -79,3 +79,16 @@ def test_single_shuffle_pivot_still_catches_duplicates(spark):
         rs.pivot_rows(t, pre_aggregate=False, on_missing="drop_row").collect()
     ok = _trip(spark, [(0, 0, 1.0), (0, 1, 2.0)])
     assert rs.pivot_rows(ok, pre_aggregate=False).first().vector == [1.0, 2.0]
+
+
+def test_hot_duplicated_cell_is_collapsed_before_the_shuffle(spark):
+    hot = spark.range(100_000).select(F.lit(7).cast("long").alias("row_id"), F.lit(1).alias("record_id"),
+                                      F.lit(0.5).alias("value"))
+    rest = _trip(spark, [(7, 2, 1.0), (8, 1, 2.0), (8, 2, 3.0)])
+    t = hot.unionByName(rest).repartition(4)
+    m = rs.pivot_rows(t, on_duplicate="sum")
+    assert {r.row_id: r.vector for r in m.collect()} == {7: [50_000.0, 1.0], 8: [2.0, 3.0]}
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    # a partial (map-side) sum on (row_id, col_pos) runs before the first exchange
+    assert "partial_sum(" in plan
+    assert plan.index("partial_sum(") > plan.index("Exchange hashpartitioning")  # printed below it
