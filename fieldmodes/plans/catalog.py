@@ -429,6 +429,37 @@ def q_to_eofs(spark, sf):
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
 
 
+@register("eof_randomized_2col", EIG2 + f"SELECT 0 AS component, 0 AS col_pos, {s6('sqrt(l1)')} AS sigma, "
+          f"{s6('sg * v0')} AS v FROM s UNION ALL SELECT 0, 1, {s6('sqrt(l1)')}, {s6('sg * v1')} FROM s")
+def q_eof_rand_2col(spark, sf):
+    """Randomized path with one distributed product per round (F2, F8, D5);
+    with 2 columns the oversampled block spans the whole space, so the
+    Rayleigh-Ritz result equals the exact one."""
+    mat, _, _ = _mat(spark, sf, "supplier_status")
+    res, _ = fz.run_eofs(mat, 1, "randomized", seed=3, product="distributed")
+    rows = [(c, j, float(res.s[c]), float(res.v[j, c])) for c in range(res.n_computed) for j in range(res.n_cols)]
+    return spark.createDataFrame(rows, "component int, col_pos int, sigma double, v double").select(
+        "component", "col_pos", r6("sigma").alias("sigma"), r6("v").alias("v"))
+
+
+@register("eof_randomized_3col", EIG3 + f"SELECT 0 AS component, {s6('sqrt(l1)')} AS sigma FROM ev2 "
+          f"UNION ALL SELECT 1, {s6('sqrt(l2)')} FROM ev2")
+def q_eof_rand_3col(spark, sf):
+    mat, _, _ = _mat(spark, sf, "supplier_flag")
+    res, _ = fz.run_eofs(mat, 2, "randomized", seed=5, product="distributed")
+    return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
+
+
+@register("eof_wide_path_3col", EIG3 + f"SELECT 0 AS component, {s6('sqrt(l1)')} AS sigma FROM ev2 "
+          f"UNION ALL SELECT 1, {s6('sqrt(l2)')} FROM ev2")
+def q_eof_wide_3col(spark, sf):
+    """The exact path used above GRAM_MAX_COLS (MLlib distributed solver),
+    forced on the 3-column field."""
+    mat, _, _ = _mat(spark, sf, "supplier_flag")
+    res, _ = fz.run_eofs(mat, 2, "exact", gram_max_cols=0)
+    return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
+
+
 @register("eof_exact_supplier_year")
 def q_eof_exact_sy(spark, sf):
     """Flagship: leading revenue patterns of suppliers over ship years."""
