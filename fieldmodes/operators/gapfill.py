@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmodes.functions.blocks import list_column_to_matrix, matrix_to_list_array, sym_eig_desc
-from fieldmodes.functions.vector import vmean, vshift
+from fieldmodes.functions.vector import vfill_null, vmean, vshift
 from fieldmodes.operators.products import GRAM_MAX_COLS, cov_multiply, gram
 from fieldmodes.session import ensure_checkpoint_dir
 
@@ -49,8 +49,7 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
     present_mean = F.when(F.size(present) > 0,
                           F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present)).otherwise(0.0)
     cur = mat.select("row_id", "vector", miss.alias("miss"), present_mean.alias("m0"))
-    cur = cur.select("row_id", F.transform("vector", lambda x: F.coalesce(x, F.col("m0"))).alias("vector"),
-                     "miss").checkpoint()
+    cur = cur.select("row_id", vfill_null("vector", "m0").alias("vector"), "miss").checkpoint()
     n = cur.count()
     n_missing = cur.agg(F.sum(F.size(F.filter("miss", lambda b: b)))).first()[0] or 0
     info = {"iterations": 0, "rms_change": None, "n_missing": int(n_missing), "converged": n_missing == 0}

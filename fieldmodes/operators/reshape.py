@@ -26,7 +26,7 @@ _DUP_AGGS = {
     "min": F.min,
     "max": F.max,
 }
-_MISSING = ("error", "null", "drop_row")
+_MISSING = ("error", "null", "drop_row", "zero")
 
 
 def maybe_broadcast(df: DataFrame, n_rows: int | None) -> DataFrame:
@@ -104,7 +104,9 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
     Position j of every vector holds the cell of ``col_order`` position j
     (fixes M9: the reference silently shortened vectors).
 
-    on_missing    'error' (fail), 'null' (NULL in place), 'drop_row'
+    on_missing    'error' (fail), 'null' (NULL in place), 'drop_row', or
+                  'zero' (0.0 in place: for fields of sums, where no
+                  observation means a zero total)
     on_duplicate  'error' (fail) or an aggregate: 'avg' 'sum' 'min' 'max'
     pre_aggregate collapse duplicate cells map-side before the row shuffle
                   (default; guards against hot duplicated copies).  Pass
@@ -138,10 +140,19 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
         n_distinct = F.size(F.array_distinct(F.transform("_cells", lambda x: x["col_pos"])))
         rows = rows.withColumn("_dup", F.when(n_distinct < F.size("_cells"), F.lit(2)).otherwise(F.lit(1)))
     dense = F.transform(F.array_sort("_cells"), lambda x: x["value"])
-    if on_missing == "null":
-        lookup = F.map_from_entries("_cells")
-        vec = F.transform(F.sequence(F.lit(0), F.lit(n_cols - 1)),
-                          lambda i: F.try_element_at(lookup, i))
+    if on_missing in ("null", "zero"):
+        # Rows with gaps: real cells + one fill cell per position, sorted by
+        # (position, real first); the first cell of each position wins.
+        # O(m log m) per row (a map lookup per position would be O(m^2)).
+        fill = F.lit(None).cast("double") if on_missing == "null" else F.lit(0.0)
+        real = F.transform("_cells", lambda c: F.struct(c["col_pos"].alias("col_pos"), F.lit(0).alias("k"),
+                                                         c["value"].alias("value")))
+        fills = F.transform(F.sequence(F.lit(0), F.lit(n_cols - 1)),
+                            lambda i: F.struct(i.alias("col_pos"), F.lit(1).alias("k"), fill.alias("value")))
+        rows = rows.withColumn("_comb", F.when(F.size("_cells") < n_cols, F.array_sort(F.concat(real, fills))))
+        comb = F.col("_comb")
+        first = F.filter(comb, lambda x, j: (j == 0) | (comb[j - 1]["col_pos"] != x["col_pos"]))
+        vec = F.when(F.size("_cells") == n_cols, dense).otherwise(F.transform(first, lambda x: x["value"]))
     elif on_missing == "error":
         vec = F.when(F.size("_cells") != n_cols,
                      F.raise_error(F.concat(F.lit("missing cell in row "), F.col("row_id").cast("string"))

@@ -460,6 +460,25 @@ def q_eof_wide_3col(spark, sf):
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
 
 
+@register("eof_exact_supplier_day")
+def q_eof_exact_sd(spark, sf):
+    """Wide field (supplier x ship day, ~2,500 columns > GRAM_MAX_COLS):
+    exact EOFs through the distributed MLlib solver."""
+    mat, _, _ = _mat(spark, sf, "supplier_day", on_missing="zero")
+    res, _ = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "exact")
+    return res.s_df(spark).select("component", r6("sigma").alias("sigma"), r6("eigenvalue").alias("eigenvalue"))
+
+
+@register("eof_randomized_supplier_day")
+def q_eof_rand_sd(spark, sf):
+    """Wide field: randomized EOFs with one distributed product per round."""
+    mat, co, _ = _mat(spark, sf, "supplier_day", on_missing="zero")
+    res, _ = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "randomized", seed=0)
+    v = res.v_df(spark).join(F.broadcast(co), "col_pos")  # co: one row per day (measured)
+    return v.join(res.s_df(spark), "component").select(
+        "component", "col_pos", "record_id", r6("sigma").alias("sigma"), r6("value").alias("v"))
+
+
 @register("eof_exact_supplier_year")
 def q_eof_exact_sy(spark, sf):
     """Flagship: leading revenue patterns of suppliers over ship years."""

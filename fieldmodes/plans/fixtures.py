@@ -7,6 +7,8 @@ with the data:
   part_year      lineitem: part x ship year,       sum(price)/1e6 (cells missing)
   supplier_status lineitem: supplier x linestatus  (2 columns, complete)
   supplier_flag  lineitem: supplier x returnflag   (3 columns, complete)
+  supplier_day   lineitem: supplier x ship day,    sum(price)/1e6 (wide: ~2,500
+                 daily columns; a day without shipments is a zero total)
   user_type      events:   user x event type,      avg(value)
   user_day       events:   user x day,             sum(value) (cells missing)
   vec_dim        embeddings: vec_id x dimension (native row matrix)
@@ -56,6 +58,11 @@ def triplets_supplier_flag(spark, sf_dir) -> DataFrame:
     return li.groupBy(F.col("l_suppkey").alias("row_id"), F.col("l_returnflag").alias("record_id")).agg(_money())
 
 
+def triplets_supplier_day(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("row_id"), day_index("l_shipdate").alias("record_id")).agg(_money())
+
+
 def triplets_user_type(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.groupBy(F.col("user_id").alias("row_id"), F.col("event_type").alias("record_id")).agg(
@@ -78,6 +85,7 @@ TRIPLETS = {
     "part_year": triplets_part_year,
     "supplier_status": triplets_supplier_status,
     "supplier_flag": triplets_supplier_flag,
+    "supplier_day": triplets_supplier_day,
     "user_type": triplets_user_type,
     "user_day": triplets_user_day,
 }

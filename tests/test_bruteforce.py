@@ -81,3 +81,15 @@ def test_dineof_keeps_present_cells(spark):
             assert r.value == pytest.approx(orig, abs=1e-8)
         else:
             assert np.isfinite(r.value)
+
+
+def test_wide_supplier_day_exact_and_randomized(spark):
+    a, _, _ = _dense(f"SELECT l_suppkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)), "
+                     f"sum(l_extendedprice) / 1e6 FROM '{SF}/lineitem.parquet' GROUP BY 1, 2")
+    a = np.nan_to_num(a)  # no shipments that day: zero revenue
+    s = np.linalg.svd(a - a.mean(axis=1, keepdims=True), compute_uv=False)
+    ex = sorted(Q["eof_exact_supplier_day"](spark, SF).collect())
+    assert a.shape[1] > 2048 and np.allclose([r.sigma for r in ex], s[:3], atol=2e-6)
+    rn = Q["eof_randomized_supplier_day"](spark, SF).collect()
+    sig = {r.component: r.sigma for r in rn}
+    assert np.allclose([sig[i] for i in range(3)], s[:3], rtol=1e-3)
