@@ -49,3 +49,21 @@ def test_dims_and_frobenius(spark, mk):
     assert st.frobenius2(m).first()[0] == 31.0
     assert {r.col_pos: r.mean for r in st.col_means(m).collect()} == {0: 4 / 3, 1: 7 / 3}
     assert to_np(m).shape == (3, 2)
+
+
+def test_wide_rows_are_linear_time(spark):
+    """Row scalars (mean, std) must be evaluated once per row, not once per
+    element: with 50,000 columns a per-element re-evaluation is ~2.5e9
+    operations per row."""
+    import time
+
+    from pyspark.sql import functions as F
+    m = spark.range(8).select(F.col("id").alias("row_id"),
+                              F.transform(F.sequence(F.lit(0), F.lit(49_999)),
+                                          lambda i: (i % 97).cast("double")).alias("vector"))
+    t0 = time.perf_counter()
+    for method in ("center", "standardize"):
+        r = pp.preprocess(m, method).mat.select(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).collect()
+        assert len(r) == 8
+    st.row_mean_std(m).collect()
+    assert time.perf_counter() - t0 < 60
