@@ -99,7 +99,7 @@ def eof_exact(mat: DataFrame, k: int, tol: float = 1e-13, max_iter: int = 300,
         n_rows, n_cols = dims(mat)
     _check_k(k, n_cols, "exact")
     if n_cols <= gram_max_cols:
-        g = gram(mat, n_cols)
+        g = gram(mat, n_cols, n_rows)
         lam, vecs = sym_eig_desc(g)
         basis = vecs[:, :k]
         info = {"iterations": 1}
@@ -149,7 +149,7 @@ def eof_randomized(mat: DataFrame, k: int, oversample: int = OVERSAMPLE, power_i
         product = "gram" if n_cols <= GRAM_MAX_COLS and n_cols <= 2 * max(power_iters, 1) * l else "distributed"
     y = gaussian_start(n_cols, l, seed)
     y, _ = np.linalg.qr(y)
-    cov = gram(mat, n_cols) / max(n_rows, 1) if product == "gram" else None
+    cov = gram(mat, n_cols, n_rows) / max(n_rows, 1) if product == "gram" else None
     for _ in range(power_iters):
         y = cov @ y if cov is not None else cov_multiply(mat, y, n_rows)
         y, _ = np.linalg.qr(y)

@@ -26,7 +26,7 @@ from fieldmodes.session import ensure_checkpoint_dir
 
 def _top_v(cur: DataFrame, m: int, k: int, n: int, seed: int) -> np.ndarray:
     if m <= GRAM_MAX_COLS:
-        _, vecs = sym_eig_desc(gram(cur, m))
+        _, vecs = sym_eig_desc(gram(cur, m, n))
         return vecs[:, :k]
     y = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, min(m, k + 5))))[0]
     for _ in range(4):

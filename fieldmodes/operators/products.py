@@ -138,9 +138,19 @@ def _gram_kernel(n_cols: int):
     return k
 
 
-def gram(mat: DataFrame, n_cols: int) -> np.ndarray:
-    """A^T A (m x m) in one pass (D9).  Only for m <= GRAM_MAX_COLS."""
-    return _sum_partials(mat.select("vector"), _gram_kernel(n_cols), n_cols, n_cols)
+def gram(mat: DataFrame, n_cols: int, n_rows: int | None = None) -> np.ndarray:
+    """A^T A (m x m) in one pass (D9).  Only for m <= GRAM_MAX_COLS.
+
+    Each task emits an m x m partial, so the partials total tasks * m^2
+    doubles.  With the row count known, tasks are merged (``coalesce``, no
+    shuffle) until each holds at least 4m rows: the partials then stay
+    under a quarter of the input size."""
+    x = mat.select("vector")
+    if n_rows:
+        max_tasks = max(1, n_rows // (4 * n_cols))
+        if num_partitions(x) > max_tasks:
+            x = x.coalesce(max_tasks)
+    return _sum_partials(x, _gram_kernel(n_cols), n_cols, n_cols)
 
 
 def _gram_blocks(mat: DataFrame, n_cols: int):

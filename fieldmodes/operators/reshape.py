@@ -48,6 +48,15 @@ def small_table(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[Data
     return df.sparkSession.createDataFrame(probe, df.schema), len(probe)
 
 
+def split_column_order(col_order: DataFrame, cond) -> tuple[DataFrame, int]:
+    """Column order of a block of records (a piece) cut from a measured,
+    local column order: filtered and renumbered 0.. without rescanning data."""
+    spark = col_order.sparkSession
+    rows = sorted(col_order.where(cond).collect(), key=lambda r: r["col_pos"])  # local relation
+    out = [(i, r[1]) for i, r in enumerate(rows)]
+    return spark.createDataFrame(out, col_order.schema), len(out)
+
+
 def column_order(triplets: DataFrame, col: str = "record_id") -> DataFrame:
     """Sorted distinct column keys with 0-based positions.
 

@@ -188,11 +188,11 @@ _HC_SQL = (f"WITH t AS ({PY}), c AS ({CO}), "
 
 def _hconcat_pieces(spark, sf):
     t = fx.triplets_part_year(spark, sf)
+    co_all, _ = rs.small_table(rs.column_order(t))  # one measured column order for the field
     pieces = []
     for cond in (F.col("record_id") <= 1997, F.col("record_id") > 1997):
-        tp = t.where(cond)
-        co, n = rs.small_table(rs.column_order(tp))
-        pieces.append(rs.pivot_rows(tp, co, on_missing="drop_row", n_cols=n, pre_aggregate=False))
+        co, n = rs.split_column_order(co_all, cond)
+        pieces.append(rs.pivot_rows(t.where(cond), co, on_missing="drop_row", n_cols=n, pre_aggregate=False))
     return pieces
 
 

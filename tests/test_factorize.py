@@ -154,3 +154,11 @@ def test_dineof_fills_low_rank_gaps(spark):
         assert f[i].filled[j]
         assert abs(f[i].vector[j] - a[i, j]) < 1e-3
     assert info["n_missing"] == 4
+
+
+def test_gram_coalesces_tasks_with_few_rows(spark, mk):
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal((40, 5))
+    m = mk(a, parts=8)  # 5 rows per task < 4m = 20
+    assert np.allclose(pr.gram(m, 5, n_rows=40), a.T @ a)
+    assert np.allclose(pr.gram(m, 5), a.T @ a)
