@@ -203,7 +203,7 @@ def q_hconcat(spark, sf):
 
 
 @register("hconcat_dropped", _HC_SQL + "SELECT count(*) AS rows_seen, "
-          "sum(CASE WHEN row_id IN (SELECT row_id FROM both_rows) THEN 0 ELSE 1 END) AS rows_dropped "
+          "CAST(sum(CASE WHEN row_id IN (SELECT row_id FROM both_rows) THEN 0 ELSE 1 END) AS BIGINT) AS rows_dropped "
           "FROM (SELECT DISTINCT row_id FROM per)")
 def q_hconcat_dropped(spark, sf):
     return rs.hconcat_dropped(_hconcat_pieces(spark, sf))
@@ -542,8 +542,10 @@ def _grid(spark, sf):
     return gd.build_grid_dim(part.select(F.col("p_partkey").alias("cell_id")), NLAT, NLON)
 
 
-@register("grid_dim", f"SELECT cell_id, level_i, lat_i, lon_i, -90.0 + (lat_i + 0.5) * {180.0 / NLAT} AS lat, "
-          f"(lon_i + 0.5) * {360.0 / NLON} AS lon, {_DEPTHS}[level_i + 1] AS depth_m FROM ({_GRID_SQL})")
+@register("grid_dim", f"SELECT cell_id, level_i, lat_i, lon_i, "
+          f"CAST(-90.0 + (lat_i + 0.5) * {180.0 / NLAT} AS DOUBLE) AS lat, "
+          f"CAST((lon_i + 0.5) * {360.0 / NLON} AS DOUBLE) AS lon, "
+          f"CAST({_DEPTHS} AS DOUBLE[])[level_i + 1] AS depth_m FROM ({_GRID_SQL})")
 def q_grid_dim(spark, sf):
     return _grid(spark, sf)
 

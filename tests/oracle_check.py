@@ -37,6 +37,16 @@ def rows_of(cols, records):
     return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def type_diff(sdf, sql, con) -> dict:
+    s = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    d = {c[0]: str(c[1]) for c in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {k: (s.get(k), d.get(k)) for k in set(s) | set(d) if s.get(k) != d.get(k)}
+
+
 def compare(spark, name, fn, sql, sf_dir, con) -> dict:
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -54,6 +64,10 @@ def compare(spark, name, fn, sql, sf_dir, con) -> dict:
     if sorted(s_cols) != sorted(d_cols):
         res["status"] = f"COLUMNS {sorted(s_cols)} vs {sorted(d_cols)}"
         return res
+    td = type_diff(sdf, sql, con)
+    if td:
+        res["status"] = f"TYPES {td}"
+        return res
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     if len(a) != len(b):
         res["status"] = "ROWCOUNT"
