@@ -7,7 +7,7 @@ order does not change the hash.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmodes.operators import evaluate as ev
