@@ -162,3 +162,15 @@ def test_gram_coalesces_tasks_with_few_rows(spark, mk):
     m = mk(a, parts=8)  # 5 rows per task < 4m = 20
     assert np.allclose(pr.gram(m, 5, n_rows=40), a.T @ a)
     assert np.allclose(pr.gram(m, 5), a.T @ a)
+
+
+def test_empty_input(spark):
+    from fieldmodes.operators import reshape as rs
+    from fieldmodes.operators import stats as st
+    t = spark.createDataFrame([], "row_id bigint, record_id int, value double")
+    m = rs.pivot_rows(t)
+    assert m.count() == 0 and st.dims(m) == (0, 0)
+    with pytest.raises(ValueError):
+        fz.eof_exact(m, 1)
+    with pytest.raises(ValueError):
+        fz.eof_randomized(m, 1)
