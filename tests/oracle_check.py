@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -81,7 +82,7 @@ def compare(spark, name, fn, sql, sf_dir, con) -> dict:
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, ".")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from fieldmodes.session import get_session
     import __spark_entry__ as E
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"

@@ -1,9 +1,10 @@
 """Print the physical plans of the key operators (sf0.01) as Markdown."""
 
 import re
+import os
 import sys
 
-sys.path.insert(0, ".")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
