@@ -70,10 +70,16 @@ def attach_dates(df: DataFrame, col_order: DataFrame, record_dates: DataFrame) -
 def expand_to_grid(u: DataFrame, grid: DataFrame, k: int, fill: float = FILL) -> DataFrame:
     """Observed per-location vectors -> every grid cell, fill elsewhere.
 
-    ``u`` is wide ``(loc_id, vector[k])``; the grid is left-joined to it on
-    ``loc_id`` (no cross join), then each cell's k values are exploded.
+    ``u`` is wide ``(loc_id, vector[k])``; observed cells are left-joined to
+    it on ``loc_id`` (no cross join), masked cells bypass the join, then each
+    cell's k values are exploded.
     """
-    j = grid.join(u.select(F.col("loc_id"), F.col("vector")), "loc_id", "left")
+    # Masked cells (NULL loc_id, often a third of a grid) skip the join: in
+    # a join they would all hash to one task.
+    observed = grid.where(F.col("loc_id").isNotNull()).join(
+        u.select(F.col("loc_id"), F.col("vector")), "loc_id", "left")
+    masked = grid.where(F.col("loc_id").isNull()).withColumn("vector", F.lit(None).cast("array<double>"))
+    j = observed.unionByName(masked)
     filled = F.coalesce(F.col("vector"), F.array_repeat(F.lit(None).cast("double"), k))
     j = j.select(*[c for c in grid.columns], F.posexplode(filled).alias("component", "value"))
     return j.withColumn("component", F.col("component").cast("int")).withColumn(

@@ -132,8 +132,11 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
     if n_cols is None:
         col_order, n_cols = small_table(col_order)
     co = col_order.select(F.col("col_pos").cast("int").alias("col_pos"), col)
-    t = triplets.select(F.col(row).cast("long").alias("row_id"), col,
-                        F.col(value).cast("double").alias("value"))
+    rid = F.col(row).cast("long")
+    # A cell without a location belongs to no row; fail before the shuffle
+    # (NULL keys would all meet in one task).
+    rid = F.when(rid.isNull(), F.raise_error(F.lit("triplet with NULL row id")).cast("long")).otherwise(rid)
+    t = triplets.select(rid.alias("row_id"), col, F.col(value).cast("double").alias("value"))
     t = t.join(maybe_broadcast(co, n_cols), col).drop(col)
     if pre_aggregate or on_duplicate != "error":
         # Stage 1: one value per cell.  Map-side partial aggregation collapses

@@ -92,3 +92,9 @@ def test_hot_duplicated_cell_is_collapsed_before_the_shuffle(spark):
     # a partial (map-side) sum on (row_id, col_pos) runs before the first exchange
     assert "partial_sum(" in plan
     assert plan.index("partial_sum(") > plan.index("Exchange hashpartitioning")  # printed below it
+
+
+def test_null_row_id_fails_loudly(spark):
+    t = _trip(spark, [(None, 0, 1.0), (1, 0, 2.0)])
+    with pytest.raises(Exception, match="NULL row id"):
+        rs.pivot_rows(t).collect()
