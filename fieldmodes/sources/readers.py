@@ -33,10 +33,12 @@ def parse_triplet_lines(lines: DataFrame, sep: str = ",") -> tuple[DataFrame, Da
 
 
 def read_triplets(spark: SparkSession, path: str, blocks: list[int] | None = None,
-                  with_rejects: bool = False):
+                  with_rejects: bool = False, part_prefix: str | None = None):
     """Triplet text scan (A1).  gzip is transparent.  ``blocks`` prunes the
-    ``record_block=`` partitions written by ``write_triplets``."""
-    lines = spark.read.text(path)
+    ``record_block=`` partitions written by ``write_triplets``;
+    ``part_prefix`` selects flat ``part-<prefix>*`` files (one file per
+    record, zero-padded record number), e.g. '0' for records 0-9999."""
+    lines = spark.read.text(f"{path.rstrip('/')}/part-{part_prefix}*" if part_prefix is not None else path)
     if blocks is not None and "record_block" in lines.columns:
         lines = lines.where(F.col("record_block").isin(list(blocks)))
     good, bad = parse_triplet_lines(lines)

@@ -74,3 +74,15 @@ def test_manifest_file_order_numbering(spark):
     by_file = {r.row_id: r.source_row_id for r in
                rd.read_manifest(spark, [(p0, "parquet", 2), (p1, "parquet", 1)], file_order=True).collect()}
     assert by_file == {0: 5, 1: 3, 2: 1}
+
+
+def test_part_prefix_selects_record_files(spark):
+    p = scratch_path(spark, "flat")
+    import os
+    os.makedirs(p)
+    for rec, lines in ((3, "3,0,1.5\n3,1,2.5\n"), (10003, "10003,0,4.0\n")):
+        with open(os.path.join(p, f"part-{rec:05d}"), "w") as f:
+            f.write(lines)
+    got = sorted(tuple(r) for r in rd.read_triplets(spark, p, part_prefix="0").collect())
+    assert got == [(3, 0, 1.5), (3, 1, 2.5)]
+    assert rd.read_triplets(spark, p).count() == 3
