@@ -6,7 +6,8 @@ centered, k=5, oversample 5, 10 rounds, U materialized).  Each is run
 once to warm up, then timed ``BENCH_REPEAT`` times; the median is kept.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 3).
+BENCH_REPEAT (default 3), BENCH_EVENTLOG_DIR (optional: write Spark's event
+log there for stage and task times).
 """
 
 from __future__ import annotations
@@ -73,7 +74,10 @@ def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="fieldmodes-bench")
+    extra = {}
+    if os.environ.get("BENCH_EVENTLOG_DIR"):
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENTLOG_DIR"]}
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="fieldmodes-bench", extra=extra)
     out = {}
     for name, fn in BENCH.items():
         fn(spark, sf)  # warm-up: JIT, Python workers, file listing
