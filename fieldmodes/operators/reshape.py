@@ -38,7 +38,7 @@ def maybe_broadcast(df: DataFrame, n_rows: int | None) -> DataFrame:
 
 def small_table(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
     """Measure a dimension table once; when it has at most ``max_rows`` rows
-    return it as a local relation (later joins broadcast it without
+    return it rebuilt from the driver copy (later joins broadcast it without
     recomputing its plan), else keep it distributed.  Returns (df, rows)."""
     probe = []
     for r in df.toLocalIterator():  # streamed; stops after max_rows + 1 rows
@@ -52,7 +52,7 @@ def split_column_order(col_order: DataFrame, cond) -> tuple[DataFrame, int]:
     """Column order of a block of records (a piece) cut from a measured,
     local column order: filtered and renumbered 0.. without rescanning data."""
     spark = col_order.sparkSession
-    rows = sorted(col_order.where(cond).collect(), key=lambda r: r["col_pos"])  # local relation
+    rows = sorted(col_order.where(cond).collect(), key=lambda r: r["col_pos"])  # small: one row per record
     out = [(i, r[1]) for i, r in enumerate(rows)]
     return spark.createDataFrame(out, col_order.schema), len(out)
 

@@ -98,3 +98,17 @@ def test_null_row_id_fails_loudly(spark):
     t = _trip(spark, [(None, 0, 1.0), (1, 0, 2.0)])
     with pytest.raises(Exception, match="NULL row id"):
         rs.pivot_rows(t).collect()
+
+
+def test_small_table_fallback_keeps_large_tables_distributed(spark, monkeypatch):
+    df = spark.range(50).select(F.col("id").cast("int").alias("col_pos"), F.col("id").cast("int").alias("record_id"))
+    local, n = rs.small_table(df, max_rows=100)
+    # measured once: the small copy no longer carries the upstream plan
+    assert n == 50 and "Range" not in local._jdf.queryExecution().optimizedPlan().toString()
+    big, n2 = rs.small_table(df, max_rows=10)
+    assert n2 == 50 and "Range" in big._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(rs, "BROADCAST_MAX_ROWS", 10)
+    t = _trip(spark, [(r, c, float(r + c)) for r in range(3) for c in range(50)])
+    m = rs.pivot_rows(t, big, n_cols=n2)
+    assert "BroadcastExchange" not in m._jdf.queryExecution().executedPlan().toString()
+    assert {r.row_id: r.vector[7] for r in m.collect()} == {0: 7.0, 1: 8.0, 2: 9.0}
