@@ -107,8 +107,15 @@ def test_small_table_fallback_keeps_large_tables_distributed(spark, monkeypatch)
     assert n == 50 and "Range" not in local._jdf.queryExecution().optimizedPlan().toString()
     big, n2 = rs.small_table(df, max_rows=10)
     assert n2 == 50 and "Range" in big._jdf.queryExecution().optimizedPlan().toString()
-    monkeypatch.setattr(rs, "BROADCAST_MAX_ROWS", 10)
     t = _trip(spark, [(r, c, float(r + c)) for r in range(3) for c in range(50)])
-    m = rs.pivot_rows(t, big, n_cols=n2)
-    assert "BroadcastExchange" not in m._jdf.queryExecution().executedPlan().toString()
-    assert {r.row_id: r.vector[7] for r in m.collect()} == {0: 7.0, 1: 8.0, 2: 9.0}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # isolate our own hint
+    try:
+        small = rs.pivot_rows(t, local, n_cols=n)
+        assert "BroadcastExchange" in small._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(rs, "BROADCAST_MAX_ROWS", 10)
+        m = rs.pivot_rows(t, big, n_cols=n2)
+        assert "BroadcastExchange" not in m._jdf.queryExecution().executedPlan().toString()
+        assert {r.row_id: r.vector[7] for r in m.collect()} == {0: 7.0, 1: 8.0, 2: 9.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
