@@ -41,3 +41,21 @@ def test_ingest_eof_both_and_export(spark):
     assert temporal.where(F.col("obs_ts").isNull()).count() == 0 and temporal.count() == 12
     u = rd.read_coordinate_text(spark, f"{exp}/colEOFs")
     assert u.count() == 60 and u.agg(F.max("i")).first()[0] == 29
+
+
+def test_command_line(spark, capsys):
+    import json
+
+    from fieldmodes.__main__ import main
+    t, a = _field(spark)
+    src, out, fac, exp, gp = (scratch_path(spark, x) for x in ("c_src", "c_ing", "c_fac", "c_exp", "c_grid"))
+    wr.write_triplets(t, src)
+    main(["ingest", src, out])
+    main(["eofs", f"{out}/rowmat", fac, "centerOverAllObservations", "2", "both"])
+    info = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert info["exact"]["S"] == 2 and info["inexact"]["V"] == [6, 2]
+    cells = spark.range(30).select(F.col("id").alias("cell_id"))
+    gd.attach_loc_ids(gd.build_grid_dim(cells, 2, 3), cells.select("cell_id", F.col("cell_id").alias("loc_id"))) \
+        .write.parquet(gp)
+    main(["export", f"{fac}exact", gp, exp, "--col-order", f"{out}/col_order"])
+    assert spark.read.parquet(f"{exp}/fields/fields").count() == 30 * 3
