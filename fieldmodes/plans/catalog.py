@@ -340,6 +340,18 @@ def q_right_multiply(spark, sf):
         "row_id", F.col("component").cast("int"), r6("value").alias("value"))
 
 
+@register("truncate_components", w_long(SY) + "SELECT l.row_id, CAST(r.comp AS INTEGER) AS component, "
+          f"{s6('sum(l.value / (l.col_pos + r.comp + 1))')} AS value FROM l CROSS JOIN {RANGE.format(n=2)} r "
+          "GROUP BY 1, 2")
+def q_truncate_components(spark, sf):
+    """Keep the first k = 2 of 3 components of a distributed factor."""
+    mat, _, n = _mat(spark, sf, "supplier_year")
+    y = pr.right_multiply(mat, _rhs_hilbert(n, 3))
+    kept = y.select("row_id", ig.truncate_vector("vector", 2).alias("vector"))
+    return kept.select("row_id", F.posexplode("vector").alias("component", "value")).select(
+        "row_id", F.col("component").cast("int"), r6("value").alias("value"))
+
+
 @register("tsqr", EIG2 + ", r AS (SELECT sqrt(a) AS r00, b / sqrt(a) AS r01 FROM g), "
           "r2 AS (SELECT r00, r01, sqrt(d - r01 * r01) AS r11 FROM r, g) "
           f"SELECT 0 AS i, 0 AS j, {s6('r00')} AS value FROM r2 UNION ALL SELECT 0, 1, {s6('r01')} FROM r2 "
