@@ -878,4 +878,4 @@ def q_job_convert(spark, sf):
     for shard in (0, 1):
         jb.convert_records_job(spark, grid_obs, grid, out, n_shards=2, shard=shard)
     jb.convert_records_job(spark, grid_obs, grid, out)  # rerun: everything converted, nothing added
-    return rd.read_triplets(spark, f"{out}/vals").select("record_id", "row_id", r9("value").alias("value"))
+    return jb.read_converted(spark, out).select("record_id", "row_id", r9("value").alias("value"))

@@ -13,6 +13,8 @@ column order, V and S pass through the driver.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,16 +32,21 @@ from fieldmodes.sources import writers as wr
 def convert_records_job(spark: SparkSession, grid_obs: DataFrame, grid: DataFrame, out: str,
                         n_shards: int = 1, shard: int = 0, key_fmt: str = "yyyyMMddHH",
                         block_size: int = wr.RECORD_BLOCK) -> dict:
-    """Gridded records -> triplets, resumable.
+    """Gridded records -> triplets, resumable and re-runnable.
 
     ``grid_obs``: (record_key, message_no, cell_id, value NULL = masked).
     ``grid``: (cell_id, loc_id NULL = masked), the one fixed mask.
     Records are numbered by sorted key (B7), dated from the key (B8),
-    sharded (B5); records already present under ``out/record_dates`` are
-    skipped (B6).  The 41 depth messages are kept and leveled (B4), masked
-    values dropped (B2), locations numbered from the grid (B3).  A value at
-    a cell the grid masks goes to ``out/rejects`` (A17).  Appends triplet
-    text (A10) and record dates (A13)."""
+    sharded (B5); records already committed are skipped (B6).  The 41 depth
+    messages are kept and leveled (B4), masked values dropped (B2),
+    locations numbered from the grid (B3).  A value at a cell the grid masks
+    goes to rejects (A17).
+
+    Two-phase commit per run: the run's batch (named by a hash of its
+    pending record ids) writes ``vals`` (A10) and ``rejects`` with overwrite,
+    then ``record_dates`` (A13) last as the commit marker.  A run that dies
+    in between leaves an uncommitted batch that readers ignore
+    (``read_converted``) and a rerun overwrites or supersedes."""
     keys = ig.number_records(grid_obs.select("record_key"))
     keys = keys.select("record_id", "record_key", ig.date_from_key("record_key", 3, key_fmt).alias("obs_ts"))
     if n_shards > 1:
@@ -50,15 +57,28 @@ def convert_records_job(spark: SparkSession, grid_obs: DataFrame, grid: DataFram
     except Exception:  # nothing converted yet
         pass
     keys, n_new = rs.small_table(keys)  # one row per record file
+    ids = sorted(r["record_id"] for r in keys.select("record_id").collect())
+    if not ids:
+        return {"records": 0, "batch": None}
+    batch = hashlib.sha1(",".join(map(str, ids)).encode()).hexdigest()[:16]
     obs = grid_obs.join(rs.maybe_broadcast(keys, n_new), "record_key")
     obs = ig.compress_mask(ig.select_levels(obs, "message_no"))
     located = obs.join(grid.select("cell_id", "loc_id"), "cell_id", "left")
     good = located.where(F.col("loc_id").isNotNull()).select("record_id", F.col("loc_id").alias("row_id"), "value")
     bad = located.where(F.col("loc_id").isNull()).select("record_id", "record_key", "cell_id", "value")
-    wr.write_triplets(good, f"{out}/vals", block_size=block_size, mode="append")
-    wr.write_record_dates(keys.select("record_id", "obs_ts"), f"{out}/record_dates", key_fmt, mode="append")
-    bad.write.mode("append").parquet(f"{out}/rejects")
-    return {"records": n_new, "vals": f"{out}/vals"}
+    wr.write_triplets(good, f"{out}/vals/batch={batch}", block_size=block_size, mode="overwrite")
+    bad.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch}")
+    wr.write_record_dates(keys.select("record_id", "obs_ts"), f"{out}/record_dates/batch={batch}", key_fmt,
+                          mode="overwrite")  # commit marker, written last
+    return {"records": n_new, "batch": batch, "vals": f"{out}/vals"}
+
+
+def read_converted(spark: SparkSession, out: str) -> DataFrame:
+    """Triplets of committed conversion batches only (see convert_records_job)."""
+    committed = spark.read.schema("record_id INT, date_text STRING, batch STRING").csv(f"{out}/record_dates")
+    batches = [r["batch"] for r in committed.select("batch").distinct().collect()]  # one row per run
+    t = rd.read_triplets(spark, f"{out}/vals")
+    return t.where(F.col("batch").isin(batches)).drop("batch")
 
 
 def ingest_job(spark: SparkSession, triplet_path: str, out: str, blocks: list[int] | None = None,

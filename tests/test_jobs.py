@@ -59,3 +59,23 @@ def test_command_line(spark, capsys):
         .write.parquet(gp)
     main(["export", f"{fac}exact", gp, exp, "--col-order", f"{out}/col_order"])
     assert spark.read.parquet(f"{exp}/fields/fields").count() == 30 * 3
+
+
+def test_convert_records_survives_an_uncommitted_batch(spark):
+    rows = [(f"obs.daily.20200101{h:02d}.grb2", 207 if c % 2 else 40, c, float(c + h) if c != 3 else None)
+            for h in range(3) for c in range(6)]
+    grid_obs = spark.createDataFrame(rows, "record_key string, message_no int, cell_id bigint, value double")
+    grid = spark.createDataFrame([(c, c if c != 5 else None) for c in range(6)], "cell_id bigint, loc_id bigint")
+    out = scratch_path(spark, "conv")
+    # a run that died after writing its triplets but before its commit marker
+    orphan = spark.createDataFrame([(0, 0, 99.0)], "record_id int, row_id bigint, value double")
+    wr.write_triplets(orphan, f"{out}/vals/batch=deadbeef", mode="overwrite")
+    first = jb.convert_records_job(spark, grid_obs, grid, out, n_shards=2, shard=0)
+    again = jb.convert_records_job(spark, grid_obs, grid, out, n_shards=2, shard=0)  # nothing pending
+    rest = jb.convert_records_job(spark, grid_obs, grid, out)
+    assert first["records"] == 2 and again["records"] == 0 and rest["records"] == 1
+    got = sorted(tuple(r) for r in jb.read_converted(spark, out).collect())
+    # 3 records x 4 observed, unmasked cells (cell 3 NULL, cell 5 masked by the grid)
+    assert len(got) == 12 and len(set((r[0], r[1]) for r in got)) == 12
+    assert (0, 0, 99.0) not in got
+    assert spark.read.parquet(f"{out}/rejects").count() == 3  # cell 5 in each record
