@@ -448,7 +448,8 @@ def q_eof_rand_2col(spark, sf):
     with 2 columns the oversampled block spans the whole space, so the
     Rayleigh-Ritz result equals the exact one."""
     mat, _, _ = _mat(spark, sf, "supplier_status")
-    res, _ = fz.run_eofs(mat, 1, "randomized", seed=3, product="distributed")
+    res, cached = fz.run_eofs(mat, 1, "randomized", seed=3, product="distributed")
+    cached.unpersist()  # only S and V are used below
     rows = [(c, j, float(res.s[c]), float(res.v[j, c])) for c in range(res.n_computed) for j in range(res.n_cols)]
     return spark.createDataFrame(rows, "component int, col_pos int, sigma double, v double").select(
         "component", "col_pos", r6("sigma").alias("sigma"), r6("v").alias("v"))
@@ -458,7 +459,8 @@ def q_eof_rand_2col(spark, sf):
           f"UNION ALL SELECT 1, {s6('sqrt(l2)')} FROM ev2")
 def q_eof_rand_3col(spark, sf):
     mat, _, _ = _mat(spark, sf, "supplier_flag")
-    res, _ = fz.run_eofs(mat, 2, "randomized", seed=5, product="distributed")
+    res, cached = fz.run_eofs(mat, 2, "randomized", seed=5, product="distributed")
+    cached.unpersist()  # only S and V are used below
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
 
 
@@ -468,7 +470,8 @@ def q_eof_wide_3col(spark, sf):
     """The exact path used above GRAM_MAX_COLS (MLlib distributed solver),
     forced on the 3-column field."""
     mat, _, _ = _mat(spark, sf, "supplier_flag")
-    res, _ = fz.run_eofs(mat, 2, "exact", gram_max_cols=0)
+    res, cached = fz.run_eofs(mat, 2, "exact", gram_max_cols=0)
+    cached.unpersist()  # only S and V are used below
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
 
 
@@ -477,7 +480,8 @@ def q_eof_exact_sd(spark, sf):
     """Wide field (supplier x ship day, ~2,500 columns > GRAM_MAX_COLS):
     exact EOFs through the distributed MLlib solver."""
     mat, _, _ = _mat(spark, sf, "supplier_day", on_missing="zero")
-    res, _ = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "exact")
+    res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "exact")
+    cached.unpersist()  # only S and V are used below
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"), r6("eigenvalue").alias("eigenvalue"))
 
 
@@ -485,7 +489,8 @@ def q_eof_exact_sd(spark, sf):
 def q_eof_rand_sd(spark, sf):
     """Wide field: randomized EOFs with one distributed product per round."""
     mat, co, _ = _mat(spark, sf, "supplier_day", on_missing="zero")
-    res, _ = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "randomized", seed=0)
+    res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "randomized", seed=0)
+    cached.unpersist()  # only S and V are used below
     v = res.v_df(spark).join(F.broadcast(co), "col_pos")  # co: one row per day (measured)
     return v.join(res.s_df(spark), "component").select(
         "component", "col_pos", "record_id", r6("sigma").alias("sigma"), r6("value").alias("v"))
@@ -496,7 +501,8 @@ def q_eof_exact_sy(spark, sf):
     """Flagship: leading revenue patterns of suppliers over ship years."""
     mat, co, n = _mat(spark, sf, "supplier_year")
     p = pp.preprocess(mat, pp.CENTER)
-    res, _ = fz.run_eofs(p.mat, 3, "exact")
+    res, cached = fz.run_eofs(p.mat, 3, "exact")
+    cached.unpersist()  # only S and V are used below
     v = res.v_df(spark).join(co, "col_pos")
     s = res.s_df(spark)
     return v.join(s, "component").select("component", "col_pos", "record_id", r6("sigma").alias("sigma"),
@@ -506,7 +512,8 @@ def q_eof_exact_sy(spark, sf):
 @register("eof_randomized_embeddings")
 def q_eof_rand_emb(spark, sf):
     mat, _, _ = _mat(spark, sf, "vec_dim")
-    res, _ = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 5, "randomized", seed=0)
+    res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 5, "randomized", seed=0)
+    cached.unpersist()  # only S and V are used below
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"), r6("eigenvalue").alias("eigenvalue"))
 
 
@@ -514,7 +521,8 @@ def q_eof_rand_emb(spark, sf):
 def q_eof_mllib_emb(spark, sf):
     """Wide-matrix exact path (MLlib distributed ARPACK) forced on the embeddings."""
     mat, _, _ = _mat(spark, sf, "vec_dim")
-    res, _ = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 5, "exact", gram_max_cols=0)
+    res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 5, "exact", gram_max_cols=0)
+    cached.unpersist()  # only S and V are used below
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
 
 
@@ -529,8 +537,9 @@ def q_eof_coslat(spark, sf):
 @register("compare_factors")
 def q_compare(spark, sf):
     mat, _, _ = _mat(spark, sf, "supplier_year")
-    both, _ = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "both", seed=0)
+    both, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "both", seed=0)
     d = ev.compare_factors(both["exact"], both["inexact"])
+    cached.unpersist()
     return spark.createDataFrame([d]).select(*sorted(d))
 
 
