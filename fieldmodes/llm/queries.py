@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.llm import quality, simhash
+from fieldmodes.llm import pieces, quality, simhash
 from fieldmodes.llm.tables import documents
 from fieldmodes.session import prepare
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under the 32k model, and whether they decode to its text."""
+    prepare(spark)
+    ids = pieces.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    return pieces.decode(ids).select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                                     F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and risk-controlled verdict of every document."""
     prepare(spark)
@@ -24,5 +32,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
