@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.llm import pieces, quality, simhash
+from fieldmodes.llm import pieces, quality, simhash, substring
 from fieldmodes.llm.tables import documents
 from fieldmodes.session import prepare
 
@@ -25,6 +25,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+WHITE = r"[\x20\x09-\x0D]+"
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a window of 20 words seen earlier covers, and the digest of the rest."""
+    prepare(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = substring.substring_dedup(docs, window=20)
+    kept = F.filter(F.split(F.coalesce("text", F.lit("")), WHITE), lambda w: w != "")
+    return out.select("doc_id", (F.size(kept) + F.col("_n_removed")).cast("long").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+                      F.sha2(F.array_join(kept, " "), 256).alias("kept_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (4-word shingles, 4 bits)."""
     prepare(spark)
@@ -32,5 +45,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op8_substring_dedup, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldmodes.session import prepare, scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -16,7 +18,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the table replaces the shuffle files it came from
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
