@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.llm import pieces, quality, simhash, substring
-from fieldmodes.llm.tables import documents
-from fieldmodes.session import prepare
+from fieldmodes.llm import contamination, pieces, quality, simhash, substring
+from fieldmodes.llm.tables import documents, prepare
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +24,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every document (13 words, at most 2 of them substituted)."""
+    prepare(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = contamination.decontaminate(docs, documents(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.size("_leaked") > 0).alias("contaminated"), F.size("_leaked").cast("long").alias("n_items"),
+                      F.array_join(F.transform("_leaked", lambda i: i.cast("string")), ",").alias("item_ids"))
+
+
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -45,5 +53,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op8_substring_dedup, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_PLAIN = _WORDS.format("translate(coalesce(text, ''), '" + contamination.UPPER + contamination.DROPPED + "', '" + contamination.LOWER + "')")
+
+#: Alignments of equal words on a diagonal, then the best window of 13: brute force over all pairs.
+OP6_SQL = f"""
+WITH items AS (SELECT row_number() OVER () AS t, item_id, {_PLAIN} AS ws FROM benchmark),
+test AS (SELECT t, item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j FROM items),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS ws FROM documents),
+body AS (SELECT r, len(ws) AS m, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM docs),
+pairs AS (SELECT r, t, item_id, n, m, i - j AS diag, j FROM body JOIN test USING (w)),
+near AS (SELECT *, count(*) OVER (PARTITION BY r, t, diag ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c,
+                count(*) OVER (PARTITION BY r, t, diag) AS total FROM pairs),
+hit AS (SELECT DISTINCT r, item_id FROM near
+        WHERE CASE WHEN n >= 13 THEN c >= 11 AND least(n, m - diag) - greatest(0, -diag) >= 13 ELSE total = n END)
+SELECT doc_id, count(hit.r) > 0 AS contaminated, count(hit.r) AS n_items,
+       coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS item_ids
+FROM docs LEFT JOIN hit USING (r) GROUP BY r, doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op6_benchmark_decontamination, op8_substring_dedup, op10_simhash_near_dedup)}
+ORACLES: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
