@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.llm import contamination, pieces, quality, simhash, substring
+from fieldmodes.llm import contamination, pieces, quality, simhash, substring, urls, warc
 from fieldmodes.llm.tables import documents, prepare
 
 
@@ -24,6 +24,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through monolithic archives, the normaliser and the offset index, read back."""
+    prepare(spark)
+    index = warc.normalise(warc.write_archives(documents(spark, sf_dir, "pages")))
+    return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in every document (13 words, at most 2 of them substituted)."""
     prepare(spark)
@@ -46,6 +53,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join(kept, " "), 256).alias("kept_sha256"))
 
 
+SITES = [urls.site("block", "net", "/"), urls.site("allow", "example.net", "/en/"),
+         urls.site("block", "example.com", "/de/"), urls.site("allow", "org", "/fr/")]
+#: The method's own rules: what no site rule decides.
+GLOBS = [urls.Rule(action, host, path, f"{host} {path}", 1) for action, host, path in (
+    ("block", "*.spam-*", "*"), ("block", "*.cheap-*", "*"), ("block", "*casino*", "*"), ("block", "*.ads.*", "*"), ("block", "*", "*/ads/*"),
+    ("block", "*", "*.exe"), ("block", "*", "*.zip"), ("block", "*", "*sessionid=*"), ("allow", "*.docs.*", "/*"), ("block", "*.xn--*", "*"))]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, site rule and verdict of every page's url."""
+    prepare(spark)
+    out = urls.url_verdicts(documents(spark, sf_dir, "pages").select("page_id", "url"), SITES + GLOBS)
+    return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"),
+                      F.when(F.col("_tier") == 0, F.col("_rule")).alias("rule"), F.col("_verdict").alias("verdict"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (4-word shingles, 4 bits)."""
     prepare(spark)
@@ -72,5 +95,35 @@ SELECT doc_id, count(hit.r) > 0 AS contaminated, count(hit.r) AS n_items,
 FROM docs LEFT JOIN hit USING (r) GROUP BY r, doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op6_benchmark_decontamination, op8_substring_dedup, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+def _like(glob: str) -> str:
+    return glob.replace("_", "\\_").replace("*", "%")
+
+
+_SITE_FITS = "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '{1}')"
+_SITE_CASES = [(r.name, r.action, _SITE_FITS.format(r.host[2:], r.path[:-1])) for r in sorted(SITES, key=lambda r: -len(r.name))]
+_GLOB_CASES = [(r.action, f"('.' || host) LIKE '{_like(r.host)}' ESCAPE '\\' AND (path || query) LIKE '{_like(r.path)}' ESCAPE '\\'")
+               for r in sorted(GLOBS, key=lambda r: (-len(r.name), r.action != "block", r.name))]
+OP9_SQL = f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS k FROM pages),
+r AS (SELECT page_id, CASE WHEN k > 0 THEN substr(url, k + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1) AS query FROM r)
+SELECT page_id, host, path,
+       CASE {" ".join(f"WHEN {fits} THEN '{name}'" for name, _, fits in _SITE_CASES)} END AS rule,
+       CASE {" ".join(f"WHEN {fits} THEN '{action}'" for _, action, fits in _SITE_CASES)}
+            {" ".join(f"WHEN {fits} THEN '{action}'" for action, fits in _GLOB_CASES)} ELSE 'allow' END AS verdict
+FROM h
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_warc, op6_benchmark_decontamination, op8_substring_dedup, op9_url_filter, op10_simhash_near_dedup)}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op9_url_filter": OP9_SQL, "op6_benchmark_decontamination": OP6_SQL}
