@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.llm import contamination, pieces, quality, simhash, substring, urls, warc
+from fieldmodes.llm import contamination, pieces, quality, simhash, substring, toolcalls, urls, warc
 from fieldmodes.llm.tables import documents, prepare
 
 
@@ -40,6 +40,13 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                       F.array_join(F.transform("_leaked", lambda i: i.cast("string")), ",").alias("item_ids"))
 
 
+def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chat turn as a linked, ordered, validated tool message in canonical JSON."""
+    prepare(spark)
+    out = toolcalls.format_tool_chat(toolcalls.tool_turns(documents(spark, sf_dir, "conversations")), toolcalls.SCHEMAS)
+    return out.withColumn("errors", F.array_join("errors", ","))
+
+
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -125,5 +132,35 @@ SELECT page_id, host, path,
 FROM h
 """
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_warc, op6_benchmark_decontamination, op8_substring_dedup, op9_url_filter, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op9_url_filter": OP9_SQL, "op6_benchmark_decontamination": OP6_SQL}
+OP7_SQL = f"""
+WITH t AS (SELECT conv_id, turn, role, text, len({_WORDS.format("coalesce(text, '')")}) AS words FROM conversations),
+m AS (SELECT *, CASE role WHEN 'user' THEN 'call-' || turn WHEN 'assistant' THEN 'call-' || (turn - 1) END AS call_id,
+             CASE WHEN role = 'user' THEN CASE WHEN ends_with(coalesce(text, ''), '?') THEN 'search' WHEN words < 40 THEN 'lookup' ELSE 'summarise' END END AS tool,
+             CASE WHEN role = 'user' AND turn >= 2 THEN 'call-' || (turn - 2) END AS need FROM t),
+n AS (SELECT conv_id, call_id, count(*) FILTER (role = 'user') AS calls, count(*) FILTER (role = 'assistant') AS results,
+             min(turn) FILTER (role = 'user') AS first FROM m WHERE call_id IS NOT NULL GROUP BY ALL),
+j AS (SELECT m.*, n.calls, n.results, n.first, k.calls AS need_calls FROM m LEFT JOIN n USING (conv_id, call_id)
+      LEFT JOIN n k ON k.conv_id = m.conv_id AND k.call_id = m.need),
+e AS (SELECT *, list_sort(list_filter([
+        CASE WHEN role = 'user' AND tool = 'search' AND (words < 1 OR words > 100) THEN 'range:limit' END,
+        CASE WHEN role = 'user' AND tool = 'lookup' AND words < 1 THEN 'range:words' END,
+        CASE WHEN role = 'user' AND tool = 'summarise' AND (words // 4 < 10 OR words // 4 > 1000) THEN 'range:max_words' END,
+        CASE WHEN role = 'user' AND text IS NULL THEN 'missing:text' END,
+        CASE WHEN role = 'user' AND need IS NOT NULL AND coalesce(need_calls, 0) = 0 THEN 'unresolved:' || need END,
+        CASE WHEN role = 'user' AND calls > 1 THEN 'duplicate_id' END,
+        CASE WHEN role = 'user' AND results = 0 THEN 'unanswered' END,
+        CASE WHEN role = 'assistant' AND calls = 0 THEN 'orphan_result' END], lambda x: x IS NOT NULL)) AS errs FROM j),
+a AS (SELECT *, CASE tool WHEN 'search' THEN '{{"limit":' || words || ',"query":' || to_json(text) || '}}'
+                          WHEN 'lookup' THEN '{{"text":' || to_json(text) || ',"words":' || words || '}}'
+                          WHEN 'summarise' THEN '{{"max_words":' || (words // 4) || ',"text":' || to_json(text) || '}}' END AS args FROM e)
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, call_id,
+       CASE WHEN role = 'assistant' THEN first END AS linked_turn, CASE WHEN role = 'user' THEN CAST(0 AS BIGINT) END AS rank,
+       array_to_string(errs, ',') AS errors,
+       CASE role WHEN 'user' THEN '{{"arguments":' || args || ',"call_id":"' || call_id || '","content":null,"name":"' || tool || '","role":"user"}}'
+                 WHEN 'assistant' THEN '{{"call_id":"' || call_id || '","content":' || coalesce(to_json(text), 'null') || ',"role":"tool"}}'
+                 ELSE '{{"content":' || coalesce(to_json(text), 'null') || ',"role":' || coalesce(to_json(role), 'null') || '}}' END AS json
+FROM a
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_warc, op6_benchmark_decontamination, op7_tool_call_linking, op8_substring_dedup, op9_url_filter, op10_simhash_near_dedup)}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op7_tool_call_linking": OP7_SQL, "op9_url_filter": OP9_SQL, "op6_benchmark_decontamination": OP6_SQL}
