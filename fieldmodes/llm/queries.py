@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.llm import contamination, pieces, quality, simhash, substring, toolcalls, urls, warc
-from fieldmodes.llm.tables import documents, prepare
+from fieldmodes.llm import contamination, pieces, quality, simhash, substring, tokencounts, toolcalls, urls, warc
+from fieldmodes.llm.tables import documents, keep, prepare
+from fieldmodes.session import scratch_path
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,34 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version after three batches.
+
+    Batch 1 inserts every document with its counts; batch 2 deletes the copies (documents whose text
+    a smaller id has); batch 3 revises the rest whose runs of white space can be one space, recounted.
+    Every batch is sent twice."""
+    prepare(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    version = F.lit("byte_bpe_50k")
+    rollup = tokencounts.Rollup(spark, scratch_path(spark, "token-rollup"))
+
+    def send(batch: int, changes: DataFrame, op: str) -> None:
+        changes = changes.withColumn("version", version).withColumn("op", F.lit(op))
+        for _ in range(2):
+            rollup.apply(batch, changes)
+
+    send(1, tokencounts.count_tokens(docs), "insert")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    first = keep(docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "text-copies")
+    copies = keep(docs.select("doc_id", "source", "lang", digest.alias("digest")).join(first, "digest").where("doc_id > first").select("doc_id", "source", "lang"), "copies")
+    gone = copies.withColumns({"tokens": F.lit(None).cast("long"), "chars": F.lit(None).cast("long")})
+    send(2, gone, "delete")
+    plain = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
+    looser = docs.where(plain != F.col("text")).withColumn("text", plain).join(copies.select("doc_id"), "doc_id", "left_anti")
+    send(3, tokencounts.count_tokens(looser), "revise")
+    return rollup.totals()
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and risk-controlled verdict of every document."""
     prepare(spark)
@@ -162,5 +191,5 @@ SELECT conv_id, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'r
 FROM a
 """
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_warc, op6_benchmark_decontamination, op7_tool_call_linking, op8_substring_dedup, op9_url_filter, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality_rules, op4_warc, op6_benchmark_decontamination, op7_tool_call_linking, op8_substring_dedup, op9_url_filter, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op7_tool_call_linking": OP7_SQL, "op9_url_filter": OP9_SQL, "op6_benchmark_decontamination": OP6_SQL}
