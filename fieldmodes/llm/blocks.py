@@ -91,13 +91,22 @@ def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.argsort(bucket, kind="stable")
 
 
+def per_bucket(order: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its keys) in order, from what ``by_bucket`` gave."""
+    b = bucket[order]
+    edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
+    for k, i in enumerate(edges):
+        yield int(b[i]), order[i : edges[k + 1] if k + 1 < len(edges) else len(b)]
+
+
 def ask(rows: DataFrame, requests: Callable[[dict, int], list[dict]], fields: list[str],
-        answer: Callable[[list[dict]], list[dict]], answers: list[str], name: str) -> DataFrame:
+        answer: Callable[..., list[dict]], answers: list[str], name: str, table: DataFrame | None = None) -> DataFrame:
     """One round of questions.  Returns (block, told array<struct<bucket, answers...>>), kept.
 
     ``requests(row, buckets)`` gives the packed requests of one row of ``rows`` (which has ``block``):
     dicts of ``bucket`` and the binary ``fields``.  ``answer(list)`` gets all requests of one bucket and
-    gives one dict of binary ``answers`` for each, in the same order."""
+    gives one dict of binary ``answers`` for each, in the same order.  With a ``table`` (it has a column
+    ``bucket``, see ``by_bucket``) it also gets the table's rows of the bucket."""
     spark = rows.sparkSession
     buckets = n_buckets(spark)
     sent = ["block", "bucket", *fields]
@@ -113,12 +122,18 @@ def ask(rows: DataFrame, requests: Callable[[dict, int], list[dict]], fields: li
 
     asked = rows.mapInArrow(send, "block long, bucket int, " + ", ".join(f"{f} binary" for f in fields))
 
-    def reply(table: pa.Table) -> pa.Table:
-        got = table.to_pylist()
-        out = answer(got)
-        return pa.Table.from_arrays([table["block"], table["bucket"], *(pa.array([r[a] for r in out], pa.binary()) for a in answers)],
+    def reply(got: pa.Table, *known: pa.Table) -> pa.Table:
+        out = answer(got.to_pylist(), *known) if got.num_rows else []
+        return pa.Table.from_arrays([got["block"], got["bucket"], *(pa.array([r[a] for r in out], pa.binary()) for a in answers)],
                                     names=["block", "bucket", *answers])
 
-    told = (asked.repartition(partitions(spark), "bucket").groupBy("bucket")
-            .applyInArrow(reply, "block long, bucket int, " + ", ".join(f"{a} binary" for a in answers)))
+    def reply_from(got: pa.Table, known: pa.Table) -> pa.Table:
+        return reply(got, known)
+
+    schema = "block long, bucket int, " + ", ".join(f"{a} binary" for a in answers)
+    dealt = asked.repartition(partitions(spark), "bucket").groupBy("bucket")
+    if table is None:
+        told = dealt.applyInArrow(lambda got: reply(got), schema)
+    else:
+        told = dealt.cogroup(table.groupBy("bucket")).applyInArrow(reply_from, schema)
     return keep(told.groupBy("block").agg(F.collect_list(F.struct("bucket", *answers)).alias("told")), name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.llm import contamination, pieces, quality, simhash, substring, tokencounts, toolcalls, urls, warc
+from fieldmodes.llm import contamination, katz, pieces, quality, simhash, substring, tokencounts, toolcalls, urls, warc
 from fieldmodes.llm.tables import documents, keep, prepare
 from fieldmodes.session import scratch_path
 
@@ -60,6 +60,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff score and unigram base score of every document, a fifth of them held out."""
+    prepare(spark)
+    return katz.train_and_score(documents(spark, sf_dir).select("doc_id", "text"))[1]
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in every document (13 words, at most 2 of them substituted)."""
     prepare(spark)
@@ -191,5 +197,5 @@ SELECT conv_id, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'r
 FROM a
 """
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality_rules, op4_warc, op6_benchmark_decontamination, op7_tool_call_linking, op8_substring_dedup, op9_url_filter, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality_rules, op4_warc, op5_lm_scoring, op6_benchmark_decontamination, op7_tool_call_linking, op8_substring_dedup, op9_url_filter, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op7_tool_call_linking": OP7_SQL, "op9_url_filter": OP9_SQL, "op6_benchmark_decontamination": OP6_SQL}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmodes.llm.blocks import Block, ask, by_bucket, n_buckets, pack, unpack, word_blocks
+from fieldmodes.llm.blocks import Block, ask, by_bucket, n_buckets, pack, per_bucket, unpack, word_blocks
 from fieldmodes.llm.tables import keep
 from fieldmodes.llm.words import mix64, window_hash
 
@@ -83,18 +83,11 @@ def _window_starts(block: Block, window: int) -> np.ndarray:
     return np.arange(len(block.codes)) + window <= (block.start + block.counts)[block.owner]
 
 
-def _split(order: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    b = bucket[order]
-    edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-    for k, i in enumerate(edges):
-        yield int(b[i]), order[i : edges[k + 1] if k + 1 < len(edges) else len(b)]
-
-
 def _symbol_requests(window: int, levels: int):
     def requests(row: dict, buckets: int) -> list[dict]:
         names, count = np.unique(_usable(Block(row), window, levels)[0], return_counts=True)
         bucket, order = by_bucket(names, buckets)
-        return [{"bucket": k, "names": pack(names[i]), "twice": np.packbits(count[i] > 1).tobytes()} for k, i in _split(order, bucket)]
+        return [{"bucket": k, "names": pack(names[i]), "twice": np.packbits(count[i] > 1).tobytes()} for k, i in per_bucket(order, bucket)]
     return requests
 
 
@@ -119,7 +112,7 @@ def _candidates(row: dict, buckets: int, window: int, levels: int) -> tuple[Bloc
     shared = np.zeros(len(names), dtype=bool)
     bucket, order = by_bucket(names, buckets)
     told = {t["bucket"]: t["shared"] for t in row["told"] or ()}
-    for k, i in _split(order, bucket):
+    for k, i in per_bucket(order, bucket):
         shared[i] = np.unpackbits(np.frombuffer(told[k], np.uint8), count=len(i)).astype(bool)
     single = ~shared[np.searchsorted(names, sym)]
     n = len(block.codes)
@@ -154,7 +147,7 @@ def _window_requests(window: int, levels: int):
         ids = np.array([NO_ID if d is None else d for d in block.doc_ids], dtype=np.int64)
         hashes = np.array(block.hashes, dtype=np.int64)
         out = []
-        for k, i in _split(order, bucket):
+        for k, i in per_bucket(order, bucket):
             i = i[np.argsort(first[i], kind="stable")]
             doc = block.owner[first[i]]
             docs, per = np.unique(doc, return_counts=True)
@@ -190,7 +183,7 @@ def _removed(row: dict, buckets: int, window: int, levels: int) -> tuple[Block,
     later = np.zeros(len(a), dtype=bool)
     bucket, order = by_bucket(a, buckets)
     told = {t["bucket"]: t["later"] for t in row["told2"] or ()}
-    for k, i in _split(order, bucket):
+    for k, i in per_bucket(order, bucket):
         i = i[np.argsort(first[i], kind="stable")]
         later[i] = np.unpackbits(np.frombuffer(told[k], np.uint8), count=len(i)).astype(bool)
     # A start is a repeat if its words are seen earlier elsewhere, or earlier in this block
