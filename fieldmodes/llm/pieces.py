@@ -45,7 +45,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 START = -1  # state before the first piece
 LONG_ATOM = 192  # longer stretches without a clean cut go through the scan
 TABLE, SLOT_SHIFT = 1 << 20, np.uint64(44)  # lookup slots: the top 20 bits of a product
-CACHE_ATOMS = 300_000  # solved atoms a worker remembers
+SLICE = 2 << 20  # bytes of text a task encodes at once
+CACHE_ATOMS = 150_000  # solved atoms a worker remembers
 BLOCK = 96  # characters of a block of the scan inside a task
 
 
@@ -279,62 +280,56 @@ class Model:
             found.append((at - 1, self.unk))
         return found
 
-    def blocks(self, text: str, cuts: list[int], entry: list[tuple[int, int] | None]) -> tuple[dict, list]:
-        """One forward pass over all blocks between consecutive ``cuts`` and all their entry states.
+    def transfer(self, jobs: list[tuple]) -> tuple[dict, list[tuple[list, dict, dict]]]:
+        """One forward pass over all blocks of all jobs (text, cuts, entry states, does the last cut cross pieces).
 
-        Returns the pass and rows (block, entry state, offset of the row's text, exits); exits maps a
-        state at the block's end to (score, position in the row)."""
+        Gives the pass and for each job (blocks, trail, matrix).  A block maps its entry states to
+        (offset of the row's text, {exit state: (score, position in the row)}, row); the matrix maps the
+        job's entry states to {exit state: score}; the trail says which state a best path came from."""
         rows, strings, first, limit = [], [], [], []
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            for state in entry if k == 0 else self.covers(text, a):
-                off = a if state is None else state[0] + self.length(state[1])
-                rows.append((k, state, off))
-                strings.append(text[off : max(off, min(len(text), b + self.longest))])
-                first.append(START if state is None else state[1])
-                limit.append(b - off)
+        for j, (text, cuts, entry, crossing) in enumerate(jobs):
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                stop = min(len(text), b + self.longest) if crossing or k < len(cuts) - 2 else b
+                for state in entry if k == 0 else self.covers(text, a):
+                    off = a if state is None else state[0] + self.length(state[1])
+                    rows.append((j, k, state, off, b))
+                    strings.append(text[off : max(off, stop)])
+                    first.append(START if state is None else state[1])
+                    limit.append(b - off)
         f = self._forward(pa.array(strings, pa.string()), np.array(first, dtype=np.int64), np.array(limit, dtype=np.int64))
         where = np.argsort(f["order"])
-        out = []
-        for r, (k, state, off) in enumerate(rows):
-            b, w = cuts[k + 1], where[r]
+        out: list[tuple] = [([{} for _ in cuts[1:]], {}, {}) for _, cuts, _, _ in jobs]
+        best, last, sizes, node0 = f["best"], f["last"], f["size"], f["node0"]
+        for r, (j, k, state, off, b) in enumerate(rows):
+            w = where[r]
             if state is not None and off >= b:  # the entry piece covers the whole block
                 exits = {state: (0.0, 0)}
             else:
-                exits = {}
-                for q in range(b - off, int(f["size"][w]) + 1):
-                    node = f["node0"][w] + q
-                    if f["best"][node] > NEG:
-                        t = int(f["last"][node])
-                        exits[off + q - self.length(t), t] = (float(f["best"][node]), q)
-            out.append((k, state, off, exits, w))
+                lo, hi = int(node0[w]) + b - off, int(node0[w]) + int(sizes[w]) + 1
+                exits = {(off + q - self.length(t), t): (v, q)
+                         for q, v, t in zip(range(b - off, b - off + hi - lo), best[lo:hi].tolist(), last[lo:hi].tolist()) if v > NEG}
+            out[j][0][k][state] = (off, exits, w)
+        for (blocks, trail, matrix), (_, _, entry, _) in zip(out, jobs):
+            for e in entry:
+                now, back = {e: 0.0}, []
+                for block in blocks:
+                    then: dict = {}
+                    for state, score in now.items():
+                        for x, (gain, _) in block.get(state, (0, {}, 0))[1].items():
+                            if score + gain > then.get(x, (NEG, None))[0]:
+                                then[x] = (score + gain, state)
+                    back.append({s: p for s, (_, p) in then.items()})
+                    now = {s: v for s, (v, _) in then.items()}
+                matrix[e], trail[e] = now, back
         return f, out
 
-    def transfer(self, text: str, cuts: list[int], entry: list) -> tuple[dict, list[list[dict]], dict]:
-        """Transfer matrix from ``entry`` to the states at the last cut, with the pointers to walk back.
-
-        The matrix maps entry state -> {exit state: score}; blocks are combined left to right."""
-        f, rows = self.blocks(text, cuts, entry)
-        by: list[dict] = [{} for _ in cuts[1:]]
-        for k, state, off, exits, w in rows:
-            by[k][state] = (off, exits, w)
-        matrix, trail = {}, {}
-        for e in entry:
-            now, back = {e: 0.0}, []
-            for block in by:
-                then: dict = {}
-                for state, score in now.items():
-                    for out, (gain, _) in block.get(state, (0, {}, 0))[1].items():
-                        if score + gain > then.get(out, (NEG, None))[0]:
-                            then[out] = (score + gain, state)
-                back.append({s: p for s, (_, p) in then.items()})
-                now = {s: v for s, (v, _) in then.items()}
-            matrix[e], trail[e] = now, back
-        return f, [by, trail], matrix
-
-    def walk(self, f: dict, how: list, entry, exit_state, start: int) -> tuple[np.ndarray, np.ndarray]:
+    def ending_at(self, exits: dict, place: int) -> dict:
+        return {s: v for s, v in exits.items() if s is not None and s[0] + self.length(s[1]) == place}
+
+    def walk(self, f: dict, how: tuple, entry, exit_state, start: int) -> tuple[np.ndarray, np.ndarray]:
         """Pieces on the path from ``entry`` to ``exit_state``; each block is backtraced on its own.
         Returns (positions, ids) of the pieces that start at ``start`` or later."""
-        by, trail = how
+        by, trail, _ = how
         states = [exit_state]
         for back in reversed(trail[entry]):
             states.append(back[states[-1]])
@@ -357,8 +352,8 @@ class Model:
     def scan(self, text: str) -> np.ndarray:
         """Ids of one long string without inner cuts, by the scan over blocks of ``BLOCK`` characters."""
         cuts = [*range(0, len(text), BLOCK), len(text)]
-        f, how, matrix = self.transfer(text, cuts, [None])
-        final = {s: v for s, v in matrix[None].items() if s[0] + self.length(s[1]) == len(text)}
+        f, (how,) = self.transfer([(text, cuts, [None], False)])
+        final = self.ending_at(how[2][None], len(text))
         chars, ids = self.walk(f, how, None, max(final, key=lambda s: (final[s], s)), 0)
         return self.spell(ids, chars)[0]
 
@@ -441,61 +436,77 @@ class Model:
         q = self.clean(text, p, b - 1, last=True)
         return [*range(a, p, BLOCK), p], p, q, [*range(q, b, BLOCK), b]
 
-    def chunk_matrix(self, text: str, a: int, b: int, opening: bool, closing: bool) -> list[tuple]:
-        """Rows (entry start, entry piece, exit start, exit piece, score), starts relative to the cut.
+    def _jobs(self, text: str, a: int, b: int, entry: list, closing: bool) -> tuple[list, tuple | None]:
+        """The jobs of one chunk: its head from every entry state, and its tail; (jobs, clean places)."""
+        head, p, q, tail = self.chunk_cuts(text, a, b)
+        if p is None:
+            return [(text, head, entry, not closing)], None
+        return [(text, head, entry, False), (text, tail, [None], not closing)], (p, q)
+
+    def chunk_matrices(self, chunks: list[tuple]) -> list[list[tuple]]:
+        """For each chunk (text, a, b, opening, closing) the rows (entry start, entry piece, exit start,
+        exit piece, score), starts relative to the cut.
 
         The stretch between the clean places adds the same to every path and is left out.
         The start of the text is the state (0, START), its end the state (0, START)."""
-        entry = [None] if opening else self.covers(text, a)
-        head, p, q, tail = self.chunk_cuts(text, a, b)
-        if p is None:
-            m = self.transfer(text, head, entry)[2]
-        else:
-            h = {e: max(x.values(), default=NEG) for e, x in self._to_clean(text, head, entry).items()}
-            t = self.transfer(text, tail, [None])[2][None]
-            m = {e: {x: h[e] + v for x, v in t.items()} for e in entry if h[e] > NEG}
-        rows = []
-        for e, exits in m.items():
-            if closing:
-                ends = [v for s, v in exits.items() if s is None or s[0] + self.length(s[1]) == b]
-                exits = {None: max(ends)} if ends else {}
-            for x, v in exits.items():
-                es = (0, START) if e is None else (e[0] - a, e[1])
-                xs = (0, START) if x is None else (x[0] - b, x[1])
-                rows.append((*es, *xs, v))
-        return rows
-
-    def _to_clean(self, text: str, head: list[int], entry: list) -> dict:
-        if head[0] == head[-1]:
-            return {e: ({e: 0.0} if e is None or e[0] + self.length(e[1]) == head[0] else {}) for e in entry}
-        m = self.transfer(text, head, entry)[2]
-        return {e: {s: v for s, v in x.items() if s[0] + self.length(s[1]) == head[-1]} for e, x in m.items()}
-
-    def chunk_ids(self, text: str, a: int, b: int, entry: tuple[int, int], exit_state: tuple[int, int]) -> np.ndarray:
-        """Ids of the pieces that start in [a, b), between the two states."""
-        e = None if entry[1] == START else (entry[0] + a, entry[1])
-        x = None if exit_state[1] == START else (exit_state[0] + b, exit_state[1])
-        head, p, q, tail = self.chunk_cuts(text, a, b)
-        parts = []
-
-        def piece(cuts, enter, leave, start):
-            if cuts[0] == cuts[-1]:
-                return
-            f, how, m = self.transfer(text, cuts, [enter])
-            if leave is None:  # best state that ends exactly at the last cut
-                ends = {s: v for s, v in m[enter].items() if s[0] + self.length(s[1]) == cuts[-1]}
-                leave = max(ends, key=lambda s: (ends[s], s))
-            chars, ids = self.walk(f, how, enter, leave, start)
-            parts.append(self.spell(ids, chars)[0])
+        jobs, parts = [], []
+        for text, a, b, opening, closing in chunks:
+            entry = [None] if opening else self.covers(text, a)
+            own, places = self._jobs(text, a, b, entry, closing)
+            parts.append((entry, places, len(jobs)))
+            jobs += own
+        done = self.transfer(jobs)[1]
+        out = []
+        for (entry, places, at), (text, a, b, _, closing) in zip(parts, chunks):
+            m = done[at][2]
+            if places is not None:
+                p = places[0]
+                h = {e: 0.0 if p == a and (e is None or e[0] + self.length(e[1]) == a)
+                     else max(self.ending_at(m[e], p).values(), default=NEG) for e in entry}
+                m = {e: {x: h[e] + v for x, v in done[at + 1][2][None].items()} for e in entry if h[e] > NEG}
+            rows = []
+            for e, exits in m.items():
+                if closing:
+                    ends = self.ending_at(exits, b).values()
+                    exits = {None: max(ends)} if ends else {}
+                for x, v in exits.items():
+                    rows.append((*((0, START) if e is None else (e[0] - a, e[1])), *((0, START) if x is None else (x[0] - b, x[1])), v))
+            out.append(rows)
+        return out
 
-        if p is None:
-            piece(head, e, x, a)
-        else:
-            piece(head, e, None, a)
-            if q > p:
-                parts.append(self.encode_clean(pa.array([text[p:q]], pa.string())).flatten().to_numpy())
-            piece(tail, None, x, q)
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+    def chunk_ids(self, chunks: list[tuple]) -> list[np.ndarray]:
+        """For each chunk (text, a, b, entry state, exit state) the ids of the pieces that start in [a, b)."""
+        jobs, parts = [], []
+        for text, a, b, entry, leave in chunks:
+            e = None if entry[1] == START else (entry[0] + a, entry[1])
+            x = None if leave[1] == START else (leave[0] + b, leave[1])
+            own, places = self._jobs(text, a, b, [e], x is None)
+            parts.append((e, x, places, len(jobs)))
+            jobs += own
+        f, done = self.transfer(jobs)
+        middles = self.encode_clean(pa.array([text[p[0] : p[1]] if p else "" for (text, *_), (_, _, p, _) in zip(chunks, parts)], pa.string()))
+        moffs, mids = middles.offsets.to_numpy(), middles.values.to_numpy()
+        out = []
+        for i, ((e, x, places, at), (text, a, b, _, _)) in enumerate(zip(parts, chunks)):
+            ids = []
+
+            def trace(job, enter, leave, place, start):
+                if jobs[job][1][0] == jobs[job][1][-1]:
+                    return
+                if leave is None:  # the best path that ends exactly at the place
+                    ends = self.ending_at(done[job][2][enter], place)
+                    leave = max(ends, key=lambda s: (ends[s], s))
+                chars, found = self.walk(f, done[job], enter, leave, start)
+                ids.append(self.spell(found, chars)[0])
+
+            if places is None:
+                trace(at, e, x, b, a)
+            else:
+                trace(at, e, None, places[0], a)
+                ids.append(mids[moffs[i] : moffs[i + 1]])
+                trace(at + 1, None, x, b, places[1])
+            out.append(np.concatenate(ids))
+        return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -516,7 +527,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", out
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SLICE):
             m = _model(raw.value)
             col = b.column(text_col)
             ids = m.encode_clean(m.normalise(pc.fill_null(col, "")))
@@ -547,9 +558,11 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", out
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(raw.value)
-        for b in batches:
-            rows = [(r["_uid"], r["_chunk"], *x) for r in b.to_pylist()
-                    for x in m.chunk_matrix(r["_window"], r["_lead"], r["_lead"] + r["_size"], r["_chunk"] == 0, r["_chunk"] == r["_chunks"] - 1)]
+        for b in slices(batches, "_window", SLICE):
+            got = b.to_pylist()
+            found = m.chunk_matrices([(r["_window"], r["_lead"], r["_lead"] + r["_size"], r["_chunk"] == 0, r["_chunk"] == r["_chunks"] - 1)
+                                      for r in got])
+            rows = [(r["_uid"], r["_chunk"], *x) for r, xs in zip(got, found) for x in xs]
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(cols)],
                                              names=["_uid", "_chunk", "es", "ep", "xs", "xp", "score"])
@@ -581,8 +594,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", out
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(raw.value)
-        for b in batches:
-            ids = [m.chunk_ids(r["_window"], r["_lead"], r["_lead"] + r["_size"], (r["es"], r["ep"]), (r["xs"], r["xp"])) for r in b.to_pylist()]
+        for b in slices(batches, "_window", SLICE):
+            ids = m.chunk_ids([(r["_window"], r["_lead"], r["_lead"] + r["_size"], (r["es"], r["ep"]), (r["xs"], r["xp"])) for r in b.to_pylist()])
             yield pa.RecordBatch.from_arrays([b["_uid"], b["_chunk"], pa.array(ids, pa.list_(pa.int32()))], names=["_uid", "_chunk", "_part"])
 
     parts = chunks.join(keep(states, "giant-states"), ["_uid", "_chunk"]).mapInArrow(trace, "_uid long, _chunk long, _part array<int>")
@@ -603,8 +616,8 @@ def decode(df: DataFrame, model_path: str = MODEL, ids_col: str = "ids", out_col
     schema[out_col].nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = _model(raw.value)
+        m = _model(raw.value)
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             col = b.column(ids_col)
             ids = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             if len(ids) and not 0 <= ids.min() <= ids.max() < m.size:

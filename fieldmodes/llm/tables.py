@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmodes.session import prepare, scratch_path
+from fieldmodes.session import prepare as prepare_session
+from fieldmodes.session import scratch_path
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 16 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """The shared folder and the package on the executors; Arrow batches of texts bounded in bytes."""
+    prepare_session(spark)
+    now = spark.conf.get(BATCH, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
