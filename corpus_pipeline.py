@@ -8,17 +8,16 @@ Parquet in the shared folder and reads it back for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldmodes.llm import quality, simhash
+from fieldmodes.llm import contamination, pieces, quality, simhash, substring
 from fieldmodes.llm.tables import documents, keep, prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the risk-controlled rules reject go."""
     prepare(spark)
-    verdict = quality.quality_rules(docs, documents(spark, sf_dir, "labels"))
-    rejected = keep(verdict.where("NOT kept").select("doc_id").distinct(), "pipeline-rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    return quality.keep_good(docs, documents(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +26,34 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one_per_component(docs, width=4, max_bits=4)
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", simhash_near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that a window of 20 words seen earlier covers are cut out of the texts.
+
+    ``n_chars`` follows the text; a document that loses all its words goes."""
+    prepare(spark)
+    out = substring.substring_dedup(docs, window=20)
+    left = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    changed = F.col("_n_removed") > 0
+    return (out.where(~changed | left).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+            .select(docs.columns))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage (13 words, at most 2 substituted) go."""
+    prepare(spark)
+    out = contamination.decontaminate(docs, documents(spark, sf_dir, "benchmark"))
+    return out.where(F.size("_leaked") == 0).select(docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their text, their number, and whether they decode to the text."""
+    prepare(spark)
+    out = pieces.decode(pieces.encode(docs))
+    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", simhash_near_dedup), ("substring dedup", substring_dedup),
+          ("benchmark decontamination", benchmark_decontamination), ("SentencePiece", sentencepiece)]
 #: SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
 

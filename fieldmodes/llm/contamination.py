@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmodes.llm.tables import keep
+from fieldmodes.llm.tables import keep, packed, unpacked
 
 WINDOW, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 4, 5, 6, 7), (0, 1, 2, 6, 8, 9))
@@ -99,11 +99,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   item_text_col: str = "text") -> DataFrame:
     """``docs`` plus ``_leaked``: array of the distinct item ids found in the text, sorted (empty: clean)."""
     found = leaks(docs, benchmark, text_col, item_col, item_text_col)
-    cols = [c for c in docs.columns if c != "_leaked"]
-    text = F.col(f"`{text_col}`")
-    both = (docs.select(*[F.col(f"`{c}`") for c in cols], F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("_text_hash"))
-            .join(found.withColumnsRenamed({"text_hash": "_text_hash", "found": "_found"}), "_text_hash", "left")
-            .withColumn("_words", F.when(F.col("_found").isNotNull(), plain_words(text))))
-    holds = F.filter("_found", lambda one: _verified("_words", one))
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(packed(docs, text_col), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    both = rows.join(found, "text_hash", "left").withColumn("words", F.when(F.col("found").isNotNull(), plain_words(F.col("text"))))
+    holds = F.filter("found", lambda one: _verified("words", one))
     leaked = F.coalesce(F.array_sort(F.array_distinct(F.transform(holds, lambda one: one["item"]))), F.array().cast(f"array<{dict(benchmark.dtypes)[item_col]}>"))
-    return both.withColumn("_leaked", leaked).select(*[F.col(f"`{c}`") for c in cols], "_leaked")
+    return both.select("row", "text", leaked.alias("leaked")).select(
+        *unpacked(docs, text_col, "text", ("_leaked",)), F.col("leaked").alias("_leaked"))

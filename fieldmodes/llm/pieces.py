@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from fieldmodes.llm.tables import keep
+from fieldmodes.llm.tables import keep, packed, unpacked
 from fieldmodes.llm.words import slices
 
 SPACE = "▁"
@@ -522,29 +522,28 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", out
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
-    rest = [c for c in docs.columns if c != out_col]
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest], F.lit(None).cast("array<int>").alias(out_col)).schema
-    docs = docs.select(*[F.col(f"`{c}`") for c in rest])
+    rows = docs.select(packed(docs, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
+    size = F.length("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, SLICE):
+        for b in slices(batches, "text", SLICE):
             m = _model(raw.value)
-            col = b.column(text_col)
+            col = b.column("text")
             ids = m.encode_clean(m.normalise(pc.fill_null(col, "")))
             ids = pc.if_else(pc.is_null(col), pa.scalar(None, ids.type), ids) if col.null_count else ids
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*rest, out_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=["row", "text", "ids"])
 
-    size = F.length(F.col(f"`{text_col}`").cast("string"))
-    short = docs.where(size.isNull() | (size <= chunk_chars)).mapInArrow(whole, schema)
+    short = rows.where(size.isNull() | (size <= chunk_chars))
+    short = short.mapInArrow(whole, short.withColumn("ids", F.lit(None).cast("array<int>")).schema)
 
     # Giant texts: numbered once in a written table, then chunk by chunk.
-    giants = keep(docs.where(size > chunk_chars).withColumn("_uid", F.monotonically_increasing_id()), "giant-texts")
+    giants = keep(rows.where(size > chunk_chars).withColumn("uid", F.monotonically_increasing_id()), "giant-texts")
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(raw.value)
-        names = ["_uid", "_chunk", "_chunks", "_lead", "_size", "_window"]
+        names = ["uid", "chunk", "chunks", "lead", "size", "window"]
         for b in batches:
-            for uid, text in zip(b["_uid"].to_pylist(), m.normalise(b["_text"]).to_pylist()):
+            for uid, text in zip(b["uid"].to_pylist(), m.normalise(b["text"]).to_pylist()):
                 cuts = [*range(0, len(text), chunk_chars), len(text)]
                 lead = [min(a, m.longest) for a in cuts[:-1]]
                 yield pa.RecordBatch.from_arrays([
@@ -552,28 +551,28 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", out
                     pa.array(lead, pa.int64()), pa.array([b_ - a for a, b_ in zip(cuts, cuts[1:])], pa.int64()),
                     pa.array([text[a - l : b_ + m.longest] for a, b_, l in zip(cuts, cuts[1:], lead)], pa.string())], names=names)
 
-    chunks = giants.select("_uid", F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(
-        chunk, "_uid long, _chunk long, _chunks long, _lead long, _size long, _window string")
-    chunks = keep(chunks.repartition("_uid", "_chunk"), "giant-chunks")  # one chunk is one unit of work
+    chunks = giants.select("uid", "text").mapInArrow(
+        chunk, "uid long, chunk long, chunks long, lead long, size long, window string")
+    chunks = keep(chunks.repartition("uid", "chunk"), "giant-chunks")  # one chunk is one unit of work
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(raw.value)
-        for b in slices(batches, "_window", SLICE):
+        for b in slices(batches, "window", SLICE):
             got = b.to_pylist()
-            found = m.chunk_matrices([(r["_window"], r["_lead"], r["_lead"] + r["_size"], r["_chunk"] == 0, r["_chunk"] == r["_chunks"] - 1)
+            found = m.chunk_matrices([(r["window"], r["lead"], r["lead"] + r["size"], r["chunk"] == 0, r["chunk"] == r["chunks"] - 1)
                                       for r in got])
-            rows = [(r["_uid"], r["_chunk"], *x) for r, xs in zip(got, found) for x in xs]
+            rows = [(r["uid"], r["chunk"], *x) for r, xs in zip(got, found) for x in xs]
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(cols)],
-                                             names=["_uid", "_chunk", "es", "ep", "xs", "xp", "score"])
+                                             names=["uid", "chunk", "es", "ep", "xs", "xp", "score"])
 
-    matrix = chunks.mapInArrow(matrices, "_uid long, _chunk long, es long, ep long, xs long, xp long, score double")
+    matrix = chunks.mapInArrow(matrices, "uid long, chunk long, es long, ep long, xs long, xp long, score double")
 
     def combine(table: pa.Table) -> pa.Table:
         """One document: its matrices, combined in order, give every chunk its entry and exit state."""
         by: dict[int, list] = {}
         for r in table.to_pylist():
-            by.setdefault(r["_chunk"], []).append(r)
+            by.setdefault(r["chunk"], []).append(r)
         now, back = {(0, START): 0.0}, []
         for k in sorted(by):
             then: dict = {}
@@ -585,24 +584,24 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", out
             now = {s: v for s, (v, _) in then.items()}
         state, rows = max(now, key=lambda s: (now[s], s)), []
         for k in reversed(range(len(back))):
-            rows.append((table["_uid"][0].as_py(), k, *back[k][state], *state))
+            rows.append((table["uid"][0].as_py(), k, *back[k][state], *state))
             state = back[k][state]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["_uid", "_chunk", "es", "ep", "xs", "xp"])
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["uid", "chunk", "es", "ep", "xs", "xp"])
 
     # A document has at most 2^31 / chunk_chars chunks of a few dozen states each.
-    states = matrix.groupBy("_uid").applyInArrow(combine, "_uid long, _chunk long, es long, ep long, xs long, xp long")
+    states = matrix.groupBy("uid").applyInArrow(combine, "uid long, chunk long, es long, ep long, xs long, xp long")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(raw.value)
-        for b in slices(batches, "_window", SLICE):
-            ids = m.chunk_ids([(r["_window"], r["_lead"], r["_lead"] + r["_size"], (r["es"], r["ep"]), (r["xs"], r["xp"])) for r in b.to_pylist()])
-            yield pa.RecordBatch.from_arrays([b["_uid"], b["_chunk"], pa.array(ids, pa.list_(pa.int32()))], names=["_uid", "_chunk", "_part"])
+        for b in slices(batches, "window", SLICE):
+            ids = m.chunk_ids([(r["window"], r["lead"], r["lead"] + r["size"], (r["es"], r["ep"]), (r["xs"], r["xp"])) for r in b.to_pylist()])
+            yield pa.RecordBatch.from_arrays([b["uid"], b["chunk"], pa.array(ids, pa.list_(pa.int32()))], names=["uid", "chunk", "part"])
 
-    parts = chunks.join(keep(states, "giant-states"), ["_uid", "_chunk"]).mapInArrow(trace, "_uid long, _chunk long, _part array<int>")
-    joined = parts.groupBy("_uid").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda x: x["_part"])).alias(out_col))
-    long = giants.join(joined, "_uid").select(*[F.col(f"`{c}`") for c in rest], out_col)
-    return short.unionByName(long)
+    parts = chunks.join(keep(states, "giant-states"), ["uid", "chunk"]).mapInArrow(trace, "uid long, chunk long, part array<int>")
+    joined = parts.groupBy("uid").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ids"))
+    long = giants.join(joined, "uid").select("row", "text", "ids")
+    return short.unionByName(long).select(*unpacked(docs, text_col, "text", (out_col,)), F.col("ids").alias(out_col))
 
 
 def decode(df: DataFrame, model_path: str = MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -611,14 +610,13 @@ def decode(df: DataFrame, model_path: str = MODEL, ids_col: str = "ids", out_col
     spark = df.sparkSession
     with open(model_path, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
-    rest = [c for c in df.columns if c != out_col]
-    schema = df.select(*[F.col(f"`{c}`") for c in rest], F.lit("").alias(out_col)).schema
-    schema[out_col].nullable = True
+    rows = df.select(packed(df, ids_col), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+    schema = rows.withColumn("decoded", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(raw.value)
         for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            col = b.column(ids_col)
+            col = b.column("ids")
             ids = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             if len(ids) and not 0 <= ids.min() <= ids.max() < m.size:
                 raise ValueError("an id is outside the model")
@@ -631,7 +629,7 @@ def decode(df: DataFrame, model_path: str = MODEL, ids_col: str = "ids", out_col
             except pa.ArrowInvalid:
                 text = pa.array([x.decode("utf-8", "replace") if x is not None else None for x in data.to_pylist()], pa.string())
             text = pc.if_else(pc.is_null(col), pa.scalar(None, pa.string()), text)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [text], names=[*rest, out_col])
-
-    return df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*b.columns, text], names=["row", "ids", "decoded"])
 
+    out = rows.mapInArrow(run, schema)
+    return out.select(*unpacked(df, ids_col, "ids", (out_col,)), F.col("decoded").alias(out_col))

@@ -122,7 +122,7 @@ def fit_cutoffs(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", str
 
     ``feats`` is the output of :func:`rule_features`; ``good`` is an SQL condition on a label row.
     Documents without words are left out (no rule is defined on them)."""
-    lab = (labels.select(F.col(id_col).alias("_id"), F.expr(good).alias("_good"))
+    lab = (labels.select(F.col(f"`{id_col}`").alias("_id"), F.expr(good).alias("_good"))
            .where("_id IS NOT NULL AND _good IS NOT NULL").groupBy("_id").agg(F.min("_good").alias("_good")))
     grid = F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), (score() > c).alias("rej"))
@@ -161,9 +161,23 @@ def judge(feats: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> Da
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """Rows of ``docs`` without the text, with counts, ``base_failed``, ``failed_rules`` and ``kept``."""
-    feats = keep(rule_features(docs.select(id_col, stratum_col, text_col), text_col), "quality-features")
-    out = judge(feats, fit_cutoffs(feats, labels, id_col, stratum_col, alpha, delta), stratum_col)
+    """(id, stratum, text_hash, counts, ``base_failed``, ``failed_rules``, ``kept``) for every row of ``docs``."""
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{stratum_col}`").cast("string").alias("stratum"),
+                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    feats = keep(rule_features(slim), "quality-features")
+    labels = labels.withColumn("id", F.col(f"`{id_col}`"))
+    out = judge(feats, fit_cutoffs(feats, labels, "id", "stratum", alpha, delta), "stratum")
     base = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
     return (out.withColumn("base_failed", base).withColumn("kept", ~base & (F.size("failed_rules") == 0))
-            .select(id_col, stratum_col, *[F.col("_" + f).alias(f) for f in FEATURES], "base_failed", "failed_rules", "kept"))
+            .select("id", "stratum", "text_hash", *[F.col("_" + f).alias(f) for f in FEATURES], "base_failed", "failed_rules", "kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+              alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """Rows of ``docs`` that the base rules and the chosen cutoffs keep."""
+    verdict = quality_rules(docs, labels, id_col, text_col, stratum_col, alpha, delta)
+    gone = keep(verdict.where("NOT kept").select("id", "stratum", "text_hash").distinct(), "quality-rejected")
+    same = (docs[f"`{id_col}`"].eqNullSafe(gone["id"]) & docs[f"`{stratum_col}`"].cast("string").eqNullSafe(gone["stratum"])
+            & (F.xxhash64(F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))) == gone["text_hash"]))
+    return docs.join(gone, same, "left_anti")

@@ -50,7 +50,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and risk-controlled verdict of every document."""
     prepare(spark)
     return quality.quality_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (4-word shingles, 4 bits)."""
     prepare(spark)
     out = simhash.simhash_components(documents(spark, sf_dir), width=4, max_bits=4)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 _WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"

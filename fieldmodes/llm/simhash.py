@@ -14,8 +14,8 @@ written to the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and link to each
 other; a text shorter than the shingle is one shingle; repeated rows are linked
-to themselves; a null id takes part in linking but names a component only if no
-other id does.
+to themselves; a row with a null id takes part in linking but never names a component: where all ids
+of a component are null, so is the component id.  Ids lie below 2^62.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from fieldmodes.llm.tables import keep, partitions
 from fieldmodes.llm.words import as_text, slices, split_words
 
 SEED = 42
+NAMELESS = 1 << 62  # nodes from here on stand for fingerprints without any id
 VOTE_ROWS = 1 << 17
 
 
@@ -67,15 +68,16 @@ def _fingerprints(texts: pa.Array, width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id_col, fp): the 64-bit fingerprint of each row as a signed long."""
-    slim = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    """(id, text_hash, fp) of each row; the 64-bit fingerprint as a signed long."""
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text", 4 << 20):
-            fp = _fingerprints(b.column("_text"), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[id_col, "fp"])
+        for b in slices(batches, "text", 4 << 20):
+            fp = _fingerprints(b.column("text"), width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["id"], b["text_hash"], pa.array(fp)], names=["id", "text_hash", "fp"])
 
-    return slim.mapInArrow(run, slim.select(F.col(f"`{id_col}`"), F.lit(0).cast("long").alias("fp")).schema)
+    return slim.mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def block_masks(max_bits: int, shared: int) -> list[int]:
@@ -180,19 +182,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                        max_bits: int = 4, shared: int = 2) -> DataFrame:
-    """(id_col, fp, component_id) for every row of ``docs``; ids are integers."""
+    """(id, text_hash, fp, component_id) for every row of ``docs``; ids are integers."""
     fps = keep(fingerprints(docs, id_col, text_col, width), "simhash-fp")
-    reps = keep(fps.groupBy("fp").agg(F.coalesce(F.min(F.col(id_col).cast("long")), F.lit(2**63 - 1)).alias("node")), "simhash-reps")
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
+    reps = keep(fps.groupBy("fp").agg(F.min("id").alias("node")).withColumn("node", F.coalesce("node", nameless)), "simhash-reps")
     comp = components(links(reps, max_bits, shared))
     of_fp = keep(reps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-components")
-    of_fp = of_fp.withColumn("component_id", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")))
-    return fps.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    of_fp = of_fp.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
+    return fps.join(of_fp, "fp").select("id", "text_hash", "fp", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                            max_bits: int = 4, shared: int = 2) -> DataFrame:
-    """Rows of ``docs`` whose id names its component: one document of each group stays
-    (all rows of that id, should it be repeated)."""
+    """One document of each component stays, the one whose id names it.
+
+    Rows with its id and text stay together; rows of components without any id all stay."""
     comp = simhash_components(docs, id_col, text_col, width, max_bits, shared)
-    stay = comp.where(F.col(id_col).cast("long") == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`") == F.col("_stay"), "left_semi")
+    gone = keep(comp.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "text_hash").distinct(), "simhash-gone")
+    id_, hash_ = docs[f"`{id_col}`"].cast("long"), F.xxhash64(F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")))
+    return docs.join(gone, id_.eqNullSafe(gone["id"]) & (hash_ == gone["text_hash"]), "left_anti")

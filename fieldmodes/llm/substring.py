@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmodes.llm.blocks import Block, ask, by_bucket, n_buckets, pack, per_bucket, unpack, word_blocks
-from fieldmodes.llm.tables import keep
+from fieldmodes.llm.tables import keep, packed, unpacked
 from fieldmodes.llm.words import mix64, window_hash
 
 LEVELS = 4
@@ -251,11 +251,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with the repeated words cut out of the text, plus ``_n_removed`` (bigint).
 
     Texts that lose nothing are unchanged."""
-    spans = repeated_spans(docs, id_col, text_col, window, levels).withColumnsRenamed({"doc_id": "_key_id", "text_hash": "_key_hash"})
+    spans = repeated_spans(docs, id_col, text_col, window, levels)
     text = F.col(f"`{text_col}`").cast("string")
-    cols = [c for c in docs.columns if c != "_n_removed"]
-    both = docs.select(*[F.col(f"`{c}`") for c in cols]).join(
-        spans, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_key_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key_hash")), "left")
+    rows = docs.select(packed(docs, text_col), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("id"),
+                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
+    both = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
     n_removed = F.coalesce(F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0),
                                        lambda s, x: s + x), F.lit(0)).cast("long")
 
@@ -263,9 +263,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             gone = b["spans"]
             if gone.null_count < b.num_rows:
-                new = pa.array([t if s is None else _without(t, s) for t, s in zip(b[text_col].to_pylist(), gone.to_pylist())], pa.string())
-                b = b.set_column(b.schema.get_field_index(text_col), text_col, new)
+                new = pa.array([t if s is None else _without(t, s) for t, s in zip(b["text"].to_pylist(), gone.to_pylist())], pa.string())
+                b = b.set_column(b.schema.get_field_index("text"), "text", new)
             yield b.drop_columns(["spans"])
 
-    slim = both.select(*[(text.alias(text_col) if c == text_col else F.col(f"`{c}`")) for c in cols], n_removed.alias("_n_removed"), "spans")
-    return slim.mapInArrow(cut, slim.drop("spans").schema)
+    slim = both.select("row", "text", n_removed.alias("n"), "spans")
+    out = slim.mapInArrow(cut, slim.drop("spans").schema)
+    return out.select(*unpacked(docs, text_col, "text", ("_n_removed",)), F.col("n").alias("_n_removed"))

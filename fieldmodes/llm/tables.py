@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldmodes.session import prepare as prepare_session
 from fieldmodes.session import scratch_path
@@ -26,7 +27,7 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and read it back."""
     spark = df.sparkSession
     prepare(spark)
@@ -34,7 +35,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # the table replaces the shuffle files it came from
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=partition_by)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,3 +52,14 @@ def drop_kept(*dfs: DataFrame) -> None:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(df: DataFrame, apart: str) -> Column:
+    """All columns of ``df`` but one as a struct ``row``, so that names an operator adds cannot clash."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != apart]
+    return F.struct(*rest or [F.lit(0).alias("none")]).alias("row")
+
+
+def unpacked(df: DataFrame, apart: str, value: str, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df`` in their order: from ``row``, and ``value`` for the one kept apart."""
+    return [F.col(value).alias(apart) if c == apart else F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in without]

@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmodes.llm.tables import packed, unpacked
 from fieldmodes.llm.words import slices
 
 SEP = "\x01"
@@ -127,21 +128,18 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], url_col: str = "url", defa
     """``pages`` plus ``_host``, ``_path``, ``_rule`` (name of the winning rule or null), ``_tier`` and ``_verdict``."""
     # Preference is fixed by the rules alone: the first match in this order wins.
     rules = sorted(rules, key=lambda r: (r.tier, -len(r.name), r.action != "block", r.name))
-    made = {"_host", "_path", "_rule", "_tier", "_verdict", "_key"}
-    cols = [c for c in pages.columns if c not in made]
     url = F.col(f"`{url_col}`")
-    keyed = pages.select(*[F.col(f"`{c}`") for c in cols], host_of(url).alias("_host"), path_of(url).alias("_path"), canonical(url).alias("_key"))
-    schema = keyed.drop("_key").select("*", F.lit("").alias("_rule"), F.lit(0).alias("_tier"), F.lit("").alias("_verdict")).schema
-    for name in ("_rule", "_tier"):
-        schema[name].nullable = True
+    keyed = pages.select(packed(pages, url_col), url.cast("string").alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
+    schema = keyed.drop("key").withColumns({n: F.lit(None).cast(t) for n, t in (("rule", "string"), ("tier", "int"), ("verdict", "string"))}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(rules)
-        for b in slices(batches, "_key", 1 << 20):
-            hit = machine.match(b["_key"])
+        for b in slices(batches, "key", 1 << 20):
+            hit = machine.match(b["key"])
             won = np.where(hit.any(axis=1), hit.argmax(axis=1), len(rules)) if rules else np.zeros(b.num_rows, dtype=np.int64)
             names = [*(r.name for r in rules), None], [*(r.tier for r in rules), None], [*(r.action for r in rules), default]
             cols_out = [pa.array(x, t).take(pa.array(won)) for x, t in zip(names, (pa.string(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.drop_columns(["_key"]).columns, *cols_out], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.drop_columns(["key"]).columns, *cols_out], names=schema.names)
 
-    return keyed.mapInArrow(run, schema)
+    made = ("host", "path", "rule", "tier", "verdict")
+    return keyed.mapInArrow(run, schema).select(*unpacked(pages, url_col, "url", tuple("_" + m for m in made)), *[F.col(m).alias("_" + m) for m in made])
