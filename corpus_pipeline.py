@@ -41,8 +41,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage (13 words, at most 2 substituted) go."""
     prepare(spark)
-    out = contamination.decontaminate(docs, documents(spark, sf_dir, "benchmark"))
-    return out.where(F.size("_leaked") == 0).select(docs.columns)
+    return contamination.keep_clean(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,55 +54,63 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text") -> DataFrame:
-    """(text_hash, found array<struct<item, at>>), kept: per distinct text, where items may line up.
-
-    ``at`` is the place in the document of the item's first word (it may be negative); candidates
-    are those of the masks and are not verified yet."""
-    items = keep(benchmark.select(F.col(f"`{item_col}`").alias("item"), plain_words(F.col(f"`{item_text_col}`")).alias("words"))
-                 .where(F.size("words") > 0), "benchmark-words")
-    # Lengths below the window, at most WINDOW - 1 values: each has a mask of its own.
-    short = sorted(r[0] for r in items.where(F.size("words") < WINDOW).select(F.size("words")).distinct().collect())
-    masks = [*MASKS, *[tuple(range(n)) for n in short]]
-    tests = items.select("item", "words", _hashed(F.col("words")).alias("ids")).select("item", "words", F.inline(_masked("ids", masks)))
-    fits = (F.size("words") >= WINDOW) & (F.col("mask") < len(MASKS))
-    whole = reduce(lambda a, b: a | b, [(F.size("words") == n) & (F.col("mask") == len(MASKS) + k) for k, n in enumerate(short)], F.lit(False))
-    tests = keep(tests.where(fits | whole).select("mask", "hash", "item", "words", F.col("place").alias("item_place")), "benchmark-seeds")
-    seeds = tests.select("mask", "hash").distinct()
-    small = tests.count() <= BROADCAST_ROWS
-    rows = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text_hash"),
-                       _hashed(plain_words(F.col(f"`{text_col}`"))).alias("ids"))
-    hits = (rows.select("text_hash", F.inline(_masked("ids", masks)))
-            .join(F.broadcast(seeds) if small else seeds, ["mask", "hash"], "left_semi"))
-    pairs = (hits.join(F.broadcast(tests) if small else tests, ["mask", "hash"])
-             .select("text_hash", F.struct("item", (F.col("place") - F.col("item_place")).alias("at"), "words").alias("one")).distinct())
-    return keep(pairs.groupBy("text_hash").agg(F.collect_list("one").alias("found")), "benchmark-hits")
-
-
-def _verified(words: str, one: Column) -> Column:
-    """Does a candidate hold: some window of the item with few enough differences?
+def _verified(words: Column, test: Column, at: Column) -> Column:
+    """Some window of the item has few enough differences when its first word stands at ``at``.
 
     ``get`` gives null outside the document, which is a difference."""
-    test, at = one["words"], one["at"]
     n = F.size(test)
-    same = F.transform(test, lambda w, j: F.coalesce(F.get(F.col(words), at + j) == w, F.lit(False)).cast("int"))
+    same = F.transform(test, lambda w, j: F.coalesce(F.get(words, at + j) == w, F.lit(False)).cast("int"))
     need = F.when(n >= WINDOW, F.lit(WINDOW - SUBSTITUTIONS)).otherwise(n)
     width = F.least(n, F.lit(WINDOW))
-    inside = F.exists(F.sequence(F.lit(0), n - width), lambda s: (
+    return F.exists(F.sequence(F.lit(0), n - width), lambda s: (
         (at + s >= 0) & (at + s + width <= F.size(words))
         & (F.aggregate(F.slice(same, s + 1, width), F.lit(0), lambda a, x: a + x) >= need)))
-    return inside
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+          item_text_col: str = "text") -> DataFrame:
+    """(text_hash, items): the distinct items found in each text that has any, sorted; kept."""
+    items = keep(benchmark.select(F.col(f"`{item_col}`").alias("item"), plain_words(F.col(f"`{item_text_col}`")).alias("test"))
+                 .where(F.size("test") > 0), "benchmark-words")
+    # Lengths below the window, at most WINDOW - 1 values: each has a mask of its own.
+    short = sorted(r[0] for r in items.where(F.size("test") < WINDOW).select(F.size("test")).distinct().collect())
+    masks = [*MASKS, *[tuple(range(n)) for n in short]]
+    tests = items.withColumn("ids", _hashed(F.col("test"))).select("item", "test", F.inline(_masked("ids", masks)))
+    fits = (F.size("test") >= WINDOW) & (F.col("mask") < len(MASKS))
+    whole = reduce(lambda a, b: a | b, [(F.size("test") == n) & (F.col("mask") == len(MASKS) + k) for k, n in enumerate(short)], F.lit(False))
+    tests = keep(tests.where(fits | whole).select("mask", "hash", "item", "test", F.col("place").alias("item_place")), "benchmark-seeds")
+    rows = docs.select(text_hash(text_col).alias("text_hash"), plain_words(F.col(f"`{text_col}`")).alias("words")).withColumn("ids", _hashed(F.col("words")))
+    at = F.col("place") - F.col("item_place")
+    if tests.count() <= BROADCAST_ROWS:
+        # The words are at hand where a hit is found: verify it there.
+        hits = rows.select("text_hash", "words", F.inline(_masked("ids", masks))).join(F.broadcast(tests), ["mask", "hash"])
+        found = hits.where(_verified(F.col("words"), F.col("test"), at)).select("text_hash", "item")
+    else:
+        seeds = keep(tests.select("mask", "hash").distinct(), "benchmark-hashes")
+        hits = rows.select("text_hash", F.inline(_masked("ids", masks))).join(seeds, ["mask", "hash"], "left_semi")
+        pairs = keep(hits.join(tests, ["mask", "hash"]).select("text_hash", "item", "test", at.alias("at")).distinct(), "benchmark-hits")
+        found = rows.select("text_hash", "words").join(pairs, "text_hash").where(_verified(F.col("words"), F.col("test"), F.col("at"))).select("text_hash", "item")
+    # An item is found once per text, whatever the number of hits; an array holds benchmark items only.
+    return keep(found.distinct().groupBy("text_hash").agg(F.array_sort(F.array_compact(F.collect_list("item"))).alias("items"),
+                                                          F.count_if(F.col("item").isNull()).alias("nulls"))
+                .select("text_hash", F.when(F.col("nulls") > 0, F.concat("items", F.array(F.lit(None)))).otherwise(F.col("items")).alias("items")), "benchmark-leaks")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``_leaked``: array of the distinct item ids found in the text, sorted (empty: clean)."""
+    """``docs`` plus ``_leaked``: array of the distinct item ids found in the text, sorted, null last (empty: clean)."""
     found = leaks(docs, benchmark, text_col, item_col, item_text_col)
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(packed(docs, text_col), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
-    both = rows.join(found, "text_hash", "left").withColumn("words", F.when(F.col("found").isNotNull(), plain_words(F.col("text"))))
-    holds = F.filter("found", lambda one: _verified("words", one))
-    leaked = F.coalesce(F.array_sort(F.array_distinct(F.transform(holds, lambda one: one["item"]))), F.array().cast(f"array<{dict(benchmark.dtypes)[item_col]}>"))
-    return both.select("row", "text", leaked.alias("leaked")).select(
-        *unpacked(docs, text_col, "text", ("_leaked",)), F.col("leaked").alias("_leaked"))
+    rows = docs.select(packed(docs, text_col), F.col(f"`{text_col}`").alias("text"), text_hash(text_col).alias("text_hash"))
+    leaked = F.coalesce("items", F.array().cast(dict(found.dtypes)["items"]))
+    return rows.join(found, "text_hash", "left").select(*unpacked(docs, text_col, "text", ("_leaked",)), leaked.alias("_leaked"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+               item_text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has no benchmark passage."""
+    found = leaks(docs, benchmark, text_col, item_col, item_text_col).select("text_hash")
+    return docs.join(found, F.xxhash64(F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))) == found["text_hash"], "left_anti")
