@@ -1,14 +1,10 @@
 from fieldmodes.functions.vector import (  # noqa: F401
     lat_weight,
     vaffine,
-    vconcat,
-    vdot,
-    vhas_null,
     vmean,
     vscale,
     vshift,
     vstd_samp,
-    vsub,
     vsum,
     vsumsq,
 )

@@ -72,24 +72,8 @@ def vaffine(v: ColumnOrName, shift: ColumnOrName, div: ColumnOrName) -> Column:
     return F.zip_with(_c(v), sd, lambda x, p: (x - p["s"]) / p["d"])
 
 
-def vdot(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """Dot product of two equal-length row vectors."""
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def vsub(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """Element-wise difference."""
-    return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
-
-
-def vconcat(*vs: ColumnOrName) -> Column:
-    """Concatenate row vectors in argument order."""
-    return F.concat(*[_c(v) for v in vs])
-
-
-def vhas_null(v: ColumnOrName) -> Column:
-    """True when a vector is NULL or holds a NULL cell."""
-    return _c(v).isNull() | F.exists(_c(v), lambda x: x.isNull())
 
 
 def lat_weight(lat_deg: ColumnOrName) -> Column:

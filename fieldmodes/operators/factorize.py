@@ -5,16 +5,20 @@ methods find the top right singular vectors V (m x k, small, driver) with
 passes over A, then refine sigma by a TSQR of A V (Rayleigh-Ritz) and
 leave U = A V diag(1/sigma) as a *lazy distributed* DataFrame.
 
-exact       m <= GRAM_MAX_COLS: one Gram pass + symmetric eigensolver;
-            wider: MLlib's distributed ARPACK (``IndexedRowMatrix.computeSVD``).
+exact       block Krylov iteration on 1/n A^T A to a tolerance, the same at
+            every width; ``product`` says whether each step is a distributed
+            pass or a product with the Gram formed in one pass.
+            ``solver='mllib'``: ``IndexedRowMatrix.computeSVD`` instead.  MLlib
+            solves fields below 100 columns on the driver.
 randomized  Gaussian start, q rounds of ``1/n A^T A Y`` + QR (one pass each),
             then Rayleigh-Ritz (fixes the reference's zero product and
             arbitrary truncation, defects 1-2).
-Passes over A: exact 2, randomized q + 1 (plus the U output when written).
+Passes over A: exact one per step + 1, randomized q + 1 (plus the U output when written).
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmodes.functions.blocks import sign_fix, sym_eig_desc
-from fieldmodes.operators.products import GRAM_MAX_COLS, cov_multiply, gram, right_multiply, tsqr_r
+from fieldmodes.operators.products import cov_multiply, gram, right_multiply, tsqr_r
 from fieldmodes.operators.stats import dims, materialize_dims
 
 RANK_TOL = 1e-9  # components with sigma <= RANK_TOL * sigma_1 are dropped
@@ -41,8 +45,9 @@ class EOFResult:
     n_cols: int
     k_requested: int
     method: str
-    converged: bool = True
-    iterations: int = 0
+    converged: bool | None = None  # None: a method of a fixed number of rounds
+    iterations: int = 0            # products with A^T A
+    residual: float | None = None  # max ||C v - lambda v|| / lambda_1 of the returned vectors
     info: dict = field(default_factory=dict)
 
     @property
@@ -91,27 +96,81 @@ def _finish(mat: DataFrame, basis: np.ndarray, k: int, n: int, m: int, method: s
     return EOFResult(u=u, s=sig, v=v, n_rows=n, n_cols=m, k_requested=k, method=method, **info)
 
 
-def eof_exact(mat: DataFrame, k: int, tol: float = 1e-13, max_iter: int = 300,
-              gram_max_cols: int = GRAM_MAX_COLS, n_rows: int | None = None,
-              n_cols: int | None = None) -> EOFResult:
-    """Exact top-k EOFs (F1, F7).  ``mat`` should be persisted by the caller."""
+def krylov_eigs(apply, m: int, k: int, tol: float, max_iter: int, seed: int | None = 0,
+                start: np.ndarray | None = None, max_blocks: int = 8):
+    """Top-k eigenpairs of a symmetric operator by block Krylov iteration with Rayleigh-Ritz.
+
+    ``apply(y)`` multiplies an m x b block.  After each product the Ritz pairs
+    and their exact residuals come from the stored products; past ``max_blocks``
+    blocks the basis restarts from the leading Ritz vectors.  Driver memory:
+    2 x max_blocks blocks of m x (k + OVERSAMPLE).
+    Returns (vectors, values, products, residual, converged)."""
+    b = min(m, k + OVERSAMPLE)
+    y = gaussian_start(m, b, seed)
+    if start is not None:
+        y[:, :start.shape[1]] = start[:, :b]
+    y = np.linalg.qr(y)[0]
+    q, cq = np.zeros((m, 0)), np.zeros((m, 0))
+    done = 0
+    while True:
+        w = apply(y)
+        done += 1
+        q, cq = np.hstack([q, y]), np.hstack([cq, w])
+        lam, s = sym_eig_desc(q.T @ cq)
+        lam_k, v = lam[:k], q @ s[:, :k]
+        scale = max(abs(lam[0]), np.finfo(float).tiny)
+        res = float(np.max(np.linalg.norm(cq @ s[:, :k] - v * lam_k, axis=0)) / scale)
+        if res <= tol or done >= max_iter:
+            return v, lam_k, done, res, res <= tol
+        for _ in range(2):  # twice is enough
+            w = w - q @ (q.T @ w)
+        y, r = np.linalg.qr(w)
+        y = y[:, np.abs(np.diag(r)) > 1e-12 * scale]
+        if q.shape[1] + y.shape[1] > m or not y.shape[1]:  # the basis spans all there is
+            return v, lam_k, done, res, res <= max(tol, 1e-8)
+        y = np.linalg.qr(y - q @ (q.T @ y))[0]
+        if q.shape[1] + y.shape[1] > max_blocks * b:
+            keep = s[:, :2 * b]
+            q, cq = q @ keep, cq @ keep
+
+
+def eof_exact(mat: DataFrame, k: int, tol: float = 1e-10, max_iter: int = 300, product: str = "distributed",
+              solver: str = "krylov", n_rows: int | None = None, n_cols: int | None = None,
+              seed: int | None = 0) -> EOFResult:
+    """Exact top-k EOFs (F1, F7), iterated until every residual is below ``tol`` x lambda_1.
+
+    ``mat`` should be persisted by the caller.  If ``max_iter`` products do not
+    suffice, the result says ``converged=False`` and a warning is raised."""
     if n_rows is None or n_cols is None:
         n_rows, n_cols = dims(mat)
     _check_k(k, n_cols, "exact")
-    if n_cols <= gram_max_cols:
-        g = gram(mat, n_cols, n_rows)
-        lam, vecs = sym_eig_desc(g)
-        basis = vecs[:, :k]
-        info = {"iterations": 1}
+    if solver == "mllib":
+        basis = _mllib_right_vectors(mat, k, n_rows, n_cols)
+        cv = cov_multiply(mat, basis, n_rows)
+        lam = np.sum(basis * cv, axis=0)
+        res = float(np.max(np.linalg.norm(cv - basis * lam, axis=0)) / max(lam.max(initial=0.0), np.finfo(float).tiny))
+        done, ok = 1, res <= max(tol, 1e-8)
+    elif solver == "krylov":
+        basis, _, done, res, ok = krylov_eigs(_product(mat, product, n_rows, n_cols), n_cols, k, tol, max_iter, seed)
     else:
-        basis, iters = _mllib_right_vectors(mat, k, n_rows, n_cols, tol, max_iter)
-        info = {"iterations": iters}
-    return _finish(mat, basis, k, n_rows, n_cols, "exact", **info)
+        raise ValueError("solver must be 'krylov' or 'mllib'")
+    if not ok:
+        warnings.warn(f"exact EOFs not converged: residual {res:.2e} > {tol:.2e} after {done} products", stacklevel=2)
+    return _finish(mat, basis, k, n_rows, n_cols, "exact", iterations=done, residual=res, converged=ok, info={"product": product, "solver": solver})
 
 
-def _mllib_right_vectors(mat: DataFrame, k: int, n: int, m: int, tol: float, max_iter: int):
-    """Top-k right singular vectors via MLlib's distributed ARPACK driver
-    (the public form of the reference's Lanczos loop)."""
+def _product(mat: DataFrame, product: str, n_rows: int, n_cols: int):
+    """y -> 1/n A^T A y: a pass over A each time, or the Gram of one pass."""
+    if product == "distributed":
+        return lambda y: cov_multiply(mat, y, n_rows)
+    if product == "gram":
+        cov = gram(mat, n_cols, n_rows) / max(n_rows, 1)
+        return lambda y: cov @ y
+    raise ValueError("product must be 'distributed' or 'gram'")
+
+
+def _mllib_right_vectors(mat: DataFrame, k: int, n: int, m: int) -> np.ndarray:
+    """Top-k right singular vectors via MLlib (its own tolerance; the caller checks the residual)."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.mllib.linalg.distributed import IndexedRowMatrix
     from pyspark.mllib.util import MLUtils
@@ -120,8 +179,7 @@ def _mllib_right_vectors(mat: DataFrame, k: int, n: int, m: int, tol: float, max
     df = MLUtils.convertVectorColumnsFromML(df, "vector")
     irm = IndexedRowMatrix(df, numRows=n, numCols=m)
     svd = irm.computeSVD(k, computeU=False, rCond=RANK_TOL)
-    v = np.asarray(svd.V.toArray())
-    return v, 0
+    return np.asarray(svd.V.toArray())
 
 
 def gaussian_start(m: int, l: int, seed: int | None) -> np.ndarray:
@@ -131,28 +189,19 @@ def gaussian_start(m: int, l: int, seed: int | None) -> np.ndarray:
 
 def eof_randomized(mat: DataFrame, k: int, oversample: int = OVERSAMPLE, power_iters: int = POWER_ITERS,
                    seed: int | None = 0, n_rows: int | None = None, n_cols: int | None = None,
-                   product: str = "auto") -> EOFResult:
+                   product: str = "distributed") -> EOFResult:
     """Randomized top-k EOFs (F2): q rounds of 1/n A^T A Y + QR, then Rayleigh-Ritz.
 
-    product  'distributed': one pass over A per round;
-             'gram': one pass forms A^T A, the rounds run on the m x m Gram;
-             'auto': 'gram' when m <= GRAM_MAX_COLS and the Gram costs no more
-                     flops than the q products (m <= 2 q (k+p)), else distributed.
+    product  'distributed': one pass over A per round, at every width;
+             'gram': one pass forms A^T A, the rounds run on the m x m Gram.
     """
     if n_rows is None or n_cols is None:
         n_rows, n_cols = dims(mat)
     _check_k(k, n_cols, "randomized")
-    if product not in ("auto", "gram", "distributed"):
-        raise ValueError("product must be 'auto', 'gram' or 'distributed'")
-    l = min(k + oversample, n_cols)
-    if product == "auto":
-        product = "gram" if n_cols <= GRAM_MAX_COLS and n_cols <= 2 * max(power_iters, 1) * l else "distributed"
-    y = gaussian_start(n_cols, l, seed)
-    y, _ = np.linalg.qr(y)
-    cov = gram(mat, n_cols, n_rows) / max(n_rows, 1) if product == "gram" else None
+    y = np.linalg.qr(gaussian_start(n_cols, min(k + oversample, n_cols), seed))[0]
+    apply = _product(mat, product, n_rows, n_cols)
     for _ in range(power_iters):
-        y = cov @ y if cov is not None else cov_multiply(mat, y, n_rows)
-        y, _ = np.linalg.qr(y)
+        y = np.linalg.qr(apply(y))[0]
     return _finish(mat, y, k, n_rows, n_cols, "randomized", iterations=power_iters, info={"product": product})
 
 
@@ -172,7 +221,7 @@ def to_eofs(u: DataFrame, fat: np.ndarray) -> EOFResult:
 def compute_eofs(mat: DataFrame, k: int, method: str = "exact", **kw) -> EOFResult | dict:
     """Method dispatch (F4): 'exact', 'randomized' or 'both'."""
     if method == "exact":
-        return eof_exact(mat, k, **{a: b for a, b in kw.items() if a in ("tol", "max_iter", "gram_max_cols", "n_rows", "n_cols")})
+        return eof_exact(mat, k, **{a: b for a, b in kw.items() if a in ("tol", "max_iter", "product", "solver", "seed", "n_rows", "n_cols")})
     if method == "randomized":
         return eof_randomized(mat, k, **{a: b for a, b in kw.items()
                                          if a in ("oversample", "power_iters", "seed", "n_rows", "n_cols", "product")})

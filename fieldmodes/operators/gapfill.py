@@ -1,84 +1,117 @@
 """DINEOF gap filling (E7): infer missing cells by iterated truncated EOF
 reconstruction (Beckers & Rixen 2003).
 
-Round 0 fills each missing cell with its row mean.  Each round computes
-the top-k temporal EOFs V of the current row-centered field and replaces
-only the missing cells by the rank-k reconstruction mean + (x - mean) V V^T,
-until the RMS
-change of the filled cells drops below ``tol``.  Every round is a Spark
-pass with V broadcast; the field is checkpointed into the shared
-checkpoint folder each round so lineage never grows and a lost executor
-only recomputes one round.
+Round 0 fills each missing cell with its row mean.  Each round computes the
+top-k temporal EOFs V of the row-centered current field (one solver at every
+width, started from the last V) and replaces only the missing cells by the
+rank-k reconstruction mean + (x - mean) V V^T, until the RMS change of the
+filled cells drops below ``tol``.
+
+The observed matrix never changes: it is partitioned by row once and kept.
+What a round adds to a row is its mean and k coefficients; that table is
+written to the shared folder (it cuts the lineage and survives a lost
+executor) and replaces the one of the round before, which is deleted.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmodes.functions.blocks import list_column_to_matrix, matrix_to_list_array, sym_eig_desc
-from fieldmodes.functions.vector import vfill_null, vmean, vshift
-from fieldmodes.operators.products import GRAM_MAX_COLS, cov_multiply, gram
-from fieldmodes.session import ensure_checkpoint_dir
+from fieldmodes.functions.blocks import AlignmentError, list_column_to_matrix, matrix_to_list_array
+from fieldmodes.operators.factorize import krylov_eigs
+from fieldmodes.operators.products import arrow_batch_guard, cov_multiply
+from fieldmodes.session import delete_path, scratch_path
+
 
+def _with_gaps(arr: pa.Array, m: int) -> np.ndarray:
+    """list<double> column -> (n, m) array, NULL cells as NaN."""
+    if arr.null_count:
+        raise AlignmentError("NULL row vector in matrix block")
+    if len(arr) and (pc.list_value_length(arr).to_numpy() != m).any():
+        raise AlignmentError(f"row vectors are not all of length {m}")
+    return pc.fill_null(arr.flatten(), float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(arr), m)
 
-def _top_v(cur: DataFrame, m: int, k: int, n: int, seed: int) -> np.ndarray:
-    if m <= GRAM_MAX_COLS:
-        _, vecs = sym_eig_desc(gram(cur, m, n))
-        return vecs[:, :k]
-    y = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, min(m, k + 5))))[0]
-    for _ in range(4):
-        y = np.linalg.qr(cov_multiply(cur, y, n))[0]
-    return y[:, :k]
+
+def _filled(batch: pa.RecordBatch, v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(current field, gaps) of a batch: gaps hold mean + coefficients V^T."""
+    x = _with_gaps(batch.column("vector"), m)
+    gap = np.isnan(x)
+    coef = list_column_to_matrix(batch.column("coef"), v.shape[1]) if batch.num_rows else np.zeros((0, v.shape[1]))
+    rec = batch.column("mu").to_numpy(zero_copy_only=False)[:, None] + coef @ v.T
+    return np.where(gap, rec, x), gap
 
 
 def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: float = 1e-6,
                 seed: int = 0) -> tuple[DataFrame, dict]:
     """Fill NULL cells of ``(row_id, vector)``; returns (filled, info).
 
-    The row means are re-estimated from the current filled rows each round,
-    so gaps do not bias the centering.  Output:
-    ``(row_id, vector, filled ARRAY<BOOLEAN>)`` with no NULL cells.
-    """
+    Row ids are unique.  The row means are re-estimated from the current filled
+    rows each round, so gaps do not bias the centering.  A NaN cell counts as
+    missing.  Output: ``(row_id, vector, filled ARRAY<BOOLEAN>)`` with no NULL
+    cells.  ``info``: iterations, rms_change, n_missing, converged; a field that
+    is not converged after ``max_iter`` rounds comes with a warning."""
     spark = mat.sparkSession
-    ensure_checkpoint_dir(spark)
-    miss = F.transform("vector", lambda x: x.isNull())
-    present = F.filter("vector", lambda x: x.isNotNull())
-    present_mean = F.when(F.size(present) > 0,
-                          F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present)).otherwise(0.0)
-    cur = mat.select("row_id", "vector", miss.alias("miss"), present_mean.alias("m0"))
-    cur = cur.select("row_id", vfill_null("vector", "m0").alias("vector"), "miss").checkpoint()
-    n = cur.count()
-    n_missing = cur.agg(F.sum(F.size(F.filter("miss", lambda b: b)))).first()[0] or 0
+    arrow_batch_guard(spark)
+    k = min(k, n_cols)
+    obs = mat.select("row_id", "vector").repartition("row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    missing = lambda x: x.isNull() | F.isnan(x)
+    there = F.filter("vector", lambda x: ~missing(x))
+    mean = F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)).otherwise(0.0)
+    n, n_missing = obs.agg(F.count("*"), F.coalesce(F.sum(F.size(F.filter("vector", missing))), F.lit(0))).first()
+    path = scratch_path(spark, "dineof-state")
+    obs.select("row_id", mean.alias("mu"), F.array_repeat(F.lit(0.0), k).alias("coef"), F.lit(0.0).alias("d2")).write.parquet(path)
+    v = np.zeros((n_cols, k))
     info = {"iterations": 0, "rms_change": None, "n_missing": int(n_missing), "converged": n_missing == 0}
-    for it in range(max_iter if n_missing else 0):
-        centered = cur.select("row_id", vshift("vector", vmean("vector")).alias("vector"))
-        v = _top_v(centered, n_cols, k, n, seed)
+
+    def current(v: np.ndarray, fn, schema: str) -> DataFrame:
         bc = spark.sparkContext.broadcast(v)
 
-        def step(batches):
-            vv = bc.value
+        def run(batches):
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = list_column_to_matrix(b.column("vector"), n_cols)
-                mk = list_column_to_matrix(b.column("miss").cast(pa.list_(pa.float64())), n_cols) > 0.5
-                mu = x.mean(axis=1, keepdims=True)
-                rec = ((x - mu) @ vv) @ vv.T + mu
-                new = np.where(mk, rec, x)
-                d2 = np.sum((new - x) ** 2, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("row_id"), matrix_to_list_array(new), b.column("miss"), pa.array(d2)],
-                    names=["row_id", "vector", "miss", "d2"])
-
-        nxt = cur.mapInArrow(step, "row_id bigint, vector array<double>, miss array<boolean>, d2 double")
-        nxt = nxt.checkpoint()  # reliable: cuts lineage, survives executor loss
-        rms = float(np.sqrt((nxt.agg(F.sum("d2")).first()[0] or 0.0) / n_missing))
-        cur = nxt.drop("d2")
+                if b.num_rows:
+                    yield fn(b, *_filled(b, bc.value, n_cols))
+        return obs.join(spark.read.parquet(path), "row_id").mapInArrow(run, schema)  # the cached side does not move
+
+    def centered(b, x, gap):
+        return pa.RecordBatch.from_arrays([b.column("row_id"), matrix_to_list_array(x - x.mean(axis=1, keepdims=True))], names=["row_id", "vector"])
+
+    for it in range(max_iter if n_missing and n else 0):
+        field = current(v, centered, "row_id bigint, vector array<double>")
+        new_v, _, _, res, ok = krylov_eigs(lambda y: cov_multiply(field, y, n), n_cols, k, 1e-8, 100, seed, v if it else None)
+        bc = spark.sparkContext.broadcast(new_v)
+
+        def step(b, x, gap, bc=bc):
+            mu = x.mean(axis=1, keepdims=True)
+            coef = (x - mu) @ bc.value
+            change = np.where(gap, mu + coef @ bc.value.T - x, 0.0)
+            return pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(mu[:, 0]), matrix_to_list_array(coef), pa.array((change ** 2).sum(axis=1))],
+                                              names=["row_id", "mu", "coef", "d2"])
+
+        after = scratch_path(spark, "dineof-state")
+        current(v, step, "row_id bigint, mu double, coef array<double>, d2 double").write.parquet(after)
+        delete_path(spark, path)
+        path, v = after, new_v
+        rms = float(np.sqrt(spark.read.parquet(path).agg(F.sum("d2")).first()[0] / n_missing))
         info.update(iterations=it + 1, rms_change=rms)
-        if rms < tol:
+        if rms < tol and ok:
             info["converged"] = True
             break
-    return cur.select("row_id", "vector", F.col("miss").alias("filled")), info
+    if not info["converged"]:
+        warnings.warn(f"gap filling not converged: RMS change {info['rms_change']} after {info['iterations']} rounds", stacklevel=2)
+
+    def final(b, x, gap):
+        flags = pa.ListArray.from_arrays(pa.array(np.arange(0, gap.size + 1, n_cols, dtype=np.int32)), pa.array(gap.reshape(-1)))
+        return pa.RecordBatch.from_arrays([b.column("row_id"), matrix_to_list_array(x), flags], names=["row_id", "vector", "filled"])
+
+    done = scratch_path(spark, "dineof-filled")
+    current(v, final, "row_id bigint, vector array<double>, filled array<boolean>").write.parquet(done)
+    delete_path(spark, path)
+    obs.unpersist()
+    return spark.read.parquet(done), info

@@ -4,21 +4,23 @@ The row matrix ``(row_id, vector)`` stays on executors.  Each task turns
 its Arrow batches into one NumPy block and does one GEMM per batch,
 accumulating a single partial per partition (map-side combine).  Partials
 are cut into row blocks keyed by ``block_id`` and summed per block in a
-grouped Arrow reduce, so the reduce is parallel across blocks and every
-group's size is bounded (block rows are chosen from the partition count).
+grouped Arrow reduce in a tree of fixed fan-out, so the reduce is parallel
+across blocks and every group's size is bounded (FANOUT partials of a block).
 Only the m x r result reaches the driver: the reference's "never form
 A^T A, multiply by it" design.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmodes.functions.blocks import (
-    assemble_blocks,
     list_column_to_matrix,
     matrix_to_list_array,
     qr_r,
@@ -26,16 +28,16 @@ from fieldmodes.functions.blocks import (
     stack_r,
 )
 
-# Upper bound on the bytes one reduce group holds (partials x block size).
+# Upper bound on the bytes one reduce group holds: FANOUT partials of one row block.
 GROUP_TARGET_BYTES = 64 << 20
-# When all partials together (partitions x m_out x r_out doubles) stay below
-# this, the driver sums them directly (treeAggregate's last step) and the
-# grouped reduce stage is skipped.  Checked before every product.
+FANOUT = 64
+# When all partials together stay below this (counted, not estimated), the
+# driver adds them, the last step of a tree aggregate.
 DRIVER_PARTIALS_MAX_BYTES = 16 << 20
-# Above this many columns the m x m Gram is no longer a "small square".
+# The driver takes an m x m Gram up to this width (32 MB); ``gram_long`` has no limit.
 GRAM_MAX_COLS = 2048
 
-_PARTIAL_SCHEMA = "block_id int, data array<double>"
+_PARTIAL_SCHEMA = "g bigint, block_id int, data array<double>"
 # Arrow batches handed to Python are capped in bytes, not rows: a row of
 # 46,715 doubles is 374 KB, so a row-count cap alone could build GB batches.
 ARROW_BATCH_BYTES = 64 << 20
@@ -53,25 +55,20 @@ def arrow_batch_guard(spark) -> None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
-def num_partitions(df: DataFrame) -> int:
-    arrow_batch_guard(df.sparkSession)
-    return max(1, df.rdd.getNumPartitions())
-
-
-def _block_rows(m: int, r: int, parts: int) -> int:
-    return int(max(1, min(m, GROUP_TARGET_BYTES // (8 * max(r, 1) * max(parts, 1)))))
+def _block_rows(m: int, r: int) -> int:
+    return int(max(1, min(m, GROUP_TARGET_BYTES // (8 * max(r, 1) * FANOUT))))
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
     """Grouped reduce: element-wise sum of the partials of one block."""
-    b = table.column("block_id")[0].as_py()
     x = list_column_to_matrix(table.column("data"))
     s = x.sum(axis=0)[None, :]
-    return pa.table({"block_id": pa.array([b], pa.int32()), "data": matrix_to_list_array(s)})
+    return pa.table({"g": table.column("g")[:1], "block_id": table.column("block_id")[:1], "data": matrix_to_list_array(s)})
 
 
 def _partials_fn(kernel, br: int, bcast):
     def per_partition(batches):
+        from pyspark import TaskContext
         acc = None
         bval = bcast.value if bcast is not None else None
         for batch in batches:
@@ -83,41 +80,51 @@ def _partials_fn(kernel, br: int, bcast):
         bids, datas = zip(*split_rows(acc, br))
         offs = np.cumsum([0] + [len(d) for d in datas]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bids, pa.int32()),
+            [pa.array([TaskContext.get().partitionId()] * len(bids), pa.int64()), pa.array(bids, pa.int32()),
              pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(datas)))],
-            names=["block_id", "data"])
+            names=["g", "block_id", "data"])
     return per_partition
 
 
-def _reduced_blocks(df: DataFrame, kernel, m_out: int, r_out: int, bcast=None):
-    """Run ``kernel(batch, bvalue) -> (m_out, r_out)`` on every Arrow batch,
-    sum per partition (one partial per task), then per row block across
-    partitions.  Returns the distributed ``(block_id, data)`` sums and the
-    block height."""
-    br = _block_rows(m_out, r_out, num_partitions(df))
-    red = df.mapInArrow(_partials_fn(kernel, br, bcast), _PARTIAL_SCHEMA).groupBy("block_id").applyInArrow(
-        _sum_blocks, _PARTIAL_SCHEMA)
-    return red, br
+def _partials(df: DataFrame, kernel, br: int, bcast=None) -> DataFrame:
+    """One partial per task, cut into row blocks: (g = task, block_id, data)."""
+    arrow_batch_guard(df.sparkSession)
+    return df.mapInArrow(_partials_fn(kernel, br, bcast), _PARTIAL_SCHEMA)
+
+
+def _tree(partials: DataFrame, n: int | None = None) -> DataFrame:
+    """Sum partials per block in a tree: a group holds at most FANOUT partials of a block.
+
+    ``n``: number of tasks; None: unknown, three levels (up to FANOUT^3 tasks)."""
+    for _ in range(2 if n is None else 20):
+        if n is not None and n <= FANOUT:
+            break
+        partials = (partials.withColumn("g", F.floor(F.col("g") / FANOUT).cast("long"))
+                    .groupBy("block_id", "g").applyInArrow(_sum_blocks, _PARTIAL_SCHEMA))
+        n = None if n is None else (n + FANOUT - 1) // FANOUT
+    return partials.groupBy("block_id").applyInArrow(_sum_blocks, _PARTIAL_SCHEMA)
 
 
 def _sum_partials(df: DataFrame, kernel, m_out: int, r_out: int, bcast=None) -> np.ndarray:
     """Sum of ``kernel`` over all batches as an (m_out, r_out) array.
 
-    Small total partial size (measured: partitions x m_out x r_out): the
-    driver adds the per-task partials.  Otherwise a parallel per-block
-    reduce on executors, so the driver only receives the final sum."""
-    parts = num_partitions(df)
-    if parts * m_out * r_out * 8 <= DRIVER_PARTIALS_MAX_BYTES:
+    The input is scanned once: the partials are persisted, counted, and then
+    added by the driver if they are small, else per block in a tree on the
+    executors, so the driver only receives the final sum."""
+    br = _block_rows(m_out, r_out)
+    parts = _partials(df, kernel, br, bcast).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = parts.agg(F.countDistinct("g"), F.max("g")).first()
+        small = n[0] * m_out * r_out * 8 <= DRIVER_PARTIALS_MAX_BYTES
+        rows = parts if small else _tree(parts, (n[1] or 0) + 1)
         out = np.zeros((m_out, r_out))
-        for row in df.mapInArrow(_partials_fn(kernel, m_out, bcast), _PARTIAL_SCHEMA).collect():
-            out += np.asarray(row["data"], dtype=np.float64).reshape(m_out, r_out)
+        for row in rows.select("block_id", "data").collect():
+            blk = np.asarray(row["data"], dtype=np.float64).reshape(-1, r_out)
+            start = row["block_id"] * br
+            out[start:start + blk.shape[0]] += blk
         return out
-    return _collect_blocks(*_reduced_blocks(df, kernel, m_out, r_out, bcast), m_out, r_out)
-
-
-def _collect_blocks(red: DataFrame, br: int, m_out: int, r_out: int) -> np.ndarray:
-    rows = [(r["block_id"], r["data"]) for r in red.collect()]  # m_out x r_out in total
-    return assemble_blocks(rows, m_out, r_out, br)
+    finally:
+        parts.unpersist()
 
 
 def _x(batch, width=None):
@@ -128,41 +135,46 @@ def _broadcast(mat: DataFrame, value):
     return mat.sparkSession.sparkContext.broadcast(value)
 
 
-def _gram_kernel(n_cols: int):
-    if n_cols > GRAM_MAX_COLS:
-        raise ValueError(f"{n_cols} columns: the Gram matrix is too wide; use cov_multiply")
-
-    def k(batch, _):
-        x = _x(batch, n_cols)
-        return x.T @ x
-    return k
-
-
 def gram(mat: DataFrame, n_cols: int, n_rows: int | None = None) -> np.ndarray:
-    """A^T A (m x m) in one pass (D9).  Only for m <= GRAM_MAX_COLS.
+    """A^T A (m x m) on the driver, in one pass (D9); for m <= GRAM_MAX_COLS.
 
-    Each task emits an m x m partial, so the partials total tasks * m^2
-    doubles.  With the row count known, tasks are merged (``coalesce``, no
-    shuffle) until each holds at least 4m rows: the partials then stay
-    under a quarter of the input size."""
+    Each task emits an m x m partial.  With the row count known, tasks are
+    merged (``coalesce``, no shuffle) until each holds at least 4m rows, but
+    never below the parallelism of the cluster."""
+    if n_cols > GRAM_MAX_COLS:
+        raise ValueError(f"{n_cols} columns: the Gram matrix is too wide for the driver; use cov_multiply or gram_long")
     x = mat.select("vector")
     if n_rows:
-        max_tasks = max(1, n_rows // (4 * n_cols))
-        if num_partitions(x) > max_tasks:
-            x = x.coalesce(max_tasks)
-    return _sum_partials(x, _gram_kernel(n_cols), n_cols, n_cols)
-
-
-def _gram_blocks(mat: DataFrame, n_cols: int):
-    return _reduced_blocks(mat.select("vector"), _gram_kernel(n_cols), n_cols, n_cols)
+        x = x.coalesce(max(mat.sparkSession.sparkContext.defaultParallelism, n_rows // (4 * n_cols)))
 
-
-def gram_long(mat: DataFrame, n_cols: int) -> DataFrame:
-    """A^T A as a distributed long table ``(i, j, value)`` — never collected."""
-    red, br = _gram_blocks(mat, n_cols)
-    cells = red.select("block_id", F.posexplode("data").alias("p", "value"))
-    i = F.col("block_id") * br + F.floor(F.col("p") / n_cols)
-    return cells.select(i.cast("int").alias("i"), F.pmod("p", F.lit(n_cols)).cast("int").alias("j"), "value")
+    def k(batch, _):
+        a = _x(batch, n_cols)
+        return a.T @ a
+    return _sum_partials(x, k, n_cols, n_cols)
+
+
+def gram_long(mat: DataFrame, n_cols: int, panel: int = GRAM_MAX_COLS) -> DataFrame:
+    """A^T A as a distributed long table ``(i, j, value)``, never collected, at any width.
+
+    Columns are cut into panels; each pair of panels is one pass whose task
+    partials are panel x panel squares (32 MB), and its mirror image is free."""
+    out = []
+    for lo_i in range(0, n_cols, panel):
+        for lo_j in range(lo_i, n_cols, panel):
+            hi_i, hi_j = min(n_cols, lo_i + panel), min(n_cols, lo_j + panel)
+            r = hi_j - lo_j
+
+            def k(batch, _, si=slice(lo_i, hi_i), sj=slice(lo_j, hi_j)):
+                a = _x(batch, n_cols)
+                return a[:, si].T @ a[:, sj]
+            br = _block_rows(hi_i - lo_i, r)
+            cells = _tree(_partials(mat.select("vector"), k, br)).select("block_id", F.posexplode("data").alias("p", "value"))
+            ij = cells.select((F.lit(lo_i) + F.col("block_id") * br + F.floor(F.col("p") / r)).cast("int").alias("i"),
+                              (F.lit(lo_j) + F.pmod("p", F.lit(r))).cast("int").alias("j"), "value")
+            out.append(ij)
+            if lo_i != lo_j:
+                out.append(ij.select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def cov_multiply(mat: DataFrame, rhs: np.ndarray, n_rows: int | None = None) -> np.ndarray:
@@ -255,13 +267,16 @@ def tsqr_r(mat: DataFrame, k: int, rhs: np.ndarray | None = None, fanout: int =
         return pa.table({"g": pa.array([g], pa.int64()), "r": matrix_to_list_array(r.reshape(1, -1))})
 
     try:
-        level = mat.select("row_id", "vector").mapInArrow(per_partition, "g bigint, r array<double>")
-        n = num_partitions(mat)
+        arrow_batch_guard(mat.sparkSession)
+        first = mat.select("row_id", "vector").mapInArrow(per_partition, "g bigint, r array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+        n = (first.agg(F.max("g")).first()[0] or 0) + 1  # the input is scanned once
+        level = first
         while n > fanout:  # tree levels: groups of `fanout` consecutive partials
             level = (level.withColumn("g", F.floor(F.col("g") / fanout).cast("long"))
                      .groupBy("g").applyInArrow(combine, "g bigint, r array<double>"))
             n = (n + fanout - 1) // fanout
         rows = [np.asarray(r["r"]) for r in level.collect()]  # at most `fanout` k x k squares
+        first.unpersist()
     finally:
         if bc is not None:
             bc.unpersist()

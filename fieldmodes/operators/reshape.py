@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A dimension table is broadcast only below this many rows; the count is
@@ -106,7 +106,7 @@ def dense_index(df: DataFrame, order_cols: list[str] | None, out_col: str = "idx
 
 def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
                row: str = "row_id", col: str = "record_id", value: str = "value",
-               on_missing: str = "error", on_duplicate: str = "error",
+               on_missing: str = "error", on_duplicate: str = "error", on_unknown: str = "error",
                n_cols: int | None = None, pre_aggregate: bool = True) -> DataFrame:
     """Triplets -> ``(row_id BIGINT, vector ARRAY<DOUBLE>)``.
 
@@ -115,8 +115,12 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
 
     on_missing    'error' (fail), 'null' (NULL in place), 'drop_row', or
                   'zero' (0.0 in place: for fields of sums, where no
-                  observation means a zero total)
+                  observation means a zero total).  A NULL value is a missing
+                  cell; what 'drop_row' drops is counted by ``pivot_report``
     on_duplicate  'error' (fail) or an aggregate: 'avg' 'sum' 'min' 'max'
+    on_unknown    a record that is NULL or not in ``col_order``: 'error', or
+                  'drop' for a column order that is a block of the records
+    NaN and infinite values fail: no product may run on them.
     pre_aggregate collapse duplicate cells map-side before the row shuffle
                   (default; guards against hot duplicated copies).  Pass
                   False when the triplets come out of a groupBy on
@@ -127,6 +131,8 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
         raise ValueError(f"on_missing must be one of {_MISSING}")
     if on_duplicate not in _DUP_AGGS:
         raise ValueError(f"on_duplicate must be one of {tuple(_DUP_AGGS)}")
+    if on_unknown not in ("error", "drop"):
+        raise ValueError("on_unknown must be 'error' or 'drop'")
     if col_order is None:
         col_order = column_order(triplets, col)
     if n_cols is None:
@@ -136,8 +142,16 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
     # A cell without a location belongs to no row; fail before the shuffle
     # (NULL keys would all meet in one task).
     rid = F.when(rid.isNull(), F.raise_error(F.lit("triplet with NULL row id")).cast("long")).otherwise(rid)
-    t = triplets.select(rid.alias("row_id"), col, F.col(value).cast("double").alias("value"))
-    t = t.join(maybe_broadcast(co, n_cols), col).drop(col)
+    v = F.col(value).cast("double")
+    bad = F.isnan(v) | (F.abs(v) == float("inf"))
+    v = F.when(bad, F.raise_error(F.concat(F.lit("non-finite value in row "), rid.cast("string"))).cast("double")).otherwise(v)
+    t = triplets.select(rid.alias("row_id"), col, v.alias("value"))
+    if on_unknown == "drop":
+        t = t.join(maybe_broadcast(co, n_cols), col).drop(col)
+    else:
+        t = t.join(maybe_broadcast(co, n_cols), col, "left")
+        lost = F.raise_error(F.concat(F.lit("record not in the column order: "), F.coalesce(F.col(col).cast("string"), F.lit("NULL"))))
+        t = t.select("row_id", F.when(F.col("col_pos").isNull(), lost.cast("int")).otherwise(F.col("col_pos")).alias("col_pos"), "value")
     if pre_aggregate or on_duplicate != "error":
         # Stage 1: one value per cell.  Map-side partial aggregation collapses
         # a hot duplicated cell before the shuffle.
@@ -151,6 +165,7 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
         rows = t.groupBy("row_id").agg(F.collect_list(F.struct("col_pos", "value")).alias("_cells"))
         n_distinct = F.size(F.array_distinct(F.transform("_cells", lambda x: x["col_pos"])))
         rows = rows.withColumn("_dup", F.when(n_distinct < F.size("_cells"), F.lit(2)).otherwise(F.lit(1)))
+    rows = rows.withColumn("_cells", F.filter("_cells", lambda x: x["value"].isNotNull()))  # a NULL value is no cell
     dense = F.transform(F.array_sort("_cells"), lambda x: x["value"])
     if on_missing in ("null", "zero"):
         # Rows with gaps: real cells + one fill cell per position, sorted by
@@ -182,6 +197,20 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
     return rows.select("row_id", vec.cast("array<double>").alias("vector"))
 
 
+def pivot_report(triplets: DataFrame, col_order: DataFrame, n_cols: int, *, row: str = "row_id",
+                 col: str = "record_id", value: str = "value") -> DataFrame:
+    """What a pivot loses, one row: rows seen, rows with a gap (dropped by 'drop_row'),
+    NULL cells, triplets whose record is NULL or not in the column order."""
+    t = triplets.select(F.col(row).alias("row_id"), F.col(col).alias("rec"), F.col(value).alias("value"))
+    t = t.join(maybe_broadcast(col_order.select("col_pos", F.col(col).alias("rec")), n_cols), "rec", "left")
+    cell = F.col("col_pos").isNotNull() & F.col("value").isNotNull()
+    per = t.groupBy("row_id").agg(F.countDistinct(F.when(cell, F.col("col_pos"))).alias("n"),
+                                  F.count_if(F.col("col_pos").isNotNull() & F.col("value").isNull()).alias("nulls"),
+                                  F.count_if(F.col("col_pos").isNull()).alias("lost"))
+    return per.agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(F.col("n") < n_cols).alias("rows_dropped"),
+                   F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_cells"), F.coalesce(F.sum("lost"), F.lit(0)).alias("unmatched"))
+
+
 def unpivot_rows(mat: DataFrame, vector: str = "vector") -> DataFrame:
     """Row vectors -> ``(row_id, col_pos, value)`` (C4)."""
     return mat.select("row_id", F.posexplode(vector).alias("col_pos", "value")).select(
@@ -192,15 +221,44 @@ TRANSPOSE_BLOCK = 1 << 17  # values per output row block (1 MB of doubles)
 
 
 def group_blocks(long: DataFrame, row: str, pos: str, value: str = "value",
-                 block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
+                 block_size: int = TRANSPOSE_BLOCK, n: int | None = None, on_gap: str = "error") -> DataFrame:
     """Long cells -> ``(row_id, block, vector)`` with at most ``block_size``
     values per row block: the group size stays bounded however long the
-    logical row is.  Position p lands in block p // block_size."""
+    logical row is.  Position p lands in block p // block_size, at p % block_size.
+
+    ``n`` is the logical row length (measured if not given).  A repeated
+    position, one outside 0..n-1 and, with ``on_gap='error'``, a missing one
+    fail; ``on_gap='null'`` puts NULL there.  Blocks without any cell have no row."""
+    if on_gap not in ("error", "null"):
+        raise ValueError("on_gap must be 'error' or 'null'")
+    if n is None:
+        n = (long.agg(F.max(F.col(pos).cast("long"))).first()[0] or 0) + 1
     t = long.select(F.col(row).cast("long").alias("row_id"), F.col(pos).cast("long").alias("_p"),
                     F.col(value).cast("double").alias("value"))
     t = t.withColumn("block", F.floor(F.col("_p") / block_size).cast("int"))
     g = t.groupBy("row_id", "block").agg(F.collect_list(F.struct("_p", "value")).alias("_c"))
-    return g.select("row_id", "block", F.transform(F.array_sort("_c"), lambda x: x["value"]).alias("vector"))
+    first = F.col("block").cast("long") * block_size
+    size = F.least(F.lit(block_size).cast("long"), F.lit(n).cast("long") - first)
+    cells = F.array_sort("_c")
+    places = F.transform(cells, lambda x: x["_p"])
+    at = F.concat(F.lit(" in row "), F.col("row_id").cast("string"), F.lit(", block "), F.col("block").cast("string"))
+
+    def fail(what: str) -> Column:
+        return F.raise_error(F.concat(F.lit(what), at)).cast("array<double>")
+    if on_gap == "error":
+        vector = F.transform(cells, lambda x: x["value"])
+        vector = F.when(F.size(places) < size, fail("missing position")).otherwise(vector)
+    else:  # real cells and one NULL cell a position, sorted: the first of each position stays
+        real = F.transform("_c", lambda x: F.struct(x["_p"].alias("p"), F.lit(0).alias("k"), x["value"].alias("v")))
+        fills = F.transform(F.sequence(first, first + size - 1),
+                            lambda i: F.struct(i.alias("p"), F.lit(1).alias("k"), F.lit(None).cast("double").alias("v")))
+        both = F.array_sort(F.concat(real, fills))
+        g = g.withColumn("_all", both)
+        alls = F.col("_all")
+        vector = F.transform(F.filter(alls, lambda x, j: (j == 0) | (F.get(alls, j - 1)["p"] != x["p"])), lambda x: x["v"])
+    vector = F.when(F.size(F.array_distinct(places)) < F.size(places), fail("repeated position")).otherwise(vector)
+    vector = F.when((F.get(places, F.lit(0)) < 0) | (F.get(places, F.size(places) - 1) >= n), fail("position outside the row")).otherwise(vector)
+    return g.select("row_id", "block", vector.alias("vector"))
 
 
 def unpivot_blocks(blocks: DataFrame, block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
@@ -217,16 +275,18 @@ def transpose(mat: DataFrame, block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
     emitted in blocks: ``(row_id, block, vector)`` (see ``group_blocks``).
     """
     ids = dense_index(mat.select("row_id"), ["row_id"], "new_col")
-    long = unpivot_rows(mat).join(ids, "row_id")
-    return group_blocks(long, "col_pos", "new_col", block_size=block_size)
+    # Ids meet the wide rows; the cells are made after the join.
+    wide = mat.join(ids, "row_id")
+    long = wide.select("new_col", F.posexplode("vector").alias("col_pos", "value"))
+    return group_blocks(long, "col_pos", "new_col", block_size=block_size, n=ids.count())
 
 
 def pivot_components(long: DataFrame, i: str = "i", j: str = "j", value: str = "value",
-                     block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
+                     block_size: int = TRANSPOSE_BLOCK, n: int | None = None, on_gap: str = "error") -> DataFrame:
     """Coordinate triplets (i = 0-based location, j = component) -> per
     component its values over locations (C5: eofs[j, i] = v), in bounded
-    row blocks ``(row_id = component, block, vector)``."""
-    return group_blocks(long, j, i, value, block_size)
+    row blocks ``(row_id = component, block, vector)``; see ``group_blocks``."""
+    return group_blocks(long, j, i, value, block_size, n, on_gap)
 
 
 def hconcat(mats: list[DataFrame], how: str = "inner") -> DataFrame:

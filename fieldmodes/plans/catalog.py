@@ -6,6 +6,8 @@ order does not change the hash.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -467,18 +469,51 @@ def q_eof_rand_3col(spark, sf):
 @register("eof_wide_path_3col", EIG3 + f"SELECT 0 AS component, {s6('sqrt(l1)')} AS sigma FROM ev2 "
           f"UNION ALL SELECT 1, {s6('sqrt(l2)')} FROM ev2")
 def q_eof_wide_3col(spark, sf):
-    """The exact path used above GRAM_MAX_COLS (MLlib distributed solver),
-    forced on the 3-column field."""
+    """MLlib's solver on the 3-column field (MLlib solves fields below 100 columns on the driver)."""
     mat, _, _ = _mat(spark, sf, "supplier_flag")
-    res, cached = fz.run_eofs(mat, 2, "exact", gram_max_cols=0)
+    res, cached = fz.run_eofs(mat, 2, "exact", solver="mllib")
     cached.unpersist()  # only S and V are used below
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
 
 
+# orders x day: one date per order, absent = 0, no centering.  The Gram is diagonal, so
+# sigma_d = sqrt(sum of o_totalprice^2 of the day) and v_d is that day's unit vector.
+_OD = ("SELECT o_orderkey AS row_id, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS record_id, "
+       "o_totalprice / 1e6 AS value FROM orders")
+_OM = ("SELECT o_orderkey AS row_id, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS record_id, "
+       "o_totalprice / 1e6 AS value FROM orders")
+
+
+@register("eof_exact_order_day", f"WITH t AS ({_OD}), c AS ({CO}), d AS (SELECT c.col_pos, sqrt(sum(value * value)) AS sigma "
+          "FROM t JOIN c USING (record_id) GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY sigma DESC, col_pos) - 1 AS k FROM d) "
+          f"SELECT CAST(k AS INTEGER) AS component, col_pos, {s6('sigma')} AS sigma, CAST(1.0 AS DOUBLE) AS v, true AS converged FROM r WHERE k < 3")
+def q_eof_exact_od(spark, sf):
+    """Thousands of columns through the distributed solver, with a known spectrum."""
+    mat, _, _ = _mat(spark, sf, "order_day", on_missing="zero")
+    res, cached = fz.run_eofs(mat, 3, "exact", product="distributed", tol=1e-7)
+    cached.unpersist()  # only S and V are used below
+    v = res.v_df(spark).join(res.s_df(spark), "component").where(F.abs("value") > 1e-3)
+    return v.select("component", "col_pos", r6("sigma").alias("sigma"), r6("value").alias("v"), F.lit(bool(res.converged)).alias("converged"))
+
+
+@register("eof_randomized_order_month", f"WITH t AS ({_OM}), c AS ({CO}), n AS (SELECT count(*) AS m FROM c), d AS (SELECT c.col_pos, "
+          "sqrt(sum(value * value)) * power(0.8, any_value(m) - 1 - c.col_pos) AS sigma FROM t JOIN c USING (record_id), n GROUP BY 1), "
+          "r AS (SELECT *, row_number() OVER (ORDER BY sigma DESC, col_pos) - 1 AS k FROM d) "
+          f"SELECT CAST(k AS INTEGER) AS component, col_pos, {s6('sigma')} AS sigma, CAST(1.0 AS DOUBLE) AS v FROM r WHERE k < 5")
+def q_eof_rand_om(spark, sf):
+    """Randomized EOFs with distributed products on a diagonal spectrum whose leading columns come last:
+    a wrong product, a wrong start or too few rounds change the answer."""
+    mat, _, m = _mat(spark, sf, "order_month", on_missing="zero")
+    decay = F.transform("vector", lambda x, j: x * F.pow(F.lit(0.8), F.lit(m - 1) - j))
+    res, cached = fz.run_eofs(mat.select("row_id", decay.alias("vector")), 5, "randomized", seed=2, product="distributed")
+    cached.unpersist()  # only S and V are used below
+    v = res.v_df(spark).join(res.s_df(spark), "component").where(F.abs("value") > 1e-3)
+    return v.select("component", "col_pos", r6("sigma").alias("sigma"), r6("value").alias("v"))
+
+
 @register("eof_exact_supplier_day")
 def q_eof_exact_sd(spark, sf):
-    """Wide field (supplier x ship day, ~2,500 columns > GRAM_MAX_COLS):
-    exact EOFs through the distributed MLlib solver."""
+    """Wide field (supplier x ship day, ~2,500 columns): exact EOFs, one distributed product per step."""
     mat, _, _ = _mat(spark, sf, "supplier_day", on_missing="zero")
     res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "exact")
     cached.unpersist()  # only S and V are used below
@@ -519,9 +554,9 @@ def q_eof_rand_emb(spark, sf):
 
 @register("eof_mllib_embeddings")
 def q_eof_mllib_emb(spark, sf):
-    """Wide-matrix exact path (MLlib distributed ARPACK) forced on the embeddings."""
+    """MLlib's solver on the embeddings (64 columns: solved on the driver by MLlib)."""
     mat, _, _ = _mat(spark, sf, "vec_dim")
-    res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 5, "exact", gram_max_cols=0)
+    res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 5, "exact", solver="mllib")
     cached.unpersist()  # only S and V are used below
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
 
@@ -534,21 +569,32 @@ def q_eof_coslat(spark, sf):
     return res.u_long().select("row_id", "component", r6("value").alias("value"))
 
 
-@register("compare_factors")
+@register("compare_factors", "SELECT 3 AS k, CAST(0.0 AS DOUBLE) AS u_aligned, CAST(0.0 AS DOUBLE) AS v_aligned, true AS u_flipped, true AS v_flipped")
 def q_compare(spark, sf):
+    """Exact EOFs against a copy with all signs turned: aligned differences are 0, raw ones 2 sqrt(k)."""
     mat, _, _ = _mat(spark, sf, "supplier_year")
-    both, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "both", seed=0)
-    d = ev.compare_factors(both["exact"], both["inexact"])
+    res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "exact")
+    turned = replace(res, v=-res.v, u=fz.project_spatial(cached, -res.v, res.s))
+    d = ev.compare_factors(res, turned)
     cached.unpersist()
-    return spark.createDataFrame([d]).select(*sorted(d))
+    return spark.createDataFrame([(3, round(d["u_frobenius_diff_aligned"], 6) + 0.0, round(d["v_frobenius_diff_aligned"], 6) + 0.0,
+                                   abs(d["u_frobenius_diff"] - 2 * 3 ** 0.5) < 1e-6, abs(d["v_frobenius_diff"] - 2 * 3 ** 0.5) < 1e-6)],
+                                 "k int, u_aligned double, v_aligned double, u_flipped boolean, v_flipped boolean")
+
 
+_PLANT = ("SELECT s.s_suppkey AS row_id, CAST(y.comp AS INTEGER) AS col_pos, 1 + s.s_acctbal / 1e4 * sqrt(y.comp + 1) AS value, "
+          "(s.s_suppkey + y.comp) % 7 = 3 AS filled FROM supplier s CROSS JOIN (SELECT range AS comp FROM range(7)) y")
 
-@register("dineof_fill")
+
+@register("dineof_fill", f"SELECT row_id, col_pos, {s6('value', 4)} AS value, filled, true AS converged FROM ({_PLANT})")
 def q_dineof(spark, sf):
-    mat, _, n = _mat(spark, sf, "user_day", on_missing="null")
-    filled, info = gf.dineof_fill(mat, 3, n, max_iter=20, tol=1e-6)
+    """A planted field (supplier balances times a time pattern; rank 1 once centered) with one gap a row is filled exactly."""
+    cells = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: F.when((F.col("s_suppkey") + j) % 7 != 3,
+                        1 + F.col("s_acctbal") / 1e4 * F.sqrt((j + 1).cast("double"))))
+    mat = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("row_id"), cells.cast("array<double>").alias("vector"))
+    filled, info = gf.dineof_fill(mat, 1, 7, max_iter=60, tol=1e-7)
     return filled.select("row_id", F.posexplode(F.arrays_zip("vector", "filled")).alias("col_pos", "z")).select(
-        "row_id", F.col("col_pos").cast("int"), r6("z.vector").alias("value"), F.col("z.filled").alias("filled"))
+        "row_id", F.col("col_pos").cast("int"), r6("z.vector", 4).alias("value"), F.col("z.filled").alias("filled"), F.lit(info["converged"]).alias("converged"))
 
 
 # ================================================================ grid & ingest
@@ -631,6 +677,29 @@ def q_pivot_components(spark, sf):
     return rs.unpivot_blocks(comp, 16).select("row_id", F.col("col_pos").cast("int"), r9("value").alias("value"))
 
 
+@register("pivot_components_gapped", f"WITH t AS ({PY}), c AS ({CO}), b AS (SELECT DISTINCT c.col_pos, t.row_id // 16 AS block FROM t JOIN c USING (record_id)), "
+          "n AS (SELECT max(row_id) + 1 AS n FROM t), p AS (SELECT b.col_pos, b.block * 16 + r.comp AS pos FROM b CROSS JOIN (SELECT range AS comp FROM range(16)) r, n "
+          "WHERE b.block * 16 + r.comp < n.n) "
+          "SELECT CAST(p.col_pos AS BIGINT) AS row_id, CAST(p.pos AS INTEGER) AS col_pos, round(t.value, 9) AS value FROM p JOIN c USING (col_pos) "
+          "LEFT JOIN t ON t.record_id = c.record_id AND t.row_id = p.pos")
+def q_pivot_components_gapped(spark, sf):
+    """Part x year cells, where parts miss years: every value stays at its position, gaps are NULL."""
+    t = fx.triplets_part_year(spark, sf)
+    co, _ = rs.small_table(rs.column_order(t))
+    long = t.join(co, "record_id")
+    comp = rs.pivot_components(long, i="row_id", j="col_pos", block_size=16, on_gap="null")
+    return rs.unpivot_blocks(comp, 16).select("row_id", F.col("col_pos").cast("int"), r9("value").alias("value"))
+
+
+@register("pivot_report", f"WITH t AS ({PY}), nc AS (SELECT count(DISTINCT record_id) AS n FROM t), per AS (SELECT row_id, count(*) AS n FROM t GROUP BY 1) "
+          "SELECT count(*) AS rows_seen, count(*) FILTER (per.n < nc.n) AS rows_dropped, CAST(0 AS BIGINT) AS null_cells, CAST(0 AS BIGINT) AS unmatched FROM per, nc")
+def q_pivot_report(spark, sf):
+    """What the queries on complete part x year rows leave out."""
+    t = fx.triplets_part_year(spark, sf)
+    co, n = rs.small_table(rs.column_order(t))
+    return rs.pivot_report(t, co, n)
+
+
 @register("expand_to_grid", _EXPAND_SQL)
 def q_expand(spark, sf):
     return _expanded(spark, sf).select("cell_id", "component", r9("value").alias("value"))
@@ -888,3 +957,24 @@ def q_job_convert(spark, sf):
         jb.convert_records_job(spark, grid_obs, grid, out, n_shards=2, shard=shard)
     jb.convert_records_job(spark, grid_obs, grid, out)  # rerun: everything converted, nothing added
     return jb.read_converted(spark, out).select("record_id", "row_id", r9("value").alias("value"))
+
+
+def _grid_obs(spark, sf):
+    mat, co, _ = _mat(spark, sf, "part_year", on_missing="null")
+    part = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("cell_id"), F.col("p_size").alias("message_no"))
+    key = F.concat(F.lit(KEY_PREFIX), F.col("record_id").cast("string"), F.lit("010100.grb2"))
+    return (rs.unpivot_rows(mat).join(co, "col_pos").select(key.alias("record_key"), F.col("row_id").alias("cell_id"), "value").join(part, "cell_id"))
+
+
+@register("convert_resumed", _CONVERT_SQL.replace("num.rid AS record_id", "num.rid AS col_pos"))
+def q_convert_resumed(spark, sf):
+    """Conversion in two runs, the second with earlier keys than the first: all records exactly once,
+    in the order of their dates."""
+    obs = _grid_obs(spark, sf)
+    grid = ig.assign_loc_ids(_mat(spark, sf, "part_year", on_missing="drop_row")[0].select(F.col("row_id").alias("cell_id")))
+    out = scratch_path(spark, "converted")
+    jb.convert_records_job(spark, obs.where(F.col("record_key") >= KEY_PREFIX + "1995"), grid, out)
+    jb.convert_records_job(spark, obs, grid, out)
+    jb.convert_records_job(spark, obs, grid, out)  # nothing left
+    return (jb.read_converted(spark, out).join(jb.dated_order(spark, out), "record_id")
+            .select("col_pos", "row_id", r9("value").alias("value")))

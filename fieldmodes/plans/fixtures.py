@@ -80,7 +80,23 @@ def triplets_user_day(spark, sf_dir) -> DataFrame:
         F.sum("value").alias("value"))
 
 
+def _orders(spark, sf_dir, record) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("long").alias("row_id"), record.cast("int").alias("record_id"),
+                    (F.col("o_totalprice") / 1e6).cast("double").alias("value"))
+
+
+def triplets_order_day(spark, sf_dir) -> DataFrame:
+    return _orders(spark, sf_dir, day_index("o_orderdate"))
+
+
+def triplets_order_month(spark, sf_dir) -> DataFrame:
+    return _orders(spark, sf_dir, F.year("o_orderdate") * 12 + F.month("o_orderdate"))
+
+
 TRIPLETS = {
+    "order_day": triplets_order_day,
+    "order_month": triplets_order_month,
     "supplier_year": triplets_supplier_year,
     "part_year": triplets_part_year,
     "supplier_status": triplets_supplier_status,

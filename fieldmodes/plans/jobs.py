@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmodes.operators import factorize as fz
@@ -25,42 +25,45 @@ from fieldmodes.operators import ingest as ig
 from fieldmodes.operators import preprocess as pp
 from fieldmodes.operators import reshape as rs
 from fieldmodes.operators import stats as st
+from fieldmodes.session import path_exists
 from fieldmodes.sources import readers as rd
 from fieldmodes.sources import writers as wr
 
 
 def convert_records_job(spark: SparkSession, grid_obs: DataFrame, grid: DataFrame, out: str,
                         n_shards: int = 1, shard: int = 0, key_fmt: str = "yyyyMMddHH",
-                        block_size: int = wr.RECORD_BLOCK) -> dict:
+                        block_size: int = wr.RECORD_BLOCK, record_keys: DataFrame | None = None) -> dict:
     """Gridded records -> triplets, resumable and re-runnable.
 
     ``grid_obs``: (record_key, message_no, cell_id, value NULL = masked).
     ``grid``: (cell_id, loc_id NULL = masked), the one fixed mask.
-    Records are numbered by sorted key (B7), dated from the key (B8),
-    sharded (B5); records already committed are skipped (B6).  The 41 depth
+    ``record_keys``: the listing of record files, if there is one; else the
+    keys are taken from the observations, a distinct over all of them.
+    Records are numbered by key (B7), dated from the key (B8), sharded (B5);
+    records already committed are skipped (B6).  Numbers are kept with the
+    keys (``register_keys``), so a key that arrives late changes no other
+    record; the column order by date is ``dated_order``.  The 41 depth
     messages are kept and leveled (B4), masked values dropped (B2),
     locations numbered from the grid (B3).  A value at a cell the grid masks
     goes to rejects (A17).
 
     Two-phase commit per run: the run's batch (named by a hash of its
-    pending record ids) writes ``vals`` (A10) and ``rejects`` with overwrite,
+    pending records) writes ``vals`` (A10) and ``rejects`` with overwrite,
     then ``record_dates`` (A13) last as the commit marker.  A run that dies
     in between leaves an uncommitted batch that readers ignore
     (``read_converted``) and a rerun overwrites or supersedes."""
-    keys = ig.number_records(grid_obs.select("record_key"))
-    keys = keys.select("record_id", "record_key", ig.date_from_key("record_key", 3, key_fmt).alias("obs_ts"))
+    listing = (grid_obs if record_keys is None else record_keys).select("record_key")
+    keys = register_keys(spark, listing, out)
     if n_shards > 1:
         keys = ig.shard(keys, n_shards, shard)
-    try:
-        done = rd.read_record_dates(spark, f"{out}/record_dates", key_fmt)
+    done = converted_records(spark, out)
+    if done is not None:
         keys = ig.pending_records(keys, done)
-    except Exception:  # nothing converted yet
-        pass
+    keys = keys.select("record_id", "record_key", ig.date_from_key("record_key", 3, key_fmt).alias("obs_ts"))
     keys, n_new = rs.small_table(keys)  # one row per record file
-    ids = sorted(r["record_id"] for r in keys.select("record_id").collect())
-    if not ids:
+    if not n_new:
         return {"records": 0, "batch": None}
-    batch = hashlib.sha1(",".join(map(str, ids)).encode()).hexdigest()[:16]
+    batch = _batch_name(keys)
     obs = grid_obs.join(rs.maybe_broadcast(keys, n_new), "record_key")
     obs = ig.compress_mask(ig.select_levels(obs, "message_no"))
     located = obs.join(grid.select("cell_id", "loc_id"), "cell_id", "left")
@@ -73,12 +76,54 @@ def convert_records_job(spark: SparkSession, grid_obs: DataFrame, grid: DataFram
     return {"records": n_new, "batch": batch, "vals": f"{out}/vals"}
 
 
+def _committed(spark: SparkSession, out: str) -> DataFrame | None:
+    """(batch) of the committed conversion runs; None if nothing was converted."""
+    if not path_exists(spark, f"{out}/record_dates"):
+        return None
+    dates = spark.read.schema("record_id INT, date_text STRING, batch STRING").csv(f"{out}/record_dates")
+    return dates.select("batch").distinct()  # one row per run
+
+
+def converted_records(spark: SparkSession, out: str) -> DataFrame | None:
+    """(record_id) of the records of committed runs; None if nothing was converted."""
+    if _committed(spark, out) is None:
+        return None
+    return spark.read.schema("record_id INT, date_text STRING, batch STRING").csv(f"{out}/record_dates").select("record_id").distinct()
+
+
+def _batch_name(keys: DataFrame) -> str:
+    sums = keys.agg(F.count("*"), F.min("record_id"), F.max("record_id"), F.bit_xor(F.xxhash64("record_id", "record_key"))).first()
+    return hashlib.sha1(",".join(map(str, sums)).encode()).hexdigest()[:16]
+
+
+def register_keys(spark: SparkSession, listing: DataFrame, out: str) -> DataFrame:
+    """(record_id, record_key) of all listed records; new keys are numbered and written to ``out/registry``.
+
+    The first listing numbers its keys in their order from 0; keys listed later
+    get, in their order, the numbers after the largest one given."""
+    schema = "record_id INT, record_key STRING"
+    seen = f"{out}/registry"
+    new, first = listing.select("record_key").distinct(), 0
+    if path_exists(spark, seen):
+        known = spark.read.schema(schema).parquet(seen)
+        new, first = new.join(known, "record_key", "left_anti"), known.agg(F.max("record_id")).first()[0] + 1
+    new = ig.number_records(new).select((F.col("record_id") + first).cast("int").alias("record_id"), "record_key")
+    new, n = rs.small_table(new)
+    if n:  # the same new keys give the same folder and content, however often they are registered
+        new.write.mode("overwrite").parquet(f"{seen}/batch={_batch_name(new)}")
+    return spark.read.schema(schema).parquet(seen).join(listing.select("record_key").distinct(), "record_key", "left_semi")
+
+
 def read_converted(spark: SparkSession, out: str) -> DataFrame:
     """Triplets of committed conversion batches only (see convert_records_job)."""
-    committed = spark.read.schema("record_id INT, date_text STRING, batch STRING").csv(f"{out}/record_dates")
-    batches = [r["batch"] for r in committed.select("batch").distinct().collect()]  # one row per run
-    t = rd.read_triplets(spark, f"{out}/vals")
-    return t.where(F.col("batch").isin(batches)).drop("batch")
+    return rd.read_triplets(spark, f"{out}/vals").join(_committed(spark, out), "batch").drop("batch")
+
+
+def dated_order(spark: SparkSession, out: str, key_fmt: str = "yyyyMMddHH") -> DataFrame:
+    """Column order of a conversion by date: (col_pos, record_id), whatever order the keys came in."""
+    dates = rd.read_record_dates(spark, f"{out}/record_dates", key_fmt)
+    w = Window.orderBy("obs_ts", "record_id")  # one row per record
+    return dates.select((F.row_number().over(w) - 1).cast("int").alias("col_pos"), "record_id")
 
 
 def ingest_job(spark: SparkSession, triplet_path: str, out: str, blocks: list[int] | None = None,
@@ -97,14 +142,16 @@ def ingest_job(spark: SparkSession, triplet_path: str, out: str, blocks: list[in
             "n_cols": n}
 
 
-def eof_job(spark: SparkSession, rowmat_path: str, out: str, k: int, method: str = "exact",
+def eof_job(spark: SparkSession, rowmat_path: str | None, out: str, k: int, method: str = "exact",
             preprocess: str = pp.CENTER, weights: DataFrame | None = None, mode: str = "errorifexists",
-            **kw) -> fz.EOFResult:
+            manifest: str | None = None, **kw) -> fz.EOFResult:
     """Row matrix -> preprocessing -> EOFs -> ``out/{u,s,v,row_stats}``.
 
+    The input is one row matrix, or a text ``manifest`` of several (see
+    ``readers.parse_manifest``), rows numbered in file order.
     The preprocessed rows are persisted once and scanned by every pass; the
     factor tables are written distributed (U) or tiny (S, V)."""
-    mat = rd.read_row_matrix(spark, rowmat_path)
+    mat = rd.read_row_matrix(spark, rowmat_path) if manifest is None else rd.read_manifest(spark, rd.parse_manifest(spark, manifest), file_order=True)
     p = pp.preprocess(mat, preprocess, weights)
     rows = p.rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -119,6 +166,16 @@ def eof_job(spark: SparkSession, rowmat_path: str, out: str, k: int, method: str
     return res
 
 
+def combine_job(spark: SparkSession, pieces: list[str], out: str, mode: str = "errorifexists") -> dict:
+    """Row matrices of consecutive blocks of records, glued side by side: ``out/rowmat``.
+
+    Rows missing from a piece are dropped (M10) and counted in ``out/dropped``."""
+    mats = [rd.read_row_matrix(spark, p) for p in pieces]
+    wr.write_row_matrix(rs.hconcat(mats), f"{out}/rowmat", mode=mode)
+    rs.hconcat_dropped(mats).write.mode(mode).parquet(f"{out}/dropped")
+    return {"rowmat": f"{out}/rowmat", "pieces": len(pieces)}
+
+
 def export_job(spark: SparkSession, factors_path: str, grid: DataFrame, out: str,
                col_order: DataFrame | None = None, record_dates: DataFrame | None = None,
                attrs: dict | None = None, mode: str = "errorifexists") -> dict:
@@ -149,6 +206,9 @@ def export_job(spark: SparkSession, factors_path: str, grid: DataFrame, out: str
     n_dates = v.select("col_pos").distinct().count()
     wr.write_coordinate_text(u_long, f"{out}/colEOFs", n_rows, k, i="row_id", j="component")
     wr.write_coordinate_text(v, f"{out}/rowEOFs", n_dates, k, i="col_pos", j="component")
+    if "row_stats" in f:  # 1-column matrix: the mean of each location
+        wr.write_coordinate_text(f["row_stats"].select("row_id", F.lit(0).alias("j"), F.col("mean").alias("value")), f"{out}/rowMeans", n_rows, 1,
+                                 i="row_id", j="j")
     wr.write_coordinate_text(s.select(F.lit(0).alias("i"), "component", "sigma"), f"{out}/evalEOFs", 1, k,
                              i="i", j="component", value="sigma")
     return {"fields": f"{out}/fields", "k": k}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmodes.operators.reshape import dense_index
+from fieldmodes.session import path_exists
 
 # Fixed value: header line of the coordinate text format.
 COORD_HEADER = "%%MatrixMarket matrix coordinate real general"
@@ -86,14 +87,16 @@ def read_manifest(spark: SparkSession, entries: list[tuple], order_col: str = "r
     """Several row-matrix datasets unioned in list order, coalesced to the
     first entry's partition count, rows renumbered 0.. in that order (A5, G4).
 
-    ``entries`` = [(path, format, partitions), ...]; format 'parquet' | 'orc'.
+    ``entries`` = [(path, format, partitions), ...]; format 'parquet', 'orc' or
+    'csv' ('row;v0,v1,...').
     Rows are numbered by (source, ``order_col``); with ``file_order=True``
     by (source, position in the files) as the original did, without a sort.
     The source id is kept as ``source_row_id``.
     """
     dfs = []
     for i, (path, fmt, _parts) in enumerate(entries):
-        d = spark.read.format(fmt).load(path)
+        d = spark.read.csv(path, schema=f"{order_col} BIGINT, cells STRING", sep=";").select(
+            order_col, F.split("cells", ",").cast("array<double>").alias("vector")) if fmt == "csv" else spark.read.format(fmt).load(path)
         dfs.append(d.select(F.lit(i).alias("source_ord"), F.col(order_col).alias("source_row_id"), "vector"))
     u = reduce(DataFrame.unionByName, dfs)
     first_parts = entries[0][2] if entries and entries[0][2] else None
@@ -103,6 +106,22 @@ def read_manifest(spark: SparkSession, entries: list[tuple], order_col: str = "r
     return numbered.select("row_id", "source_ord", "source_row_id", F.col("vector").cast("array<double>"))
 
 
+def parse_manifest(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
+    """Text manifest -> entries of ``read_manifest`` (A5): one data set a line, 'path,format,partitions'.
+
+    Format and partitions may be left out (parquet, 0 = as read); empty lines
+    and lines that begin with '#' are skipped."""
+    entries = []
+    for r in spark.read.text(path, wholetext=False).collect():  # one line per data set
+        line = r["value"].strip()
+        if line and not line.startswith("#"):
+            parts = [p.strip() for p in line.split(",")] + ["", ""]
+            entries.append((parts[0], parts[1] or "parquet", int(parts[2] or 0)))
+    if not entries:
+        raise ValueError(f"manifest {path} names no data set")
+    return entries
+
+
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     """'rowidx,weight' CSV -> ``(row_id, weight)`` (A6); joined, never collected."""
     return spark.read.schema("row_id BIGINT, weight DOUBLE").csv(path)
@@ -139,9 +158,6 @@ def load_factors(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """U, S, V and row statistics saved by ``save_factors``."""
     out = {}
     for name in ("u", "s", "v", "row_stats"):
-        try:
+        if name != "row_stats" or path_exists(spark, f"{path}/{name}"):  # row_stats is optional
             out[name] = spark.read.parquet(f"{path}/{name}")
-        except Exception:  # row_stats is optional
-            if name != "row_stats":
-                raise
     return out

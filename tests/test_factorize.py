@@ -87,7 +87,7 @@ def test_randomized_matches_exact_with_gap(spark, mk):
 def test_mllib_wide_path_matches_gram(spark, mk):
     a = _lowrank(n=40, m=8)
     m = mk(a)
-    g, w = fz.eof_exact(m, 3), fz.eof_exact(m, 3, gram_max_cols=2)
+    g, w = fz.eof_exact(m, 3), fz.eof_exact(m, 3, solver="mllib")
     assert np.allclose(g.s, w.s, rtol=1e-8) and np.allclose(g.v, w.v, atol=1e-6)
 
 
