@@ -569,8 +569,26 @@ def q_eof_coslat(spark, sf):
     return res.u_long().select("row_id", "component", r6("value").alias("value"))
 
 
-@register("compare_factors", "SELECT 3 AS k, CAST(0.0 AS DOUBLE) AS u_aligned, CAST(0.0 AS DOUBLE) AS v_aligned, true AS u_flipped, true AS v_flipped")
+@register("compare_factors")
 def q_compare(spark, sf):
+    mat, _, _ = _mat(spark, sf, "supplier_year")
+    both, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "both", seed=0)
+    d = ev.compare_factors(both["exact"], both["inexact"])
+    cached.unpersist()
+    return spark.createDataFrame([d]).select(*sorted(d))
+
+
+@register("dineof_fill")
+def q_dineof(spark, sf):
+    mat, _, n = _mat(spark, sf, "user_day", on_missing="null")
+    filled, info = gf.dineof_fill(mat, 3, n, max_iter=20, tol=1e-6)
+    return filled.select("row_id", F.posexplode(F.arrays_zip("vector", "filled")).alias("col_pos", "z")).select(
+        "row_id", F.col("col_pos").cast("int"), r6("z.vector").alias("value"), F.col("z.filled").alias("filled"),
+        F.lit(info["converged"]).alias("converged"))
+
+
+@register("compare_factors_flipped", "SELECT 3 AS k, CAST(0.0 AS DOUBLE) AS u_aligned, CAST(0.0 AS DOUBLE) AS v_aligned, true AS u_flipped, true AS v_flipped")
+def q_compare_flipped(spark, sf):
     """Exact EOFs against a copy with all signs turned: aligned differences are 0, raw ones 2 sqrt(k)."""
     mat, _, _ = _mat(spark, sf, "supplier_year")
     res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "exact")
@@ -586,8 +604,8 @@ _PLANT = ("SELECT s.s_suppkey AS row_id, CAST(y.comp AS INTEGER) AS col_pos, 1 +
           "(s.s_suppkey + y.comp) % 7 = 3 AS filled FROM supplier s CROSS JOIN (SELECT range AS comp FROM range(7)) y")
 
 
-@register("dineof_fill", f"SELECT row_id, col_pos, {s6('value', 4)} AS value, filled, true AS converged FROM ({_PLANT})")
-def q_dineof(spark, sf):
+@register("dineof_planted", f"SELECT row_id, col_pos, {s6('value', 4)} AS value, filled, true AS converged FROM ({_PLANT})")
+def q_dineof_planted(spark, sf):
     """A planted field (supplier balances times a time pattern; rank 1 once centered) with one gap a row is filled exactly."""
     cells = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: F.when((F.col("s_suppkey") + j) % 7 != 3,
                         1 + F.col("s_acctbal") / 1e4 * F.sqrt((j + 1).cast("double"))))
