@@ -78,7 +78,7 @@ def word_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 pa.array([pack(hash_strings(w.vocab))], pa.binary()), pa.array([pack(w.codes.astype(np.int32))], pa.binary())],
                 names=["block", "doc_ids", "hashes", "counts", "vocab", "codes"])
 
-    return keep(slim.mapInArrow(run, BLOCK_SCHEMA), "word-blocks")
+    return keep(slim.mapInArrow(run, BLOCK_SCHEMA), "word-blocks", bucket_by="block")
 
 
 def n_buckets(spark) -> int:

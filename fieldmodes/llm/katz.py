@@ -44,6 +44,7 @@ from fieldmodes.llm.words import mix64
 TOP = 5
 BEGIN, END = np.uint64(1), np.uint64(2)  # ids of the start context and the end token
 PARTS = 16
+BLOCK_BYTES = 4 << 20  # text of a block; its pairs, counts and weights are in a task's memory together
 
 
 def crc_fold(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
@@ -60,17 +61,17 @@ class Tokens:
         self.vocab = np.r_[block.vocab, BEGIN, END].astype(np.uint64)
         self.counts = block.counts + 1
         last = np.cumsum(self.counts) - 1
-        self.token = np.full(n + docs, end, dtype=np.int64)
+        self.token = np.full(n + docs, end, dtype=np.int32)
         word = np.ones(n + docs, dtype=bool)
         word[last] = False
         self.token[word] = block.codes
-        self.context = np.r_[begin, self.token[:-1]]
-        self.context[np.r_[0, last[:-1] + 1] if docs else []] = begin
-        self.context = self.context[: n + docs]
+        self.context = np.empty_like(self.token)
+        self.context[1:] = self.token[:-1]
+        self.context[last - block.counts] = begin
         self.held_out = np.array([held_out(d) for d in block.doc_ids], dtype=bool)
         self.train = np.repeat(~self.held_out, self.counts)
         size = len(self.vocab)
-        self.pairs, self.which = np.unique(self.context * size + self.token, return_inverse=True)
+        self.pairs, self.which = np.unique(self.context.astype(np.int64) * size + self.token, return_inverse=True)
         self.pair_context, self.pair_word = self.pairs // size, self.pairs % size
 
     def pair_hash(self) -> np.ndarray:
@@ -169,7 +170,7 @@ def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     buckets = n_buckets(spark)
-    blocks = word_blocks(docs, id_col, text_col, lower=True)
+    blocks = word_blocks(docs, id_col, text_col, lower=True, block_bytes=BLOCK_BYTES)
 
     def train_counts(codes, size, t):
         return np.bincount(codes[t.train], minlength=size)

@@ -27,17 +27,29 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back."""
+def keep(df: DataFrame, name: str, partition_by: str | None = None, bucket_by: str | None = None) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back.
+
+    ``bucket_by``: also lay the rows out by the hash of a column, so that later joins on it leave them
+    where they are.  Spark keeps the layout with a table name; the name is dropped once it is read."""
     spark = df.sparkSession
     prepare(spark)
     path = scratch_path(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # the table replaces the shuffle files it came from
+    writer = df.write.option("compression", "zstd")
+    table = path.rsplit("/", 1)[1].replace("-", "_") if bucket_by else ""
     try:
-        df.write.parquet(path, partitionBy=partition_by)
+        if bucket_by:
+            writer.bucketBy(partitions(spark), bucket_by).saveAsTable(table, format="parquet", path=path)
+        else:
+            writer.parquet(path, partitionBy=partition_by)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    if bucket_by:
+        out = spark.table(table)
+        spark.sql(f"DROP TABLE {table}")  # the files lie at a path of their own and stay
+        return out
     return spark.read.schema(df.schema).parquet(path)
 
 
