@@ -61,9 +61,8 @@ def attach_dates(df: DataFrame, col_order: DataFrame, record_dates: DataFrame) -
 
     Both lookup tables have one row per time record; they are broadcast
     only after their size is measured."""
-    n = col_order.count()
-    co = maybe_broadcast(col_order.select("col_pos", "record_id"), n)
-    rd = maybe_broadcast(record_dates.select("record_id", "obs_ts"), n)
+    co = maybe_broadcast(col_order.select("col_pos", "record_id"), col_order.count())
+    rd = maybe_broadcast(record_dates.select("record_id", "obs_ts"), record_dates.count())
     return df.join(co, "col_pos").join(rd, "record_id", "left")
 
 

@@ -15,8 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A dimension table is broadcast only below this many rows; the count is
-# always measured (or known) before the hint is applied.
+# A dimension table is broadcast only if its rows, counted, and the width of
+# its types make at most this many bytes; a row count above BROADCAST_MAX_ROWS
+# is not collected even if its rows are narrow.
+BROADCAST_MAX_BYTES = 32 << 20
 BROADCAST_MAX_ROWS = 2_000_000
 
 _DUP_AGGS = {
@@ -29,17 +31,28 @@ _DUP_AGGS = {
 _MISSING = ("error", "null", "drop_row", "zero")
 
 
+def _row_bytes(df: DataFrame) -> int:
+    """Bytes of a row by its types: 8 a number or time, 64 a string, 1 KB anything else."""
+    kinds = (t for _, t in df.dtypes)
+    return 16 + sum(64 if t == "string" else 8 if t in _PLAIN_TYPES or t.startswith("timestamp") else 1024 for t in kinds)
+
+
+_PLAIN_TYPES = ("bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date")
+
+
 def maybe_broadcast(df: DataFrame, n_rows: int | None) -> DataFrame:
-    """Broadcast ``df`` only when its measured row count is small."""
-    if n_rows is not None and n_rows <= BROADCAST_MAX_ROWS:
+    """Broadcast ``df`` only when its measured rows make few bytes."""
+    if n_rows is not None and n_rows <= min(BROADCAST_MAX_ROWS, BROADCAST_MAX_BYTES // _row_bytes(df)):
         return F.broadcast(df)
     return df
 
 
-def small_table(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
+def small_table(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, int]:
     """Measure a dimension table once; when it has at most ``max_rows`` rows
-    return it rebuilt from the driver copy (later joins broadcast it without
-    recomputing its plan), else keep it distributed.  Returns (df, rows)."""
+    (by default as many as may be broadcast) return it rebuilt from the driver
+    copy (later joins broadcast it without recomputing its plan), else keep it
+    distributed.  Returns (df, rows)."""
+    max_rows = min(BROADCAST_MAX_ROWS, BROADCAST_MAX_BYTES // _row_bytes(df)) if max_rows is None else max_rows
     probe = []
     for r in df.toLocalIterator():  # streamed; stops after max_rows + 1 rows
         probe.append(r)

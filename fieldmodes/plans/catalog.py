@@ -523,10 +523,10 @@ def q_eof_exact_sd(spark, sf):
 @register("eof_randomized_supplier_day")
 def q_eof_rand_sd(spark, sf):
     """Wide field: randomized EOFs with one distributed product per round."""
-    mat, co, _ = _mat(spark, sf, "supplier_day", on_missing="zero")
+    mat, co, n = _mat(spark, sf, "supplier_day", on_missing="zero")
     res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "randomized", seed=0)
     cached.unpersist()  # only S and V are used below
-    v = res.v_df(spark).join(F.broadcast(co), "col_pos")  # co: one row per day (measured)
+    v = res.v_df(spark).join(rs.maybe_broadcast(co, n), "col_pos")  # co: one row per day (measured)
     return v.join(res.s_df(spark), "component").select(
         "component", "col_pos", "record_id", r6("sigma").alias("sigma"), r6("value").alias("v"))
 
@@ -645,7 +645,7 @@ def q_loc_renumber(spark, sf):
 @register("mask_compress", f"SELECT record_id, row_id AS cell_id, round(value, 9) AS value FROM ({PY})")
 def q_mask_compress(spark, sf):
     mat, co, n = _mat(spark, sf, "part_year", on_missing="null")
-    grid_obs = rs.unpivot_rows(mat).join(F.broadcast(co), "col_pos").select(  # co: one row per record
+    grid_obs = rs.unpivot_rows(mat).join(rs.maybe_broadcast(co, n), "col_pos").select(  # co: one row per record
         "record_id", F.col("row_id").alias("cell_id"), "value")
     return ig.compress_mask(grid_obs).select("record_id", "cell_id", r9("value").alias("value"))
 
@@ -965,7 +965,7 @@ def q_job_convert(spark, sf):
     mat, co, n = _mat(spark, sf, "part_year", on_missing="null")
     part = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("cell_id"), F.col("p_size").alias("message_no"))
     key = F.concat(F.lit(KEY_PREFIX), F.col("record_id").cast("string"), F.lit("010100.grb2"))
-    grid_obs = (rs.unpivot_rows(mat).join(F.broadcast(co), "col_pos")  # co: one row per record
+    grid_obs = (rs.unpivot_rows(mat).join(rs.maybe_broadcast(co, n), "col_pos")  # co: one row per record
                 .select(key.alias("record_key"), F.col("row_id").alias("cell_id"), "value")
                 .join(part, "cell_id"))
     observed = _mat(spark, sf, "part_year", on_missing="drop_row")[0].select(F.col("row_id").alias("cell_id"))

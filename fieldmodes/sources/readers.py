@@ -57,15 +57,19 @@ def read_record_dates(spark: SparkSession, path: str, fmt: str = "yyyyMMddHH") -
 def read_col_order(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Column-order pieces in list order -> one global ``col_pos``.
 
-    A piece holds either 'col_pos,record_id' lines or bare record ids (the
-    reference's form); bare ids are numbered by (piece, record_id).
+    A piece holds 'col_pos,record_id' lines, in any order, or bare record ids
+    in the order of the file.  Empty lines are skipped; any other line that
+    is neither fails.
     """
-    pieces = [spark.read.text(p).select(F.lit(i).alias("piece"), F.split("value", ",").alias("f"))
+    pieces = [spark.read.text(p).where(F.trim("value") != "")
+              .select(F.lit(i).alias("piece"), "value", F.split("value", ",").alias("f"), F.monotonically_increasing_id().alias("line"))
               for i, p in enumerate(paths)]
     u = reduce(DataFrame.unionByName, pieces)
-    u = u.select("piece", F.expr("try_cast(f[size(f) - 1] AS INT)").alias("record_id"))
-    u = u.where(F.col("record_id").isNotNull())
-    return dense_index(u, ["piece", "record_id"], "col_pos").select(
+    record, place = F.expr("try_cast(f[size(f) - 1] AS INT)"), F.expr("CASE WHEN size(f) = 1 THEN line ELSE try_cast(f[0] AS BIGINT) END")
+    bad = record.isNull() | place.isNull() | (F.size("f") > 2)
+    fail = F.raise_error(F.concat(F.lit("not a column-order line: "), "value"))
+    u = u.select("piece", F.when(bad, fail.cast("bigint")).otherwise(place).alias("place"), record.alias("record_id"))
+    return dense_index(u, ["piece", "place"], "col_pos").select(
         F.col("col_pos").cast("int"), "record_id")
 
 
