@@ -1,4 +1,4 @@
-"""Word blocks: about ``BATCH_BYTES`` of text as word ids, packed into one row.
+"""Word blocks: about ``BLOCK_BYTES`` of text as word ids, packed into one row.
 
 Some operators need facts about all occurrences of a key (a word run, an
 n-gram) next to the text it came from.  Sending every occurrence through a
@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmodes.llm.tables import keep, partitions
-from fieldmodes.llm.words import BATCH_BYTES, hash_strings, slices, split_words
+from fieldmodes.llm.words import give_back, hash_strings, slices, split_words
+
+BLOCK_BYTES = 4 << 20  # text of a block: its keys and answers are in a task's memory together
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -61,7 +63,7 @@ class Block:
 
 
 def word_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lower: bool = False,
-                block_bytes: int = BATCH_BYTES) -> DataFrame:
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The blocks of ``docs`` as a kept table.  A document is named by its id and the XXH64 of its text."""
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"),
                        F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_hash"))
@@ -119,6 +121,8 @@ def ask(rows: DataFrame, requests: Callable[[dict, int], list[dict]], fields: li
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["block"]] * len(out), pa.int64()), pa.array([r["bucket"] for r in out], pa.int32()),
                      *(pa.array([r[f] for r in out], pa.binary()) for f in fields)], names=sent)
+                del row, out
+                give_back()
 
     asked = rows.mapInArrow(send, "block long, bucket int, " + ", ".join(f"{f} binary" for f in fields))
 

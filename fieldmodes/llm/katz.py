@@ -39,12 +39,11 @@ from pyspark.sql import functions as F
 
 from fieldmodes.llm.blocks import Block, ask, by_bucket, n_buckets, pack, per_bucket, unpack, word_blocks
 from fieldmodes.llm.tables import keep
-from fieldmodes.llm.words import mix64
+from fieldmodes.llm.words import give_back, mix64
 
 TOP = 5
 BEGIN, END = np.uint64(1), np.uint64(2)  # ids of the start context and the end token
 PARTS = 16
-BLOCK_BYTES = 4 << 20  # text of a block; its pairs, counts and weights are in a task's memory together
 
 
 def crc_fold(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
@@ -170,7 +169,7 @@ def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     buckets = n_buckets(spark)
-    blocks = word_blocks(docs, id_col, text_col, lower=True, block_bytes=BLOCK_BYTES)
+    blocks = word_blocks(docs, id_col, text_col, lower=True)
 
     def train_counts(codes, size, t):
         return np.bincount(codes[t.train], minlength=size)
@@ -194,6 +193,8 @@ def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 yield row, Tokens(Block(row), held_out)
+                del row
+                give_back()
 
     def unigram_rows(batches):
         for row, t in per_row(batches):

@@ -35,7 +35,7 @@ from fieldmodes.llm.words import as_text, slices, split_words
 
 SEED = 42
 NAMELESS = 1 << 62  # nodes from here on stand for fingerprints without any id
-VOTE_ROWS = 1 << 17
+VOTE_ROWS = 1 << 15
 
 
 def _fingerprints(texts: pa.Array, width: int) -> np.ndarray:
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text"):
             fp = _fingerprints(b.column("text"), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([b["id"], b["text_hash"], pa.array(fp)], names=["id", "text_hash", "fp"])
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fieldmodes.llm.blocks import Block, ask, by_bucket, n_buckets, pack, per_bucket, unpack, word_blocks
 from fieldmodes.llm.tables import keep, packed, unpacked
-from fieldmodes.llm.words import mix64, window_hash
+from fieldmodes.llm.words import give_back, mix64, window_hash
 
 LEVELS = 4
 FAR = 1 << 40
@@ -225,6 +225,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block.doc_ids[i] for i in docs_hit], pa.int64()), pa.array([block.hashes[i] for i in docs_hit], pa.int64()),
                     pa.array([p.reshape(-1).tolist() for p in parts], pa.list_(pa.int32()))], names=["doc_id", "text_hash", "spans"])
+                del block, gone, parts
+                give_back()
 
     found = told.join(earlier.withColumnRenamed("told", "told2"), "block", "left").mapInArrow(
         spans, "doc_id long, text_hash long, spans array<int>")

@@ -8,6 +8,7 @@ word of a batch and everything else is NumPy over integers.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,7 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BATCH_BYTES = 8 << 20  # text handled at once inside a task
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+BATCH_BYTES = 2 << 20  # text handled at once inside a task
 
 
 class Words(NamedTuple):
@@ -63,6 +65,13 @@ def hash_strings(strings: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((h(b, seed) for b in raw.to_pylist()), dtype=np.uint64, count=len(raw))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and what one stage needed adds to the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each carries about ``max_bytes`` of text (one text at least)."""
     for b in batches:
@@ -74,6 +83,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = BA
             base = size[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(size, base + max_bytes, side="right")))
             yield b.slice(start, stop - start)
+            give_back()
             start = stop
 
 
