@@ -257,7 +257,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(packed(docs, text_col), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("id"),
                        F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
-    both = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    both = rows.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
     n_removed = F.coalesce(F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0),
                                        lambda s, x: s + x), F.lit(0)).cast("long")
 
