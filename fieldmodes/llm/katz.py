@@ -8,10 +8,14 @@ counts c over the training texts, N tokens and V distinct ones:
            = alpha(h) p(w)                  otherwise; alpha(h) = 1 for contexts never seen
 
 ``d`` is Katz's Good-Turing discount for counts up to ``TOP`` and 1 above, from
-the counts of counts of the order; where these give no value strictly between 0
-and 1 (tiny corpora), absolute discounting takes its place.  alpha(h) makes
-the sum over all words and the unknown class exactly 1; a context (or the
-unigrams) whose discounts leave no mass gets one more count in its denominator.
+the counts of counts of the order.  Where one of the raw values is not strictly
+between 0 and 1 (a bump in the counts of counts, as groups of copies make at any
+size), the counts of counts are smoothed first, by the log-linear fit of Simple
+Good-Turing.  Absolute discounting is left only for counts of counts that fall
+no faster than 1/c, or that have a single count (no Good-Turing value exists).
+alpha(h) makes the sum over all words and the unknown class exactly 1; a context
+(or the unigrams) whose discounts leave no mass gets one more count in its
+denominator.
 
 The model is three tables, partitioned by hash: unigrams (word, count), bigrams
 (context, word, count, word_count) and contexts (context, total, alpha); words
@@ -131,14 +135,36 @@ class Discounts(NamedTuple):
         return "CASE " + " ".join(f"WHEN {c} = {i + 1} THEN {v!r}D" for i, v in enumerate(self.values)) + " ELSE 1D END"
 
 
+def _katz(n: list[float]) -> tuple[float, ...] | None:
+    """Katz's formula on the counts of counts n[1..TOP+1]; None if a discount is not strictly between 0 and 1."""
+    if not all(x > 0 for x in n[1 : TOP + 2]):
+        return None
+    cut = (TOP + 1) * n[TOP + 1] / n[1]
+    if not cut < 1:
+        return None
+    d = tuple(((c + 1) * n[c + 1] / (c * n[c]) - cut) / (1 - cut) for c in range(1, TOP + 1))
+    return d if all(0 < x < 1 for x in d) else None
+
+
+def _log_linear(n: list[int]) -> list[float] | None:
+    """n[1..TOP+1] on the line of Simple Good-Turing, log Z = a + b log c; None if there is no line.
+
+    Z spreads a count of counts over the empty ones beside it (Gale and Sampson).  With b < -1 every
+    discount is strictly between 0 and 1 and they grow with c."""
+    at = [c for c in range(1, TOP + 2) if n[c] > 0]
+    if len(at) < 2:
+        return None
+    before, after = [0, *at[:-1]], [*at[1:], 2 * at[-1] - at[-2]]
+    z = [2 * n[c] / (t - q) for c, q, t in zip(at, before, after)]
+    b, a = np.polyfit(np.log(at), np.log(z), 1)
+    return [0.0, *(float(np.exp(a + b * np.log(c))) for c in range(1, TOP + 2))]
+
+
 def good_turing(n: list[int]) -> Discounts:
-    """Katz's discounts from the counts of counts n[1..TOP+1] (n[0] unused)."""
-    if all(x > 0 for x in n[1 : TOP + 2]):
-        cut = (TOP + 1) * n[TOP + 1] / n[1]
-        if cut < 1:
-            d = [((c + 1) * n[c + 1] / (c * n[c]) - cut) / (1 - cut) for c in range(1, TOP + 1)]
-            if all(0 < x < 1 for x in d):
-                return Discounts(tuple(d))
+    """Katz's discounts from the counts of counts n[1..TOP+1] (n[0] unused): raw, else smoothed, else absolute."""
+    for counts in (n, _log_linear(n)):
+        if counts and (d := _katz(counts)):
+            return Discounts(d)
     gap = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
     return Discounts(tuple((c - gap) / c for c in range(1, TOP + 1)))
 

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -177,6 +178,39 @@ def test_good_turing_falls_back():
     assert katz.good_turing([0, 3, 0, 0, 0, 0, 0]).values[0] == 0.5
 
 
+#: n1..n6 of the training fold's words and pairs; n5 is a bump that makes raw Good-Turing discounts exceed 1
+BUMPED = {"sf0.01": ([47735, 12166, 4990, 2407, 2203, 1012], [184712, 23127, 5984, 1951, 2262, 607]),
+          "sf0.1": ([200420, 57120, 23804, 13644, 12859, 6775], [1482341, 227973, 46941, 19718, 17404, 6993])}
+
+
+@pytest.mark.parametrize("n", [n for both in BUMPED.values() for n in both])
+def test_discounts_stay_good_turing_on_a_bump(n):
+    """Closed form of Katz's discounts on a line log n = a + b log c: with e = b + 1, c*/c = (1 + 1/c)^e and the cut is 6^e."""
+    assert any(not 0 < (c + 1) * n[c] / (c * n[c - 1]) < 1 for c in range(1, 6))
+    x, y = [math.log(c) for c in range(1, 7)], [math.log(v) for v in n]
+    b = (6 * sum(p * q for p, q in zip(x, y)) - sum(x) * sum(y)) / (6 * sum(p * p for p in x) - sum(x) ** 2)
+    want = [((1 + 1 / c) ** (b + 1) - 6 ** (b + 1)) / (1 - 6 ** (b + 1)) for c in range(1, 6)]
+    got = katz.good_turing([0, *n]).values
+    assert list(got) == pytest.approx(want, abs=1e-12)
+    assert all(0 < d < 1 for d in got) and list(got) == sorted(got)
+
+
+def test_discounts_with_gaps_and_without_a_fall():
+    zero = katz.good_turing([0, 5000, 900, 0, 200, 90, 40]).values  # an empty count: its neighbours' counts are spread over it
+    x, z = [math.log(c) for c in (1, 2, 4, 5, 6)], [math.log(v) for v in (2 * 5000 / 2, 2 * 900 / 3, 2 * 200 / 3, 90, 40)]
+    mx, mz = sum(x) / 5, sum(z) / 5
+    e = sum((p - mx) * (q - mz) for p, q in zip(x, z)) / sum((p - mx) ** 2 for p in x) + 1
+    assert list(zero) == pytest.approx([((1 + 1 / c) ** e - 6 ** e) / (1 - 6 ** e) for c in range(1, 6)], abs=1e-12)
+    assert katz.good_turing([0, 10, 10, 10, 10, 10, 10]).values == tuple((c - 1 / 3) / c for c in range(1, 6))  # no fall: absolute
+
+
+def test_discounts_of_a_larger_table(spark):
+    """The query's own counts of counts on sf0.01, where the raw discounts are not valid."""
+    model, _ = katz.train_and_score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    assert katz._counts_of_counts(model.unigrams)[1:] == BUMPED["sf0.01"][0] and katz._counts_of_counts(model.bigrams)[1:] == BUMPED["sf0.01"][1]
+    assert model.d1.values[0] == pytest.approx(0.3833, abs=1e-4)
+
+
 # ---- tool calls ------------------------------------------------------------------
 
 MESSAGE = "conv_id long, turn long, role string, text string, call_id string, tool string, arguments string, needs array<string>, rank int, id int"
