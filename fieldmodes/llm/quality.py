@@ -1,14 +1,22 @@
 """Operator 3, quality rules with risk-controlled thresholds.
 
 Every text gets rule scores (higher is worse).  Cutoffs are not fixed by hand:
-on the labelled documents, each (stratum, rule, cutoff of a fixed grid) is a
-hypothesis "the cutoff rejects more than ``alpha / rules`` of the good
-documents of the stratum".  It is refuted when the exact binomial tail
-``P(Bin(good, alpha / rules) <= rejected good)`` is at most ``delta`` divided by
-the number of hypotheses (Bonferroni), which is the Clopper-Pearson bound.  The
-strictest refuted cutoff of each (stratum, rule) is used; where none is refuted
-the rule stays off in that stratum.  So with confidence ``1 - delta`` no
-stratum loses more than ``alpha`` of its good documents to the rules.
+a set of cutoffs of a fixed grid is used in a stratum only if the hypothesis "it
+rejects more than a share ``p`` of the good documents of the stratum" is refuted
+on the labelled documents, that is if the exact binomial tail ``P(Bin(good, p)
+<= rejected good)`` is at most the level (the Clopper-Pearson bound).
+
+Sets are tried along paths, each from all rules off to the strictest cutoffs,
+one rule one cutoff tighter at a step.  Along a path rejections only grow, and
+it ends at the first set that is not refuted, so its steps share one level
+(fixed-sequence testing).  Paths of one rule have ``p = alpha / rules`` and are
+used together; the path of all rules and those of all rules but one (a single
+harmful rule does not hold up the others) bound their union, ``p = alpha``.
+``delta`` is split over strata and paths (Bonferroni).  So with confidence
+``1 - delta`` all ends of paths are right at once, whichever is used, and no
+stratum loses more than ``alpha`` of its good documents to the rules.  Of the
+refuted sets of a stratum the one that rejects most labelled documents that are
+not good is used; where there is none all rules stay off.
 
 Defined cases: a null text has no words; a null stratum value is a stratum of
 its own; a document labelled more than once counts as good only if all its
@@ -116,36 +124,83 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(terms))
 
 
+#: (rules tightened in turn, 1 / share of alpha, share of a stratum's delta).  The first are used together.
+_R = len(RULES)
+PATHS = [((r,), _R, 1 / (6 * _R)) for r in RULES]
+PATHS += [(rs, 1, 5 / (6 * (_R + 1))) for rs in (tuple(RULES), *(tuple(r for r in RULES if r != out) for out in RULES))]
+OFF = 1 + max(map(len, CUTOFFS.values()))  # level of a document that a rule rejects at no cutoff
+
+
+def _end_of_path(first: np.ndarray, n: np.ndarray, steps: int, p: float, level: float) -> tuple[int, int, float]:
+    """(steps refuted, good documents lost, tail) where ``n`` good documents are first rejected at step ``first``."""
+    good, lost = int(n.sum()), np.cumsum(np.bincount(np.minimum(first, steps + 1), weights=n, minlength=steps + 2)).astype(np.int64)
+    end = (0, 0, 1.0)
+    for step in range(1, steps + 1):
+        if step > 1 and lost[step] == end[1] and end[0]:
+            end = (step, *end[1:])
+        elif (tail := binomial_tail(int(lost[step]), good, p)) <= level:
+            end = (step, int(lost[step]), tail)
+        else:
+            break
+    return end
+
+
+def choose_levels(levels: np.ndarray, good: np.ndarray, n: np.ndarray, alpha: float, delta: float) -> list[tuple[str, int, int, int, float]]:
+    """(rule, level, good, rejected, tail) of the rules to use in one stratum.
+
+    ``n`` documents are rejected by rule k from level ``levels[:, k]`` on (1: loosest cutoff, ``OFF``: never);
+    ``delta`` is the stratum's share."""
+    rules, total = list(RULES), int(n[good].sum())
+    alone, ends = {}, []
+    for path, parts, share in PATHS:
+        at = [rules.index(r) for r in path]
+        width, steps = len(path), sum(len(CUTOFFS[r]) for r in path)
+        step = np.where(levels[:, at] < OFF, (levels[:, at] - 1) * width + np.arange(1, width + 1), steps + 1).min(axis=1)
+        end, lost, tail = _end_of_path(step[good], n[good], steps, alpha / parts, delta * share)
+        ends_at = {r: (end // width + (i < end % width), lost, tail) for i, r in enumerate(path) if end > i}
+        if parts > 1:
+            alone |= ends_at
+        else:
+            ends.append(ends_at)
+
+    def caught(chosen: dict) -> tuple[int, int]:
+        gone = np.zeros(len(n), dtype=bool)
+        for r, (level, *_) in chosen.items():
+            gone |= levels[:, rules.index(r)] <= level
+        return int(n[gone & ~good].sum()), sum(level for level, *_ in chosen.values())
+
+    best = max([alone, *ends], key=caught)  # the first of equals
+    return [(r, level, total, lost, tail) for r, (level, lost, tail) in best.items()]
+
+
 def fit_cutoffs(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang",
                 alpha: float = 0.02, delta: float = 0.05, good: str = "quality = 1") -> DataFrame:
     """(stratum, rule, cutoff, good, rejected, tail): the chosen cutoff of each stratum and rule.
 
     ``feats`` is the output of :func:`rule_features`; ``good`` is an SQL condition on a label row.
-    Documents without words are left out (no rule is defined on them)."""
+    ``rejected`` and ``tail`` are those of the path that ends at the cutoff.  Documents without words
+    are left out (no rule is defined on them)."""
     lab = (labels.select(F.col(f"`{id_col}`").alias("_id"), F.expr(good).alias("_good"))
            .where("_id IS NOT NULL AND _good IS NOT NULL").groupBy("_id").agg(F.min("_good").alias("_good")))
-    grid = F.explode(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), (score() > c).alias("rej"))
-        for r, score in RULES.items() for c in CUTOFFS[r]])).alias("g")
-    stats = (feats.where("_n_words > 0").join(lab.where("_good"), F.col(id_col) == F.col("_id"))
-             .select(F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("\u0000null")).alias("stratum"), grid)
-             .groupBy("stratum", "g.rule", "g.cutoff")
-             .agg(F.count("*").alias("good"), F.sum(F.col("g.rej").cast("long")).alias("rejected")))
-    stats = keep(stats, "quality-stats")  # strata x grid rows
-    hyp = stats.agg(F.greatest(F.count("*"), F.lit(1)).alias("hypotheses"))
-    level = alpha / len(RULES)
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tail = [binomial_tail(k, m, level) for k, m in zip(b["rejected"].to_pylist(), b["good"].to_pylist())]
-            yield b.append_column("tail", pa.array(tail, pa.float64()))
-
-    tested = (stats.mapInArrow(bound, stats.withColumn("tail", F.lit(0.0)).schema)
-              .crossJoin(F.broadcast(hyp))  # one row
-              .where(F.col("tail") <= F.lit(delta) / F.col("hypotheses")))
-    return (tested.groupBy("stratum", "rule")
-            .agg(F.min_by(F.struct("cutoff", "good", "rejected", "tail"), "cutoff").alias("best"))
-            .select("stratum", "rule", "best.*"))
+    # Scores that fall between the same cutoffs are one row: 7 ** rules rows a stratum and label at most.
+    level = [F.coalesce(*[F.when(score() > c, F.lit(k + 1)) for k, c in enumerate(CUTOFFS[r][::-1])], F.lit(OFF)).alias(r)
+             for r, score in RULES.items()]
+    stats = (feats.where("_n_words > 0").join(lab, F.col(id_col) == F.col("_id"))
+             .select(F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("\u0000null")).alias("stratum"), F.col("_good").alias("good"), *level)
+             .groupBy("stratum", "good", *RULES).agg(F.count("*").alias("n")))
+    stats = keep(stats, "quality-stats")
+    strata = stats.where("good").agg(F.count_distinct("stratum").alias("strata"))
+
+    def choose(got: pa.Table) -> pa.Table:
+        levels = np.stack([got[r].to_numpy() for r in RULES], axis=1)
+        is_good = got["good"].to_numpy()
+        rows = choose_levels(levels, is_good, got["n"].to_numpy(), alpha, delta / max(got["strata"][0].as_py(), 1)) if is_good.any() else []
+        out = [(got["stratum"][0].as_py(), r, CUTOFFS[r][-k], *rest) for r, k, *rest in rows]
+        return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(
+            (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64()))], names=["stratum", "rule", "cutoff", "good", "rejected", "tail"])
+
+    return (stats.crossJoin(F.broadcast(strata)).groupBy("stratum")  # one row
+            .applyInArrow(choose, "stratum string, rule string, cutoff double, good long, rejected long, tail double"))
 
 
 def judge(feats: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:

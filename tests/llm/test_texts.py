@@ -75,6 +75,53 @@ def test_cutoffs_limit_false_rejection(spark):
     assert quality.keep_good(docs, labels, alpha=0.05).columns == docs.columns
 
 
+def test_small_stratum_gets_rules_and_a_harmful_rule_is_left_out(spark):
+    """321 good documents certify rules by their union; where repeats hits 10 of them, the others still are on."""
+    word = lambda i, k: f"w{i}x{k}"
+    clean = lambda i: " ".join(word(i, k) for k in range(30))
+    repeated = lambda i: " ".join([" ".join(word(i, k) for k in range(10))] * 2 + [word(i, k) for k in range(10, 30)])  # noqa: E731  40 % of the words
+    spam = lambda i: clean(i) + "".join(f" #{k}##" for k in range(20))
+    rows = [(i, clean(i), "de") for i in range(321)] + [(i, spam(i), "de") for i in range(1000, 1050)]
+    rows += [(2000 + i, repeated(i) if i < 10 else clean(i), "es") for i in range(321)] + [(i, spam(i), "es") for i in range(3000, 3050)]
+    labels = spark.createDataFrame([(d, int(t.count("#") == 0)) for d, t, _ in rows], "doc_id long, quality int")
+    docs = frame(spark, rows)
+    feats = quality.rule_features(docs.select("doc_id", "text", "lang"))
+    on = {}
+    for r in quality.fit_cutoffs(feats, labels).collect():
+        on.setdefault(r["stratum"], {})[r["rule"]] = r["cutoff"]
+        assert r["good"] == 321 and r["rejected"] <= 1 and r["tail"] <= 0.05 / 2 * 5 / 36
+    assert set(on["de"]) == set(quality.RULES) and set(on["es"]) == set(quality.RULES) - {"repeats"}
+    gone = {r["id"] for r in quality.quality_rules(docs, labels).where("size(failed_rules) > 0").collect()}
+    assert gone == {*range(1000, 1050), *range(3000, 3050)}
+
+
+def test_all_former_cutoffs_are_still_certified():
+    """Whatever one rule alone certified at alpha / rules, delta / (strata x rules x cutoffs), its path still reaches."""
+    rnd = np.random.default_rng(3)
+    for good in (1500, 2076, 5000):
+        first = np.minimum(rnd.integers(1, 4000, good), 7)
+        lost = [int((first <= k).sum()) for k in range(1, 7)]
+        level = 0.05 / (4 * 30)
+        former = max([k for k in range(1, 7) if quality.binomial_tail(lost[k - 1], good, 0.004) <= level], default=0)
+        path, parts, share = quality.PATHS[0]
+        assert quality._end_of_path(first, np.ones(good, dtype=np.int64), 6, 0.02 / parts, 0.05 / 4 * share)[0] >= former
+    assert sum(share for *_, share in quality.PATHS) == pytest.approx(1.0)
+
+
+def test_false_certificates_are_as_rare_as_promised():
+    """Rules whose union loses a little over alpha of the good documents: certified in at most delta of the trials (0.2 here)."""
+    rnd = np.random.default_rng(1)
+    wrong = 0
+    for _ in range(300):
+        levels = np.full((400, 5), quality.OFF)
+        lost = rnd.random(400) < 0.021  # at the first cutoff of a rule, each rule a fifth
+        levels[lost, rnd.integers(0, 5, int(lost.sum()))] = 1
+        levels = np.vstack([levels, np.ones((1, 5), dtype=int)])  # one bad document, rejected by all
+        got = quality.choose_levels(levels, np.arange(401) < 400, np.ones(401, dtype=np.int64), 0.02, 0.2)
+        wrong += len(got) == 5
+    assert wrong <= 0.2 * 300
+
+
 def test_binomial_tail():
     assert quality.binomial_tail(0, 100, 0.02) == pytest.approx(0.98**100)
     assert quality.binomial_tail(5, 5, 0.3) == 1.0
