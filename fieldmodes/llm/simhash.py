@@ -7,10 +7,14 @@ cut into ``max_bits + shared`` blocks; a linked pair differs in at most
 of ``shared`` blocks gives a join key, and rows that meet under a key are
 verified by Hamming distance.
 
-Exact copies collapse first (one row per distinct fingerprint).  Under a key
-only a spanning forest of the links leaves the task, never all pairs; links are
-joined into components by alternating large-star / small-star rounds, each
-written to the shared folder.
+Exact copies collapse first (one row per distinct fingerprint).  Keys are
+counted first: rows of a key with more than ``HOT`` rows are dealt by a second
+pigeonhole level, the bits outside the key in ``max_bits + 1`` blocks, of which
+a linked pair agrees on at least one.  Under a key only a spanning forest of the
+links leaves the task, never all pairs, and rows that are linked already are
+not compared with one another in groups above ``LARGE``; links are joined into
+components by alternating large-star / small-star rounds, each written to the
+shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and link to each
 other; a text shorter than the shingle is one shingle; repeated rows are linked
@@ -36,6 +40,9 @@ from fieldmodes.llm.words import as_text, slices, split_words
 SEED = 42
 NAMELESS = 1 << 62  # nodes from here on stand for fingerprints without any id
 VOTE_ROWS = 1 << 15
+HOT = 4096  # rows of a key that one group may hold before it is split
+LARGE = 256  # rows of a group from which on its links are searched from the linked rows outward
+CELLS = 1 << 16  # comparisons at a time
 
 
 def _fingerprints(texts: pa.Array, width: int) -> np.ndarray:
@@ -87,8 +94,53 @@ def block_masks(max_bits: int, shared: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def second_masks(mask: int, max_bits: int) -> list[int]:
+    """``mask`` with each of ``max_bits + 1`` blocks of the bits outside it (signed 64-bit)."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    masks = [mask | sum(1 << int(b) for b in blk) for blk in np.array_split(free, max_bits + 1)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def _grow(fp: np.ndarray, node: np.ndarray, max_bits: int) -> tuple[list, list]:
+    """Spanning forest of the links of one group: each row is compared with the rows not reached yet."""
+    us, vs = [], []
+    queue = np.empty(len(fp), dtype=np.int64)
+    left = np.arange(len(fp))
+    head = tail = 0
+    while len(left):
+        if head == tail:
+            queue[tail], left = left[0], left[1:]
+            tail += 1
+        a = queue[head : min(tail, head + max(1, CELLS // max(len(left), 1)))]
+        head += len(a)
+        close = np.bitwise_count(fp[a][:, None] ^ fp[left][None, :]) <= max_bits
+        hit = close.any(axis=0)
+        new = left[hit]
+        us.extend(node[a[close[:, hit].argmax(axis=0)]].tolist())
+        vs.extend(node[new].tolist())
+        queue[tail : tail + len(new)] = new
+        tail += len(new)
+        left = left[~hit]
+    return us, vs
+
+
 def _forest(fp: np.ndarray, node: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[list, list]:
     """Spanning forest of the links inside each run of equal ``group`` (rows are sorted by it)."""
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[edges, len(group)])
+    large = size > LARGE
+    us, vs = [], []
+    for at, n in zip(edges[large].tolist(), size[large].tolist()):
+        u, v = _grow(fp[at : at + n], node[at : at + n], max_bits)
+        us += u
+        vs += v
+    small = np.repeat(~large, size)
+    u, v = _small_forests(fp[small], node[small], group[small], max_bits)
+    return us + u, vs + v
+
+
+def _small_forests(fp: np.ndarray, node: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[list, list]:
+    """All groups at a time: rows 1, 2, ... places apart are compared."""
     n = len(fp)
     label = np.arange(n)
     us, vs = [], []
@@ -120,18 +172,31 @@ def _forest(fp: np.ndarray, node: np.ndarray, group: np.ndarray, max_bits: int)
     return us, vs
 
 
+def keyed(reps: DataFrame, max_bits: int = 4, shared: int = 2) -> DataFrame:
+    """(fp, node, pick, key): every row under its keys, and under those of the second level where a key is hot."""
+    masks = block_masks(max_bits, shared)
+    first = reps.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks]))
+                        .alias("pick", "key"))
+    hot = keep(first.groupBy("pick", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("pick", "key", F.lit(True).alias("hot")), "simhash-hot")
+    if hot.isEmpty():
+        return first
+    marked = first.join(hot, ["pick", "key"], "left")
+    second = F.array(*[F.array(*[F.lit(x).cast("long") for x in second_masks(m, max_bits)]) for m in masks])
+    split = (marked.where("hot").select("fp", "node", "pick", F.posexplode(second[F.col("pick")]).alias("block", "mask"))
+             .select("fp", "node", (F.lit(len(masks)) + F.col("pick") * (max_bits + 1) + F.col("block")).alias("pick"),
+                     F.col("fp").bitwiseAND(F.col("mask")).alias("key")))
+    return marked.where("hot IS NULL").select("fp", "node", "pick", "key").union(split)
+
+
 def links(reps: DataFrame, max_bits: int = 4, shared: int = 2) -> DataFrame:
     """(u, v): edges whose components are those of all pairs within ``max_bits``.
 
     ``reps`` has one row (fp, node) per distinct fingerprint."""
     spark = reps.sparkSession
-    masks = block_masks(max_bits, shared)
-    keyed = reps.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks]))
-                        .alias("pick", "key"))
-    dealt = keyed.repartition(partitions(spark), "pick", "key").sortWithinPartitions("pick", "key", "fp")
+    dealt = keyed(reps, max_bits, shared).repartition(partitions(spark), "pick", "key").sortWithinPartitions("pick", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.RecordBatch | None = None
+        carry: list[pa.RecordBatch] = []  # rows of one key
 
         def solve(b: pa.RecordBatch) -> pa.RecordBatch:
             pick, key = b["pick"].to_numpy(), b["key"].to_numpy()
@@ -142,15 +207,17 @@ def links(reps: DataFrame, max_bits: int = 4, shared: int = 2) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            if carry is not None:
-                b = pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
             pick, key = b["pick"].to_numpy(), b["key"].to_numpy()
-            cut = int(np.flatnonzero((pick != pick[-1]) | (key != key[-1]))[-1]) + 1 if (pick[0], key[0]) != (pick[-1], key[-1]) else 0
-            if cut:
-                yield solve(b.slice(0, cut))
-            carry = b.slice(cut)
-        if carry is not None:
-            yield solve(carry)
+            if carry and (pick[-1], key[-1]) == (carry[0]["pick"][0].as_py(), carry[0]["key"][0].as_py()):
+                carry.append(b)
+                continue
+            at = int(np.flatnonzero((pick != pick[-1]) | (key != key[-1]))[-1]) + 1 if (pick[0], key[0]) != (pick[-1], key[-1]) else 0
+            done = [*carry, b.slice(0, at)]
+            if sum(x.num_rows for x in done):
+                yield solve(pa.Table.from_batches(done).combine_chunks().to_batches()[0])
+            carry = [b.slice(at)]
+        if carry:
+            yield solve(pa.Table.from_batches(carry).combine_chunks().to_batches()[0])
 
     return dealt.mapInArrow(run, "u long, v long")
 

@@ -167,6 +167,56 @@ def test_links_of_a_dense_group(spark):
     assert edges.count() < 15 * len(fps)  # a forest under each key, never all pairs
 
 
+def hot_family(n, rnd):
+    """A family around one fingerprint, rows that share a key's blocks but nothing else, and strangers."""
+    base = rnd.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for _ in range(n)}
+    low = (1 << 22) - 1
+    fps |= {(base & low) | (rnd.getrandbits(42) << 22) for _ in range(n)} | {rnd.getrandbits(64) for _ in range(n)}
+    return dict(enumerate(sorted(fps)))
+
+
+def signed_frame(spark, fps):
+    return spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in fps.items()], "fp long, node long")
+
+
+@pytest.mark.parametrize("large", [4, 256])
+def test_hot_keys_are_split_without_losing_links(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "HOT", 100)
+    monkeypatch.setattr(simhash, "LARGE", large)
+    fps = hot_family(400, random.Random(8))
+    reps = signed_frame(spark, fps)
+    comp = {r["node"]: r["component"] for r in simhash.components(simhash.links(reps)).collect()}
+    assert {i: comp.get(i, i) for i in fps} == brute.components(fps)
+
+
+def test_second_masks_are_lossless():
+    rnd = random.Random(1)
+    for m in simhash.block_masks(4, 2):
+        free = [b for b in range(64) if not m >> b & 1]
+        for _ in range(200):
+            d = sum(1 << b for b in rnd.sample(free, 4))
+            assert any(not d & x & (1 << 64) - 1 for x in simhash.second_masks(m, 4))
+
+
+def test_groups_stay_below_the_bound(spark, monkeypatch):
+    """3,000 rows that share 22 bits and nothing else were one group."""
+    rnd = random.Random(9)
+    fps = dict(enumerate({(rnd.getrandbits(42) << 22) | 12345 for _ in range(3000)}))
+    monkeypatch.setattr(simhash, "HOT", 200)
+    assert simhash.keyed(signed_frame(spark, fps)).groupBy("pick", "key").count().agg({"count": "max"}).first()[0] <= 200
+
+
+def test_linked_rows_are_not_compared_again(monkeypatch):
+    rnd = random.Random(3)
+    base = rnd.getrandbits(64)
+    fp = np.array(sorted({base ^ sum(1 << b for b in rnd.sample(range(24), rnd.randint(1, 3))) for _ in range(6000)}), dtype=np.uint64)
+    cells, count = [], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: (cells.append(x.size), count(x))[1])
+    us, vs = simhash._forest(fp, np.arange(len(fp)), np.zeros(len(fp), dtype=np.int64), 4)
+    assert len(us) == len(vs) == len(fp) - 1 and sum(cells) < len(fp) ** 2 / 2 / 4
+
+
 def test_simhash_edges(spark):
     rows = [(5, "a b c d e", "en"), (3, "A b C d e", "en"), (3, "A b C d e", "en"), (None, "a b c d e", "en"), (None, "zz yy xx ww vv", None),
             (7, None, None), (8, "", "en"), (9, " \t", "en"), (4, "a b", "en"), (5, "q w e r t y u i o p", "en"), (6, LONG, "en")]
