@@ -14,9 +14,10 @@ contaminated pair; the words around each hit are then compared in full.
 Items shorter than the window are matched whole and exactly, through a mask of
 their own length.  Defined cases: null or empty texts and items without words
 match nothing; repeated documents are judged row by row, repeated items each
-count; null item ids are reported as null.  The benchmark side is broadcast only
-if its hashes, at a measured count, fit ``BROADCAST_ROWS``; beyond that the
-joins shuffle.
+count; null item ids are reported as null.  The benchmark's hashes and, one row
+an item, its words are broadcast only if the hashes, at a measured count, fit
+``BROADCAST_ROWS`` and the words, at measured bytes, ``BROADCAST_BYTES``; beyond
+either the joins shuffle.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ WINDOW, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 4, 5, 6, 7), (0, 1, 2, 6, 8, 9))
 UPPER, LOWER, DROPPED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", '.,;:!?"()'
 WHITE = r"[\x20\x09-\x0D]+"
-BROADCAST_ROWS = 200_000  # of (mask, hash, item, place), 40 bytes each
+BROADCAST_ROWS = 200_000  # of (mask, hash, item number, place), 40 bytes each
+BROADCAST_BYTES = 16 << 20  # of the items' words, 16 bytes a word besides its own
 
 
 def plain_words(text: Column) -> Column:
@@ -50,6 +52,15 @@ def _masked(words: str, masks: list[tuple[int, ...]]) -> Column:
     return F.concat(*[of(k, m) for k, m in enumerate(masks)])
 
 
+def _placed(rows: DataFrame, columns: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
+    """``columns`` of ``rows`` with (mask, place, hash) of every placement of every mask on ``ids``, as ``_masked`` gives
+    them; built from plain column expressions, which run in generated code.  A mask that does not fit has no hash."""
+    places = rows.where(F.size("ids") > 0).select(*columns, "ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 1)).alias("place"))
+    return places.select(*columns, "place", F.inline(F.array(*[F.struct(
+        F.lit(k).alias("mask"), F.when(F.col("place") + m[-1] < F.size("ids"), F.xxhash64(*[F.get("ids", F.col("place") + p) for p in m])).alias("hash"))
+        for k, m in enumerate(masks)])))
+
+
 def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -74,26 +85,28 @@ def text_hash(text_col: str) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text") -> DataFrame:
     """(text_hash, items): the distinct items found in each text that has any, sorted; kept."""
-    items = keep(benchmark.select(F.col(f"`{item_col}`").alias("item"), plain_words(F.col(f"`{item_text_col}`")).alias("test"))
-                 .where(F.size("test") > 0), "benchmark-words")
+    items = keep(benchmark.select(F.monotonically_increasing_id().alias("no"), F.col(f"`{item_col}`").alias("item"),
+                                  plain_words(F.col(f"`{item_text_col}`")).alias("test")).where(F.size("test") > 0), "benchmark-words")
     # Lengths below the window, at most WINDOW - 1 values: each has a mask of its own.
     short = sorted(r[0] for r in items.where(F.size("test") < WINDOW).select(F.size("test")).distinct().collect())
     masks = [*MASKS, *[tuple(range(n)) for n in short]]
-    tests = items.withColumn("ids", _hashed(F.col("test"))).select("item", "test", F.inline(_masked("ids", masks)))
-    fits = (F.size("test") >= WINDOW) & (F.col("mask") < len(MASKS))
-    whole = reduce(lambda a, b: a | b, [(F.size("test") == n) & (F.col("mask") == len(MASKS) + k) for k, n in enumerate(short)], F.lit(False))
-    tests = keep(tests.where(fits | whole).select("mask", "hash", "item", "test", F.col("place").alias("item_place")), "benchmark-seeds")
+    tests = items.withColumn("ids", _hashed(F.col("test"))).select("no", F.size("test").alias("n"), F.inline(_masked("ids", masks)))
+    fits = (F.col("n") >= WINDOW) & (F.col("mask") < len(MASKS))
+    whole = reduce(lambda a, b: a | b, [(F.col("n") == n) & (F.col("mask") == len(MASKS) + k) for k, n in enumerate(short)], F.lit(False))
+    tests = keep(tests.where(fits | whole).select("mask", "hash", "no", F.col("place").alias("item_place")), "benchmark-seeds")
     rows = docs.select(text_hash(text_col).alias("text_hash"), plain_words(F.col(f"`{text_col}`")).alias("words")).withColumn("ids", _hashed(F.col("words")))
     at = F.col("place") - F.col("item_place")
-    if tests.count() <= BROADCAST_ROWS:
+    n_bytes = items.agg(F.coalesce(F.sum(F.aggregate("test", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16)), F.lit(0))).first()[0]
+    if tests.count() <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES:
         # The words are at hand where a hit is found: verify it there.
-        hits = rows.select("text_hash", "words", F.inline(_masked("ids", masks))).join(F.broadcast(tests), ["mask", "hash"])
-        found = hits.where(_verified(F.col("words"), F.col("test"), at)).select("text_hash", "item")
+        hits = _placed(rows, ["text_hash", "words"], masks).join(F.broadcast(tests), ["mask", "hash"])
+        found = hits.join(F.broadcast(items), "no").where(_verified(F.col("words"), F.col("test"), at)).select("text_hash", "item")
     else:
         seeds = keep(tests.select("mask", "hash").distinct(), "benchmark-hashes")
-        hits = rows.select("text_hash", F.inline(_masked("ids", masks))).join(seeds, ["mask", "hash"], "left_semi")
-        pairs = keep(hits.join(tests, ["mask", "hash"]).select("text_hash", "item", "test", at.alias("at")).distinct(), "benchmark-hits")
-        found = rows.select("text_hash", "words").join(pairs, "text_hash").where(_verified(F.col("words"), F.col("test"), F.col("at"))).select("text_hash", "item")
+        hits = _placed(rows, ["text_hash"], masks).join(seeds, ["mask", "hash"], "left_semi")
+        pairs = keep(hits.join(tests, ["mask", "hash"]).select("text_hash", "no", at.alias("at")).distinct(), "benchmark-hits")
+        found = (rows.select("text_hash", "words").join(pairs, "text_hash").join(items, "no")
+                 .where(_verified(F.col("words"), F.col("test"), F.col("at"))).select("text_hash", "item"))
     # An item is found once per text, whatever the number of hits; an array holds benchmark items only.
     return keep(found.distinct().groupBy("text_hash").agg(F.array_sort(F.array_compact(F.collect_list("item"))).alias("items"),
                                                           F.count_if(F.col("item").isNull()).alias("nulls"))

@@ -329,6 +329,20 @@ def test_decontamination_random(spark, monkeypatch, bound):
     assert out.count() == len(docs)
 
 
+@pytest.mark.parametrize("bound", [contamination.BROADCAST_BYTES, 1000])
+def test_long_items_are_broadcast_once_or_not_at_all(spark, monkeypatch, bound):
+    """40 items of 500 words: their words are in one row each, not in one of each of their 39,000 seeds."""
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", bound)
+    sent, real = [], contamination.F.broadcast
+    monkeypatch.setattr(contamination.F, "broadcast", lambda df: (sent.append(df), real(df))[1])
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(500))) for i in range(40)]
+    docs = [(i, "a b " + " ".join(f"i{i}w{k}" for k in range(100 + i, 113 + i)) + " c", "en") for i in range(0, 40, 2)] + [(99, "a b c", "en")]
+    out = contamination.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["_leaked"] for r in out} == {**{i: [i] for i in range(0, 40, 2)}, 99: []}
+    words = sum(df.agg({"n": "sum"}).first()[0] for df in (d.selectExpr("size(test) AS n") for d in sent if "test" in d.columns))
+    assert words == (40 * 500 if bound > 1000 else 0) and bool(sent) == (bound > 1000)
+
+
 def test_decontamination_empty_sides(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert [r["_leaked"] for r in contamination.decontaminate(frame(spark, [(1, "a b", "en")]), items).collect()] == [[]]
