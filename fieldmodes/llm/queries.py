@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.llm import contamination, katz, pieces, quality, simhash, substring, tokencounts, toolcalls, urls, warc
+from fieldmodes.llm import (align, contamination, divergence, katz, pieces, quality, simhash, substring, tokencounts, toolcalls, topk,
+                            urls, warc)
 from fieldmodes.llm.tables import documents, keep, prepare
 from fieldmodes.session import scratch_path
 
@@ -118,6 +119,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the terms that set it apart."""
+    prepare(spark)
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of the two vocabularies, of every document."""
+    prepare(spark)
+    return align.align(documents(spark, sf_dir), digest=True).withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows of highest inner product for every hundredth vector, against all rows."""
+    prepare(spark)
+    return topk.top_k(documents(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0).withColumnRenamed("id", "vec_id")
+
+
 _WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _PLAIN = _WORDS.format("translate(coalesce(text, ''), '" + contamination.UPPER + contamination.DROPPED + "', '" + contamination.LOWER + "')")
 
@@ -197,5 +216,40 @@ SELECT conv_id, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'r
 FROM a
 """
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality_rules, op4_warc, op5_lm_scoring, op6_benchmark_decontamination, op7_tool_call_linking, op8_substring_dedup, op9_url_filter, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op7_tool_call_linking": OP7_SQL, "op9_url_filter": OP9_SQL, "op6_benchmark_decontamination": OP6_SQL}
+_SHARE = "(1 + 1000000000 * ({} + 1)::HUGEINT // ({} + v))"
+_F = "(({0} - {1}) * ({0} - {1}) // {1})"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{contamination.UPPER}', '{contamination.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+           FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(term) AS v, coalesce(sum(c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN own USING (lang, source) GROUP BY ALL),
+full_ AS (SELECT g.lang, g.source, k.term, coalesce(own.c, 0)::HUGEINT AS c, k.c::HUGEINT AS lc, v, n.n, l.n AS ln
+          FROM g JOIN k USING (lang) LEFT JOIN own USING (lang, source, term) JOIN n USING (lang, source) JOIN l USING (lang)),
+p AS (SELECT *, {_SHARE.format("c", "n")} AS p, {_SHARE.format("lc", "ln")} AS q FROM full_),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum({_F.format("x.p", "y.p")}), 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+         LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+term AS (SELECT lang, source, 'term' AS part, term AS item, {_F.format("p", "q")}::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+           FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+OP13_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, d.vec_id, list_inner_product(q.x, d.x)::BIGINT AS score FROM v q JOIN v d ON q.r <> d.r WHERE q.vec_id % 100 = 0),
+k AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality_rules, op4_warc, op5_lm_scoring, op6_benchmark_decontamination, op7_tool_call_linking, op8_substring_dedup, op9_url_filter, op10_simhash_near_dedup,
+                              op11_source_divergence, op12_token_alignment, op13_exact_top_k)}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op7_tool_call_linking": OP7_SQL, "op9_url_filter": OP9_SQL, "op6_benchmark_decontamination": OP6_SQL,
+                            "op11_source_divergence": OP11_SQL, "op13_exact_top_k": OP13_SQL}
