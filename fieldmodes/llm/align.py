@@ -57,9 +57,9 @@ MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 ESCAPE = "▁"
 PIECE = 512  # merge steps of a piece
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SPLIT_CHARS = 1 << 20
-CACHE_ATOMS, CACHE_CHARS = 300_000, 8 << 20  # atoms a worker remembers
+CACHE_ATOMS, CACHE_CHARS = 200_000, 4 << 20  # atoms a worker remembers
 CLEAN = re.compile(r"(?<=\S) (?=\S)")
 COMMA, BAR, SEMICOLON, NOTHING = range(4)
 SEPARATORS = (",", "|", ";", "")
@@ -190,10 +190,12 @@ class Pair:
         keys = a[link_a].astype(np.int64) << 32 | b[link_b]
         d = pa.array(keys).dictionary_encode()
         codes, pairs = d.indices.to_numpy().astype(np.int32), d.dictionary.to_numpy()
+        links = np.bincount(owner_a[link_a], minlength=n)
 
         # Groups: a closing step ends at token i - 1 of A and j of B.
         stop = np.flatnonzero(close)
         end_a, end_b = si[stop].astype(np.int64), sj[stop].astype(np.int64) + 1  # tokens up to and with each group
+        del si, sj, ahead, close, at, link_a, link_b, keys, d
         group_a = np.repeat(np.arange(len(stop)), np.diff(np.r_[0, end_a]))
         group_b = np.repeat(np.arange(len(stop)), np.diff(np.r_[0, end_b]))
         sep = np.full(len(a) + len(b), COMMA, dtype=np.int64)
@@ -203,13 +205,14 @@ class Pair:
         sep[place_b[end_b - 1]] = SEMICOLON
         closes = np.cumsum(per_b)[per_b > 0] - 1  # last tokens of texts
         sep[place_b[closes]] = NOTHING
-        word = np.empty(len(sep), dtype=np.int64)
-        word[place_a], word[place_b] = a, b
-        word += sep * self.most
+        word = sep * self.most
+        word[place_a] += a
+        word[place_b] += b
+        del sep, place_a, place_b, group_a, group_b
         offs = np.r_[0, np.cumsum(self.word_size[word])][np.r_[0, np.cumsum(per_a + per_b)]]
         shown = self.words.take(pa.array(word)).buffers()[2]  # the words one after another
         return {"n_a": per_a, "n_b": per_b, "n_groups": np.bincount(owner_a[end_a - 1], minlength=n),
-                "n_links": np.bincount(owner_a[link_a], minlength=n), "codes": codes, "pairs": pairs,
+                "n_links": links, "codes": codes, "pairs": pairs,
                 "n": np.bincount(codes, minlength=len(pairs)), "offs": offs, "buffer": memoryview(shown or b"")}
 
 
