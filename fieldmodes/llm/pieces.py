@@ -84,8 +84,8 @@ class Model:
         bare = [x[1:] if self.prefix and x.startswith(b" ") else x for x in surface]
         self.surface = pa.array(surface + bare, pa.binary())
         self.rank = {p: s for p, _, s in normal}
-        if self.bpe:  # pieces that the merges never leave whole cannot end up in a text
-            normal = [x for x in normal if len(self.merge(x[0])) == 1]
+        if self.bpe:
+            normal = self._merge_tables(normal)
         self.id_of = {p: i for p, i, _ in normal}
         self.piece_of = {i: p for p, i in self.id_of.items()}
         self.score = np.zeros(self.size + 1)
@@ -126,16 +126,63 @@ class Model:
             h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return np.uint64(h)
 
-    def merge(self, text: str) -> list[str]:
-        """BPE merges over a short string: best score first, leftmost among equals."""
-        parts = list(text)
+    def merge(self, text: str) -> tuple[list[str], list[str]]:
+        """BPE merges over a short string, best score first, leftmost among equals: what is left, and what was there one merge before."""
+        parts = before = list(text)
         while len(parts) > 1:
             best = max(((self.rank[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
             if best is None:
                 break
             i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            parts, before = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]], parts
+        return parts, before
+
+    def _merge_tables(self, normal: list[tuple]) -> list[tuple]:
+        """What ``_keep_apart`` needs: the turn of every merge, the two parts of each piece's last merge, and the turn
+        of every pair of pieces that merges.  Returns the pieces without those the merges never leave whole."""
+        ids = {p: i for p, i, _ in normal}
+        turns = {s: k for k, s in enumerate(sorted({s for p, _, s in normal if len(p) > 1}, reverse=True))}
+        self.turn = np.full(self.size, -1, dtype=np.int64)  # -1: a character
+        self.head, self.tail = np.arange(self.size), np.arange(self.size)
+        pairs, whole = {}, []
+        for p, i, s in normal:
+            if len(p) == 1:
+                whole.append((p, i, s))
+                continue
+            self.turn[i] = turns[s]
+            for k in range(1, len(p)):
+                if p[:k] in ids and p[k:] in ids:
+                    pairs[ids[p[:k]] * self.size + ids[p[k:]]] = turns[s]
+            left, before = self.merge(p)
+            if len(left) == 1:
+                whole.append((p, i, s))
+                self.head[i], self.tail[i] = (ids[x] if x in ids else -1 for x in before)
+        keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
+        order = np.argsort(keys)
+        self.merge_keys, self.merge_turn = np.r_[keys[order], np.iinfo(np.int64).max], np.r_[np.fromiter(pairs.values(), np.int64, len(pairs))[order], 0]
+        return whole
+
+    def _keep_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Do the merges over the text of two pieces leave just these two?
+
+        Undo the later of the two last merges again and again, the right one among equals.  The parts that meet
+        in the middle at any time must not merge at an earlier turn than the merge undone last (one to the right
+        would come later at the same turn)."""
+        never = np.iinfo(np.int64).max
+        ok, live = np.ones(len(left), dtype=bool), np.arange(len(left))
+        a, b, before = left.copy(), right.copy(), np.full(len(left), never)
+        while len(live):
+            keys = a * self.size + b
+            at = np.searchsorted(self.merge_keys, keys)
+            joins = np.where((self.merge_keys[at] == keys) & (a >= 0) & (b >= 0), self.merge_turn[at], never) < before
+            ok[live[joins]] = False
+            ta, tb = self.turn[a], self.turn[b]
+            go = ~joins & ((ta >= 0) | (tb >= 0))
+            live, a, b, ta, tb = live[go], a[go], b[go], ta[go], tb[go]
+            undo_left = ta > tb
+            before = np.where(undo_left, ta, tb + 1)
+            a, b = np.where(undo_left, self.tail[a], a), np.where(undo_left, b, self.head[b])
+        return ok
 
     def agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """May piece ``right`` follow piece ``left``?  START and the unknown piece go with anything."""
@@ -152,9 +199,7 @@ class Model:
         known[known] = self.pair_keys[at[known]] == uniq[known]
         if not known.all():
             new = uniq[~known]
-            pieces = self.piece_of
-            fresh = np.fromiter((self.merge(pieces[k // self.size] + pieces[k % self.size]) == [pieces[k // self.size], pieces[k % self.size]]
-                                 for k in new.tolist()), dtype=bool, count=len(new))
+            fresh = self._keep_apart(new // self.size, new % self.size)
             keys_all = np.concatenate([self.pair_keys, new])
             order = np.argsort(keys_all, kind="stable")
             self.pair_keys, self.pair_ok = keys_all[order], np.concatenate([self.pair_ok, fresh])[order]
