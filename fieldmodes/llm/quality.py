@@ -21,7 +21,10 @@ not good is used; where there is none all rules stay off.
 Defined cases: a null text has no words; a null stratum value is a stratum of
 its own; a document labelled more than once counts as good only if all its
 labels say so; null labels and labels of unknown documents are ignored; without
-labels no rule is active.  Repeated rows are judged row by row.
+labels no rule is active.  Repeated rows are judged row by row; very long texts
+are counted whole; an empty table gives no rows.  Other columns pass through
+``rule_features`` and ``keep_good`` whatever their names (``rule_features``
+replaces columns that are named like its counts).
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmodes.llm.tables import keep
+from fieldmodes.llm.tables import keep, packed, unpacked
 from fieldmodes.llm.words import as_text, slices, split_words, window_hash
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -99,19 +102,20 @@ def _features(texts: pa.Array) -> dict[str, np.ndarray]:
             "n_repeat_words": repeat, "n_lines": n_lines}
 
 
-def rule_features(docs: DataFrame, text_col: str = "text", prefix: str = "_") -> DataFrame:
-    """All columns but the text, plus the counts the rules use (bigint, named ``prefix + name``)."""
-    rest = [c for c in docs.columns if c != text_col and c not in {prefix + f for f in FEATURES}]
-    slim = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("_text"))
+def rule_features(docs: DataFrame, text_col: str = "text", prefix: str = "_", with_text: bool = False) -> DataFrame:
+    """All columns but the text (``with_text``: all), plus the counts the rules use (bigint, named ``prefix + name``)."""
+    slim = docs.select(packed(docs, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kept = ["row", "text"] if with_text else ["row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
-            f = _features(b.column("_text"))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(f[k].astype(np.int64)) for k in FEATURES],
-                                             names=rest + [prefix + k for k in FEATURES])
+        for b in slices(batches, "text"):
+            f = _features(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(f[k].astype(np.int64)) for k in FEATURES],
+                                             names=[*kept, *FEATURES])
 
-    schema = slim.select(*[F.col(f"`{c}`") for c in rest], *[F.lit(0).cast("long").alias(prefix + k) for k in FEATURES]).schema
-    return slim.mapInArrow(run, schema)
+    schema = slim.select(*kept, *[F.lit(0).cast("long").alias(k) for k in FEATURES]).schema
+    without = tuple(prefix + k for k in FEATURES) + (() if with_text else (text_col,))
+    return slim.mapInArrow(run, schema).select(*unpacked(docs, text_col, "text", without), *[F.col(k).alias(prefix + k) for k in FEATURES])
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -214,25 +218,32 @@ def judge(feats: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> Da
             .withColumn("failed_rules", broken).drop("_cut", "_stratum"))
 
 
+BASE_FAILED = "_n_words < 20 OR 100 * _n_repeat_words > 30 * _n_words"
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(id, stratum, text_hash, counts, ``base_failed``, ``failed_rules``, ``kept``) for every row of ``docs``."""
-    text = F.col(f"`{text_col}`").cast("string")
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{stratum_col}`").cast("string").alias("stratum"),
-                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    feats = keep(rule_features(slim), "quality-features")
-    labels = labels.withColumn("id", F.col(f"`{id_col}`"))
-    out = judge(feats, fit_cutoffs(feats, labels, "id", "stratum", alpha, delta), "stratum")
-    base = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
-    return (out.withColumn("base_failed", base).withColumn("kept", ~base & (F.size("failed_rules") == 0))
-            .select("id", "stratum", "text_hash", *[F.col("_" + f).alias(f) for f in FEATURES], "base_failed", "failed_rules", "kept"))
+    """(id, stratum, counts, ``base_failed``, ``failed_rules``, ``kept``) for every row of ``docs``."""
+    feats = keep(rule_features(_slim(docs, id_col, text_col, stratum_col)), "quality-features")
+    out = judge(feats, fit_cutoffs(feats, labels.withColumn("id", F.col(f"`{id_col}`")), "id", "stratum", alpha, delta), "stratum")
+    return (out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+            .select("id", "stratum", *[F.col("_" + f).alias(f) for f in FEATURES], "base_failed", "failed_rules", "kept"))
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{stratum_col}`").cast("string").alias("stratum"),
+                       F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
               alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """Rows of ``docs`` that the base rules and the chosen cutoffs keep."""
-    verdict = quality_rules(docs, labels, id_col, text_col, stratum_col, alpha, delta)
-    gone = keep(verdict.where("NOT kept").select("id", "stratum", "text_hash").distinct(), "quality-rejected")
-    same = (docs[f"`{id_col}`"].eqNullSafe(gone["id"]) & docs[f"`{stratum_col}`"].cast("string").eqNullSafe(gone["stratum"])
-            & (F.xxhash64(F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))) == gone["text_hash"]))
-    return docs.join(gone, same, "left_anti")
+    """Rows of ``docs`` that the base rules and the chosen cutoffs keep.
+
+    One pass counts and fits the cutoffs on the labelled rows, a second counts, judges and filters: texts are
+    read twice and never shuffled."""
+    feats = rule_features(_slim(docs, id_col, text_col, stratum_col))
+    cutoffs = fit_cutoffs(feats, labels.withColumn("id", F.col(f"`{id_col}`")), "id", "stratum", alpha, delta)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(f"`{stratum_col}`").cast("string").alias("stratum"),
+                       F.col(f"`{text_col}`").cast("string").alias("text"))
+    judged = judge(rule_features(rows), cutoffs, "stratum")
+    return judged.where(~F.expr(BASE_FAILED) & (F.size("failed_rules") == 0)).select(*[F.col(f"all.`{c}`").alias(c) for c in docs.columns])
