@@ -24,6 +24,7 @@ from fieldmodes.llm.tables import keep, partitions
 from fieldmodes.llm.words import give_back, hash_strings, slices, split_words
 
 BLOCK_BYTES = 4 << 20  # text of a block: its keys and answers are in a task's memory together
+BUCKET_WORDS = 1 << 20
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -83,8 +84,11 @@ def word_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keep(slim.mapInArrow(run, BLOCK_SCHEMA), "word-blocks", bucket_by="block")
 
 
-def n_buckets(spark) -> int:
-    return 2 * partitions(spark)
+def n_buckets(blocks: DataFrame) -> int:
+    """Key buckets for the words of ``blocks``: as many as keep a bucket, which a task holds whole, below ``BUCKET_WORDS``
+    requests (a block asks for a key once, so requests are at most words, and hashing deals them evenly)."""
+    words = blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    return max(2 * partitions(blocks.sparkSession), -(-words // BUCKET_WORDS))
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +106,7 @@ def per_bucket(order: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.
 
 
 def ask(rows: DataFrame, requests: Callable[[dict, int], list[dict]], fields: list[str],
-        answer: Callable[..., list[dict]], answers: list[str], name: str, table: DataFrame | None = None) -> DataFrame:
+        answer: Callable[..., list[dict]], answers: list[str], name: str, buckets: int, table: DataFrame | None = None) -> DataFrame:
     """One round of questions.  Returns (block, told array<struct<bucket, answers...>>), kept.
 
     ``requests(row, buckets)`` gives the packed requests of one row of ``rows`` (which has ``block``):
@@ -110,7 +114,6 @@ def ask(rows: DataFrame, requests: Callable[[dict, int], list[dict]], fields: li
     gives one dict of binary ``answers`` for each, in the same order.  With a ``table`` (it has a column
     ``bucket``, see ``by_bucket``) it also gets the table's rows of the bucket."""
     spark = rows.sparkSession
-    buckets = n_buckets(spark)
     sent = ["block", "bucket", *fields]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -193,17 +193,16 @@ def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     held_out: Callable[[int | None], bool] = crc_fold) -> tuple[Model, DataFrame]:
     """Train on the texts that are not held out, score all: the model, and
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    spark = docs.sparkSession
-    buckets = n_buckets(spark)
     blocks = word_blocks(docs, id_col, text_col, lower=True)
+    buckets = n_buckets(blocks)
 
     def train_counts(codes, size, t):
         return np.bincount(codes[t.train], minlength=size)
 
     words = ask(blocks, _ask_counts(lambda t: t.vocab[t.words()], lambda t: train_counts(t.token, len(t.vocab), t)[t.words()], held_out),
-                ["keys", "counts"], _add_counts, ["totals", "own"], "word-counts")
+                ["keys", "counts"], _add_counts, ["totals", "own"], "word-counts", buckets)
     pairs = ask(blocks, _ask_counts(lambda t: t.pair_hash(), lambda t: train_counts(t.which, len(t.pairs), t), held_out),
-                ["keys", "counts"], _add_counts, ["totals", "own"], "pair-counts")
+                ["keys", "counts"], _add_counts, ["totals", "own"], "pair-counts", buckets)
     known = blocks.join(words.withColumnRenamed("told", "words"), "block")
     counted = known.join(pairs.withColumnRenamed("told", "pairs"), "block")
 
@@ -276,7 +275,7 @@ def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # by_bucket takes the upper half of the unsigned key.
     bucket_of = F.pmod(F.shiftrightunsigned("context", 32), F.lit(buckets)).cast("int")
-    told = ask(blocks, context_requests, ["keys"], weights, ["totals", "alphas"], "context-weights", table=contexts.withColumn("bucket", bucket_of))
+    told = ask(blocks, context_requests, ["keys"], weights, ["totals", "alphas"], "context-weights", buckets, table=contexts.withColumn("bucket", bucket_of))
 
     def score_rows(batches):
         for row, t in per_row(batches):

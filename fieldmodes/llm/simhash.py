@@ -8,9 +8,12 @@ of ``shared`` blocks gives a join key, and rows that meet under a key are
 verified by Hamming distance.
 
 Exact copies collapse first (one row per distinct fingerprint).  Keys are
-counted first: rows of a key with more than ``HOT`` rows are dealt by a second
+counted first: rows of a key with more than ``HOT`` rows are dealt by a further
 pigeonhole level, the bits outside the key in ``max_bits + 1`` blocks, of which
-a linked pair agrees on at least one.  Under a key only a spanning forest of the
+a linked pair agrees on at least one, and rows that still share a key with more
+than ``FURTHER`` rows by another, until all groups are bounded.  (Families of
+linked rows are cheap inside a group and would multiply with every level, so the
+bound of the further levels is the larger one.)  Under a key only a spanning forest of the
 links leaves the task, never all pairs, and rows that are linked already are
 not compared with one another in groups above ``LARGE``; links are joined into
 components by alternating large-star / small-star rounds, each written to the
@@ -19,28 +22,32 @@ shared folder.
 Defined cases: null and empty texts have fingerprint zero and link to each
 other; a text shorter than the shingle is one shingle; repeated rows are linked
 to themselves; a row with a null id takes part in linking but never names a component: where all ids
-of a component are null, so is the component id.  Ids lie below 2^62.
+of a component are null, so is the component id.  Ids lie below 2^62.  An empty
+table gives no rows, very long texts are hashed whole, other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmodes.llm.tables import keep, partitions
+from fieldmodes.llm.tables import free_name, keep, partitions
 from fieldmodes.llm.words import as_text, slices, split_words
 
 SEED = 42
 NAMELESS = 1 << 62  # nodes from here on stand for fingerprints without any id
 VOTE_ROWS = 1 << 15
 HOT = 4096  # rows of a key that one group may hold before it is split
+FURTHER = 1 << 18  # the same for a key of the second level on
 LARGE = 256  # rows of a group from which on its links are searched from the linked rows outward
 CELLS = 1 << 16  # comparisons at a time
 
@@ -173,19 +180,24 @@ def _small_forests(fp: np.ndarray, node: np.ndarray, group: np.ndarray, max_bits
 
 
 def keyed(reps: DataFrame, max_bits: int = 4, shared: int = 2) -> DataFrame:
-    """(fp, node, pick, key): every row under its keys, and under those of the second level where a key is hot."""
+    """(fp, node, mask, key): every row under its keys, and under those of further levels where a key is hot."""
+    spark = reps.sparkSession
     masks = block_masks(max_bits, shared)
-    first = reps.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks]))
-                        .alias("pick", "key"))
-    hot = keep(first.groupBy("pick", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("pick", "key", F.lit(True).alias("hot")), "simhash-hot")
-    if hot.isEmpty():
-        return first
-    marked = first.join(hot, ["pick", "key"], "left")
-    second = F.array(*[F.array(*[F.lit(x).cast("long") for x in second_masks(m, max_bits)]) for m in masks])
-    split = (marked.where("hot").select("fp", "node", "pick", F.posexplode(second[F.col("pick")]).alias("block", "mask"))
-             .select("fp", "node", (F.lit(len(masks)) + F.col("pick") * (max_bits + 1) + F.col("block")).alias("pick"),
-                     F.col("fp").bitwiseAND(F.col("mask")).alias("key")))
-    return marked.where("hot IS NULL").select("fp", "node", "pick", "key").union(split)
+    rows = reps.select("fp", "node", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
+    rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    done: list[DataFrame] = []
+    while True:
+        crowded = keep(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > (FURTHER if done else HOT)).select("mask", "key"), "simhash-hot")
+        masks = [r[0] for r in crowded.select("mask").distinct().collect()]  # of 64 bits: at most 15 at first, 5 times as many a level
+        masks = [m for m in masks if 64 - bin(m & 0xFFFFFFFFFFFFFFFF).count("1") > max_bits]
+        if not masks:
+            done.append(rows)
+            return reduce(DataFrame.unionByName, done)
+        finer = spark.createDataFrame([(m, x) for m in masks for x in second_masks(m, max_bits)], "mask long, finer long")
+        crowded = crowded.join(F.broadcast(finer.select("mask").distinct()), "mask", "left_semi")
+        done.append(rows.join(crowded, ["mask", "key"], "left_anti"))
+        rows = (keep(rows.join(crowded, ["mask", "key"], "left_semi"), "simhash-keys").join(F.broadcast(finer), "mask").select("fp", "node", F.col("finer").alias("mask"))
+                .withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))))
 
 
 def links(reps: DataFrame, max_bits: int = 4, shared: int = 2) -> DataFrame:
@@ -193,25 +205,25 @@ def links(reps: DataFrame, max_bits: int = 4, shared: int = 2) -> DataFrame:
 
     ``reps`` has one row (fp, node) per distinct fingerprint."""
     spark = reps.sparkSession
-    dealt = keyed(reps, max_bits, shared).repartition(partitions(spark), "pick", "key").sortWithinPartitions("pick", "key", "fp")
+    dealt = keyed(reps, max_bits, shared).repartition(partitions(spark), "mask", "key").sortWithinPartitions("mask", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[pa.RecordBatch] = []  # rows of one key
 
         def solve(b: pa.RecordBatch) -> pa.RecordBatch:
-            pick, key = b["pick"].to_numpy(), b["key"].to_numpy()
-            group = np.cumsum(np.r_[False, (pick[1:] != pick[:-1]) | (key[1:] != key[:-1])])
+            mask, key = b["mask"].to_numpy(), b["key"].to_numpy()
+            group = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
             us, vs = _forest(b["fp"].to_numpy().view(np.uint64), b["node"].to_numpy(), group, max_bits)
             return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            pick, key = b["pick"].to_numpy(), b["key"].to_numpy()
-            if carry and (pick[-1], key[-1]) == (carry[0]["pick"][0].as_py(), carry[0]["key"][0].as_py()):
+            mask, key = b["mask"].to_numpy(), b["key"].to_numpy()
+            if carry and (mask[-1], key[-1]) == (carry[0]["mask"][0].as_py(), carry[0]["key"][0].as_py()):
                 carry.append(b)
                 continue
-            at = int(np.flatnonzero((pick != pick[-1]) | (key != key[-1]))[-1]) + 1 if (pick[0], key[0]) != (pick[-1], key[-1]) else 0
+            at = int(np.flatnonzero((mask != mask[-1]) | (key != key[-1]))[-1]) + 1 if (mask[0], key[0]) != (mask[-1], key[-1]) else 0
             done = [*carry, b.slice(0, at)]
             if sum(x.num_rows for x in done):
                 yield solve(pa.Table.from_batches(done).combine_chunks().to_batches()[0])
@@ -247,24 +259,48 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
+def _classes(fps: DataFrame, max_bits: int, shared: int) -> DataFrame:
+    """(fp, node): the node that names the component of each distinct fingerprint (from ``NAMELESS`` on: no id in it)."""
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
+    reps = keep(fps.groupBy("fp").agg(F.min("id").alias("node")).withColumn("node", F.coalesce("node", nameless)), "simhash-reps")
+    comp = components(links(reps, max_bits, shared))
+    return keep(reps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("node")), "simhash-components")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                        max_bits: int = 4, shared: int = 2) -> DataFrame:
     """(id, text_hash, fp, component_id) for every row of ``docs``; ids are integers."""
     fps = keep(fingerprints(docs, id_col, text_col, width), "simhash-fp")
-    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
-    reps = keep(fps.groupBy("fp").agg(F.min("id").alias("node")).withColumn("node", F.coalesce("node", nameless)), "simhash-reps")
-    comp = components(links(reps, max_bits, shared))
-    of_fp = keep(reps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-components")
-    of_fp = of_fp.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
-    return fps.join(of_fp, "fp").select("id", "text_hash", "fp", "component_id")
+    named = F.when(F.col("node") < NAMELESS, F.col("node")).alias("component_id")
+    return fps.join(_classes(fps, max_bits, shared), "fp").select("id", "text_hash", "fp", named)
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                            max_bits: int = 4, shared: int = 2) -> DataFrame:
-    """One document of each component stays, the one whose id names it.
-
-    Rows with its id and text stay together; rows of components without any id all stay."""
-    comp = simhash_components(docs, id_col, text_col, width, max_bits, shared)
-    gone = keep(comp.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "text_hash").distinct(), "simhash-gone")
-    id_, hash_ = docs[f"`{id_col}`"].cast("long"), F.xxhash64(F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")))
-    return docs.join(gone, id_.eqNullSafe(gone["id"]) & (hash_ == gone["text_hash"]), "left_anti")
+    """One row of each component stays: the smallest id (null last), then the smallest text hash, then any one of the
+    rows that repeat both (the one with the smallest hash of its columns)."""
+    fps = keep(fingerprints(docs, id_col, text_col, width), "simhash-fp")
+    comp = fps.join(_classes(fps, max_bits, shared), "fp").select("id", "text_hash", "node")
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")
+    counted = comp.groupBy("node", "id", "text_hash").agg(F.count("*").alias("n"))  # copies of a row are counted per task
+    one = keep(counted.groupBy("node").agg(F.min(first).alias("one")), "simhash-kept")
+    rows = keep(counted.join(one, "node").select("id", "text_hash", "n", ((F.col("one.text_hash") == F.col("text_hash"))
+                                                                         & F.col("one.id").eqNullSafe(F.col("id"))).alias("stays")), "simhash-verdicts")
+    id_, hash_ = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    left = docs.join(rows.where("NOT stays").select("id", "text_hash").transform(_keys), _same(id_, hash_), "left_anti")
+    again = rows.where("stays AND n > 1").select("id", "text_hash").transform(_keys)
+    if again.isEmpty():
+        return left
+    place = Window.partitionBy(id_, hash_).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]))
+    number = free_name(docs, "n")
+    alone = left.join(again, _same(id_, hash_), "left_semi").withColumn(number, F.row_number().over(place)).where(F.col(number) == 1).drop(number)
+    return left.join(again, _same(id_, hash_), "left_anti").unionByName(alone)
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """One struct column, which clashes with no document column but its own name."""
+    return rows.select(F.struct("id", "text_hash").alias("simhash key"))
+
+
+def _same(id_: Column, hash_: Column) -> Column:
+    return id_.eqNullSafe(F.col("`simhash key`.id")) & (hash_ == F.col("`simhash key`.text_hash"))

@@ -17,7 +17,8 @@ words is seen earlier.  Both rounds go through ``blocks.ask``.
 Defined cases: null and empty texts and texts shorter than the window lose
 nothing; null ids sort after all others; rows with equal id and text are one
 document (each of them keeps or loses the same words); rows with equal id and
-different texts are ordered by a text hash.
+different texts are ordered by a text hash; very long texts are words of one
+block; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -204,10 +205,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    levels: int = LEVELS) -> DataFrame:
     """(doc_id, text_hash, spans): word ranges [from, to) to remove, flat, for documents that lose words."""
     blocks = word_blocks(docs, id_col, text_col)
-    shared = ask(blocks, _symbol_requests(window, levels), ["names", "twice"], _shared_symbols, ["shared"], "shared-symbols")
+    buckets = n_buckets(blocks)
+    shared = ask(blocks, _symbol_requests(window, levels), ["names", "twice"], _shared_symbols, ["shared"], "shared-symbols", buckets)
     told = blocks.join(shared, "block", "left")
-    earlier = ask(told, _window_requests(window, levels), ["a", "b", "place", "ids", "hashes", "per"], _seen_earlier, ["later"], "seen-windows")
-    buckets = n_buckets(docs.sparkSession)
+    earlier = ask(told, _window_requests(window, levels), ["a", "b", "place", "ids", "hashes", "per"], _seen_earlier, ["later"], "seen-windows", buckets)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,8 +250,8 @@ def _without(text: str, spans: list[int]) -> str:
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
-                    levels: int = LEVELS) -> DataFrame:
-    """``docs`` with the repeated words cut out of the text, plus ``_n_removed`` (bigint).
+                    levels: int = LEVELS, count_col: str = "_n_removed") -> DataFrame:
+    """``docs`` with the repeated words cut out of the text, plus ``count_col`` (bigint), in place of a column of that name.
 
     Texts that lose nothing are unchanged."""
     spans = repeated_spans(docs, id_col, text_col, window, levels)
@@ -271,4 +272,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     slim = both.select("row", "text", n_removed.alias("n"), "spans")
     out = slim.mapInArrow(cut, slim.drop("spans").schema)
-    return out.select(*unpacked(docs, text_col, "text", ("_n_removed",)), F.col("n").alias("_n_removed"))
+    return out.select(*unpacked(docs, text_col, "text", (count_col,)), F.col("n").alias(count_col))

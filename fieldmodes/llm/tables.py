@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmodes.session import delete_path, scratch_path
 from fieldmodes.session import prepare as prepare_session
-from fieldmodes.session import scratch_path
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -54,12 +54,18 @@ def keep(df: DataFrame, name: str, partition_by: str | None = None, bucket_by: s
 
 
 def drop_kept(*dfs: DataFrame) -> None:
-    """Delete the files of kept tables nobody reads any more."""
+    """Delete the files of kept tables nobody reads any more (a loop's earlier rounds)."""
     for df in dfs:
-        spark = df.sparkSession
-        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete_path(df.sparkSession, folder)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many ``_`` behind it as it takes to be no column of ``df`` (names are compared as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -17,7 +17,8 @@ Defined cases: a delete of an unknown document and a null id change nothing; an
 insert of a known document is a revision; equal rows of a batch count once, and
 of different rows for one (document, version) a delete wins, then the greatest
 (tokens, chars, source, lang); null source and lang are values of their own; an
-empty batch commits empty tables.
+empty batch commits empty tables.  ``count_tokens`` counts null texts as empty and
+cuts very long ones where the pattern cuts.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.llm.tables import prepare
+from fieldmodes.llm.tables import free_name, packed, prepare, unpacked
 from fieldmodes.llm.words import slices
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -48,24 +49,27 @@ def _encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def count_tokens(docs: DataFrame, vocab_path: str = VOCAB, pattern: str = PATTERN, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
-    """``docs`` with the text replaced by ``out_col`` (bigint) and ``chars`` (bigint); a null text has 0 of both.
+def count_tokens(docs: DataFrame, vocab_path: str = VOCAB, pattern: str = PATTERN, text_col: str = "text", out_col: str = "tokens",
+                 chars_col: str = "chars") -> DataFrame:
+    """``docs`` with the text replaced by ``out_col`` (bigint) and ``chars_col`` (bigint); a null text has 0 of both.
 
+    Other columns pass through; one that has the name of a count is kept under that name with ``_`` behind it.
     The vocabulary file (fixed size) is read on the driver and sent to the tasks."""
+    for c in [c for c in docs.columns if c != text_col and c.lower() in (out_col.lower(), chars_col.lower())]:
+        docs = docs.withColumnRenamed(c, free_name(docs, c))
     with open(vocab_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    rest = [c for c in docs.columns if c not in (text_col, out_col, "chars")]
-    slim = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    slim = docs.select(packed(docs, text_col), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(ranks.value, pattern)
-        for b in slices(batches, "_text", 1 << 20):
-            n = [sum(len(enc.encode_ordinary(part)) for part in _parts(t)) for t in b["_text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(n, pa.int64()), pc.utf8_length(b["_text"]).cast(pa.int64())],
-                                             names=[*rest, out_col, "chars"])
+        for b in slices(batches, "text", 1 << 20):
+            n = [sum(len(enc.encode_ordinary(part)) for part in _parts(t)) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(n, pa.int64()), pc.utf8_length(b["text"]).cast(pa.int64())], names=["row", "n", "c"])
 
-    schema = slim.select(*[F.col(f"`{c}`") for c in rest], F.lit(0).cast("long").alias(out_col), F.lit(0).cast("long").alias("chars")).schema
-    return slim.mapInArrow(run, schema)
+    schema = slim.select("row", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c")).schema
+    rest = unpacked(docs, text_col, "n", (text_col,))
+    return slim.mapInArrow(run, schema).select(*rest, F.col("n").alias(out_col), F.col("c").alias(chars_col))
 
 
 def _parts(text: str, size: int = 1 << 16) -> Iterator[str]:

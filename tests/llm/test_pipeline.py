@@ -29,15 +29,22 @@ def test_run_equals_brute_force(spark):
 
 
 def test_stages_on_odd_rows(spark):
-    """Null ids and texts, repeated rows, an empty table, extra columns; the columns stay."""
+    """Null ids and texts, repeated rows, an empty table, extra columns that clash; the columns stay."""
     text = " ".join(f"w{i}" for i in range(60))
-    rows = [(None, text, None, None, None, 1), (1, text + " x", "en", "s", 5, 1), (1, text + " x", "en", "s", 5, 1), (2, None, "en", None, None, 1), (3, "", None, "s", 0, 1),
+    rows = [(None, text, None, None, None, 1), (1, text + " x", "en", "s", 5, 1), (1, text + " x", "en", "s", 5, 1), (None, text, None, None, None, 1), (2, None, "en", None, None, 1), (3, "", None, "s", 0, 1),
             (4, " ".join(f"v{i}" for i in range(40000)), "fr", "s", 1, 1)]
-    for df in (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int"),
-               spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row int")):
+    names = ["row", "ids", "n_tokens", "round_trip", "decoded", "_n_removed", "n_removed", "_text", "text_hash", "hash", "spans", "stratum", "failed_rules",
+             "kept", "_leaked", "n", "all", "_n_words", "id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in names)
+    width = 5 + len(names)
+    for rows in ([(*r, *range(7, 6 + len(names))) for r in rows], []):
+        df = spark.createDataFrame(rows, schema)
         docs = df
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             docs = stage(spark, docs, SF)
-            assert docs.columns[:6] == df.columns and (len(docs.columns) == 6) == (k < 4)
+            assert docs.columns[:width] == df.columns and (len(docs.columns) == width) == (k < 4)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
-        assert sorted(r["doc_id"] for r in docs.collect()) == ([1, 1, 4] if df.count() else [])
+        assert docs.columns[width:] == ["ids_", "n_tokens_", "round_trip_"]
+        out = docs.collect()
+        assert sorted(r["doc_id"] for r in out) == ([1, 4] if rows else [])  # the copies of a row go
+        assert all(r["round_trip_"] and [r[c] for c in names] == [1, *range(7, 6 + len(names))] for r in out)

@@ -83,6 +83,9 @@ def test_count_tokens_edges(spark):
     rows = {r["doc_id"]: r for r in tc.count_tokens(df).collect()}
     assert (rows[1]["tokens"], rows[2]["tokens"], rows[1]["chars"]) == (0, 0, 0)
     assert rows[3]["tokens"] == 40001 and rows[4]["tokens"] > 1
+    assert {r["tokens_"] for r in rows.values()} == {"x"}  # the input's own column
+    clash = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id long, text string, chars long, _text long, row long")
+    assert tc.count_tokens(clash).first().asDict() == {"doc_id": 1, "chars_": 5, "_text": 6, "row": 7, "tokens": 2, "chars": 3}
     assert tc.count_tokens(df.limit(0)).count() == 0
 
 

@@ -7,8 +7,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fieldmodes.llm import contamination, quality, queries, simhash, substring
 from fieldmodes.llm.words import split_words, window_hash
@@ -204,7 +206,22 @@ def test_groups_stay_below_the_bound(spark, monkeypatch):
     rnd = random.Random(9)
     fps = dict(enumerate({(rnd.getrandbits(42) << 22) | 12345 for _ in range(3000)}))
     monkeypatch.setattr(simhash, "HOT", 200)
-    assert simhash.keyed(signed_frame(spark, fps)).groupBy("pick", "key").count().agg({"count": "max"}).first()[0] <= 200
+    assert simhash.keyed(signed_frame(spark, fps)).groupBy("mask", "key").count().agg({"count": "max"}).first()[0] <= 200
+
+
+def test_further_levels_keep_groups_bounded_and_lose_no_links(spark, monkeypatch):
+    """Rows that share 44 bits outnumber a key of the second level too."""
+    rnd = random.Random(4)
+    base = rnd.getrandbits(64)
+    fps = dict(enumerate(sorted({base ^ sum(rnd.getrandbits(1) << b for b in range(20)) for _ in range(300)})))
+    monkeypatch.setattr(simhash, "HOT", 100)
+    monkeypatch.setattr(simhash, "FURTHER", 150)
+    reps = signed_frame(spark, fps)
+    free = lambda m: 64 - bin(m & (1 << 64) - 1).count("1")
+    sizes = simhash.keyed(reps).groupBy("mask", "key").agg(F.count_distinct("fp").alias("count")).collect()
+    assert max(64 - free(r["mask"]) for r in sizes) > 36 and all(r["count"] <= 150 or free(r["mask"]) <= 4 for r in sizes)
+    comp = {r["node"]: r["component"] for r in simhash.components(simhash.links(reps)).collect()}
+    assert {i: comp.get(i, i) for i in fps} == brute.components(fps)
 
 
 def test_linked_rows_are_not_compared_again(monkeypatch):
@@ -228,7 +245,11 @@ def test_simhash_edges(spark):
     assert by[3] == {3} and by[5] == {3, 5} and by[None] == {3, None} and by[7] == by[8] == by[9] == {7} and by[4] == {4}
     left = simhash.keep_one_per_component(df)
     assert left.columns == df.columns
-    assert sorted(((r["doc_id"] if r["doc_id"] is not None else -1) for r in left.collect())) == [-1, 3, 3, 4, 5, 6, 7]
+    # the row with id 3 stays once, of the component without any id one row stays
+    assert sorted(((r["doc_id"] if r["doc_id"] is not None else -1) for r in left.collect())) == [-1, 3, 4, 5, 6, 7]
+    odd = frame(spark, [(None, "n o b o d y", "en"), (None, "n o b o d y", "en"), (None, "N o b o d y", "fr"), (1, "x y z", "a"), (1, "X y z", "b"), (1, "x y z", "a")])
+    left = simhash.keep_one_per_component(odd.withColumnRenamed("row", "n"))
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "None"] and left.columns[4] == "n"
     assert simhash.simhash_components(frame(spark, [])).count() == 0
 
 
