@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmodes.llm import contamination, pieces, quality, simhash, substring
-from fieldmodes.llm.tables import documents, keep, prepare
+from fieldmodes.llm.tables import documents, free_name, keep, prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates one row stays, the one with the smallest id."""
     prepare(spark)
     return simhash.keep_one_per_component(docs, width=4, max_bits=4)
 
@@ -31,11 +31,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     ``n_chars`` follows the text; a document that loses all its words goes."""
     prepare(spark)
-    out = substring.substring_dedup(docs, window=20)
+    count = free_name(docs, "n_removed")
+    out = substring.substring_dedup(docs, window=20, count_col=count)
     left = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    changed = F.col("_n_removed") > 0
+    changed = F.col(count) > 0
     return (out.where(~changed | left).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-            .select(docs.columns))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +46,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their text, their number, and whether they decode to the text."""
+    """The documents with the ids of their text (``ids``), their number (``n_tokens``), and whether they decode to the text
+    (``round_trip``); a name that a column of the documents has gets ``_`` behind it."""
     prepare(spark)
-    out = pieces.decode(pieces.encode(docs))
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    ids, decoded, n_tokens, round_trip = (free_name(docs, c) for c in ("ids", "decoded", "n_tokens", "round_trip"))
+    out = pieces.decode(pieces.encode(docs, out_col=ids), ids_col=ids, out_col=decoded)
+    return out.select(*[F.col(f"`{c}`") for c in (*docs.columns, ids)], F.size(ids).cast("long").alias(n_tokens),
+                      F.col(decoded).eqNullSafe(F.col("text")).alias(round_trip))
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", simhash_near_dedup), ("substring dedup", substring_dedup),
