@@ -11,6 +11,16 @@ The observed matrix never changes: it is partitioned by row once and kept.
 What a round adds to a row is its mean and k coefficients; that table is
 written to the shared folder (it cuts the lineage and survives a lost
 executor) and replaces the one of the round before, which is deleted.
+
+``accelerate=True`` reaches the same fixed points in fewer rounds.  Given V, a row's
+mean and coefficients are solved for at once (least squares on its observed
+cells, where the plain rounds lead); what is left to iterate is V alone, an
+m x k matrix on the driver, and Anderson mixing of its last ``WINDOW`` rounds
+takes the place of the plain step.
+
+More EOFs than the field holds have no finite fixed point: the filled cells
+run away.  ``dineof_select`` chooses their number as the method's authors do,
+by cells set aside.
 """
 
 from __future__ import annotations
@@ -24,9 +34,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmodes.functions.blocks import AlignmentError, list_column_to_matrix, matrix_to_list_array
+from fieldmodes.functions.blocks import AlignmentError, list_column_to_matrix, matrix_to_list_array, sym_eig_desc
 from fieldmodes.operators.factorize import krylov_eigs
-from fieldmodes.operators.products import arrow_batch_guard, cov_multiply
+from fieldmodes.operators.products import arrow_batch_guard, cov_multiply, gram
 from fieldmodes.session import delete_path, scratch_path
 
 
@@ -48,13 +58,76 @@ def _filled(batch: pa.RecordBatch, v: np.ndarray, m: int) -> tuple[np.ndarray, n
     return np.where(gap, rec, x), gap
 
 
-def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: float = 1e-6,
-                seed: int = 0) -> tuple[DataFrame, dict]:
+WINDOW = 5  # rounds that Anderson mixing looks back on
+
+
+def _solve_rows(x: np.ndarray, gap: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, coefficients) of every row by least squares on its observed cells, the smallest coefficients if several fit."""
+    seen = (~gap).astype(float)
+    n = np.maximum(seen.sum(axis=1), 1.0)[:, None]
+    values = np.where(gap, 0.0, x)
+    v_mean, x_mean = seen @ v / n, values.sum(axis=1, keepdims=True) / n
+    k = v.shape[1]
+    normal = (seen @ (v[:, :, None] * v[:, None, :]).reshape(len(v), k * k)).reshape(-1, k, k) - n[:, :, None] * v_mean[:, :, None] * v_mean[:, None, :]
+    right = values @ v - n * x_mean * v_mean
+    coef = (np.linalg.pinv(normal, rcond=1e-12, hermitian=True) @ right[:, :, None])[:, :, 0]
+    return x_mean - (v_mean * coef).sum(axis=1, keepdims=True), coef
+
+
+def _turned(v: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The basis of the same space that lies closest to ``to``."""
+    a, _, b = np.linalg.svd(v.T @ to)
+    return v @ (a @ b)
+
+
+class _Mixing:
+    """Anderson mixing of V: the combination of the last rounds whose changes cancel best."""
+
+    def __init__(self):
+        self.images, self.changes = [], []
+
+    def next(self, v: np.ndarray, image: np.ndarray) -> np.ndarray:
+        image = _turned(image, v)
+        self.images, self.changes = [*self.images, image.ravel()][-WINDOW:], [*self.changes, (image - v).ravel()][-WINDOW:]
+        if len(self.changes) == 1:
+            return image
+        weight = np.linalg.lstsq(np.diff(self.changes, axis=0).T, self.changes[-1], rcond=1e-10)[0]
+        mixed = (image.ravel() - np.diff(self.images, axis=0).T @ weight).reshape(v.shape)
+        return _turned(np.linalg.qr(mixed)[0], mixed)
+
+
+def dineof_select(mat: DataFrame, k_max: int, n_cols: int, share: float = 0.03, seed: int = 0, tol: float = 1e-3, **how) -> tuple[int, list[dict]]:
+    """The number of EOFs (1..``k_max``) that fills cells set aside best, and the errors on the way.
+
+    A share of the observed cells (by a hash of row, place and ``seed``) is hidden; 1, 2, ... EOFs fill them until the
+    RMS error rises or the filling does not converge.  ``tol`` is a share of the field's standard deviation.
+    Returns (k, [{k, rms, converged, iterations}])."""
+    cell = lambda x, j: F.pmod(F.xxhash64("row_id", j, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    there = lambda x: x.isNotNull() & ~F.isnan(x)
+    hidden = mat.select("row_id", F.transform("vector", lambda x, j: F.when(~cell(x, j), x)).alias("vector"))
+    truth = mat.select("row_id", F.transform("vector", lambda x, j: F.when(cell(x, j) & there(x), x)).alias("truth"))
+    spread = mat.select(F.explode("vector").alias("x")).where(there(F.col("x"))).agg(F.stddev_pop("x")).first()[0] or 1.0
+    tried: list[dict] = []
+    for k in range(1, min(k_max, n_cols) + 1):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # it is in the result
+            filled, info = dineof_fill(hidden, k, n_cols, tol=tol * spread, seed=seed, **how)
+        error = (filled.join(truth, "row_id").select(F.explode(F.zip_with("vector", "truth", lambda a, b: (a - b) * (a - b))).alias("e"))
+                 .agg(F.sqrt(F.avg("e"))).first()[0])
+        tried.append({"k": k, "rms": error, "converged": info["converged"], "iterations": info["iterations"]})
+        if error is None or not info["converged"] or (len(tried) > 1 and error >= tried[-2]["rms"]):
+            break
+    good = [t for t in tried if t["converged"] and t["rms"] is not None]
+    return (min(good, key=lambda t: t["rms"])["k"] if good else 1), tried
+
+
+def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: float = 1e-6, seed: int = 0,
+                accelerate: bool = False, product: str = "distributed") -> tuple[DataFrame, dict]:
     """Fill NULL cells of ``(row_id, vector)``; returns (filled, info).
 
     Row ids are unique.  The row means are re-estimated from the current filled
     rows each round, so gaps do not bias the centering.  A NaN cell counts as
-    missing.  Output: ``(row_id, vector, filled ARRAY<BOOLEAN>)`` with no NULL
+    missing.  ``product='gram'`` takes V from a Gram of one pass (up to 2,048 columns).  Output: ``(row_id, vector, filled ARRAY<BOOLEAN>)`` with no NULL
     cells.  ``info``: iterations, rms_change, n_missing, converged; a field that
     is not converged after ``max_iter`` rounds comes with a warning."""
     spark = mat.sparkSession
@@ -82,14 +155,25 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
     def centered(b, x, gap):
         return pa.RecordBatch.from_arrays([b.column("row_id"), matrix_to_list_array(x - x.mean(axis=1, keepdims=True))], names=["row_id", "vector"])
 
+    if product not in ("distributed", "gram"):
+        raise ValueError(f"unknown product {product!r}")
+    mixing = _Mixing()
     for it in range(max_iter if n_missing and n else 0):
         field = current(v, centered, "row_id bigint, vector array<double>")
-        new_v, _, _, res, ok = krylov_eigs(lambda y: cov_multiply(field, y, n), n_cols, k, 1e-8, 100, seed, v if it else None)
+        if product == "gram":
+            new_v, ok = sym_eig_desc(gram(field, n_cols))[1][:, :k], True
+        else:
+            new_v, _, _, _, ok = krylov_eigs(lambda y: cov_multiply(field, y, n), n_cols, k, 1e-12 if accelerate else 1e-8, 100, seed, v if it else None)
+        if accelerate and it:
+            new_v = mixing.next(v, new_v)
         bc = spark.sparkContext.broadcast(new_v)
 
         def step(b, x, gap, bc=bc):
-            mu = x.mean(axis=1, keepdims=True)
-            coef = (x - mu) @ bc.value
+            if accelerate:
+                mu, coef = _solve_rows(x, gap, bc.value)
+            else:
+                mu = x.mean(axis=1, keepdims=True)
+                coef = (x - mu) @ bc.value
             change = np.where(gap, mu + coef @ bc.value.T - x, 0.0)
             return pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(mu[:, 0]), matrix_to_list_array(coef), pa.array((change ** 2).sum(axis=1))],
                                               names=["row_id", "mu", "coef", "d2"])

@@ -6,6 +6,7 @@
 * ``unpivot_rows``  row vectors -> triplets (C4)
 * ``transpose``     swap rows and columns in bounded row blocks (C5)
 * ``dense_index``   consecutive 0-based numbering without a one-task window (G5)
+* ``file_order_index`` the same in file order, without moving rows (A3, A5, G5, G6)
 """
 
 from __future__ import annotations
@@ -82,6 +83,36 @@ def column_order(triplets: DataFrame, col: str = "record_id") -> DataFrame:
     )
 
 
+def with_file_place(scan: DataFrame, fmt: str) -> DataFrame:
+    """A file scan plus ``place``: the file, the split of it and the row's position that order its rows.
+
+    ``scan`` comes straight from a reader.  Parquet knows the position of a row in its file; other formats give the
+    first byte of the split, inside which rows keep their order.  Splits depend on the cluster's parallelism, so
+    such a scan is checkpointed: counting and numbering must see the same ones."""
+    meta = F.col("_metadata")
+    if fmt == "parquet":
+        place = F.struct(meta["file_path"].alias("file"), F.lit(0).cast("long").alias("block"), meta["row_index"].alias("at"))
+        return scan.select("*", place.alias("place"))
+    place = F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    from fieldmodes.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(scan.sparkSession)
+    return scan.select("*", place.alias("place")).checkpoint(eager=True)
+
+
+def file_order_index(placed: DataFrame, out_col: str = "idx", source_col: str | None = None) -> DataFrame:
+    """Consecutive 0-based ``out_col`` in the order (source, file name, place in the file).
+
+    ``placed`` has ``place`` from :func:`with_file_place`, all rows of every scan.  Rows do not move: each split's
+    rows are counted, and a row's number is the rows of the splits before its own plus its position in it."""
+    key = [F.col(source_col).alias("src") if source_col else F.lit(0).alias("src"), F.col("place.file").alias("file"), F.col("place.block").alias("block")]
+    splits = placed.select(*key, F.col("place.at").alias("at")).groupBy("src", "file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("src", "file", "block")) - F.col("n")  # one row per split of a file
+    splits, n_splits = small_table(splits.select("src", "file", "block", (before - F.col("first")).alias("shift")))
+    splits = maybe_broadcast(splits.select(F.struct("src", "file", "block").alias("split"), "shift"), n_splits)
+    out = placed.join(splits, F.struct(*key) == F.col("split"))
+    return out.withColumn(out_col, F.col("place.at") + F.col("shift")).drop("place", "split", "shift")
+
+
 def dense_index(df: DataFrame, order_cols: list[str] | None, out_col: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
     """Consecutive 0-based ``out_col`` (G5, B3, A5), zipWithIndex-style.
@@ -90,8 +121,8 @@ def dense_index(df: DataFrame, order_cols: list[str] | None, out_col: str = "idx
     offsets taken from a table with one row per partition (broadcast), so
     no data row goes through a single task.
 
-    ``order_cols=None`` numbers rows in input order (file order for a scan;
-    no shuffle).  With ``order_cols`` the rows are range-partitioned and
+    ``order_cols=None`` numbers rows in the order of the partitions, without
+    a shuffle (for a scan that is not file order, see ``file_order_index``).  With ``order_cols`` the rows are range-partitioned and
     sorted first; that order is checkpointed into the shared checkpoint
     folder before numbering, because range bounds are re-sampled on every
     evaluation and both the counts and the numbering must see one order.

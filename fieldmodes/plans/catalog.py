@@ -580,8 +580,13 @@ def q_compare(spark, sf):
 
 @register("dineof_fill")
 def q_dineof(spark, sf):
+    """Up to 3 EOFs, as many as fill cells set aside best (3 EOFs of this field of noise have no finite filling)."""
     mat, _, n = _mat(spark, sf, "user_day", on_missing="null")
-    filled, info = gf.dineof_fill(mat, 3, n, max_iter=20, tol=1e-6)
+    mat, n_rows, n = st.materialize_dims(mat)
+    how = {"accelerate": True, "product": "gram"}
+    k, _ = gf.dineof_select(mat, 3, n, max_iter=30, **how)
+    filled, info = gf.dineof_fill(mat, k, n, max_iter=60, tol=1e-6, **how)
+    mat.unpersist()
     return filled.select("row_id", F.posexplode(F.arrays_zip("vector", "filled")).alias("col_pos", "z")).select(
         "row_id", F.col("col_pos").cast("int"), r6("z.vector").alias("value"), F.col("z.filled").alias("filled"),
         F.lit(info["converged"]).alias("converged"))
@@ -834,6 +839,22 @@ def q_manifest(spark, sf):
     return m.select("row_id", "source_ord", "source_row_id", r9(vsum("vector")).alias("rowsum"))
 
 
+@register("manifest_file_order", "SELECT row_number() OVER (ORDER BY src, f, -s_suppkey) - 1 AS row_id, CAST(src AS INTEGER) AS source_ord, s_suppkey AS source_row_id, "
+          "s_acctbal AS value FROM (SELECT *, CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS src, CASE WHEN s_suppkey < 4 THEN 0 WHEN s_suppkey % 3 = 0 THEN 1 ELSE 2 END AS f FROM supplier)")
+def q_manifest_file_order(spark, sf):
+    """Two data sets of several files, the first file the smallest: rows are numbered by file name and place in the file."""
+    sup = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("row_id"), F.array(F.col("s_acctbal").cast("double")).alias("vector"))
+    file = F.when(F.col("row_id") < 4, 0).when(F.col("row_id") % 3 == 0, 1).otherwise(2)
+    entries = []
+    for src, cond in enumerate((F.col("row_id") % 5 != 0, F.col("row_id") % 5 == 0)):
+        p = scratch_path(spark, f"ordered{src}")
+        for f in range(3):
+            sup.where(cond & (file == f)).coalesce(1).sortWithinPartitions(F.col("row_id").desc()).write.parquet(f"{p}/f{f}")
+        entries.append((f"{p}/*", "parquet", 0))
+    m = rd.read_manifest(spark, entries, file_order=True)
+    return m.select("row_id", "source_ord", "source_row_id", F.col("vector")[0].alias("value"))
+
+
 @register("weights_scan", f"SELECT row_id, round(weight, 9) AS weight FROM ({W})")
 def q_weights_scan(spark, sf):
     path = scratch_path(spark, "weights")

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmodes.operators.reshape import dense_index
+from fieldmodes.operators.reshape import dense_index, file_order_index, with_file_place
 from fieldmodes.session import path_exists
 
 # Fixed value: header line of the coordinate text format.
@@ -58,13 +58,11 @@ def read_col_order(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Column-order pieces in list order -> one global ``col_pos``.
 
     A piece holds 'col_pos,record_id' lines, in any order, or bare record ids
-    in the order of the file.  Empty lines are skipped; any other line that
+    in the order of its files' names and of the lines in them.  Empty lines are skipped; any other line that
     is neither fails.
     """
-    pieces = [spark.read.text(p).where(F.trim("value") != "")
-              .select(F.lit(i).alias("piece"), "value", F.split("value", ",").alias("f"), F.monotonically_increasing_id().alias("line"))
-              for i, p in enumerate(paths)]
-    u = reduce(DataFrame.unionByName, pieces)
+    pieces = [with_file_place(spark.read.text(p), "text").select(F.lit(i).alias("piece"), "value", "place") for i, p in enumerate(paths)]
+    u = file_order_index(reduce(DataFrame.unionByName, pieces), "line", "piece").where(F.trim("value") != "").withColumn("f", F.split("value", ","))
     record, place = F.expr("try_cast(f[size(f) - 1] AS INT)"), F.expr("CASE WHEN size(f) = 1 THEN line ELSE try_cast(f[0] AS BIGINT) END")
     bad = record.isNull() | place.isNull() | (F.size("f") > 2)
     fail = F.raise_error(F.concat(F.lit("not a column-order line: "), "value"))
@@ -94,33 +92,41 @@ def read_manifest(spark: SparkSession, entries: list[tuple], order_col: str = "r
     ``entries`` = [(path, format, partitions), ...]; format 'parquet', 'orc' or
     'csv' ('row;v0,v1,...').
     Rows are numbered by (source, ``order_col``); with ``file_order=True``
-    by (source, position in the files) as the original did, without a sort.
+    by (source, file name, place in the file) as the original did, without a sort.
     The source id is kept as ``source_row_id``.
     """
     dfs = []
     for i, (path, fmt, _parts) in enumerate(entries):
-        d = spark.read.csv(path, schema=f"{order_col} BIGINT, cells STRING", sep=";").select(
-            order_col, F.split("cells", ",").cast("array<double>").alias("vector")) if fmt == "csv" else spark.read.format(fmt).load(path)
-        dfs.append(d.select(F.lit(i).alias("source_ord"), F.col(order_col).alias("source_row_id"), "vector"))
+        d = spark.read.csv(path, schema=f"{order_col} BIGINT, cells STRING", sep=";") if fmt == "csv" else spark.read.format(fmt).load(path)
+        cells = F.split("cells", ",").cast("array<double>") if fmt == "csv" else F.col("vector")
+        d = with_file_place(d, fmt) if file_order else d.withColumn("place", F.lit(None))
+        dfs.append(d.select(F.lit(i).alias("source_ord"), F.col(order_col).alias("source_row_id"), cells.alias("vector"), "place"))
     u = reduce(DataFrame.unionByName, dfs)
     first_parts = entries[0][2] if entries and entries[0][2] else None
-    numbered = dense_index(u, None if file_order else ["source_ord", "source_row_id"], "row_id")
+    numbered = file_order_index(u, "row_id", "source_ord") if file_order else dense_index(u, ["source_ord", "source_row_id"], "row_id")
     if first_parts:
         numbered = numbered.coalesce(int(first_parts))
     return numbered.select("row_id", "source_ord", "source_row_id", F.col("vector").cast("array<double>"))
 
 
+FORMATS = ("parquet", "orc", "csv")
+
+
 def parse_manifest(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
-    """Text manifest -> entries of ``read_manifest`` (A5): one data set a line, 'path,format,partitions'.
+    """Text manifest -> entries of ``read_manifest`` (A5): one data set a line, 'path dataset partitions' split on
+    blanks or 'path,dataset,partitions'.
 
-    Format and partitions may be left out (parquet, 0 = as read); empty lines
-    and lines that begin with '#' are skipped."""
+    ``dataset`` is a format (parquet, orc, csv) or the name of a Parquet data set under the path.  It and the
+    partitions may be left out (parquet, 0 = as read); empty lines and lines that begin with '#' are skipped."""
     entries = []
     for r in spark.read.text(path, wholetext=False).collect():  # one line per data set
         line = r["value"].strip()
         if line and not line.startswith("#"):
-            parts = [p.strip() for p in line.split(",")] + ["", ""]
-            entries.append((parts[0], parts[1] or "parquet", int(parts[2] or 0)))
+            parts = [p.strip() for p in line.split(",")] if "," in line else line.split()
+            where, dataset, n = (*parts, "", "")[:3]
+            if dataset and dataset not in FORMATS:
+                where, dataset = f"{where.rstrip('/')}/{dataset}", "parquet"
+            entries.append((where, dataset or "parquet", int(n or 0)))
     if not entries:
         raise ValueError(f"manifest {path} names no data set")
     return entries

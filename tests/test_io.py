@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from fieldmodes.session import scratch_path
@@ -59,10 +60,49 @@ def test_record_dates_and_col_order(spark):
     wr.write_record_dates(d, p)
     assert sorted(tuple(r) for r in rd.read_record_dates(spark, p).collect()) == sorted(tuple(r) for r in d.collect())
     p0, p1 = scratch_path(spark, "c0"), scratch_path(spark, "c1")
-    spark.createDataFrame([("7",), ("3",)], "value string").write.text(p0)
+    spark.createDataFrame([("7",), ("3",)], "value string").write.text(p0)  # two files, 7 in the first
     spark.createDataFrame([("1",)], "value string").write.text(p1)
     co = sorted(tuple(r) for r in rd.read_col_order(spark, [p0, p1]).collect())
-    assert co == [(0, 3), (1, 7), (2, 1)]
+    assert co == [(0, 7), (1, 3), (2, 1)]
+
+
+def files_of(spark, name, *contents, fmt="text"):
+    """A folder of one file per item of ``contents``, named in their order; the first is the smallest."""
+    p = scratch_path(spark, name)
+    for k, c in enumerate(contents):
+        df = spark.createDataFrame([(x,) for x in c], "value string") if fmt == "text" else \
+            spark.createDataFrame([(x, [float(x)]) for x in c], "row_id bigint, vector array<double>")
+        getattr(df.coalesce(1).write, fmt)(f"{p}/f{k}")
+    return f"{p}/*"
+
+
+@pytest.mark.parametrize("split", ["128m", "4k"])
+def test_col_order_is_in_file_order_whatever_the_file_sizes(spark, split):
+    many = [str(100 + (i * 7919) % 3001) for i in range(3000)]
+    p0 = files_of(spark, "sized", ["7"], many, ["", "5", "3"])
+    p1 = files_of(spark, "sized", ["1"], ["2", "0"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = [r.record_id for r in rd.read_col_order(spark, [p0, p1]).orderBy("col_pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [7, *map(int, many), 5, 3, 1, 2, 0]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_manifest_is_in_file_order_whatever_the_file_sizes(spark, fmt):
+    many = [(i * 7919) % 5003 for i in range(5000)]
+    p0, p1 = files_of(spark, "rows", [9], many, [4, 2], fmt=fmt), files_of(spark, "rows", [8], [1], fmt=fmt)
+    m = rd.read_manifest(spark, [(p0, fmt, 0), (p1, fmt, 0), (p0, fmt, 0)], file_order=True)
+    rows = m.orderBy("row_id").collect()
+    once = [9, *many, 4, 2]
+    assert [r.row_id for r in rows] == list(range(len(rows))) and [r.source_row_id for r in rows] == [*once, 8, 1, *once]
+
+
+def test_manifest_lines(spark):
+    p = files_of(spark, "manifest", ["# data sets", "", "/a/b  temp 12", "/c parquet 3", "/d,orc,0", "/e", "/f,csv"])
+    assert rd.parse_manifest(spark, p) == [("/a/b/temp", "parquet", 12), ("/c", "parquet", 3), ("/d", "orc", 0), ("/e", "parquet", 0), ("/f", "csv", 0)]
 
 
 def test_manifest_file_order_numbering(spark):
