@@ -14,6 +14,7 @@ column order, V and S pass through the driver.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +26,7 @@ from fieldmodes.operators import ingest as ig
 from fieldmodes.operators import preprocess as pp
 from fieldmodes.operators import reshape as rs
 from fieldmodes.operators import stats as st
-from fieldmodes.session import path_exists
+from fieldmodes.plans.commitlog import CommitLog
 from fieldmodes.sources import readers as rd
 from fieldmodes.sources import writers as wr
 
@@ -47,48 +48,63 @@ def convert_records_job(spark: SparkSession, grid_obs: DataFrame, grid: DataFram
     locations numbered from the grid (B3).  A value at a cell the grid masks
     goes to rejects (A17).
 
-    Two-phase commit per run: the run's batch (named by a hash of its
-    pending records) writes ``vals`` (A10) and ``rejects`` with overwrite,
-    then ``record_dates`` (A13) last as the commit marker.  A run that dies
-    in between leaves an uncommitted batch that readers ignore
-    (``read_converted``) and a rerun overwrites or supersedes."""
+    Every run writes ``vals`` (A10), ``rejects`` and ``record_dates`` (A13)
+    of its pending records into a batch of its own and then commits it with
+    one entry of the commit log.  Readers go through the log, so a batch
+    whose run died, or is still being written, is not there.  Runs may
+    overlap: one that finds records of its batch committed by another in the
+    meantime leaves its batch uncommitted and converts what is still pending."""
     listing = (grid_obs if record_keys is None else record_keys).select("record_key")
     keys = register_keys(spark, listing, out)
     if n_shards > 1:
         keys = ig.shard(keys, n_shards, shard)
-    done = converted_records(spark, out)
-    if done is not None:
-        keys = ig.pending_records(keys, done)
     keys = keys.select("record_id", "record_key", ig.date_from_key("record_key", 3, key_fmt).alias("obs_ts"))
-    keys, n_new = rs.small_table(keys)  # one row per record file
-    if not n_new:
-        return {"records": 0, "batch": None}
-    batch = _batch_name(keys)
-    obs = grid_obs.join(rs.maybe_broadcast(keys, n_new), "record_key")
+    log = CommitLog(spark, f"{out}/{COMMITS}")
+    while True:
+        entries = log.entries()
+        pending = ig.pending_records(keys, _records_of(spark, out, entries)) if entries else keys
+        mine, n_new = rs.small_table(pending)  # one row per record file
+        if not n_new:
+            return {"records": 0, "batch": None}
+        batch = _write_batch(grid_obs, mine, n_new, grid, out, key_fmt, block_size)
+        number, free = len(entries), True
+        while free and not log.append(number, {"batch": batch, "records": n_new}):
+            later = log.entries()[number:]
+            free = mine.join(_records_of(spark, out, later), "record_id", "left_semi").isEmpty()
+            number += len(later)
+        if free:
+            return {"records": n_new, "batch": batch, "vals": f"{out}/vals"}
+
+
+COMMITS = "_commits"
+
+
+def _write_batch(grid_obs: DataFrame, keys: DataFrame, n_keys: int, grid: DataFrame, out: str, key_fmt: str, block_size: int) -> str:
+    batch = f"{_batch_name(keys)}-{uuid.uuid4().hex[:8]}"
+    obs = grid_obs.join(rs.maybe_broadcast(keys, n_keys), "record_key")
     obs = ig.compress_mask(ig.select_levels(obs, "message_no"))
     located = obs.join(grid.select("cell_id", "loc_id"), "cell_id", "left")
     good = located.where(F.col("loc_id").isNotNull()).select("record_id", F.col("loc_id").alias("row_id"), "value")
     bad = located.where(F.col("loc_id").isNull()).select("record_id", "record_key", "cell_id", "value")
-    wr.write_triplets(good, f"{out}/vals/batch={batch}", block_size=block_size, mode="overwrite")
-    bad.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch}")
-    wr.write_record_dates(keys.select("record_id", "obs_ts"), f"{out}/record_dates/batch={batch}", key_fmt,
-                          mode="overwrite")  # commit marker, written last
-    return {"records": n_new, "batch": batch, "vals": f"{out}/vals"}
+    wr.write_triplets(good, f"{out}/vals/batch={batch}", block_size=block_size)
+    bad.write.parquet(f"{out}/rejects/batch={batch}")
+    wr.write_record_dates(keys.select("record_id", "obs_ts"), f"{out}/record_dates/batch={batch}", key_fmt)
+    return batch
 
 
-def _committed(spark: SparkSession, out: str) -> DataFrame | None:
-    """(batch) of the committed conversion runs; None if nothing was converted."""
-    if not path_exists(spark, f"{out}/record_dates"):
-        return None
-    dates = spark.read.schema("record_id INT, date_text STRING, batch STRING").csv(f"{out}/record_dates")
-    return dates.select("batch").distinct()  # one row per run
+def _date_folders(out: str, entries: list[dict]) -> list[str]:
+    return [f"{out}/record_dates/batch={e['batch']}" for e in entries]
+
+
+def _records_of(spark: SparkSession, out: str, entries: list[dict]) -> DataFrame:
+    """(record_id) of the records of some committed batches."""
+    return spark.read.schema("record_id INT, date_text STRING").csv(_date_folders(out, entries)).select("record_id").distinct()
 
 
 def converted_records(spark: SparkSession, out: str) -> DataFrame | None:
     """(record_id) of the records of committed runs; None if nothing was converted."""
-    if _committed(spark, out) is None:
-        return None
-    return spark.read.schema("record_id INT, date_text STRING, batch STRING").csv(f"{out}/record_dates").select("record_id").distinct()
+    entries = CommitLog(spark, f"{out}/{COMMITS}").entries()
+    return _records_of(spark, out, entries) if entries else None
 
 
 def _batch_name(keys: DataFrame) -> str:
@@ -100,28 +116,35 @@ def register_keys(spark: SparkSession, listing: DataFrame, out: str) -> DataFram
     """(record_id, record_key) of all listed records; new keys are numbered and written to ``out/registry``.
 
     The first listing numbers its keys in their order from 0; keys listed later
-    get, in their order, the numbers after the largest one given."""
+    get, in their order, the numbers after the largest one given.  Listings that
+    are registered at the same time go one after the other: new keys are written
+    to a folder of their own, and a log entry makes them known; if another run
+    took the entry, its keys are known now and the rest is numbered again."""
     schema = "record_id INT, record_key STRING"
-    seen = f"{out}/registry"
-    new, first = listing.select("record_key").distinct(), 0
-    if path_exists(spark, seen):
-        known = spark.read.schema(schema).parquet(seen)
-        new, first = new.join(known, "record_key", "left_anti"), known.agg(F.max("record_id")).first()[0] + 1
-    new = ig.number_records(new).select((F.col("record_id") + first).cast("int").alias("record_id"), "record_key")
-    new, n = rs.small_table(new)
-    if n:  # the same new keys give the same folder and content, however often they are registered
-        new.write.mode("overwrite").parquet(f"{seen}/batch={_batch_name(new)}")
-    return spark.read.schema(schema).parquet(seen).join(listing.select("record_key").distinct(), "record_key", "left_semi")
+    log = CommitLog(spark, f"{out}/registry/_log")
+    read = lambda entries: spark.read.schema(schema).parquet(*[f"{out}/registry/batch={e['batch']}" for e in entries])
+    listed = listing.select("record_key").distinct()
+    while True:
+        entries = log.entries()
+        new, first = (listed.join(read(entries), "record_key", "left_anti") if entries else listed), sum(e["keys"] for e in entries)
+        new = ig.number_records(new).select((F.col("record_id") + first).cast("int").alias("record_id"), "record_key")
+        new, n = rs.small_table(new)
+        if not n:
+            return (read(entries) if entries else spark.createDataFrame([], schema)).join(listed, "record_key", "left_semi")
+        batch = f"{_batch_name(new)}-{uuid.uuid4().hex[:8]}"
+        new.write.parquet(f"{out}/registry/batch={batch}")
+        log.append(len(entries), {"batch": batch, "keys": n})
 
 
 def read_converted(spark: SparkSession, out: str) -> DataFrame:
     """Triplets of committed conversion batches only (see convert_records_job)."""
-    return rd.read_triplets(spark, f"{out}/vals").join(_committed(spark, out), "batch").drop("batch")
+    batches = [e["batch"] for e in CommitLog(spark, f"{out}/{COMMITS}").entries()]
+    return rd.read_triplets(spark, f"{out}/vals").where(F.col("batch").isin(batches)).drop("batch")  # folders are pruned
 
 
 def dated_order(spark: SparkSession, out: str, key_fmt: str = "yyyyMMddHH") -> DataFrame:
     """Column order of a conversion by date: (col_pos, record_id), whatever order the keys came in."""
-    dates = rd.read_record_dates(spark, f"{out}/record_dates", key_fmt)
+    dates = rd.read_record_dates(spark, _date_folders(out, CommitLog(spark, f"{out}/{COMMITS}").entries()), key_fmt)
     w = Window.orderBy("obs_ts", "record_id")  # one row per record
     return dates.select((F.row_number().over(w) - 1).cast("int").alias("col_pos"), "record_id")
 

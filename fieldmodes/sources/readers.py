@@ -48,7 +48,7 @@ def read_triplets(spark: SparkSession, path: str, blocks: list[int] | None = Non
     return (good, bad) if with_rejects else good
 
 
-def read_record_dates(spark: SparkSession, path: str, fmt: str = "yyyyMMddHH") -> DataFrame:
+def read_record_dates(spark: SparkSession, path: str | list[str], fmt: str = "yyyyMMddHH") -> DataFrame:
     """'rec,datestring' lines -> ``(record_id INT, obs_ts TIMESTAMP_NTZ)`` (A2)."""
     df = spark.read.schema("record_id INT, date_text STRING").csv(path)
     return df.select("record_id", F.to_timestamp_ntz("date_text", F.lit(fmt)).alias("obs_ts"))

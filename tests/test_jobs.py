@@ -79,3 +79,63 @@ def test_convert_records_survives_an_uncommitted_batch(spark):
     assert len(got) == 12 and len(set((r[0], r[1]) for r in got)) == 12
     assert (0, 0, 99.0) not in got
     assert spark.read.parquet(f"{out}/rejects").count() == 3  # cell 5 in each record
+
+
+def _conversion(spark, hours):
+    rows = [(f"obs.daily.20200101{h:02d}.grb2", 207, c, float(10 * h + c)) for h in hours for c in range(2)]
+    return spark.createDataFrame(rows, "record_key string, message_no int, cell_id bigint, value double")
+
+
+def _cells(spark):
+    return spark.createDataFrame([(0, 0), (1, 1)], "cell_id bigint, loc_id bigint")
+
+
+def test_commit_log_gives_a_number_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from fieldmodes.plans.commitlog import CommitLog
+    log = CommitLog(spark, scratch_path(spark, "log"))
+    assert log.entries() == []
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: log.append(0, {"run": k}), range(16)))
+    assert sum(won) == 1 and log.entries() == [{"run": won.index(True)}]
+    assert log.append(1, {"run": "x"}) and not log.append(1, {"run": "y"}) and [e["run"] for e in log.entries()][1] == "x"
+
+
+def test_listings_registered_at_once_get_distinct_ids(spark, monkeypatch):
+    """Another run registers an overlapping listing between numbering and commit."""
+    from fieldmodes.plans import commitlog
+    out = scratch_path(spark, "reg")
+    append, late = commitlog.CommitLog.append, []
+
+    def slow(self, number, entry):
+        if not late:
+            late.append(1)
+            jb.register_keys(spark, _conversion(spark, [1, 5]), out).collect()
+        return append(self, number, entry)
+    monkeypatch.setattr(commitlog.CommitLog, "append", slow)
+    mine = {r.record_key: r.record_id for r in jb.register_keys(spark, _conversion(spark, [0, 1, 2]), out).collect()}
+    monkeypatch.undo()
+    every = {r.record_key[18:20]: r.record_id for r in jb.register_keys(spark, _conversion(spark, range(6)), out).collect()}
+    assert {k[18:20]: v for k, v in mine.items()} == {"01": 0, "00": 2, "02": 3} and every["05"] == 1
+    assert sorted(every.values()) == list(range(6))
+
+
+def test_overlapping_conversions_convert_each_record_once(spark, monkeypatch):
+    from fieldmodes.plans import commitlog
+    out, obs, grid = scratch_path(spark, "over"), _conversion(spark, range(4)), _cells(spark)
+    jb.register_keys(spark, obs, out).collect()
+    append, late = commitlog.CommitLog.append, []
+
+    def slow(self, number, entry):
+        if not late and "records" in entry:
+            late.append(1)
+            jb.convert_records_job(spark, obs, grid, out, n_shards=2, shard=1)
+        return append(self, number, entry)
+    monkeypatch.setattr(commitlog.CommitLog, "append", slow)
+    first = jb.convert_records_job(spark, obs, grid, out)
+    assert first["records"] == 2  # the other shard's records were committed by then
+    got = sorted(tuple(r) for r in jb.read_converted(spark, out).collect())
+    assert got == [(h, c, float(10 * h + c)) for h in range(4) for c in range(2)]
+    assert [r.record_id for r in jb.dated_order(spark, out).orderBy("col_pos").collect()] == [0, 1, 2, 3]
+    assert jb.convert_records_job(spark, obs, grid, out)["records"] == 0
