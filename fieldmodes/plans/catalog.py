@@ -356,13 +356,28 @@ def q_truncate_components(spark, sf):
 
 @register("tsqr", EIG2 + ", r AS (SELECT sqrt(a) AS r00, b / sqrt(a) AS r01 FROM g), "
           "r2 AS (SELECT r00, r01, sqrt(d - r01 * r01) AS r11 FROM r, g) "
-          f"SELECT 0 AS i, 0 AS j, {s6('r00')} AS value FROM r2 UNION ALL SELECT 0, 1, {s6('r01')} FROM r2 "
-          f"UNION ALL SELECT 1, 0, 0.0 FROM r2 UNION ALL SELECT 1, 1, {s6('r11')} FROM r2")
+          f"SELECT 'r' AS factor, CAST(0 AS BIGINT) AS i, 0 AS j, {s6('r00')} AS value FROM r2 UNION ALL SELECT 'r', 0, 1, {s6('r01')} FROM r2 "
+          f"UNION ALL SELECT 'r', 1, 0, 0.0 FROM r2 UNION ALL SELECT 'r', 1, 1, {s6('r11')} FROM r2 "
+          f"UNION ALL SELECT 'q', row_id, 0, {s6('x0 / r00')} FROM w, r2 UNION ALL SELECT 'q', row_id, 1, {s6('(x1 - r01 * x0 / r00) / r11')} FROM w, r2")
 def q_tsqr(spark, sf):
+    """Both factors: R (i, j) and Q (row, column)."""
     mat, _, n = _mat(spark, sf, "supplier_status")
     r = pr.tsqr_r(mat, n)
-    rows = [(i, j, float(r[i, j])) for i in range(n) for j in range(n)]
-    return spark.createDataFrame(rows, "i int, j int, value double").select("i", "j", r6("value").alias("value"))
+    rows = spark.createDataFrame([("r", i, j, float(r[i, j])) for i in range(n) for j in range(n)], "factor string, i long, j int, value double")
+    q = pr.apply_right_inverse(mat, r).select(F.lit("q").alias("factor"), F.col("row_id").alias("i"), F.posexplode("vector").alias("j", "value"))
+    return rows.unionByName(q).select("factor", "i", "j", r6("value").alias("value"))
+
+
+#: U, S and V of the leading component of the 2-column field, as (factor, i, component, value).
+_FACTORS2 = (f"SELECT 's' AS factor, CAST(0 AS BIGINT) AS i, 0 AS component, {s6('sqrt(l1)')} AS value FROM s "
+             f"UNION ALL SELECT 'v', 0, 0, {s6('sg * v0')} FROM s UNION ALL SELECT 'v', 1, 0, {s6('sg * v1')} FROM s "
+             f"UNION ALL SELECT 'u', w.row_id, 0, {s6('(w.x0 * s.sg * s.v0 + w.x1 * s.sg * s.v1) / sqrt(s.l1)')} FROM w, s")
+
+
+def _factors(s: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
+    """Factor tables (s, long u, v) as one."""
+    part = lambda df, name, i, value: df.select(F.lit(name).alias("factor"), i.cast("long").alias("i"), F.col("component").cast("int"), r6(value).alias("value"))
+    return part(s, "s", F.lit(0), "sigma").unionByName(part(u, "u", F.col("row_id"), "value")).unionByName(part(v, "v", F.col("col_pos"), "value"))
 
 
 # ================================================================ decompositions
@@ -428,7 +443,7 @@ def q_project_spatial(spark, sf):
         "row_id", F.col("component").cast("int"), r6("value").alias("value"))
 
 
-@register("to_eofs", EIG2 + f"SELECT 0 AS component, {s6('sqrt(l1)')} AS sigma FROM s")
+@register("to_eofs", EIG2 + _FACTORS2)
 def q_to_eofs(spark, sf):
     """The reference's flow: V from the covariance, Y = A V = Q R, factor
     pair (Q, R V^T), then the SVD of the fat factor (F3)."""
@@ -440,7 +455,16 @@ def q_to_eofs(spark, sf):
     r = pr.tsqr_r(y, 1)
     q = pr.apply_right_inverse(y, r)
     res = fz.to_eofs(q, r @ v.T)
-    return res.s_df(spark).select("component", r6("sigma").alias("sigma"))
+    return _factors(res.s_df(spark), res.u_long(), res.v_df(spark))
+
+
+@register("eof_both_2col", EIG2 + f"SELECT m.method, f.* FROM ({_FACTORS2}) f, (VALUES ('exact'), ('inexact')) m(method)")
+def q_eof_both(spark, sf):
+    """Both methods in one run (F4): all factors of each."""
+    mat, _, n = _mat(spark, sf, "supplier_status")
+    both, _ = fz.run_eofs(mat, 1, "both", oversample=1, power_iters=60, seed=0)
+    out = [_factors(r.s_df(spark), r.u_long(), r.v_df(spark)).select(F.lit(name).alias("method"), "*") for name, r in both.items()]
+    return out[0].unionByName(out[1])
 
 
 @register("eof_randomized_2col", EIG2 + f"SELECT 0 AS component, 0 AS col_pos, {s6('sqrt(l1)')} AS sigma, "
@@ -484,6 +508,13 @@ _OM = ("SELECT o_orderkey AS row_id, CAST(year(o_orderdate) * 12 + month(o_order
        "o_totalprice / 1e6 AS value FROM orders")
 
 
+@register("gram_order_day", f"WITH t AS ({_OD}), c AS ({CO}) SELECT col_pos AS i, col_pos AS j, {s6('sum(value * value)')} AS value FROM t JOIN c USING (record_id) GROUP BY ALL")
+def q_gram_order_day(spark, sf):
+    """The Gram matrix of thousands of columns, tiles shuffled, one scan; the entries that are not 0 (all on the diagonal)."""
+    mat, _, n = _mat(spark, sf, "order_day", on_missing="zero")
+    return pr.gram_long(mat, n).where("value <> 0").select("i", "j", r6("value").alias("value"))
+
+
 @register("eof_exact_order_day", f"WITH t AS ({_OD}), c AS ({CO}), d AS (SELECT c.col_pos, sqrt(sum(value * value)) AS sigma "
           "FROM t JOIN c USING (record_id) GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY sigma DESC, col_pos) - 1 AS k FROM d) "
           f"SELECT CAST(k AS INTEGER) AS component, col_pos, {s6('sigma')} AS sigma, CAST(1.0 AS DOUBLE) AS v, true AS converged FROM r WHERE k < 3")
@@ -855,13 +886,22 @@ def q_manifest_file_order(spark, sf):
     return m.select("row_id", "source_ord", "source_row_id", F.col("vector")[0].alias("value"))
 
 
-@register("weights_scan", f"SELECT row_id, round(weight, 9) AS weight FROM ({W})")
+@register("weights_scan", "SELECT s_suppkey AS row_id, round(abs(cos(radians(CAST(s_nationkey * 7 - 84 AS DOUBLE)))), 9) AS weight FROM supplier")
 def q_weights_scan(spark, sf):
+    """The latitude weights of all suppliers, written and read."""
     path = scratch_path(spark, "weights")
-    fx.weights_supplier(spark, sf).write.csv(path)
+    fx.weights_supplier(spark, sf, everyone=True).write.csv(path)
     return rd.read_weights(spark, path).select("row_id", r9("weight").alias("weight"))
 
 
+@register("grid_scan", ORACLES["grid_dim"])
+def q_grid_scan(spark, sf):
+    """The grid table, written and read."""
+    path = scratch_path(spark, "grid")
+    _grid(spark, sf).write.parquet(path)
+    return rd.read_grid(spark, path)
+
+
 @register("coordinate_text_roundtrip", w_long(SY) + "SELECT row_id AS i, CAST(col_pos AS BIGINT) AS j, "
           "round(value, 9) AS value FROM l")
 def q_coord_text(spark, sf):
@@ -873,14 +913,15 @@ def q_coord_text(spark, sf):
     return rd.read_coordinate_text(spark, path).select("i", "j", r9("value").alias("value"))
 
 
-@register("factor_roundtrip", EIG2 + f"SELECT 0 AS component, {s6('sqrt(l1)')} AS sigma, {s6('l1 / n')} "
-          "AS eigenvalue FROM s")
+@register("factor_roundtrip", EIG2 + _FACTORS2 + f" UNION ALL SELECT 'eigenvalue', 0, 0, {s6('l1 / n')} FROM s")
 def q_factor_rt(spark, sf):
+    """All factor tables, written and loaded."""
     res, mat = _eig2_result(spark, sf)
     path = scratch_path(spark, "factors")
     wr.save_factors(spark, res, path)
     f = rd.load_factors(spark, path)
-    return f["s"].select("component", r6("sigma").alias("sigma"), r6("eigenvalue").alias("eigenvalue"))
+    value = f["s"].select(F.lit("eigenvalue").alias("factor"), F.lit(0).cast("long").alias("i"), F.col("component").cast("int"), r6("eigenvalue").alias("value"))
+    return _factors(f["s"], f["u"], f["v"]).unionByName(value)
 
 
 @register("write_fields", _EXPAND_SQL)

@@ -119,10 +119,11 @@ def matrix(spark, sf_dir, name: str, on_missing: str = "error"):
     return pivot_rows(t, co, on_missing=on_missing, n_cols=n, pre_aggregate=False), co, n
 
 
-def weights_supplier(spark, sf_dir) -> DataFrame:
+def weights_supplier(spark, sf_dir, everyone: bool = False) -> DataFrame:
+    """Latitude weights; without ``everyone`` some suppliers have none (their rows become 0)."""
     sup = table(spark, sf_dir, "supplier")
     lat = (F.col("s_nationkey") * 7 - 84).cast("double")
-    return sup.where(F.col("s_acctbal") >= 0).select(F.col("s_suppkey").alias("row_id"),
+    return sup.where(F.lit(everyone) | (F.col("s_acctbal") >= 0)).select(F.col("s_suppkey").alias("row_id"),
                                                       lat_weight(lat).alias("weight"))
 
 

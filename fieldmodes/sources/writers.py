@@ -4,7 +4,7 @@ output, 'errorifexists' refuses it) (A18)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmodes.sources.readers import COORD_HEADER
@@ -57,13 +57,16 @@ def write_coordinate_text(long_df: DataFrame, path: str, n_rows: int, n_cols: in
     """1-based 'i j v' lines plus header and size line.
 
     Values are written with Spark's shortest exact text (the reference's
-    6-decimal form was lossy, defect 6).  Entries are written in parallel;
-    the two header lines go to their own small file in the same folder."""
-    body = long_df.select(F.concat_ws(" ", (F.col(i) + 1).cast("string"), (F.col(j) + 1).cast("string"),
+    6-decimal form was lossy, defect 6).  Entries are written in parallel and
+    counted on the way; the two header lines go to their own small file in the
+    same folder.  A NULL value is an entry that is not there."""
+    written = Observation()
+    entries = long_df.where(F.col(value).isNotNull()).observe(written, F.count("*").alias("n"))
+    body = entries.select(F.concat_ws(" ", (F.col(i) + 1).cast("string"), (F.col(j) + 1).cast("string"),
                                       F.col(value).cast("string")).alias("value"))
     body.write.mode("errorifexists").text(path)
     spark = long_df.sparkSession
-    head = spark.createDataFrame([(COORD_HEADER,), (f"{n_rows} {n_cols} {n_rows * n_cols}",)], "value string")
+    head = spark.createDataFrame([(COORD_HEADER,), (f"{n_rows} {n_cols} {written.get['n']}",)], "value string")
     head.coalesce(1).write.mode("append").text(path)
 
 

@@ -127,3 +127,10 @@ def test_part_prefix_selects_record_files(spark):
     got = sorted(tuple(r) for r in rd.read_triplets(spark, p, part_prefix="0").collect())
     assert got == [(3, 0, 1.5), (3, 1, 2.5)]
     assert rd.read_triplets(spark, p).count() == 3
+
+
+def test_coordinate_text_leaves_out_null_values(spark):
+    p = scratch_path(spark, "coord")
+    wr.write_coordinate_text(spark.createDataFrame([(0, 0, 1.5), (1, 0, None), (2, 1, 0.25)], "i long, j long, value double"), p, 3, 2)
+    assert sorted(r.value for r in spark.read.text(p).collect()) == sorted(["1 1 1.5", "3 2 0.25", rd.COORD_HEADER, "3 2 2"])
+    assert sorted(tuple(r) for r in rd.read_coordinate_text(spark, p).collect()) == [(0, 0, 1.5), (2, 1, 0.25)]

@@ -2,6 +2,7 @@
 
 import re
 
+from fieldmodes.operators import products as pr
 from fieldmodes.operators import reshape as rs
 from fieldmodes.plans import catalog as cat
 from fieldmodes.plans import fixtures as fx
@@ -39,3 +40,10 @@ def test_hconcat_adds_no_exchange_over_its_pieces(spark):
     pieces = cat._hconcat_pieces(spark, SF)
     per_piece = sum(_plan(m).count("Exchange hashpartitioning") for m in pieces)
     assert _plan(rs.hconcat(pieces)).count("Exchange hashpartitioning") == per_piece
+
+
+def test_gram_of_all_panels_scans_once(spark):
+    p = scratch_path(spark, "plan_gram")
+    spark.range(50).selectExpr("id AS row_id", "transform(sequence(1, 9), x -> cast(x * id AS double)) AS vector").write.parquet(p)
+    plan = _plan(pr.gram_long(rd.read_row_matrix(spark, p), 9, panel=2))
+    assert plan.count("FileScan parquet") == 1
