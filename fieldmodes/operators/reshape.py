@@ -13,9 +13,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmodes.functions.blocks import AlignmentError
+from fieldmodes.operators.products import arrow_batch_guard
+
 # A dimension table is broadcast only if its rows, counted, and the width of
 # its types make at most this many bytes; a row count above BROADCAST_MAX_ROWS
 # is not collected even if its rows are narrow.
@@ -311,18 +317,70 @@ def unpivot_blocks(blocks: DataFrame, block_size: int = TRANSPOSE_BLOCK) -> Data
     return e.select("row_id", (F.col("block").cast("long") * block_size + F.col("p")).alias("col_pos"), "value")
 
 
-def transpose(mat: DataFrame, block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
-    """Swap rows and columns (C5 = C4, then regroup on swapped keys).
+TILE_BYTES = 32 << 20  # values of one transposed tile group, which a task holds whole
 
-    Old row ids become dense positions through ``dense_index``
-    (distributed).  A transposed row has one value per old row, so it is
-    emitted in blocks: ``(row_id, block, vector)`` (see ``group_blocks``).
+
+def transpose(mat: DataFrame, block_size: int = TRANSPOSE_BLOCK) -> DataFrame:
+    """Swap rows and columns (C5), by tiles.
+
+    Old row ids become dense positions through ``dense_index`` (distributed);
+    a transposed row has one value per old row, so it comes in blocks
+    ``(row_id, block, vector)`` as from ``group_blocks``.  Each Arrow batch of
+    rows is cut into tiles of one output block x one panel of columns, and the
+    shuffle moves tiles, never cells.  A group is one block x one panel, at most
+    ``TILE_BYTES`` of values.  NULL cells stay NULL; a NULL row, rows of
+    different lengths and a repeated row id fail.
     """
+    arrow_batch_guard(mat.sparkSession)
     ids = dense_index(mat.select("row_id"), ["row_id"], "new_col")
-    # Ids meet the wide rows; the cells are made after the join.
-    wide = mat.join(ids, "row_id")
-    long = wide.select("new_col", F.posexplode("vector").alias("col_pos", "value"))
-    return group_blocks(long, "col_pos", "new_col", block_size=block_size, n=ids.count())
+    n = ids.count()
+    panel = max(1, TILE_BYTES // (8 * block_size))
+    wide = mat.join(ids, "row_id").select("new_col", "vector")
+    tiles = wide.mapInArrow(_cut_tiles(block_size, panel), "block int, panel int, width int, places array<bigint>, data array<double>")
+    return tiles.groupBy("block", "panel").applyInArrow(_turn_tiles(block_size, panel, n), "row_id bigint, block int, vector array<double>")
+
+
+def _cut_tiles(block_size: int, panel: int):
+    """Batches of (new_col, vector) -> tiles, values row by row; gathers keep NULL cells."""
+    def cut(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = batch.column("vector")
+            m = np.diff(vectors.offsets.to_numpy())
+            if vectors.null_count or (m != m[0]).any():
+                raise AlignmentError("transpose needs rows of one length, none of them NULL")
+            m, flat = int(m[0]), vectors.flatten()
+            pos = batch.column("new_col").to_numpy()
+            for block in np.unique(pos // block_size):
+                rows = np.flatnonzero(pos // block_size == block)
+                places = pa.array([pos[rows]], pa.list_(pa.int64()))
+                for first in range(0, m, panel):
+                    at = (rows[:, None] * m + np.arange(first, min(m, first + panel))).ravel()
+                    data = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), flat.take(pa.array(at)))
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([first // panel], pa.int32()), pa.array([m], pa.int32()), places, data],
+                                                     names=["block", "panel", "width", "places", "data"])
+    return cut
+
+
+def _turn_tiles(block_size: int, panel: int, n: int):
+    """All tiles of one (block, panel) -> its columns as rows."""
+    def turn(tiles: pa.Table) -> pa.Table:
+        tiles = tiles.combine_chunks()
+        block, first = tiles["block"][0].as_py(), tiles["panel"][0].as_py() * panel
+        widths = tiles["width"].unique().to_pylist()
+        if len(widths) > 1:
+            raise AlignmentError(f"transpose needs rows of one length, got {sorted(widths)}")
+        places = pc.list_flatten(tiles["places"]).to_numpy()
+        size, cols = min(block_size, n - block * block_size), min(panel, widths[0] - first)
+        order = np.argsort(places, kind="stable")
+        if not np.array_equal(places[order], np.arange(size) + block * block_size):
+            raise AlignmentError(f"repeated or missing row in block {block} of a transposed row")
+        at = (order[None, :] * cols + np.arange(cols)[:, None]).ravel()
+        values = pc.list_flatten(tiles["data"]).combine_chunks().take(pa.array(at))
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(cols + 1, dtype=np.int32) * size), values)
+        return pa.table({"row_id": pa.array(np.arange(first, first + cols, dtype=np.int64)), "block": pa.array(np.full(cols, block, dtype=np.int32)), "vector": vectors})
+    return turn
 
 
 def pivot_components(long: DataFrame, i: str = "i", j: str = "j", value: str = "value",

@@ -123,6 +123,13 @@ EIG3 = (w_long(SFL) +
         "ev AS (SELECT *, q + 2*p*cos(phi) AS l1, q + 2*p*cos(phi + 2*pi()/3) AS l3 FROM h4), "
         "ev2 AS (SELECT *, 3*q - l1 - l3 AS l2 FROM ev) ")
 
+# Closed form for the row-centered supplier x returnflag field.
+EIG3C = EIG3.replace(
+    "FROM l GROUP BY row_id), g AS",
+    "FROM l GROUP BY row_id), wc AS (SELECT row_id, x0 - (x0 + x1 + x2) / 3 AS x0, "
+    "x1 - (x0 + x1 + x2) / 3 AS x1, x2 - (x0 + x1 + x2) / 3 AS x2 FROM w), g AS").replace(
+    "sum(x2*x2) AS f, count(*) AS n FROM w)", "sum(x2*x2) AS f, count(*) AS n FROM wc)")
+
 RANGE = "(SELECT range AS comp FROM range({n}))"
 
 
@@ -636,6 +643,21 @@ def q_compare_flipped(spark, sf):
                                  "k int, u_aligned double, v_aligned double, u_flipped boolean, v_flipped boolean")
 
 
+@register("compare_projected", EIG3C + f"SELECT CAST(0.0 AS DOUBLE) AS u_aligned, CAST(2.0 AS DOUBLE) AS u_raw, "
+          f"{s6('l2')} AS sse_a, {s6('l2')} AS sse_b, CAST(0.0 AS DOUBLE) AS u_both FROM ev2")
+def q_compare_projected(spark, sf):
+    """The first exact component of the centered supplier x returnflag field against itself with the sign
+    turned, and against the randomized one: differences and residuals from one scan of the field."""
+    mat, _, _ = _mat(spark, sf, "supplier_flag")
+    both, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 1, "both", seed=0)
+    res = both["exact"]
+    d = ev.compare_projected(cached, res, replace(res, v=-res.v))
+    two = ev.compare_projected(cached, res, both["inexact"])
+    cached.unpersist()
+    row = (d["u_frobenius_diff_aligned"], d["u_frobenius_diff"], d["sse_a"], d["sse_b"], two["u_frobenius_diff_aligned"])
+    return spark.createDataFrame([tuple(round(x, 6) + 0.0 for x in row)], "u_aligned double, u_raw double, sse_a double, sse_b double, u_both double")
+
+
 _PLANT = ("SELECT s.s_suppkey AS row_id, CAST(y.comp AS INTEGER) AS col_pos, 1 + s.s_acctbal / 1e4 * sqrt(y.comp + 1) AS value, "
           "(s.s_suppkey + y.comp) % 7 = 3 AS filled FROM supplier s CROSS JOIN (SELECT range AS comp FROM range(7)) y")
 
@@ -973,14 +995,6 @@ def q_job_ingest(spark, sf):
     return _long(rd.read_row_matrix(spark, paths["rowmat"]))
 
 
-# Closed form for the row-centered supplier x returnflag field.
-EIG3C = EIG3.replace(
-    "FROM l GROUP BY row_id), g AS",
-    "FROM l GROUP BY row_id), wc AS (SELECT row_id, x0 - (x0 + x1 + x2) / 3 AS x0, "
-    "x1 - (x0 + x1 + x2) / 3 AS x1, x2 - (x0 + x1 + x2) / 3 AS x2 FROM w), g AS").replace(
-    "sum(x2*x2) AS f, count(*) AS n FROM w)", "sum(x2*x2) AS f, count(*) AS n FROM wc)")
-
-
 @register("job_eofs", EIG3C + f"SELECT 0 AS component, {s6('sqrt(l1)')} AS sigma, {s6('l1 / n')} AS eigenvalue "
           "FROM ev2")
 def q_job_eofs(spark, sf):

@@ -174,3 +174,14 @@ def test_empty_input(spark):
         fz.eof_exact(m, 1)
     with pytest.raises(ValueError):
         fz.eof_randomized(m, 1)
+
+
+def test_compare_projected_is_one_scan_and_equals_the_join(spark, mk):
+    m = mk(np.random.default_rng(4).normal(size=(40, 6)), parts=3)
+    a, b = fz.eof_exact(m, 2), fz.eof_exact(m, 3)
+    b = type(b)(**{**b.__dict__, "v": b.v * np.array([1.0, -1.0, 1.0]), "u": fz.project_spatial(m, b.v * np.array([1.0, -1.0, 1.0]), b.s)})
+    one, joined = ev.compare_projected(m, a, b), ev.compare_factors(a, b)
+    assert all(abs(one[x] - joined[x]) < 1e-9 for x in joined)
+    assert joined["u_frobenius_diff"] == pytest.approx(2) and joined["u_frobenius_diff_aligned"] < 1e-6
+    assert one["sse_a"] == pytest.approx(ev.sse(m, a.u, a.s, a.v).first()[0])
+    assert one["sse_b"] == pytest.approx(ev.sse_projection(m, b.v[:, :2]).first()[0])

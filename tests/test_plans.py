@@ -47,3 +47,10 @@ def test_gram_of_all_panels_scans_once(spark):
     spark.range(50).selectExpr("id AS row_id", "transform(sequence(1, 9), x -> cast(x * id AS double)) AS vector").write.parquet(p)
     plan = _plan(pr.gram_long(rd.read_row_matrix(spark, p), 9, panel=2))
     assert plan.count("FileScan parquet") == 1
+
+
+def test_transpose_shuffles_tiles_not_cells(spark):
+    p = scratch_path(spark, "plan_transpose")
+    spark.range(50).selectExpr("id AS row_id", "transform(sequence(1, 9), x -> cast(x * id AS double)) AS vector").write.parquet(p)
+    plan = _plan(rs.transpose(rd.read_row_matrix(spark, p), block_size=16))
+    assert "Generate" not in plan and "MapInArrow" in plan

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,25 @@ def test_small_table_fallback_keeps_large_tables_distributed(spark, monkeypatch)
         assert {r.row_id: r.vector[7] for r in m.collect()} == {0: 7.0, 1: 8.0, 2: 9.0}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("block_size, tile_bytes", [(4, 32 << 20), (4, 3 * 8 * 4), (3, 8), (1000, 32 << 20)])
+def test_transpose_tiles(spark, mk, monkeypatch, block_size, tile_bytes):
+    monkeypatch.setattr(rs, "TILE_BYTES", tile_bytes)
+    a = np.random.default_rng(1).normal(size=(11, 7))
+    ids = [3 * i - 5 for i in np.random.default_rng(2).permutation(11)]
+    got = rs.transpose(mk(a, parts=3, ids=ids), block_size)
+    whole = np.full((7, 11), np.nan)
+    for r in got.collect():
+        whole[r.row_id, r.block * block_size : r.block * block_size + len(r.vector)] = r.vector
+    assert np.array_equal(whole, a[np.argsort(ids)].T)
+
+
+def test_transpose_keeps_nulls_and_rejects_bad_rows(spark):
+    make = lambda rows: spark.createDataFrame(rows, "row_id bigint, vector array<double>")
+    got = {r.row_id: r.vector for r in rs.transpose(make([(1, [1.0, None]), (2, [None, 4.0])])).collect()}
+    assert got == {0: [1.0, None], 1: [None, 4.0]}
+    assert rs.transpose(make([])).count() == 0
+    for bad in ([(1, [1.0]), (2, [1.0, 2.0])], [(1, [1.0]), (2, None)], [(1, [1.0]), (1, [2.0])]):
+        with pytest.raises(Exception, match="one length|repeated"):
+            rs.transpose(make(bad)).collect()
