@@ -18,11 +18,20 @@ lie in the shared folder.  A file holds at least one record and about
 Defined cases: a null payload is empty; empty and short payloads are responses;
 a null id is written as such and sorts after all others; rows with equal id and
 payload are all responses if their id is the smallest; a null url is the empty
-one, and bytes of a url that a header cannot hold are percent-encoded.
+one, and bytes of a url that a header cannot hold are percent-encoded; an empty
+table gives no files and no rows; other columns are not written, whatever their names.
+
+Archives of other writers are normalised and read too: any record type, header
+names in any case, ``Name:value`` without a blank, folded lines, blank lines
+between records, several gzip members, ids that are no page (``page_id`` null,
+``record_id`` has the id).  A payload is the entity body as stored for
+``application/http`` blocks and the whole block otherwise.  A payload digest is
+optional; one whose algorithm hashlib knows (hex or base32) must agree.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -42,6 +51,7 @@ from fieldmodes.session import scratch_path
 MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 20
+BATCH_BYTES = 8 << 20  # payloads handed to Spark at a time
 DATE = "1970-01-01T00:00:00Z"  # the tables carry no capture time
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -55,9 +65,10 @@ def record_id(page: int | None) -> str:
     return f"<urn:x-page:{'null' if page is None else page}>"
 
 
-def page_of(record: str) -> int | None:
-    number = record.rsplit(":", 1)[1].rstrip(">")
-    return None if number == "null" else int(number)
+def page_of(record: str | None) -> int | None:
+    """The page of an id that ``record_id`` made; None for any other."""
+    number = (record or "").removeprefix("<urn:x-page:").removesuffix(">")
+    return int(number) if record == f"<urn:x-page:{number}>" and number.lstrip("-").isdecimal() else None
 
 
 def format_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -74,9 +85,44 @@ def format_record(page: int | None, url: str | None, payload: bytes, digest: str
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """(fields by lower-case name, block)."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields: dict[str, str] = {}
+    name = ""
+    for line in head.decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:  # a folded line belongs to the field before it
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields, rest[: int(fields["content-length"])]
+
+
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    http = fields.get("content-type", "").lower().replace(" ", "").startswith("application/http")
+    return block.partition(b"\r\n\r\n")[2] if http else block
+
+
+def digest_agrees(label: str, payload: bytes) -> bool:
+    """Is ``algorithm:value`` (hex or base32) the payload's digest?  True where the algorithm is unknown."""
+    algorithm, _, value = label.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in hashlib.algorithms_guaranteed or algorithm.startswith("shake"):
+        return True
+    digest = hashlib.new(algorithm, payload).digest()
+    return value.strip().lower() in (digest.hex(), base64.b32encode(digest).decode().lower())
+
+
+def stated_length(fields: dict[str, str], block: bytes) -> int | None:
+    """Payload length of a record without payload: its own field, else that of the HTTP header."""
+    if "x-payload-length" in fields:
+        return int(fields["x-payload-length"])
+    for line in block.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            return int(value)
+    return None
 
 
 def records_of(stream) -> Iterator[bytes]:
@@ -91,18 +137,19 @@ def records_of(stream) -> Iterator[bytes]:
                 inflate = zlib.decompressobj(31)
         while True:
             if need is None:
+                while buffer.startswith(b"\r\n"):  # blank lines before a record
+                    del buffer[:2]
                 end = buffer.find(b"\r\n\r\n")
                 if end < 0:
                     break
-                size = next(int(line[15:]) for line in bytes(buffer[:end]).split(b"\r\n") if line.lower().startswith(b"content-length:"))
-                need = end + 4 + size + 4
+                need = end + 4 + int(parse_record(bytes(buffer[: end + 4]))[0]["content-length"]) + 4
             if len(buffer) < need:
                 break
             yield bytes(buffer[:need])
             del buffer[:need]
             need = None
         if stream.tell() >= stream.size():
-            if buffer:
+            if bytes(buffer).strip(b"\r\n"):
                 raise ValueError("the archive ends inside a record")
             return
 
@@ -170,7 +217,7 @@ def normalise(files: DataFrame) -> DataFrame:
                     member = gzip.compress(record, 6, mtime=0)
                     out.write(member)
                     fields, _ = parse_record(record)
-                    index.append((at, len(member), fields["WARC-Record-ID"], fields["WARC-Type"]))
+                    index.append((at, len(member), fields["warc-record-id"], fields["warc-type"].lower()))
                     at += len(member)
             with fs.open_output_stream(f"{base}/{name}.idx", compression=None) as side:
                 for x in index:
@@ -184,39 +231,49 @@ def normalise(files: DataFrame) -> DataFrame:
     return keep(spread.mapInArrow(rewrite, "path string, offset long, length long, record string, type string"), "warc-index")
 
 
+COLUMNS = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(),
+           "refers_to": pa.int64(), "payload": pa.binary(), "record_id": pa.string(), "refers_to_id": pa.string()}
+
+
 def read_archives(index: DataFrame) -> DataFrame:
-    """Read the indexed records at their offsets: (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload).
+    """Read the indexed records at their offsets: (page_id, url, payload_bytes, payload_digest, record_type, refers_to,
+    payload, record_id, refers_to_id).
 
-    ``payload`` is null for revisits; length and digest are recomputed from the stored payload and
-    must equal the headers."""
+    ``payload`` is null for revisits, whose length and SHA-256 are those the headers state (null if they state none);
+    for other records both are recomputed, and what the headers state must agree."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[str, object] = {}
         for b in batches:
-            out = []
+            out, size = [], 0
             for r in b.to_pylist():
                 if r["path"] not in files:
                     fs, inner = open_path(r["path"])
                     files = {r["path"]: fs.open_input_file(inner)}
-                record = gzip.decompress(files[r["path"]].read_at(r["length"], r["offset"]))
-                fields, block = parse_record(record)
-                revisit = fields["WARC-Type"] == "revisit"
-                payload = None if revisit else block.partition(b"\r\n\r\n")[2]
-                size, digest = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                if fields["WARC-Record-ID"] != r["record"] or payload is not None and (len(payload), hashlib.sha256(payload).hexdigest()) != (size, digest):
+                fields, block = parse_record(gzip.decompress(files[r["path"]].read_at(r["length"], r["offset"])))
+                kind, label = fields["warc-type"].lower(), fields.get("warc-payload-digest", "")
+                if kind == "revisit":
+                    payload, n = None, stated_length(fields, block)
+                    digest = label.removeprefix("sha256:").lower() if label.startswith("sha256:") else None
+                    right = True
+                else:
+                    payload = payload_of(fields, block)
+                    n, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                    right = digest_agrees(label, payload) and int(fields.get("x-payload-length", n)) == n
+                if not right or fields["warc-record-id"] != r["record"]:
                     raise ValueError(f"record {r['record']} of {r['path']} is damaged")
-                out.append((page_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], size, digest, fields["WARC-Type"],
-                            page_of(fields["WARC-Refers-To"]) if revisit else None, payload))
-                if len(out) == 256:
+                refers = fields.get("warc-refers-to") if kind == "revisit" else None
+                out.append((page_of(r["record"]), fields.get("warc-target-uri"), n, digest, kind, page_of(refers), payload, r["record"], refers))
+                size += len(payload or b"")
+                if size >= BATCH_BYTES or len(out) == 4096:
                     yield _rows(out)
-                    out = []
+                    out, size = [], 0
             if out:
                 yield _rows(out)
 
-    return index.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return index.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+                            "payload binary, record_id string, refers_to_id string")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                      names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), COLUMNS.values())], names=list(COLUMNS))

@@ -1,5 +1,6 @@
 """Token rollups, WARC archives, Katz scores, tool calls and URL rules."""
 
+import base64
 import gzip
 import hashlib
 import json
@@ -122,6 +123,51 @@ def test_archives_round_trip(spark):
         assert gzip.decompress(data).count(b"WARC-Record-ID: ") >= 1 and len(re.findall(rb"\x1f\x8b\x08", data[:3])) == 1
 
 
+def _foreign(kind: str, rid: str, block: bytes, *more: str) -> bytes:
+    head = ["WARC/1.0", f"warc-type:{kind}", f"WARC-RECORD-ID: <urn:uuid:{rid}>", *more, f"content-length:{len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def _foreign_file(path, records, members):
+    data = b"".join(records) if members == 1 else None
+    with open(path, "wb") as f:
+        f.write(gzip.compress(data) if members == 1 else b"".join(gzip.compress(r) for r in records))
+
+
+@pytest.mark.parametrize("members", [1, 6])
+def test_archives_of_other_writers(spark, tmp_path, members):
+    body = "body é".encode() * 40
+    http = b"HTTP/1.1 200 OK\r\ncontent-length: %d\r\n\r\n" % len(body)
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    kind = "Content-Type: application/http; msgtype=response"
+    records = [
+        _foreign("warcinfo", "a", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        _foreign("request", "b", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "WARC-Target-URI: http://h/", "Content-Type: application/http; msgtype=request"),
+        b"\r\n" + _foreign("response", "c", http + body, "WARC-Target-URI:", "\thttp://h/", f"WARC-Payload-Digest: sha1:{sha1}", kind),
+        _foreign("revisit", "d", http, "WARC-Refers-To: <urn:uuid:c>", f"WARC-Payload-Digest: sha1:{sha1}", kind),
+        _foreign("resource", "e", body, "WARC-Payload-Digest: unknown:1"),
+        _foreign("metadata", "f", b"")]
+    _foreign_file(tmp_path / "x.warc.gz", records, members)
+    files = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz",)], "path string")
+    got = {r["record_id"][10:-1]: r for r in warc.read_archives(warc.normalise(files)).collect()}
+    assert {k: (r["record_type"], r["url"], r["payload"]) for k, r in got.items()} == {
+        "a": ("warcinfo", None, b"software: x\r\n"), "b": ("request", "http://h/", b""), "c": ("response", "http://h/", body),
+        "d": ("revisit", None, None), "e": ("resource", None, body), "f": ("metadata", None, b"")}
+    assert {r["payload_bytes"] for k, r in got.items() if k in "cde"} == {len(body)} and got["d"]["refers_to_id"] == "<urn:uuid:c>"
+    assert got["c"]["payload_digest"] == got["e"]["payload_digest"] == hashlib.sha256(body).hexdigest() and got["d"]["payload_digest"] is None
+    assert all(r["page_id"] is None and r["refers_to"] is None for r in got.values())
+
+
+def test_damaged_archives_fail(spark, tmp_path):
+    wrong = _foreign("resource", "a", b"body", "WARC-Payload-Digest: sha1:" + hashlib.sha1(b"other").hexdigest())
+    _foreign_file(tmp_path / "wrong.warc.gz", [wrong], 1)
+    _foreign_file(tmp_path / "short.warc.gz", [wrong[:-10]], 1)
+    for name, what in (("wrong", "is damaged"), ("short", "ends inside a record")):
+        files = spark.createDataFrame([(f"file://{tmp_path}/{name}.warc.gz",)], "path string")
+        with pytest.raises(Exception, match=what):
+            warc.read_archives(warc.normalise(files)).collect()
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.normalise(warc.write_archives(none))).count() == 0
