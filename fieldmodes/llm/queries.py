@@ -187,13 +187,19 @@ FROM h
 """
 
 OP7_SQL = f"""
-WITH t AS (SELECT conv_id, turn, role, text, len({_WORDS.format("coalesce(text, '')")}) AS words FROM conversations),
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, len({_WORDS.format("coalesce(text, '')")}) AS words FROM conversations),
 m AS (SELECT *, CASE role WHEN 'user' THEN 'call-' || turn WHEN 'assistant' THEN 'call-' || (turn - 1) END AS call_id,
              CASE WHEN role = 'user' THEN CASE WHEN ends_with(coalesce(text, ''), '?') THEN 'search' WHEN words < 40 THEN 'lookup' ELSE 'summarise' END END AS tool,
-             CASE WHEN role = 'user' AND turn >= 2 THEN 'call-' || (turn - 2) END AS need FROM t),
+             CASE WHEN role = 'user' AND (turn // 2) % 4 < 3 THEN 'call-' || (turn + 2)
+                  WHEN role = 'user' AND turn >= 8 THEN 'call-' || (turn - 8) END AS need FROM t),
+c AS (SELECT DISTINCT conv_id, call_id, turn, need FROM m WHERE role = 'user'),
+walk AS (SELECT conv_id, call_id, call_id AS at, 0 AS r FROM c
+         UNION ALL SELECT w.conv_id, w.call_id, k.call_id, w.r + CAST(k.turn >= c.turn AS INTEGER)
+                   FROM walk w JOIN c ON c.conv_id = w.conv_id AND c.call_id = w.at JOIN c k ON k.conv_id = c.conv_id AND k.call_id = c.need),
+rk AS (SELECT conv_id, call_id, CAST(max(r) AS BIGINT) AS rank FROM walk GROUP BY ALL),
 n AS (SELECT conv_id, call_id, count(*) FILTER (role = 'user') AS calls, count(*) FILTER (role = 'assistant') AS results,
              min(turn) FILTER (role = 'user') AS first FROM m WHERE call_id IS NOT NULL GROUP BY ALL),
-j AS (SELECT m.*, n.calls, n.results, n.first, k.calls AS need_calls FROM m LEFT JOIN n USING (conv_id, call_id)
+j AS (SELECT m.*, n.calls, n.results, n.first, k.calls AS need_calls, rk.rank FROM m LEFT JOIN n USING (conv_id, call_id) LEFT JOIN rk USING (conv_id, call_id)
       LEFT JOIN n k ON k.conv_id = m.conv_id AND k.call_id = m.need),
 e AS (SELECT *, list_sort(list_filter([
         CASE WHEN role = 'user' AND tool = 'search' AND (words < 1 OR words > 100) THEN 'range:limit' END,
@@ -208,7 +214,8 @@ a AS (SELECT *, CASE tool WHEN 'search' THEN '{{"limit":' || words || ',"query":
                           WHEN 'lookup' THEN '{{"text":' || to_json(text) || ',"words":' || words || '}}'
                           WHEN 'summarise' THEN '{{"max_words":' || (words // 4) || ',"text":' || to_json(text) || '}}' END AS args FROM e)
 SELECT conv_id, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, call_id,
-       CASE WHEN role = 'assistant' THEN first END AS linked_turn, CASE WHEN role = 'user' THEN CAST(0 AS BIGINT) END AS rank,
+       CASE WHEN role = 'assistant' THEN first END AS linked_turn, CASE WHEN role = 'user' THEN rank END AS rank,
+       CASE WHEN role IN ('user', 'assistant') THEN coalesce(rank, 0) ELSE 0 END AS order_rank,
        array_to_string(errs, ',') AS errors,
        CASE role WHEN 'user' THEN '{{"arguments":' || args || ',"call_id":"' || call_id || '","content":null,"name":"' || tool || '","role":"user"}}'
                  WHEN 'assistant' THEN '{{"call_id":"' || call_id || '","content":' || coalesce(to_json(text), 'null') || ',"role":"tool"}}'

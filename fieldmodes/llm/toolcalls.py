@@ -9,8 +9,11 @@ names its tool, its arguments (JSON text) and the call ids it needs.  Per row:
   comes after all it needs.  rank = max over needs of the needed call's rank,
   plus one where that call stands at the same or a later turn.  Without such
   forward references it is 0 everywhere and the order is that of the turns;
-  otherwise ranks spread along the references, changed calls only, round by
-  round.  Calls on a cycle, or that need one, have a null rank;
+  otherwise chains of references are ranked by pointer doubling (``_ranks``).
+  Calls on a cycle, or that need one, have a null rank;
+* ``order_rank`` puts all messages in that order, by (order_rank, turn): a
+  call's rank, for a result that of its call, 0 for other messages and results
+  without a call; null (last) where the call has no rank;
 * arguments are checked against the tool's schema;
 * the message is serialised as canonical JSON: keys sorted, no white space,
   numbers normalised (Spark's variant type).
@@ -25,7 +28,7 @@ as after all others; rows without a call id (null) are plain messages; an id
 used by several calls belongs to the first (turn, tool, arguments), all of them
 are marked; repeated results each link to the call; null and empty texts are
 serialised as such; extra columns are dropped.  No step groups a conversation:
-all keys are single call ids.
+all keys are single call ids.  Very long texts and arguments are values of one row.
 """
 
 from __future__ import annotations
@@ -77,28 +80,63 @@ def argument_errors(schemas: dict[str, dict[str, dict]]) -> Column:
             .otherwise(F.coalesce(by_tool, F.array(F.lit("unknown_tool")))))
 
 
-def _ranks(edges: DataFrame, spark) -> DataFrame:
-    """(conv, id, rank) of the calls whose rank is not 0; null on and behind cycles.
-
-    ``edges``: (conv, id, need, forward) between known calls, kept."""
-    ranks = keep(edges.where("forward").groupBy("conv", "id").agg(F.lit(1).cast("long").alias("rank")), "call-ranks")
-    if ranks.isEmpty():
-        return ranks
-    limit = keep(edges.where("forward").groupBy("conv").agg(F.count("*").alias("most")), "call-limits")  # no simple path has more
-    changed = ranks
-    while not changed.isEmpty():
-        step = (edges.join(changed.select("conv", F.col("id").alias("need"), F.col("rank").alias("below")), ["conv", "need"])
-                .groupBy("conv", "id").agg(F.max(F.col("below") + F.col("forward").cast("long")).alias("new")))
-        step = (step.join(ranks.withColumnRenamed("rank", "old"), ["conv", "id"], "left").join(limit, "conv")
-                .where("new > coalesce(old, 0) AND coalesce(old, 0) <= most").select("conv", "id", F.col("new").alias("rank")))
-        changed = keep(step, "call-changes")
-        ranks = keep(ranks.union(changed).groupBy("conv", "id").agg(F.max("rank").alias("rank")), "call-ranks")
-    return ranks.join(limit, "conv").select("conv", "id", F.when(F.col("rank") <= F.col("most"), F.col("rank")).alias("rank"))
+def _ranks(edges: DataFrame) -> DataFrame:
+    """(conv, id, rank) of the calls that need a known call; null on and behind cycles.  No row: rank 0.
+
+    ``edges``: (conv, id, need, forward) between known calls, kept.  A call with one need points at it:
+    pointers are doubled until they reach a call with no need or several, which takes log2 of the longest chain
+    rounds.  Calls with several needs then see only each other and calls without needs, and
+    are ranked once all they need is, one round per level."""
+    if edges.where("forward").isEmpty():
+        return edges.limit(0).select("conv", "id", F.lit(0).cast("long").alias("rank"))
+    arcs = edges.select("conv", "id", F.col("need").alias("to"), F.col("forward").cast("long").alias("w"))
+    fan = keep(arcs.groupBy("conv", "id").agg(F.count("*").alias("n")), "call-fan")
+    several, single = fan.where("n > 1").select("conv", "id"), fan.where("n = 1").select("conv", "id")
+
+    def jump(rows: DataFrame, links: DataFrame, columns: list[str]) -> DataFrame:
+        """``rows`` with ``to`` moved along ``links``; ``open``: it stands on a link."""
+        ahead = links.select("conv", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("w").alias("w2"), F.col("open").alias("open2"))
+        return rows.join(ahead, ["conv", "to"], "left").select(
+            *columns, F.coalesce("to2", "to").alias("to"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), F.coalesce("open2", F.lit(False)).alias("open"))
+
+    ones = arcs.join(single, ["conv", "id"], "left_semi")
+    is_link = single.select("conv", F.col("id").alias("to"), F.lit(True).alias("open"))
+    links = keep(ones.join(is_link, ["conv", "to"], "left").select("conv", "id", "to", "w", F.coalesce("open", F.lit(False)).alias("open")), "call-jumps")
+    longest = single.groupBy("conv").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    steps = 1
+    while steps <= longest and not links.where("open").isEmpty():  # what is open after that many steps has met a cycle
+        links = keep(jump(links.where("open"), links, ["conv", "id"]).union(links.where("NOT open").select("conv", "id", "to", "w", "open")), "call-jumps")
+        steps *= 2
+    links = links.select("conv", "id", F.when(~F.col("open"), F.col("to")).alias("to"), "w", "open")
+
+    # Edges of calls with several needs, ends moved along the pointers; ``below``: rank of the end, once known.
+    far = arcs.join(several, ["conv", "id"], "left_semi").join(
+        links.select("conv", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("w").alias("w2"), "open"), ["conv", "to"], "left").select(
+        "conv", "id", F.when(F.col("open"), F.lit(None)).otherwise(F.coalesce("to2", "to")).alias("to"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"))
+    known = several.select("conv", F.col("id").alias("to"), F.lit(True).alias("later"))
+    wait = keep(far.join(known, ["conv", "to"], "left").select(
+        "conv", "id", "to", "w", F.when(F.col("to").isNotNull() & F.col("later").isNull(), F.lit(0).cast("long")).alias("below")), "call-waits")
+    ranked = None
+    while True:
+        ready = keep(wait.groupBy("conv", "id").agg(F.count_if(F.col("below").isNull()).alias("open"), F.max(F.col("below") + F.col("w")).alias("rank"))
+                     .where("open = 0").select("conv", "id", "rank"), "call-ready")
+        if ready.isEmpty():
+            break
+        ranked = ready if ranked is None else ranked.union(ready)
+        told = ready.select("conv", F.col("id").alias("to"), F.col("rank").alias("now"))
+        wait = keep(wait.join(ready, ["conv", "id"], "left_anti").join(told, ["conv", "to"], "left")
+                    .select("conv", "id", "to", "w", F.coalesce("below", "now").alias("below")), "call-waits")
+    cyclic = wait.select("conv", "id").distinct().withColumn("rank", F.lit(None).cast("long"))
+    ranked = keep(cyclic if ranked is None else ranked.union(cyclic), "call-ranks")
+    ends = ranked.select("conv", F.col("id").alias("to"), F.col("rank").alias("end"), F.lit(True).alias("there"))
+    behind = F.col("open") | (F.col("there") & F.col("end").isNull())
+    ranks = links.join(ends, ["conv", "to"], "left").select(
+        "conv", "id", F.when(~F.coalesce(behind, F.lit(False)), F.coalesce("end", F.lit(0)) + F.col("w")).alias("rank"))
+    return ranked.union(ranks)
 
 
 def format_tool_chat(messages: DataFrame, schemas: dict[str, dict[str, dict]]) -> DataFrame:
-    """(conv_id, turn, kind, call_id, linked_turn, rank, errors, json) for every message."""
-    spark = messages.sparkSession
+    """(conv_id, turn, kind, call_id, linked_turn, rank, order_rank, errors, json) for every message."""
     rows = messages.select(
         "conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), "call_id", "tool", "arguments", "needs",
         F.coalesce(F.col("conv_id").cast("string"), F.lit(NULL_KEY)).alias("conv"), F.col("call_id").cast("string").alias("id"),
@@ -114,7 +152,7 @@ def format_tool_chat(messages: DataFrame, schemas: dict[str, dict[str, dict]]) -
     edges = keep(edges.join(known, ["conv", "need"], "left")
                  .select("conv", "id", "need", F.col("need_at").isNull().alias("lost"), (F.col("need_at") >= F.col("at")).alias("forward")), "call-edges")
     lost = edges.where("lost").groupBy("conv", "id").agg(F.collect_list(F.concat(F.lit("unresolved:"), "need")).alias("lost"))
-    ranks = _ranks(edges.where("NOT lost"), spark).withColumn("ranked", F.lit(True))
+    ranks = _ranks(edges.where("NOT lost")).withColumn("ranked", F.lit(True))
     ids = keep(seen.join(lost, ["conv", "id"], "left").join(ranks, ["conv", "id"], "left"), "call-links")
 
     linked = (rows.where("id IS NOT NULL").join(ids, ["conv", "id"])
@@ -135,13 +173,13 @@ def format_tool_chat(messages: DataFrame, schemas: dict[str, dict[str, dict]]) -
     ).otherwise(F.to_json(F.to_variant_object(F.struct(
         F.col("arguments").cast("string").alias("arguments"), F.col("call_id").cast("string").alias("call_id"), F.col("text").alias("content"), F.col("tool").alias("name"), "role"))))
     result_json = F.to_json(F.to_variant_object(F.struct(F.col("call_id").cast("string").alias("call_id"), F.col("text").alias("content"), "role")))
+    rank = F.when(F.col("ranked").isNull(), F.lit(0).cast("long")).otherwise(F.col("rank"))
     linked = linked.select(
         "conv_id", "turn", "kind", F.col("id").alias("call_id"), F.when(~is_call, F.col("first.turn")).alias("linked_turn"),
-        F.when(is_call, F.when(F.col("ranked").isNull(), F.lit(0).cast("long")).otherwise(F.col("rank"))).alias("rank"),
-        errors.alias("errors"), F.when(is_call, call_json).otherwise(result_json).alias("json"))
+        F.when(is_call, rank).alias("rank"), rank.alias("order_rank"), errors.alias("errors"), F.when(is_call, call_json).otherwise(result_json).alias("json"))
     plain = rows.where("id IS NULL").select(
         "conv_id", "turn", "kind", F.col("id").alias("call_id"), F.lit(None).cast(dict(messages.dtypes)["turn"]).alias("linked_turn"),
-        F.lit(None).cast("long").alias("rank"), F.array().cast("array<string>").alias("errors"),
+        F.lit(None).cast("long").alias("rank"), F.lit(0).cast("long").alias("order_rank"), F.array().cast("array<string>").alias("errors"),
         F.to_json(F.to_variant_object(F.struct(F.col("text").alias("content"), "role"))).alias("json"))
     return linked.unionByName(plain)
 
@@ -149,7 +187,8 @@ def format_tool_chat(messages: DataFrame, schemas: dict[str, dict[str, dict]]) -
 def tool_turns(conversations: DataFrame) -> DataFrame:
     """Chat turns as tool messages: a user turn is a call, the assistant turn after it its result.
 
-    The tool follows from the text; each call needs the one two turns before, the previous question."""
+    The tool follows from the text.  Questions are taken in fours: the first three need the one two turns later
+    (forward references), the fourth the last of the four before, eight turns earlier."""
     text = F.col("text").cast("string")
     words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     user, reply = F.col("role").eqNullSafe("user"), F.col("role").eqNullSafe("assistant")
@@ -162,7 +201,7 @@ def tool_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         "conv_id", "turn", F.when(reply, "tool").otherwise(F.col("role")).alias("role"), F.when(user, F.lit(None).cast("string")).otherwise(text).alias("text"),
         F.when(user, name(turn)).when(reply, name(turn - 1)).alias("call_id"), F.when(user, tool).alias("tool"), F.when(user, args).alias("arguments"),
-        F.when(user & (turn >= 2), F.array(name(turn - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))
+        F.when(user & (F.floor(turn / 2) % 4 < 3), F.array(name(turn + 2))).when(user & (turn >= 8), F.array(name(turn - 8))).otherwise(F.array().cast("array<string>")).alias("needs"))
 
 
 SCHEMAS = {

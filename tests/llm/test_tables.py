@@ -317,6 +317,30 @@ def test_topological_rank(spark):
             assert all(got[0, t, "call"]["rank"] == 0 for t in range(12))
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A forward chain of 100 calls, one that ends in a cycle, one behind a call with two needs; very long arguments."""
+    kept = []
+    monkeypatch.setattr(toolcalls, "keep", lambda df, name, real=toolcalls.keep: (kept.append(name), real(df, name))[1])
+    rows = [call(1, t, f"c{t}", needs=[f"c{t + 1}"] if t < 99 else []) for t in range(100)]
+    rows += [call(2, t, f"c{t}", needs=[f"c{min(t + 1, 30)}"]) for t in range(31)]
+    rows += [call(3, t, f"c{t}", needs=[f"c{t + 1}"]) for t in range(10)] + [call(3, 10, "c10", needs=["c11", "c12"]), call(3, 11, "c11"), call(3, 12, "c12", needs=["c13"]), call(3, 13, "c13")]
+    rows += [call(4, 1, "long", json.dumps({"x": 1, "note": "a" * 300000}))]
+    got = chat(spark, rows)
+    assert [got[1, t, "call"]["rank"] for t in range(100)] == list(range(99, -1, -1))
+    assert all(got[2, t, "call"]["rank"] is None for t in range(31))
+    assert [got[3, t, "call"]["rank"] for t in range(14)] == [12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 0, 1, 0]
+    assert got[4, 1, "call"]["errors"] == ["range:note", "unanswered"]
+    assert kept.count("call-jumps") <= 9
+
+
+def test_query_orders_forward_references(spark):
+    rows = queries.op7_tool_call_linking(spark, SF).collect()
+    calls = {(r["conv_id"], r["turn"]): r["rank"] for r in rows if r["kind"] == "call"}
+    assert max(calls.values()) >= 2
+    assert all(rank == calls[c, t + 2] + 1 for (c, t), rank in calls.items() if t // 2 % 4 < 3 and (c, t + 2) in calls)
+    assert all(r["order_rank"] == calls[r["conv_id"], r["linked_turn"]] for r in rows if r["linked_turn"] is not None)
+
+
 def test_chat_empty_and_native(spark):
     assert chat(spark, []) == {}
     assert queries.op7_tool_call_linking(spark, SF).count() == spark.read.parquet(f"{SF}/conversations.parquet").count()
