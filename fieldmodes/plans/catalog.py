@@ -1024,6 +1024,46 @@ def q_job_export(spark, sf):
                                                     r9("value").alias("value"))
 
 
+@register("job_both_rebuilt", w_long(SFL) + "SELECT m.method, l.row_id, l.col_pos, round(l.value, 9) AS value FROM l "
+          "CROSS JOIN (SELECT unnest(['exact', 'inexact']) AS method) m")
+def q_job_both(spark, sf):
+    """supplier x returnflag field through the EOF job by both methods; U, S, V and means, read back, give the field
+    again (a centered field of 3 columns has 2 components)."""
+    mat, _, _ = _mat(spark, sf, "supplier_flag")
+    rm, out = scratch_path(spark, "both_rowmat"), scratch_path(spark, "both_factors")
+    wr.write_row_matrix(mat, rm)
+    jb.eof_job(spark, rm, f"{out}/", 2, "both", pp.CENTER, seed=0)
+    parts = []
+    for method in ("exact", "inexact"):
+        f = rd.load_factors(spark, f"{out}/{method}")
+        cells = (f["u"].withColumnRenamed("value", "u").join(f["s"], "component").join(f["v"].withColumnRenamed("value", "v"), "component")
+                 .groupBy("row_id", "col_pos").agg(F.sum(F.col("u") * F.col("sigma") * F.col("v")).alias("z")))
+        parts.append(cells.join(f["row_stats"], "row_id").select(F.lit(method).alias("method"), "row_id", "col_pos", F.round(F.col("z") + F.col("mean"), 9).alias("value")))
+    return parts[0].unionByName(parts[1])
+
+
+@register("job_export_rebuilt", f"WITH t AS ({PY}), c AS ({CO}), {COMPLETE} SELECT p.p_partkey AS cell_id, make_timestamp(c.record_id, 1, 1, 0, 0, 0) AS obs_ts, "
+          "round(CASE WHEN f.row_id IS NULL THEN 9999.0 ELSE t.value END, 9) AS value FROM part p CROSS JOIN c LEFT JOIN full_rows f ON f.row_id = p.p_partkey "
+          "LEFT JOIN t ON t.row_id = p.p_partkey AND t.record_id = c.record_id")
+def q_job_export_rebuilt(spark, sf):
+    """part x year field -> all its components -> export; the exported fields, dated V and singular values, read
+    back, give the field again at its dates, and the fill value where a cell is masked."""
+    mat, co, n = _mat(spark, sf, "part_year", on_missing="drop_row")
+    rm, fac, out = (scratch_path(spark, x) for x in ("all_rowmat", "all_factors", "all_out"))
+    wr.write_row_matrix(mat, rm)
+    jb.eof_job(spark, rm, fac, n - 1, "exact", pp.CENTER)
+    observed = rd.read_row_matrix(spark, rm).select(F.col("row_id").alias("cell_id"), F.col("row_id").alias("loc_id"))
+    jb.export_job(spark, fac, gd.attach_loc_ids(_grid(spark, sf), observed), out, col_order=co,
+                  record_dates=fx.record_dates_year(fx.triplets_part_year(spark, sf)))
+    fields = spark.read.parquet(f"{out}/fields/fields").select("cell_id", "component", F.col("value").alias("u"))
+    dated = spark.read.parquet(f"{out}/temporal").select("component", "obs_ts", F.col("value").alias("v"))
+    sigma = rd.read_coordinate_text(spark, f"{out}/evalEOFs").select(F.col("j").cast("int").alias("component"), F.col("value").alias("sigma"))
+    cells = fields.where("component >= 0").join(sigma, "component").join(dated, "component").groupBy("cell_id", "obs_ts").agg(F.sum(F.col("u") * F.col("sigma") * F.col("v")).alias("z"))
+    mean = fields.where("component = -1").select("cell_id", F.col("u").alias("mean"))
+    value = F.when(F.col("mean") == gd.FILL, F.col("mean")).otherwise(F.col("z") + F.col("mean"))
+    return cells.join(mean, "cell_id").select("cell_id", "obs_ts", F.round(value, 9).alias("value"))
+
+
 _CONVERT_SQL = (f"WITH t AS ({PY}), {COMPLETE}, "
                 "locs AS (SELECT row_id AS cell_id, row_number() OVER (ORDER BY row_id) - 1 AS loc_id FROM full_rows), "
                 "num AS (SELECT record_id AS yr, CAST(row_number() OVER (ORDER BY record_id) - 1 AS INTEGER) AS rid "
