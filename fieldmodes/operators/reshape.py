@@ -157,7 +157,7 @@ def dense_index(df: DataFrame, order_cols: list[str] | None, out_col: str = "idx
 def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
                row: str = "row_id", col: str = "record_id", value: str = "value",
                on_missing: str = "error", on_duplicate: str = "error", on_unknown: str = "error",
-               n_cols: int | None = None, pre_aggregate: bool = True) -> DataFrame:
+               n_cols: int | None = None, pre_aggregate: bool = True, laid_out: bool = False) -> DataFrame:
     """Triplets -> ``(row_id BIGINT, vector ARRAY<DOUBLE>)``.
 
     Position j of every vector holds the cell of ``col_order`` position j
@@ -176,6 +176,9 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
                   False when the triplets come out of a groupBy on
                   (row, col): one shuffle instead of two, and duplicates are
                   still detected inside each row.
+    laid_out      the triplets come from a cell store (``sources.cellstore``):
+                  every one has a row id and they lie by it, so neither step
+                  shuffles a cell.
     """
     if on_missing not in _MISSING:
         raise ValueError(f"on_missing must be one of {_MISSING}")
@@ -191,7 +194,8 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
     rid = F.col(row).cast("long")
     # A cell without a location belongs to no row; fail before the shuffle
     # (NULL keys would all meet in one task).
-    rid = F.when(rid.isNull(), F.raise_error(F.lit("triplet with NULL row id")).cast("long")).otherwise(rid)
+    if not laid_out:  # (an expression would hide the layout)
+        rid = F.when(rid.isNull(), F.raise_error(F.lit("triplet with NULL row id")).cast("long")).otherwise(rid)
     v = F.col(value).cast("double")
     bad = F.isnan(v) | (F.abs(v) == float("inf"))
     v = F.when(bad, F.raise_error(F.concat(F.lit("non-finite value in row "), rid.cast("string"))).cast("double")).otherwise(v)

@@ -23,7 +23,7 @@ from fieldmodes.operators import reshape as rs
 from fieldmodes.operators import stats as st
 from fieldmodes.plans import fixtures as fx
 from fieldmodes.plans import jobs as jb
-from fieldmodes.session import scratch_path
+from fieldmodes.session import Lifetime, scratch_path
 from fieldmodes.sources import readers as rd
 from fieldmodes.sources import writers as wr
 from fieldmodes.streaming import ingest as si
@@ -603,8 +603,12 @@ def q_eof_mllib_emb(spark, sf):
 def q_eof_coslat(spark, sf):
     mat, _, _ = _mat(spark, sf, "supplier_year")
     p = pp.preprocess(mat, pp.COSLAT_CENTER, fx.weights_supplier(spark, sf))
-    res, _ = fz.run_eofs(p.mat, 2, "exact")
-    return res.u_long().select("row_id", "component", r6("value").alias("value"))
+    u = scratch_path(spark, "coslat_u")
+    with Lifetime(spark) as life:
+        x = life.cache(p.mat)
+        res, _ = fz.run_eofs(x, 2, "exact", persist=False)
+        res.u_long().write.parquet(u)
+    return spark.read.parquet(u).select("row_id", "component", r6("value").alias("value"))
 
 
 @register("compare_factors")

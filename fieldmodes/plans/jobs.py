@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +26,8 @@ from fieldmodes.operators import preprocess as pp
 from fieldmodes.operators import reshape as rs
 from fieldmodes.operators import stats as st
 from fieldmodes.plans.commitlog import CommitLog
+from fieldmodes.session import Lifetime
+from fieldmodes.sources import cellstore as cs
 from fieldmodes.sources import readers as rd
 from fieldmodes.sources import writers as wr
 
@@ -150,19 +151,25 @@ def dated_order(spark: SparkSession, out: str, key_fmt: str = "yyyyMMddHH") -> D
 
 
 def ingest_job(spark: SparkSession, triplet_path: str, out: str, blocks: list[int] | None = None,
-               on_missing: str = "error", on_duplicate: str = "error", mode: str = "errorifexists") -> dict:
+               on_missing: str = "error", on_duplicate: str = "error", mode: str = "errorifexists",
+               cells: str | None = None, buckets: int | None = None) -> dict:
     """Triplet text -> ``out/rowmat`` (Parquet), ``out/col_order``, ``out/rejects``.
 
-    Malformed lines go to the reject table and the job goes on (A17).  The
-    column order covers every record present in the selected blocks."""
-    good, bad = rd.read_triplets(spark, triplet_path, blocks=blocks, with_rejects=True)
-    co, n = rs.small_table(rs.column_order(good))
-    mat = rs.pivot_rows(good, co, n_cols=n, on_missing=on_missing, on_duplicate=on_duplicate)
-    wr.write_row_matrix(mat, f"{out}/rowmat", mode=mode)
-    wr.write_col_order(co, f"{out}/col_order", mode=mode)
-    bad.write.mode(mode).parquet(f"{out}/rejects")
+    The text is read once: one job parses it into a cell store (see
+    ``sources.cellstore``) and collects the record ids; the rows come from the
+    store without a further shuffle.  Malformed lines go to the reject table
+    and the job goes on (A17).  The column order covers every record present
+    in the selected blocks.  ``cells`` keeps the store at that path."""
+    with Lifetime(spark) as life:
+        store = cells or life.scratch("cells")
+        records = cs.write_cells(spark, triplet_path, store, blocks, buckets)
+        co = spark.createDataFrame(list(enumerate(records)), "col_pos INT, record_id INT")
+        mat = rs.pivot_rows(cs.read_cells(spark, store), co, n_cols=len(records), on_missing=on_missing, on_duplicate=on_duplicate, laid_out=True)
+        wr.write_row_matrix(mat, f"{out}/rowmat", mode=mode)
+        wr.write_col_order(co, f"{out}/col_order", mode=mode)
+        cs.read_rejects(spark, store).write.mode(mode).parquet(f"{out}/rejects")
     return {"rowmat": f"{out}/rowmat", "col_order": f"{out}/col_order", "rejects": f"{out}/rejects",
-            "n_cols": n}
+            "n_cols": len(records)}
 
 
 def eof_job(spark: SparkSession, rowmat_path: str | None, out: str, k: int, method: str = "exact",
@@ -176,16 +183,14 @@ def eof_job(spark: SparkSession, rowmat_path: str | None, out: str, k: int, meth
     factor tables are written distributed (U) or tiny (S, V)."""
     mat = rd.read_row_matrix(spark, rowmat_path) if manifest is None else rd.read_manifest(spark, rd.parse_manifest(spark, manifest), file_order=True)
     p = pp.preprocess(mat, preprocess, weights)
-    rows = p.rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with Lifetime(spark) as life:
+        rows = life.cache(p.rows)
         x = rows.select("row_id", "vector")
         n, m = st.dims(x)
         res = fz.compute_eofs(x, k, method, n_rows=n, n_cols=m, **kw)
         results = res if isinstance(res, dict) else {"": res}
         for suffix, r in results.items():
             wr.save_factors(spark, r, f"{out}{suffix}", row_stats=rows.select("row_id", "mean", "std"), mode=mode)
-    finally:
-        rows.unpersist()
     return res
 
 

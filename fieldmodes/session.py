@@ -12,8 +12,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -107,3 +109,39 @@ def scratch_path(spark: SparkSession, name: str = "tmp") -> str:
     """A fresh, unique path inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+class Lifetime:
+    """Owns what a job keeps between its steps: cached frames, scratch tables, broadcast values.
+
+    All are freed, the last first, when the ``with`` block ends, also if it ends
+    with an error.  What the job returns must not read from them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._frees: list[Callable[[], object]] = []
+
+    def cache(self, df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._frees.append(df.unpersist)
+        return df
+
+    def scratch(self, name: str = "tmp") -> str:
+        path = scratch_path(self.spark, name)
+        self._frees.append(lambda: delete_path(self.spark, path))
+        return path
+
+    def broadcast(self, value):
+        bc = self.spark.sparkContext.broadcast(value)
+        self._frees.append(bc.unpersist)
+        return bc
+
+    def release(self) -> None:
+        while self._frees:
+            self._frees.pop()()
+
+    def __enter__(self) -> Lifetime:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()

@@ -18,19 +18,32 @@ from fieldmodes.session import path_exists
 COORD_HEADER = "%%MatrixMarket matrix coordinate real general"
 
 
+def parsed_lines(lines: DataFrame, sep: str = ",") -> DataFrame:
+    """``value`` text lines 'rec,loc,val' -> (good, record_id, row_id, value, line, other columns).
+
+    A good line has the three numbers and no ``line``, a bad one only its ``line``."""
+    rest = [c for c in lines.columns if c != "value"]
+    p = lines.select(F.col("value").alias("line"), F.split(F.trim(F.col("value")), sep).alias("_p"), *rest)
+    p = p.select("line", *rest, F.expr("try_cast(trim(get(_p, 0)) AS INT)").alias("_rec"), F.expr("try_cast(trim(get(_p, 1)) AS BIGINT)").alias("_loc"),
+                 F.expr("try_cast(trim(get(_p, 2)) AS DOUBLE)").alias("_val"), F.size("_p").alias("_n"))
+    ok = (F.col("_n") == 3) & F.col("_rec").isNotNull() & F.col("_loc").isNotNull() & F.col("_val").isNotNull()
+    return p.select(ok.alias("good"), *(F.when(ok, F.col(c)).alias(name) for c, name in (("_rec", "record_id"), ("_loc", "row_id"), ("_val", "value"))),
+                    F.when(~ok, F.col("line")).alias("line"), *rest)
+
+
 def parse_triplet_lines(lines: DataFrame, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """``value`` text lines 'rec,loc,val' -> (triplets, rejects)."""
-    parts = F.split(F.trim(F.col("value")), sep)
-    keep = [c for c in lines.columns if c != "value"]
-    p = lines.select(F.col("value").alias("line"), parts.alias("_p"), *keep)
-    rec = F.expr("try_cast(trim(_p[0]) AS INT)")
-    loc = F.expr("try_cast(trim(_p[1]) AS BIGINT)")
-    val = F.expr("try_cast(trim(_p[2]) AS DOUBLE)")
-    ok = (F.size("_p") == 3) & rec.isNotNull() & loc.isNotNull() & val.isNotNull()
-    p = p.withColumn("_ok", ok)
-    good = p.where("_ok").select(rec.alias("record_id"), loc.alias("row_id"), val.alias("value"), *keep)
-    bad = p.where(~F.col("_ok")).select("line", *keep)
-    return good, bad
+    rest = [c for c in lines.columns if c != "value"]
+    p = parsed_lines(lines, sep)
+    return p.where("good").select("record_id", "row_id", "value", *rest), p.where("NOT good").select("line", *rest)
+
+
+def triplet_lines(spark: SparkSession, path: str, blocks: list[int] | None = None, part_prefix: str | None = None) -> DataFrame:
+    """The lines of triplet text (see ``read_triplets``), other blocks pruned."""
+    lines = spark.read.text(f"{path.rstrip('/')}/part-{part_prefix}*" if part_prefix is not None else path)
+    if "record_block" not in lines.columns:
+        return lines
+    return (lines if blocks is None else lines.where(F.col("record_block").isin(list(blocks)))).drop("record_block")
 
 
 def read_triplets(spark: SparkSession, path: str, blocks: list[int] | None = None,
@@ -39,12 +52,7 @@ def read_triplets(spark: SparkSession, path: str, blocks: list[int] | None = Non
     ``record_block=`` partitions written by ``write_triplets``;
     ``part_prefix`` selects flat ``part-<prefix>*`` files (one file per
     record, zero-padded record number), e.g. '0' for records 0-9999."""
-    lines = spark.read.text(f"{path.rstrip('/')}/part-{part_prefix}*" if part_prefix is not None else path)
-    if blocks is not None and "record_block" in lines.columns:
-        lines = lines.where(F.col("record_block").isin(list(blocks)))
-    good, bad = parse_triplet_lines(lines)
-    if "record_block" in good.columns:
-        good = good.drop("record_block")
+    good, bad = parse_triplet_lines(triplet_lines(spark, path, blocks, part_prefix))
     return (good, bad) if with_rejects else good
 
 

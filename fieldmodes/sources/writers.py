@@ -73,8 +73,13 @@ def write_coordinate_text(long_df: DataFrame, path: str, n_rows: int, n_cols: in
 def write_fields(fields: DataFrame, path: str, attrs: dict | None = None, mode: str = "errorifexists") -> None:
     """Gridded fields, one folder per component, plus a metadata table.
 
-    ``fields``: (component, cell_id, level_i, lat, lon, value) with fills."""
-    fields.write.mode(mode).partitionBy("component").parquet(f"{path}/fields")
+    ``fields``: (component, cell_id, level_i, lat, lon, value) with fills.
+    Cells are range-partitioned and sorted in grid order (level, cell), so a
+    file is one sorted run, the number of files follows the size of the data
+    (adaptive execution joins small ranges), and a reader that selects levels
+    or cells skips row groups by their statistics."""
+    order = ["component", *(c for c in ("level_i", "cell_id") if c in fields.columns)]
+    fields.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("component").parquet(f"{path}/fields")
     if attrs:
         spark = fields.sparkSession
         spark.createDataFrame([(str(k), str(v)) for k, v in attrs.items()], "name string, value string") \
