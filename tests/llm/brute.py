@@ -167,3 +167,80 @@ def katz(docs, discounts, top=5):
             score += math.log10(of(d2, c) * c / ctx[h][0] if c else (alpha[h] if h in ctx else 1) * p1(w))
         out[d] = held[d], len(t), sum(uni[w] > 0 for w in t), n, base, score
     return out
+
+
+def discounts(counts, top=5):
+    """Katz's discounts d(1..top), written anew: raw Good-Turing if all lie in (0, 1), else on the line of log Z against log c."""
+    have = Counter(counts)
+    raw = {c: have.get(c, 0) for c in range(1, top + 2)}
+
+    def by(n):
+        if min(n.values()) <= 0:
+            return None
+        tail = (top + 1) * n[top + 1] / n[1]
+        d = [((c + 1) * n[c + 1] / n[c] / c - tail) / (1 - tail) if tail < 1 else 2 for c in range(1, top + 1)]
+        return d if all(0 < x < 1 for x in d) else None
+
+    some = [c for c in raw if raw[c]]
+    got = by(raw)
+    if got is None and len(some) > 1:
+        pts = []
+        for i, c in enumerate(some):
+            low = some[i - 1] if i else 0
+            high = some[i + 1] if i + 1 < len(some) else 2 * c - low
+            pts.append((math.log(c), math.log(2 * raw[c] / (high - low))))
+        mx, my = (sum(p[k] for p in pts) / len(pts) for k in (0, 1))
+        slope = sum((x - mx) * (y - my) for x, y in pts) / sum((x - mx) ** 2 for x, _ in pts)
+        got = by({c: math.exp(my + slope * (math.log(c) - mx)) for c in raw})
+    if got is None:
+        gap = raw[1] / (raw[1] + 2 * raw[2]) if raw[1] and raw[2] else 0.5
+        got = [1 - gap / c for c in range(1, top + 1)]
+    return got
+
+
+def katz_of_order(docs, order, top=5, new=None):
+    """{doc_id: (held out, score)} of a Katz model of any order, by its recursive definition; ``new`` are scored in place of ``docs``."""
+    split = lambda ds: {d: words((t or "").translate(LOWER)) + [None] for d, t in ds}
+    toks = split(docs)
+    held = {d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d in toks}
+    pad = ("<s>",) * (order - 1)
+    grams = [Counter() for _ in range(order)]
+    for d, t in toks.items():
+        if not held[d]:
+            t = (*pad, *t)
+            for i in range(len(pad), len(t)):
+                for k in range(order):
+                    grams[k][t[i - k:i + 1]] += 1
+    ds = [discounts(g.values(), top) for g in grams]
+    star = lambda k, c: c * (ds[k][c - 1] if c <= top else 1.0)
+    followers = [defaultdict(dict) for _ in range(order)]
+    for k, g in enumerate(grams):
+        for x, c in g.items():
+            followers[k][x[:-1]][x[-1]] = c
+
+    def below(h):
+        f = followers[len(h)].get(h, {})
+        n, kept = sum(f.values()), sum(star(len(h), c) for c in f.values())
+        return (n if kept < n else n + 1), kept
+
+    left = {}
+
+    def prob(h, w):
+        f = followers[len(h)].get(h, {})
+        if not h:
+            n, kept = below(h)
+            return star(0, f[w]) / n if w in f else 1 - kept / n if f else 1.0
+        if not f:
+            return prob(h[1:], w)
+        if w in f:
+            return star(len(h), f[w]) / below(h)[0]
+        if h not in left:
+            n, kept = below(h)
+            left[h] = (1 - kept / n) / (1 - sum(prob(h[1:], x) for x in f))
+        return left[h] * prob(h[1:], w)
+
+    out = {}
+    for d, t in (toks if new is None else split(new)).items():
+        t = (*pad, *t)
+        out[d] = held.get(d), sum(math.log10(prob(t[i - order + 1:i], t[i])) for i in range(len(pad), len(t)))
+    return out

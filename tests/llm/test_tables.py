@@ -381,3 +381,66 @@ def test_verdicts(spark):
     assert got[7] == got[8] == got[9] == ("", "", None, "allow") and got[10][3] == "block" and got[11][:2] == ("b:", "//net/")
     assert got[12][2] == "org/fr/" and got[13][0] == "é.org"
     assert urls.url_verdicts(df.limit(0), queries.SITES).count() == 0 and urls.url_verdicts(df, []).where(F.col("_verdict") == "allow").count() == len(rows)
+
+
+# ---- Katz models of other orders, stored models ------------------------------------
+
+
+def _sentences(n, seed=5, first=0):
+    rnd = random.Random(seed)
+    vocab = [f"w{i}" for i in range(25)]
+    phrases = [" ".join(rnd.choices(vocab, k=rnd.randint(3, 7))) for _ in range(30)]
+    return [(first + i, " ".join(rnd.choices(phrases, weights=[1 / (k + 1) for k in range(30)], k=rnd.randint(0, 6))) + rnd.choice(["", " " + rnd.choice(vocab).upper()]))
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_of_any_order(spark, order):
+    docs = _sentences(120) + [(500, None), (501, ""), (None, "w1 w2 w3"), (502, "never seen words"), (503, " ".join(f"w{i % 9}" for i in range(20000)))]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, grams1 int").repartition(5)
+    model, scores = katz.train_and_score(df, order=order)
+    want = brute.katz_of_order(docs, order)
+    rows = scores.collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r["held_out"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], rel=1e-9, abs=1e-7)
+    for n in range(2, order + 1):
+        for r in katz.context_mass(model, model.discounts[n - 1], n).collect():
+            assert r["mass"] == pytest.approx(1.0, abs=1e-9)
+
+
+def test_longer_context_helps_on_held_out_text(spark):
+    df = spark.createDataFrame(_sentences(400), "doc_id long, text string")
+    got = [katz.train_and_score(df, order=n)[1].where("held_out").agg({"score": "sum"}).first()[0] for n in (1, 2, 3)]
+    assert got[0] < got[1] < got[2]
+
+
+def test_a_stored_model_scores_other_texts(spark):
+    from fieldmodes.session import scratch_path
+    docs, new = _sentences(80), [*_sentences(30, 9, 1000), (2000, None), (2001, "w1 unseen w2"), (2002, "")]
+    train = spark.createDataFrame(docs, "doc_id long, text string")
+    model, scores = katz.train_and_score(train, order=3)
+    path = scratch_path(spark, "model")
+    katz.save(model, path)
+    stored = katz.load(spark, path)
+    assert stored.order == 3 and stored.without_tables() == model.without_tables()
+    want = brute.katz_of_order(docs, 3, new=new)
+    got = katz.score(stored, spark.createDataFrame(new, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {d for d, _ in new}
+    for r in got:
+        assert r["held_out"] and r["score"] == pytest.approx(want[r["doc_id"]][1], rel=1e-9, abs=1e-7)
+    again = {r["doc_id"]: r for r in katz.score(stored, train).collect()}  # the training texts: as scored beside the training
+    for r in scores.collect():
+        assert {k: v for k, v in r.asDict().items() if k != "held_out"} == {k: v for k, v in again[r["doc_id"]].asDict().items() if k != "held_out"}
+    assert katz.score(stored, train.limit(0)).count() == 0
+
+
+def test_query_agrees_with_independent_discounts(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = brute.katz_of_order(docs, 2)
+    for r in queries.op5_lm_scoring(spark, SF).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]][1], rel=1e-9)
+    for n in BUMPED.values():
+        for counts in n:
+            have = [c for c, k in enumerate(counts, 1) for _ in range(k)]
+            assert brute.discounts(have) == pytest.approx(list(katz.good_turing([0, *counts]).values), abs=1e-12)
