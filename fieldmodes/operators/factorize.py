@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmodes.functions.blocks import sign_fix, sym_eig_desc
+from fieldmodes.functions.packed import is_sparse, pack
 from fieldmodes.operators.products import cov_multiply, gram, right_multiply, tsqr_r
 from fieldmodes.operators.stats import dims, materialize_dims
 
@@ -258,9 +259,9 @@ def describe_eofs(res: EOFResult, spark: SparkSession, total_ss: float | None =
 
 
 def run_eofs(mat: DataFrame, k: int, method: str = "exact", persist: bool = True, **kw):
-    """Persist the matrix once, then factorize (the reference's cache + count)."""
+    """Persist the matrix once, then factorize (the reference's cache + count).  Sparse rows are persisted packed."""
     if persist:
-        mat, n, m = materialize_dims(mat.select("row_id", "vector"))
+        mat, n, m = materialize_dims(pack(mat) if is_sparse(mat) else mat.select("row_id", "vector"))
         kw.setdefault("n_rows", n)
         kw.setdefault("n_cols", m)
     return compute_eofs(mat, k, method, **kw), mat

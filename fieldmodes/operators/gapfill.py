@@ -7,10 +7,10 @@ width, started from the last V) and replaces only the missing cells by the
 rank-k reconstruction mean + (x - mean) V V^T, until the RMS change of the
 filled cells drops below ``tol``.
 
-The observed matrix never changes: it is partitioned by row once and kept.
-What a round adds to a row is its mean and k coefficients; that table is
-written to the shared folder (it cuts the lineage and survives a lost
-executor) and replaces the one of the round before, which is deleted.
+Rows are packed into blocks (values and gaps as bytes) once and kept in few partitions.  A row's filling follows
+from the V of the rounds so far, so a pass works it out where the row lies and a round writes nothing: it costs one
+pass for each product and one for its change (with ``product='gram'`` one pass gives both).  Every SAVE_EVERY plain
+rounds the blocks as filled by then, in the shared folder, take the place of those before, which bounds what a pass repeats.
 
 ``accelerate=True`` reaches the same fixed points in fewer rounds.  Given V, a row's
 mean and coefficients are solved for at once (least squares on its observed
@@ -34,9 +34,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmodes.functions.blocks import AlignmentError, list_column_to_matrix, matrix_to_list_array, sym_eig_desc
+from fieldmodes.functions.blocks import AlignmentError, matrix_to_list_array, sym_eig_desc
 from fieldmodes.operators.factorize import krylov_eigs
-from fieldmodes.operators.products import arrow_batch_guard, cov_multiply, gram
+from fieldmodes.operators.products import GRAM_MAX_COLS, _sum_partials, arrow_batch_guard, kept_tasks
+from fieldmodes.operators.stats import TASK_BYTES
 from fieldmodes.session import delete_path, scratch_path
 
 
@@ -49,13 +50,45 @@ def _with_gaps(arr: pa.Array, m: int) -> np.ndarray:
     return pc.fill_null(arr.flatten(), float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(arr), m)
 
 
-def _filled(batch: pa.RecordBatch, v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(current field, gaps) of a batch: gaps hold mean + coefficients V^T."""
-    x = _with_gaps(batch.column("vector"), m)
-    gap = np.isnan(x)
-    coef = list_column_to_matrix(batch.column("coef"), v.shape[1]) if batch.num_rows else np.zeros((0, v.shape[1]))
-    rec = batch.column("mu").to_numpy(zero_copy_only=False)[:, None] + coef @ v.T
-    return np.where(gap, rec, x), gap
+SAVE_EVERY = 16            # plain rounds that a pass works out again
+BLOCK_BYTES = 1 << 20      # of a block's values
+_BLOCK = "n int, ids binary, x binary, gap binary"
+
+
+def _pack(mat: DataFrame, m: int) -> DataFrame:
+    """Blocks of rows (row ids, values with each gap at its row's mean, gaps); rows without an id are left out."""
+    step = max(1, BLOCK_BYTES // (8 * max(m, 1)))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
+                x = _with_gaps(b.column("vector"), m)
+                gap = np.isnan(x)
+                seen = np.maximum((~gap).sum(axis=1, keepdims=True), 1)
+                x = np.where(gap, np.where(gap, 0.0, x).sum(axis=1, keepdims=True) / seen, x)
+                yield _block(np.asarray(b.column("row_id"), dtype=np.int64), x, gap)
+    return mat.where(F.col("row_id").isNotNull()).select("row_id", "vector").repartition("row_id").mapInArrow(run, _BLOCK)
+
+
+def _block(ids: np.ndarray, x: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids, x, gap))], names=["n", "ids", "x", "gap"])
+
+
+def _blocks(batch: pa.RecordBatch, m: int):
+    for r in range(batch.num_rows):
+        ids, x, gap = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("ids", np.int64), ("x", np.float64), ("gap", np.bool_)))
+        yield ids, x.reshape(-1, m), gap.reshape(-1, m)
+
+
+def _round(x: np.ndarray, gap: np.ndarray, v: np.ndarray, accelerate: bool) -> np.ndarray:
+    """The field after a round with these EOFs."""
+    if accelerate:
+        mu, coef = _solve_rows(x, gap, v)
+    else:
+        mu = x.mean(axis=1, keepdims=True)
+        coef = (x - mu) @ v
+    return np.where(gap, mu + coef @ v.T, x)
 
 
 WINDOW = 5  # rounds that Anderson mixing looks back on
@@ -130,59 +163,80 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
     missing.  ``product='gram'`` takes V from a Gram of one pass (up to 2,048 columns).  Output: ``(row_id, vector, filled ARRAY<BOOLEAN>)`` with no NULL
     cells.  ``info``: iterations, rms_change, n_missing, converged; a field that
     is not converged after ``max_iter`` rounds comes with a warning."""
+    if product not in ("distributed", "gram"):
+        raise ValueError(f"unknown product {product!r}")
     spark = mat.sparkSession
     arrow_batch_guard(spark)
     k = min(k, n_cols)
-    obs = mat.select("row_id", "vector").repartition("row_id").persist(StorageLevel.MEMORY_AND_DISK)
-    missing = lambda x: x.isNull() | F.isnan(x)
-    there = F.filter("vector", lambda x: ~missing(x))
-    mean = F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)).otherwise(0.0)
-    n, n_missing = obs.agg(F.count("*"), F.coalesce(F.sum(F.size(F.filter("vector", missing))), F.lit(0))).first()
-    path = scratch_path(spark, "dineof-state")
-    obs.select("row_id", mean.alias("mu"), F.array_repeat(F.lit(0.0), k).alias("coef"), F.lit(0.0).alias("d2")).write.parquet(path)
-    v = np.zeros((n_cols, k))
-    info = {"iterations": 0, "rms_change": None, "n_missing": int(n_missing), "converged": n_missing == 0}
-
-    def current(v: np.ndarray, fn, schema: str) -> DataFrame:
-        bc = spark.sparkContext.broadcast(v)
+    kept, n, n_missing = _keep(_pack(mat, n_cols))
+    turns: list[np.ndarray] = []  # V of the rounds since the blocks were kept; accelerated rounds need the last only
+    info = {"iterations": 0, "rms_change": None, "n_missing": n_missing, "converged": n_missing == 0}
+
+    def passed(kernel, rows: int, cols: int, *rhs):
+        """The sum over all rows of kernel(field before the last round, field, rhs), shape (rows, cols)."""
+        bc = spark.sparkContext.broadcast((list(turns), *rhs))
+
+        def run(batch, value):
+            total = np.zeros((rows, cols))
+            for _, x, gap in _blocks(batch, n_cols):
+                before = x
+                for v in value[0]:
+                    before, x = x, _round(x, gap, v, accelerate)
+                total += kernel(before, x, *value[1:])
+            return total
+        try:
+            return _sum_partials(kept, run, rows, cols, bc, tasks=kept_tasks(kept))
+        finally:
+            bc.unpersist()
+
+    def centered(x):
+        return x - x.mean(axis=1, keepdims=True)
+
+    def gram_and_change(before, x):
+        c = centered(x)
+        return np.vstack([c.T @ c, np.full((1, n_cols), ((x - before) ** 2).sum())])
+
+    def cov(before, x, y):
+        c = centered(x)
+        return c.T @ (c @ y)
+
+    def current(fn, schema: str) -> DataFrame:
+        bc = spark.sparkContext.broadcast(list(turns))
 
         def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    yield fn(b, *_filled(b, bc.value, n_cols))
-        return obs.join(spark.read.parquet(path), "row_id").mapInArrow(run, schema)  # the cached side does not move
-
-    def centered(b, x, gap):
-        return pa.RecordBatch.from_arrays([b.column("row_id"), matrix_to_list_array(x - x.mean(axis=1, keepdims=True))], names=["row_id", "vector"])
-
-    if product not in ("distributed", "gram"):
-        raise ValueError(f"unknown product {product!r}")
-    mixing = _Mixing()
+            for batch in batches:
+                for ids, x, gap in _blocks(batch, n_cols):
+                    for v in bc.value:
+                        x = _round(x, gap, v, accelerate)
+                    yield fn(ids, x, gap)
+        return kept.mapInArrow(run, schema)
+
+    if product == "gram" and n_cols > GRAM_MAX_COLS:
+        raise ValueError(f"{n_cols} columns: the Gram matrix is too wide for the driver; use product='distributed'")
+    mixing, v, saved = _Mixing(), np.zeros((n_cols, k)), None
+    g = passed(gram_and_change, n_cols + 1, n_cols) if product == "gram" and n_missing and n else None
     for it in range(max_iter if n_missing and n else 0):
-        field = current(v, centered, "row_id bigint, vector array<double>")
         if product == "gram":
-            new_v, ok = sym_eig_desc(gram(field, n_cols))[1][:, :k], True
+            new_v, ok = sym_eig_desc(g[:n_cols])[1][:, :k], True
         else:
-            new_v, _, _, _, ok = krylov_eigs(lambda y: cov_multiply(field, y, n), n_cols, k, 1e-12 if accelerate else 1e-8, 100, seed, v if it else None)
+            new_v, _, _, _, ok = krylov_eigs(lambda y: passed(cov, n_cols, y.shape[1], y) / n, n_cols, k, 1e-12 if accelerate else 1e-8, 100, seed, v if it else None)
         if accelerate and it:
             new_v = mixing.next(v, new_v)
-        bc = spark.sparkContext.broadcast(new_v)
-
-        def step(b, x, gap, bc=bc):
-            if accelerate:
-                mu, coef = _solve_rows(x, gap, bc.value)
-            else:
-                mu = x.mean(axis=1, keepdims=True)
-                coef = (x - mu) @ bc.value
-            change = np.where(gap, mu + coef @ bc.value.T - x, 0.0)
-            return pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(mu[:, 0]), matrix_to_list_array(coef), pa.array((change ** 2).sum(axis=1))],
-                                              names=["row_id", "mu", "coef", "d2"])
-
-        after = scratch_path(spark, "dineof-state")
-        current(v, step, "row_id bigint, mu double, coef array<double>, d2 double").write.parquet(after)
-        delete_path(spark, path)
-        path, v = after, new_v
-        rms = float(np.sqrt(spark.read.parquet(path).agg(F.sum("d2")).first()[0] / n_missing))
+        if not accelerate and len(turns) >= SAVE_EVERY:
+            path = scratch_path(spark, "dineof-state")
+            current(_block, _BLOCK).write.parquet(path)
+            kept.unpersist()
+            if saved:
+                delete_path(spark, saved)
+            saved, turns[:] = path, []
+            kept, _, _ = _keep(spark.read.parquet(path))
+        turns[:], v = [*turns[-1:], new_v] if accelerate else [*turns, new_v], new_v
+        if product == "gram":
+            g = passed(gram_and_change, n_cols + 1, n_cols)
+            d2 = g[n_cols, 0]
+        else:
+            d2 = passed(lambda before, x: ((x - before) ** 2).sum(), 1, 1)[0, 0]
+        rms = float(np.sqrt(d2 / n_missing))
         info.update(iterations=it + 1, rms_change=rms)
         if rms < tol and ok:
             info["converged"] = True
@@ -190,12 +244,27 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
     if not info["converged"]:
         warnings.warn(f"gap filling not converged: RMS change {info['rms_change']} after {info['iterations']} rounds", stacklevel=2)
 
-    def final(b, x, gap):
+    def final(ids, x, gap):
         flags = pa.ListArray.from_arrays(pa.array(np.arange(0, gap.size + 1, n_cols, dtype=np.int32)), pa.array(gap.reshape(-1)))
-        return pa.RecordBatch.from_arrays([b.column("row_id"), matrix_to_list_array(x), flags], names=["row_id", "vector", "filled"])
+        return pa.RecordBatch.from_arrays([pa.array(ids), matrix_to_list_array(x), flags], names=["row_id", "vector", "filled"])
 
     done = scratch_path(spark, "dineof-filled")
-    current(v, final, "row_id bigint, vector array<double>, filled array<boolean>").write.parquet(done)
-    delete_path(spark, path)
-    obs.unpersist()
+    current(final, "row_id bigint, vector array<double>, filled array<boolean>").write.parquet(done)
+    kept.unpersist()
+    if saved:
+        delete_path(spark, saved)
     return spark.read.parquet(done), info
+
+
+def _keep(blocks: DataFrame) -> tuple[DataFrame, int, int]:
+    """Blocks persisted in as few partitions as hold TASK_BYTES each: (blocks, rows, gaps)."""
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    gaps = F.length(F.replace(F.hex("gap"), F.lit("0"), F.lit("")))  # a gap is the byte 01
+    n, missing, size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(gaps), F.lit(0)), F.coalesce(F.sum(F.length("x")), F.lit(0))).first()
+    parts = max(1, -(-size // TASK_BYTES))
+    if 2 * parts < blocks.rdd.getNumPartitions():
+        few = blocks.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+        few.count()
+        blocks.unpersist()
+        blocks = few
+    return blocks, int(n), int(missing)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmodes.functions.packed import is_sparse
 from fieldmodes.functions.vector import vaffine, vmean, vscale, vshift, vstd_samp
 from fieldmodes.operators.stats import STD_TOL
 
@@ -41,7 +42,13 @@ class Preprocessed:
 
 
 def center_rows(mat: DataFrame) -> DataFrame:
-    """x - row mean."""
+    """x - row mean (E1); a sparse row keeps its entries, and its mean also leaves what lies between them."""
+    if is_sparse(mat):
+        v = F.col("vector")
+        mean = (F.aggregate(v["val"], F.lit(0.0), lambda a, x: a + x) + v["fill"] * (v["size"] - F.size(v["val"]))) / v["size"]
+        m = mat.select("row_id", "vector", mean.alias("mean"))
+        moved = F.struct(v["size"].alias("size"), (v["fill"] - F.col("mean")).alias("fill"), v["pos"].alias("pos"), vshift("vector.val", "mean").alias("val"))
+        return m.select("row_id", moved.alias("vector"), "mean")
     m = mat.select("row_id", "vector", vmean("vector").alias("mean"))
     return m.select("row_id", vshift("vector", "mean").alias("vector"), "mean")
 

@@ -25,6 +25,7 @@ from fieldmodes.functions.blocks import (
     split_rows,
     stack_r,
 )
+from fieldmodes.functions.packed import blocks, is_packed, is_sparse, pack
 
 # Upper bound on the bytes one reduce group holds: FANOUT partials of one row block.
 GROUP_TARGET_BYTES = 64 << 20
@@ -103,24 +104,33 @@ def _tree(partials: DataFrame, n: int | None = None) -> DataFrame:
     return partials.groupBy("block_id").applyInArrow(_sum_blocks, _PARTIAL_SCHEMA)
 
 
-def _sum_partials(df: DataFrame, kernel, m_out: int, r_out: int, bcast=None) -> np.ndarray:
+def _added(rows: DataFrame, m_out: int, r_out: int, br: int) -> np.ndarray:
+    """The sum of row blocks, on the driver."""
+    out = np.zeros((m_out, r_out))
+    for batch in rows.select("block_id", "data").toArrow().to_batches():
+        data = batch.column("data")
+        flat, ends = data.flatten().to_numpy(), data.offsets.to_numpy() - data.offsets[0].as_py()
+        for at, block_id in enumerate(batch.column("block_id").to_pylist()):
+            blk = flat[ends[at]:ends[at + 1]].reshape(-1, r_out)
+            out[block_id * br:block_id * br + len(blk)] += blk
+    return out
+
+
+def _sum_partials(df: DataFrame, kernel, m_out: int, r_out: int, bcast=None, tasks: int | None = None) -> np.ndarray:
     """Sum of ``kernel`` over all batches as an (m_out, r_out) array.
 
     The input is scanned once: the partials are persisted, counted, and then
     added by the driver if they are small, else per block in a tree on the
-    executors, so the driver only receives the final sum."""
+    executors, so the driver only receives the final sum.  ``tasks``: their number, if it is known and need not be counted."""
     br = _block_rows(m_out, r_out)
+    if tasks is not None and tasks * m_out * r_out * 8 <= DRIVER_PARTIALS_MAX_BYTES:
+        return _added(_partials(df, kernel, br, bcast), m_out, r_out, br)
     parts = _partials(df, kernel, br, bcast).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = parts.agg(F.countDistinct("g"), F.max("g")).first()
         small = n[0] * m_out * r_out * 8 <= DRIVER_PARTIALS_MAX_BYTES
         rows = parts if small else _tree(parts, (n[1] or 0) + 1)
-        out = np.zeros((m_out, r_out))
-        for row in rows.select("block_id", "data").collect():
-            blk = np.asarray(row["data"], dtype=np.float64).reshape(-1, r_out)
-            start = row["block_id"] * br
-            out[start:start + blk.shape[0]] += blk
-        return out
+        return _added(rows, m_out, r_out, br)
     finally:
         parts.unpersist()
 
@@ -129,6 +139,18 @@ def _x(batch, width=None):
     return list_column_to_matrix(batch.column("vector"), width)
 
 
+def _scan(mat: DataFrame) -> DataFrame:
+    """What a product reads of a row matrix: its vectors, or its blocks if it is packed (``functions.packed``)."""
+    if is_sparse(mat):
+        mat = pack(mat)
+    return mat if is_packed(mat) else mat.select("vector")
+
+
+def kept_tasks(mat: DataFrame) -> int | None:
+    """The tasks of a pass over a persisted matrix; None if it is not persisted (counting them would run its plan)."""
+    return mat.rdd.getNumPartitions() if mat.is_cached else None
+
+
 def _broadcast(mat: DataFrame, value):
     return mat.sparkSession.sparkContext.broadcast(value)
 
@@ -141,13 +163,12 @@ def gram(mat: DataFrame, n_cols: int, n_rows: int | None = None) -> np.ndarray:
     never below the parallelism of the cluster."""
     if n_cols > GRAM_MAX_COLS:
         raise ValueError(f"{n_cols} columns: the Gram matrix is too wide for the driver; use cov_multiply or gram_long")
-    x = mat.select("vector")
+    x = _scan(mat)
     if n_rows:
         x = x.coalesce(max(mat.sparkSession.sparkContext.defaultParallelism, n_rows // (4 * n_cols)))
 
     def k(batch, _):
-        a = _x(batch, n_cols)
-        return a.T @ a
+        return sum(a.T @ a for block in blocks(batch, n_cols) for a in block.slabs())
     return _sum_partials(x, k, n_cols, n_cols)
 
 
@@ -161,13 +182,18 @@ def gram_long(mat: DataFrame, n_cols: int, panel: int = GRAM_MAX_COLS, num_parti
     panels its two tiles of the slab; pairs are dealt to tasks (several per pair, if there are fewer pairs than
     tasks), which multiply tile by tile into one panel x panel square (32 MB).  The squares of a pair are added row
     by row, its mirror image is free.  A is shuffled once per panel: 23 times at 46,715 columns, where a pass per pair of
-    panels would scan it 276 times."""
+    panels would scan it 276 times.
+
+    Of sparse or packed rows a pair is sent the entries only, and nothing of a block without a row that has entries in
+    both panels; entries are multiplied one by one, or as dense slabs where that is less work."""
     spark = mat.sparkSession
     arrow_batch_guard(spark)
+    few = is_sparse(mat) or is_packed(mat)
     edges = [*range(0, n_cols, panel), n_cols]
     panels = list(zip(edges, edges[1:]))
     pairs = [(i, j) for i in range(len(panels)) for j in range(i, len(panels))]
-    tasks = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # (entries are few bytes: a square per shuffle partition would outweigh them)
+    tasks = num_partitions or (2 * spark.sparkContext.defaultParallelism if few else int(spark.conf.get("spark.sql.shuffle.partitions")))
     deal = max(1, -(-tasks // max(len(pairs), 1)))  # tasks of a pair
     slab = max(1, TILE_BYTES // (8 * panel))
 
@@ -184,6 +210,20 @@ def gram_long(mat: DataFrame, n_cols: int, panel: int = GRAM_MAX_COLS, num_parti
                         names=["pi", "pj", "deal", "n", "left", "right"])
                 n += 1
 
+    def cut_entries(batches):
+        n = 0
+        for batch in batches:
+            for block in blocks(batch, n_cols):
+                tiles = _entry_tiles(block, panels)
+                for i, j in pairs:
+                    both = tiles[i][0] if i == j else np.intersect1d(tiles[i][0], tiles[j][0])
+                    if len(both):
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([n % deal], pa.int32()), pa.array([block.n], pa.int32()),
+                            pa.array([tiles[i][1]], pa.binary()), pa.array([tiles[j][1] if j != i else None], pa.binary())],
+                            names=["pi", "pj", "deal", "n", "left", "right"])
+                n += 1
+
     def multiply(batches):
         key, total = None, None
         for batch in batches:
@@ -193,6 +233,10 @@ def gram_long(mat: DataFrame, n_cols: int, panel: int = GRAM_MAX_COLS, num_parti
                     if key is not None:
                         yield _square(key, total)
                     key, total = (i, j), np.zeros((panels[i][1] - panels[i][0], panels[j][1] - panels[j][0]))
+                if few:
+                    left = np.frombuffer(batch.column("left")[r].as_buffer(), _ENTRY)
+                    _add_entries(total, n, left, left if i == j else np.frombuffer(batch.column("right")[r].as_buffer(), _ENTRY))
+                    continue
                 left = np.frombuffer(batch.column("left")[r].as_buffer()).reshape(n, -1)
                 total += left.T @ (left if i == j else np.frombuffer(batch.column("right")[r].as_buffer()).reshape(n, -1))
         if key is not None:
@@ -203,10 +247,13 @@ def gram_long(mat: DataFrame, n_cols: int, panel: int = GRAM_MAX_COLS, num_parti
         return pa.RecordBatch.from_arrays([pa.array([key[0]] * rows, pa.int32()), pa.array([key[1]] * rows, pa.int32()), pa.array(np.arange(rows, dtype=np.int32)),
                                            matrix_to_list_array(total)], names=["pi", "pj", "row", "data"])
 
-    dealt = (mat.select("vector").mapInArrow(cut, "pi int, pj int, deal int, n int, left binary, right binary")
+    dealt = (_scan(mat).mapInArrow(cut_entries if few else cut, "pi int, pj int, deal int, n int, left binary, right binary")
              .repartition(max(tasks, len(pairs)), "pi", "pj", "deal").sortWithinPartitions("pi", "pj"))
     squares = dealt.mapInArrow(multiply, "pi int, pj int, row int, data array<double>")  # one square per pair and task
-    if deal > 1:  # at most ``deal`` rows of a square's row, added as arrays
+    if few:  # the rows of squares to which no entries were sent
+        zeros = spark.createDataFrame([(i, j, panels[i][1] - panels[i][0], panels[j][1] - panels[j][0]) for i, j in pairs], "pi int, pj int, rows int, width int")
+        squares = squares.unionByName(zeros.select("pi", "pj", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.array_repeat(F.lit(0.0), F.col("width")).alias("data")))
+    if few or deal > 1:  # at most ``deal`` rows of a square's row (and one of zeros), added as arrays
         add = lambda a, x: F.zip_with(a, x, lambda p, q: p + q)
         squares = (squares.groupBy("pi", "pj", "row").agg(F.collect_list("data").alias("d"))
                    .select("pi", "pj", "row", F.aggregate(F.slice("d", F.lit(2), F.size("d")), F.col("d")[0], add).alias("data")))
@@ -217,6 +264,52 @@ def gram_long(mat: DataFrame, n_cols: int, panel: int = GRAM_MAX_COLS, num_parti
     return cells.select(F.explode(both).alias("at"), "value").select("at.i", "at.j", "value")
 
 
+_ENTRY = np.dtype([("row", np.int32), ("col", np.int32), ("value", np.float64)])
+SLAB_WORK = 32  # an entry that meets an entry costs as much as this many cells of a slab product
+
+
+def _entry_tiles(block, panels: list[tuple[int, int]]) -> list[tuple[np.ndarray, bytes]]:
+    """(rows with entries, the entries by row) of a block in every panel of columns; a fill that is not 0 makes every cell one."""
+    if block.fill.any():
+        x = np.concatenate(list(block.slabs()))
+        rows, pos, val = np.repeat(np.arange(block.n), block.m), np.tile(np.arange(block.m), block.n), x.ravel()
+    else:
+        rows, pos, val = block.rows(), block.pos, block.val
+    out = []
+    for lo, hi in panels:
+        at = (pos >= lo) & (pos < hi)
+        tile = np.empty(int(at.sum()), _ENTRY)
+        tile["row"], tile["col"], tile["value"] = rows[at], pos[at] - lo, val[at]
+        out.append((np.unique(tile["row"]), tile.tobytes()))
+    return out
+
+
+def _add_entries(total: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> None:
+    """total += L^T R of two tiles of entries, sorted by row, of the same n rows."""
+    n_left, n_right = np.bincount(left["row"], minlength=n), np.bincount(right["row"], minlength=n)
+    if int(n_left @ n_right) * SLAB_WORK > n * total.size:
+        step = max(1, TILE_BYTES // (8 * max(total.shape)))
+        for lo in range(0, n, step):
+            hi, tiles = min(lo + step, n), []
+            for part, width in ((left, total.shape[0]), (right, total.shape[1])):
+                part = part[np.searchsorted(part["row"], lo):np.searchsorted(part["row"], hi)]
+                tiles.append(np.zeros((hi - lo, width)))
+                tiles[-1][part["row"] - lo, part["col"]] = part["value"]
+            total += tiles[0].T @ tiles[1]
+        return
+    # entry a of the left meets the entries first[a] .. of the right's same row; as many at a time as a tile may hold
+    meets, first = n_right[left["row"]], (np.cumsum(n_right) - n_right)[left["row"]]
+    ends = np.cumsum(meets)
+    at = 0
+    while at < len(left):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + TILE_BYTES // 8, "right")))
+        a = np.repeat(np.arange(at, to), meets[at:to])
+        b = np.arange(len(a)) - np.repeat(ends[at:to] - meets[at:to] - before, meets[at:to]) + first[a]
+        np.add.at(total.reshape(-1), left["col"][a].astype(np.int64) * total.shape[1] + right["col"][b], left["value"][a] * right["value"][b])
+        at = to
+
+
 def cov_multiply(mat: DataFrame, rhs: np.ndarray, n_rows: int | None = None) -> np.ndarray:
     """1/n * A^T A * rhs without forming A^T A.
 
@@ -230,10 +323,9 @@ def cov_multiply(mat: DataFrame, rhs: np.ndarray, n_rows: int | None = None) ->
     bc = _broadcast(mat, rhs)
 
     def k(batch, b):
-        x = _x(batch, m)
-        return x.T @ (x @ b)
+        return sum(block.cov(b) for block in blocks(batch, m))
     try:
-        out = _sum_partials(mat.select("vector"), k, m, r, bc)
+        out = _sum_partials(_scan(mat), k, m, r, bc, tasks=kept_tasks(mat))
     finally:
         bc.unpersist()
     return out / max(n_rows, 1)
@@ -262,6 +354,14 @@ def right_multiply(mat: DataFrame, b: np.ndarray, keep: list[str] | None = None)
     arrow_batch_guard(mat.sparkSession)
     bc = _broadcast(mat, b)
     keep = keep or []
+    if is_sparse(mat) and not keep:
+        mat = pack(mat)
+    if is_packed(mat):
+        def per_block(batches):
+            for batch in batches:
+                for block in blocks(batch, m):
+                    yield pa.RecordBatch.from_arrays([pa.array(block.ids), matrix_to_list_array(block.times(bc.value))], names=["row_id", "vector"])
+        return mat.mapInArrow(per_block, "row_id bigint, vector array<double>")
 
     def per_batch(batches):
         bv = bc.value
@@ -291,9 +391,10 @@ def tsqr_r(mat: DataFrame, k: int, rhs: np.ndarray | None = None, fanout: int =
         bv = bc.value if bc is not None else None
         for batch in batches:
             if batch.num_rows:
-                x = list_column_to_matrix(batch.column("vector"), width)
-                y = x @ bv if bv is not None else x
-                rs.append(qr_r(y))
+                for block in blocks(batch, width):
+                    rs.extend(qr_r(y) for y in ([block.times(bv)] if bv is not None else block.slabs()))
+            if len(rs) > fanout:
+                rs = [stack_r(rs, k)]
         if not rs:
             return
         r = stack_r(rs, k)
@@ -308,7 +409,7 @@ def tsqr_r(mat: DataFrame, k: int, rhs: np.ndarray | None = None, fanout: int =
 
     try:
         arrow_batch_guard(mat.sparkSession)
-        first = mat.select("row_id", "vector").mapInArrow(per_partition, "g bigint, r array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+        first = _scan(mat).mapInArrow(per_partition, "g bigint, r array<double>").persist(StorageLevel.MEMORY_AND_DISK)
         n = (first.agg(F.max("g")).first()[0] or 0) + 1  # the input is scanned once
         level = first
         while n > fanout:  # tree levels: groups of `fanout` consecutive partials

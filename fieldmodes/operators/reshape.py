@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmodes.functions.blocks import AlignmentError
+from fieldmodes.functions.packed import sparse_vector
 from fieldmodes.operators.products import arrow_batch_guard
 
 # A dimension table is broadcast only if its rows, counted, and the width of
@@ -157,7 +158,7 @@ def dense_index(df: DataFrame, order_cols: list[str] | None, out_col: str = "idx
 def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
                row: str = "row_id", col: str = "record_id", value: str = "value",
                on_missing: str = "error", on_duplicate: str = "error", on_unknown: str = "error",
-               n_cols: int | None = None, pre_aggregate: bool = True, laid_out: bool = False) -> DataFrame:
+               n_cols: int | None = None, pre_aggregate: bool = True, laid_out: bool = False, sparse: bool = False) -> DataFrame:
     """Triplets -> ``(row_id BIGINT, vector ARRAY<DOUBLE>)``.
 
     Position j of every vector holds the cell of ``col_order`` position j
@@ -179,7 +180,10 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
     laid_out      the triplets come from a cell store (``sources.cellstore``):
                   every one has a row id and they lie by it, so neither step
                   shuffles a cell.
+    sparse        with 'zero': rows as sparse vectors (``functions.packed``), which hold the cells and no zeros
     """
+    if sparse and on_missing != "zero":
+        raise ValueError("sparse rows need on_missing='zero'")
     if on_missing not in _MISSING:
         raise ValueError(f"on_missing must be one of {_MISSING}")
     if on_duplicate not in _DUP_AGGS:
@@ -221,7 +225,10 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
         rows = rows.withColumn("_dup", F.when(n_distinct < F.size("_cells"), F.lit(2)).otherwise(F.lit(1)))
     rows = rows.withColumn("_cells", F.filter("_cells", lambda x: x["value"].isNotNull()))  # a NULL value is no cell
     dense = F.transform(F.array_sort("_cells"), lambda x: x["value"])
-    if on_missing in ("null", "zero"):
+    if sparse:
+        rows = rows.select("row_id", "_dup", F.array_sort("_cells").alias("_cells"))
+        vec = sparse_vector(n_cols, F.transform("_cells", lambda x: x["col_pos"]), F.transform("_cells", lambda x: x["value"]))
+    elif on_missing in ("null", "zero"):
         # Rows with gaps: real cells + one fill cell per position, sorted by
         # (position, real first); the first cell of each position wins.
         # O(m log m) per row (a map lookup per position would be O(m^2)).
@@ -248,7 +255,7 @@ def pivot_rows(triplets: DataFrame, col_order: DataFrame | None = None, *,
         vec = F.when(F.col("_dup") > 1,
                      F.raise_error(F.concat(F.lit("duplicate cell in row "), F.col("row_id").cast("string"))
                                    )).otherwise(vec)
-    return rows.select("row_id", vec.cast("array<double>").alias("vector"))
+    return rows.select("row_id", (vec if sparse else vec.cast("array<double>")).alias("vector"))
 
 
 def pivot_report(triplets: DataFrame, col_order: DataFrame, n_cols: int, *, row: str = "row_id",

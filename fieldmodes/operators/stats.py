@@ -10,8 +10,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmodes.functions.packed import is_packed, is_sparse, merge_blocks
 from fieldmodes.functions.vector import vmean, vstd_samp, vsumsq
 
+TASK_BYTES = 8 << 20  # of a persisted matrix that one task scans in a pass
 STD_TOL = 1e-4  # M3: rows with std below this are repaired to 1.0
 
 
@@ -40,9 +42,12 @@ def low_std_rows(mat: DataFrame, tol: float = STD_TOL) -> DataFrame:
 
 def matrix_dims(mat: DataFrame) -> DataFrame:
     """One row: ``n_rows, n_cols, min_cols`` (D4); n_cols != min_cols is ragged."""
-    return mat.agg(F.count(F.lit(1)).alias("n_rows"),
-                   F.max(F.size("vector")).cast("int").alias("n_cols"),
-                   F.min(F.size("vector")).cast("int").alias("min_cols"))
+    rows, size = F.count(F.lit(1)), F.size("vector")
+    if is_packed(mat):
+        rows, size = F.coalesce(F.sum("n"), F.lit(0)).cast("long"), F.col("m")
+    elif is_sparse(mat):
+        size = F.col("vector.size")
+    return mat.agg(rows.alias("n_rows"), F.max(size).cast("int").alias("n_cols"), F.min(size).cast("int").alias("min_cols"))
 
 
 def dims(mat: DataFrame) -> tuple[int, int]:
@@ -76,7 +81,18 @@ def materialize(mat: DataFrame) -> DataFrame:
 
 
 def materialize_dims(mat: DataFrame) -> tuple[DataFrame, int, int]:
-    """Persist a matrix and measure it in the same job: (mat, n_rows, n_cols)."""
+    """Persist a matrix and measure it in the same job: (mat, n_rows, n_cols).
+
+    A matrix in many small partitions (one per shuffle partition of the plan that made it, however few its rows) is
+    kept in as few as hold TASK_BYTES each: a pass costs a Python task per partition."""
     mat = mat.persist(StorageLevel.MEMORY_AND_DISK)
     n, m = dims(mat)
+    size = mat.agg(F.sum(F.length("pos") + F.length("val") + F.length("turn") + 20 * F.col("n"))).first()[0] or 0 if is_packed(mat) else 8 * n * m
+    parts = max(1, -(-size // TASK_BYTES))
+    if 2 * parts < mat.rdd.getNumPartitions():
+        few = mat.coalesce(parts)
+        few = (merge_blocks(few) if is_packed(mat) else few).persist(StorageLevel.MEMORY_AND_DISK)
+        few.count()
+        mat.unpersist()
+        mat = few
     return mat, n, m

@@ -107,16 +107,17 @@ TRIPLETS = {
 }
 
 
-def matrix(spark, sf_dir, name: str, on_missing: str = "error"):
-    """(rowmat, col_order, n_cols) for a named field."""
+def matrix(spark, sf_dir, name: str, on_missing: str = "error", sparse: bool = False, triplets: DataFrame | None = None):
+    """(rowmat, col_order, n_cols) for a named field; ``sparse``: rows without the zeros of absent cells;
+    ``triplets``: those of the field, if they have been written before."""
     if name == "vec_dim":
         emb = table(spark, sf_dir, "embeddings")
         m = emb.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vector"))
         return m, None, None
-    t = TRIPLETS[name](spark, sf_dir)
+    t = TRIPLETS[name](spark, sf_dir) if triplets is None else triplets
     co, n = small_table(column_order(t))  # one job; the time dimension is small
     # The triplets come out of a groupBy on (row, record): one shuffle suffices.
-    return pivot_rows(t, co, on_missing=on_missing, n_cols=n, pre_aggregate=False), co, n
+    return pivot_rows(t, co, on_missing=on_missing, n_cols=n, pre_aggregate=False, sparse=sparse), co, n
 
 
 def weights_supplier(spark, sf_dir, everyone: bool = False) -> DataFrame:
