@@ -92,6 +92,22 @@ def test_errors_of_sparse_rows(spark):
         pr.cov_multiply(null, np.eye(2), 1)
 
 
+def test_plain_rounds_go_on_from_saved_blocks(spark, monkeypatch):
+    from fieldmodes.operators import gapfill as gf
+    a = np.outer(np.arange(1.0, 41), np.sqrt(np.arange(1.0, 8))) + 1
+    x = [(i, [None if (i + j) % 7 == 3 else float(a[i, j]) for j in range(7)]) for i in range(40)]
+    df = spark.createDataFrame(x, "row_id bigint, vector array<double>").repartition(20)
+    monkeypatch.setattr(gf, "BLOCK_BYTES", 8 * 7 * 3)
+    got = []
+    for every in (100, 3):
+        monkeypatch.setattr(gf, "SAVE_EVERY", every)
+        out, info = gf.dineof_fill(df, 1, 7, max_iter=60, tol=1e-7)
+        rows = out.orderBy("row_id").collect()
+        assert info["converged"] and info["n_missing"] == 40 and [[c for c in r["filled"]] for r in rows] == [[c is None for c in r] for _, r in x]
+        got.append((info["iterations"], [r["vector"] for r in rows]))
+    assert got[0][0] == got[1][0] and np.allclose(got[0][1], got[1][1], atol=1e-9) and np.allclose(got[0][1], a, atol=1e-4)
+
+
 def test_a_round_of_gap_filling_runs_few_jobs_of_few_tasks(spark):
     from fieldmodes.operators import gapfill as gf
     rng = np.random.default_rng(0)
