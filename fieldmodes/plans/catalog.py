@@ -134,8 +134,8 @@ RANGE = "(SELECT range AS comp FROM range({n}))"
 
 
 # ---------------------------------------------------------------- helpers
-def _mat(spark, sf, name, on_missing="error"):
-    return fx.matrix(spark, sf, name, on_missing)
+def _mat(spark, sf, name, on_missing="error", sparse=False):
+    return fx.matrix(spark, sf, name, on_missing, sparse)
 
 
 def _rhs_hilbert(m: int, r: int) -> np.ndarray:
@@ -527,7 +527,7 @@ def q_gram_order_day(spark, sf):
           f"SELECT CAST(k AS INTEGER) AS component, col_pos, {s6('sigma')} AS sigma, CAST(1.0 AS DOUBLE) AS v, true AS converged FROM r WHERE k < 3")
 def q_eof_exact_od(spark, sf):
     """Thousands of columns through the distributed solver, with a known spectrum."""
-    mat, _, _ = _mat(spark, sf, "order_day", on_missing="zero")
+    mat, _, _ = _mat(spark, sf, "order_day", on_missing="zero", sparse=True)
     res, cached = fz.run_eofs(mat, 3, "exact", product="distributed", tol=1e-7)
     cached.unpersist()  # only S and V are used below
     v = res.v_df(spark).join(res.s_df(spark), "component").where(F.abs("value") > 1e-3)
