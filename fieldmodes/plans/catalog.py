@@ -518,7 +518,7 @@ _OM = ("SELECT o_orderkey AS row_id, CAST(year(o_orderdate) * 12 + month(o_order
 @register("gram_order_day", f"WITH t AS ({_OD}), c AS ({CO}) SELECT col_pos AS i, col_pos AS j, {s6('sum(value * value)')} AS value FROM t JOIN c USING (record_id) GROUP BY ALL")
 def q_gram_order_day(spark, sf):
     """The Gram matrix of thousands of columns, tiles shuffled, one scan; the entries that are not 0 (all on the diagonal)."""
-    mat, _, n = _mat(spark, sf, "order_day", on_missing="zero")
+    mat, _, n = _mat(spark, sf, "order_day", on_missing="zero", sparse=True)
     return pr.gram_long(mat, n).where("value <> 0").select("i", "j", r6("value").alias("value"))
 
 
