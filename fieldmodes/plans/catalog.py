@@ -552,7 +552,7 @@ def q_eof_rand_om(spark, sf):
 @register("eof_exact_supplier_day")
 def q_eof_exact_sd(spark, sf):
     """Wide field (supplier x ship day, ~2,500 columns): exact EOFs, one distributed product per step."""
-    mat, _, _ = _mat(spark, sf, "supplier_day", on_missing="zero")
+    mat, _, _ = _mat(spark, sf, "supplier_day", on_missing="zero", sparse=True)
     res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "exact")
     cached.unpersist()  # only S and V are used below
     return res.s_df(spark).select("component", r6("sigma").alias("sigma"), r6("eigenvalue").alias("eigenvalue"))
@@ -561,7 +561,7 @@ def q_eof_exact_sd(spark, sf):
 @register("eof_randomized_supplier_day")
 def q_eof_rand_sd(spark, sf):
     """Wide field: randomized EOFs with one distributed product per round."""
-    mat, co, n = _mat(spark, sf, "supplier_day", on_missing="zero")
+    mat, co, n = _mat(spark, sf, "supplier_day", on_missing="zero", sparse=True)
     res, cached = fz.run_eofs(pp.preprocess(mat, pp.CENTER).mat, 3, "randomized", seed=0)
     cached.unpersist()  # only S and V are used below
     v = res.v_df(spark).join(rs.maybe_broadcast(co, n), "col_pos")  # co: one row per day (measured)
