@@ -541,9 +541,9 @@ def q_eof_exact_od(spark, sf):
 def q_eof_rand_om(spark, sf):
     """Randomized EOFs with distributed products on a diagonal spectrum whose leading columns come last:
     a wrong product, a wrong start or too few rounds change the answer."""
-    mat, _, m = _mat(spark, sf, "order_month", on_missing="zero")
-    decay = F.transform("vector", lambda x, j: x * F.pow(F.lit(0.8), F.lit(m - 1) - j))
-    res, cached = fz.run_eofs(mat.select("row_id", decay.alias("vector")), 5, "randomized", seed=2, product="distributed")
+    mat, _, m = _mat(spark, sf, "order_month", on_missing="zero", sparse=True)
+    decay = F.zip_with("vector.val", "vector.pos", lambda x, j: x * F.pow(F.lit(0.8), F.lit(m - 1) - j))
+    res, cached = fz.run_eofs(mat.select("row_id", F.col("vector").withField("val", decay).alias("vector")), 5, "randomized", seed=2, product="distributed")
     cached.unpersist()  # only S and V are used below
     v = res.v_df(spark).join(res.s_df(spark), "component").where(F.abs("value") > 1e-3)
     return v.select("component", "col_pos", r6("sigma").alias("sigma"), r6("value").alias("v"))
