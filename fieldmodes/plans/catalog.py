@@ -1082,14 +1082,7 @@ def q_job_convert(spark, sf):
     """Gridded records (parts as cells, ship years as records, p_size as the
     message number; missing part-years masked) -> triplets, in two shards
     run one after the other, the second run skipping converted records."""
-    mat, co, n = _mat(spark, sf, "part_year", on_missing="null")
-    part = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("cell_id"), F.col("p_size").alias("message_no"))
-    key = F.concat(F.lit(KEY_PREFIX), F.col("record_id").cast("string"), F.lit("010100.grb2"))
-    grid_obs = (rs.unpivot_rows(mat).join(rs.maybe_broadcast(co, n), "col_pos")  # co: one row per record
-                .select(key.alias("record_key"), F.col("row_id").alias("cell_id"), "value")
-                .join(part, "cell_id"))
-    observed = _mat(spark, sf, "part_year", on_missing="drop_row")[0].select(F.col("row_id").alias("cell_id"))
-    grid = ig.assign_loc_ids(observed)
+    grid_obs, grid = _grid_records(spark, sf)
     out = scratch_path(spark, "converted")
     for shard in (0, 1):
         jb.convert_records_job(spark, grid_obs, grid, out, n_shards=2, shard=shard)
@@ -1097,19 +1090,26 @@ def q_job_convert(spark, sf):
     return jb.read_converted(spark, out).select("record_id", "row_id", r9("value").alias("value"))
 
 
-def _grid_obs(spark, sf):
-    mat, co, _ = _mat(spark, sf, "part_year", on_missing="null")
+def _grid_records(spark, sf):
+    """(records, grid): the observations of every part and year, and the parts seen in every year.  The triplets and the
+    records are written once, as a conversion finds them; its runs read them several times."""
+    cells, records = scratch_path(spark, "part_year"), scratch_path(spark, "grid_records")
+    fx.triplets_part_year(spark, sf).write.parquet(cells)
+    t = spark.read.parquet(cells)
+    mat, co, n = fx.matrix(spark, sf, "part_year", on_missing="null", triplets=t)
     part = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("cell_id"), F.col("p_size").alias("message_no"))
     key = F.concat(F.lit(KEY_PREFIX), F.col("record_id").cast("string"), F.lit("010100.grb2"))
-    return (rs.unpivot_rows(mat).join(co, "col_pos").select(key.alias("record_key"), F.col("row_id").alias("cell_id"), "value").join(part, "cell_id"))
+    obs = rs.unpivot_rows(mat).join(rs.maybe_broadcast(co, n), "col_pos")  # co: one row per record
+    obs.select(key.alias("record_key"), F.col("row_id").alias("cell_id"), "value").join(part, "cell_id").write.parquet(records)
+    complete = fx.matrix(spark, sf, "part_year", on_missing="drop_row", triplets=t)[0]
+    return spark.read.parquet(records), ig.assign_loc_ids(complete.select(F.col("row_id").alias("cell_id")))
 
 
 @register("convert_resumed", _CONVERT_SQL.replace("num.rid AS record_id", "num.rid AS col_pos"))
 def q_convert_resumed(spark, sf):
     """Conversion in two runs, the second with earlier keys than the first: all records exactly once,
     in the order of their dates."""
-    obs = _grid_obs(spark, sf)
-    grid = ig.assign_loc_ids(_mat(spark, sf, "part_year", on_missing="drop_row")[0].select(F.col("row_id").alias("cell_id")))
+    obs, grid = _grid_records(spark, sf)
     out = scratch_path(spark, "converted")
     jb.convert_records_job(spark, obs.where(F.col("record_key") >= KEY_PREFIX + "1995"), grid, out)
     jb.convert_records_job(spark, obs, grid, out)

@@ -37,7 +37,8 @@ def convert_records_job(spark: SparkSession, grid_obs: DataFrame, grid: DataFram
                         block_size: int = wr.RECORD_BLOCK, record_keys: DataFrame | None = None) -> dict:
     """Gridded records -> triplets, resumable and re-runnable.
 
-    ``grid_obs``: (record_key, message_no, cell_id, value NULL = masked).
+    ``grid_obs``: (record_key, message_no, cell_id, value NULL = masked), read twice in a run (its keys, its pending
+    records), so a plan that is dear to compute should be written before.
     ``grid``: (cell_id, loc_id NULL = masked), the one fixed mask.
     ``record_keys``: the listing of record files, if there is one; else the
     keys are taken from the observations, a distinct over all of them.
@@ -84,11 +85,13 @@ def _write_batch(grid_obs: DataFrame, keys: DataFrame, n_keys: int, grid: DataFr
     batch = f"{_batch_name(keys)}-{uuid.uuid4().hex[:8]}"
     obs = grid_obs.join(rs.maybe_broadcast(keys, n_keys), "record_key")
     obs = ig.compress_mask(ig.select_levels(obs, "message_no"))
-    located = obs.join(grid.select("cell_id", "loc_id"), "cell_id", "left")
-    good = located.where(F.col("loc_id").isNotNull()).select("record_id", F.col("loc_id").alias("row_id"), "value")
-    bad = located.where(F.col("loc_id").isNull()).select("record_id", "record_key", "cell_id", "value")
-    wr.write_triplets(good, f"{out}/vals/batch={batch}", block_size=block_size)
-    bad.write.parquet(f"{out}/rejects/batch={batch}")
+    located = obs.join(grid.select("cell_id", "loc_id"), "cell_id", "left").select("record_id", "record_key", "cell_id", "loc_id", "value")
+    with Lifetime(grid_obs.sparkSession) as life:  # written to two places, read and joined once
+        located = life.cache(located)
+        good = located.where(F.col("loc_id").isNotNull()).select("record_id", F.col("loc_id").alias("row_id"), "value")
+        bad = located.where(F.col("loc_id").isNull()).select("record_id", "record_key", "cell_id", "value")
+        wr.write_triplets(good, f"{out}/vals/batch={batch}", block_size=block_size)
+        bad.write.parquet(f"{out}/rejects/batch={batch}")
     wr.write_record_dates(keys.select("record_id", "obs_ts"), f"{out}/record_dates/batch={batch}", key_fmt)
     return batch
 

@@ -139,3 +139,22 @@ def test_overlapping_conversions_convert_each_record_once(spark, monkeypatch):
     assert got == [(h, c, float(10 * h + c)) for h in range(4) for c in range(2)]
     assert [r.record_id for r in jb.dated_order(spark, out).orderBy("col_pos").collect()] == [0, 1, 2, 3]
     assert jb.convert_records_job(spark, obs, grid, out)["records"] == 0
+
+
+def test_a_run_reads_the_records_twice(spark, tmp_path):
+    """Once for their keys and once to convert them: values and rejects come of one reading."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    cells = spark.range(20).select(F.concat(F.lit("obs.daily."), (F.col("id") % 2 + 1995).cast("string"), F.lit("010100.grb2")).alias("record_key"),
+                                   F.lit(207).alias("message_no"), F.col("id").alias("cell_id"), F.col("id").cast("double").alias("value"))
+    grid = spark.range(15).select(F.col("id").alias("cell_id"), F.col("id").alias("loc_id"))
+    out = str(tmp_path / "converted")
+    assert jb.convert_records_job(spark, cells.mapInArrow(count, cells.schema), grid, out)["records"] == 2
+    assert seen.value == 40
+    assert jb.read_converted(spark, out).count() == 15 and spark.read.parquet(f"{out}/rejects").count() == 5
