@@ -127,7 +127,7 @@ def register_keys(spark: SparkSession, listing: DataFrame, out: str) -> DataFram
     schema = "record_id INT, record_key STRING"
     log = CommitLog(spark, f"{out}/registry/_log")
     read = lambda entries: spark.read.schema(schema).parquet(*[f"{out}/registry/batch={e['batch']}" for e in entries])
-    listed = listing.select("record_key").distinct()
+    listed, _ = rs.small_table(listing.select("record_key").distinct())  # one row per record file, read once
     while True:
         entries = log.entries()
         new, first = (listed.join(read(entries), "record_key", "left_anti") if entries else listed), sum(e["keys"] for e in entries)
