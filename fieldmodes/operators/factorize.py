@@ -97,6 +97,18 @@ def _finish(mat: DataFrame, basis: np.ndarray, k: int, n: int, m: int, method: s
     return EOFResult(u=u, s=sig, v=v, n_rows=n, n_cols=m, k_requested=k, method=method, **info)
 
 
+def start_block(m: int, k: int, seed: int | None = 0, start: np.ndarray | None = None) -> np.ndarray:
+    """The first block of ``krylov_eigs``: k + OVERSAMPLE orthonormal columns, the leading ones spanning ``start``.
+
+    If two such blocks span the whole space, it is one block that does: one product in place of two."""
+    b = k + OVERSAMPLE
+    b = m if m <= 2 * b else b
+    y = gaussian_start(m, b, seed)
+    if start is not None:
+        y[:, :start.shape[1]] = start[:, :b]
+    return np.linalg.qr(y)[0]
+
+
 def krylov_eigs(apply, m: int, k: int, tol: float, max_iter: int, seed: int | None = 0,
                 start: np.ndarray | None = None, max_blocks: int = 8):
     """Top-k eigenpairs of a symmetric operator by block Krylov iteration with Rayleigh-Ritz.
@@ -104,13 +116,10 @@ def krylov_eigs(apply, m: int, k: int, tol: float, max_iter: int, seed: int | No
     ``apply(y)`` multiplies an m x b block.  After each product the Ritz pairs
     and their exact residuals come from the stored products; past ``max_blocks``
     blocks the basis restarts from the leading Ritz vectors.  Driver memory:
-    2 x max_blocks blocks of m x (k + OVERSAMPLE).
+    2 x max_blocks blocks as ``start_block`` makes them.
     Returns (vectors, values, products, residual, converged)."""
-    b = min(m, k + OVERSAMPLE)
-    y = gaussian_start(m, b, seed)
-    if start is not None:
-        y[:, :start.shape[1]] = start[:, :b]
-    y = np.linalg.qr(y)[0]
+    y = start_block(m, k, seed, start)
+    b = y.shape[1]
     q, cq = np.zeros((m, 0)), np.zeros((m, 0))
     done = 0
     while True:

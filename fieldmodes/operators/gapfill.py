@@ -7,9 +7,10 @@ width, started from the last V) and replaces only the missing cells by the
 rank-k reconstruction mean + (x - mean) V V^T, until the RMS change of the
 filled cells drops below ``tol``.
 
-Rows are packed into blocks (values and gaps as bytes) once and kept in few partitions.  A row's filling follows
-from the V of the rounds so far, so a pass works it out where the row lies and a round writes nothing: it costs one
-pass for each product and one for its change (with ``product='gram'`` one pass gives both).  Every SAVE_EVERY plain
+Rows are packed into blocks (values and gaps as bytes) where they lie, and the blocks dealt evenly to few partitions.
+A row's filling follows from the V of the rounds so far, so a pass works it out where the row lies and a round writes
+nothing: the pass that gives its change also gives the first product of the next round (with ``product='gram'`` the
+Gram), which is the only one of a field that ``start_block`` spans.  Every SAVE_EVERY plain
 rounds the blocks as filled by then, in the shared folder, take the place of those before, which bounds what a pass repeats.
 
 ``accelerate=True`` reaches the same fixed points in fewer rounds.  Given V, a row's
@@ -35,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmodes.functions.blocks import AlignmentError, matrix_to_list_array, sym_eig_desc
-from fieldmodes.operators.factorize import krylov_eigs
-from fieldmodes.operators.products import GRAM_MAX_COLS, _sum_partials, arrow_batch_guard, kept_tasks
+from fieldmodes.operators.factorize import krylov_eigs, start_block
+from fieldmodes.operators.products import GRAM_MAX_COLS, _sum_partials, arrow_batch_guard
 from fieldmodes.operators.stats import TASK_BYTES
 from fieldmodes.session import delete_path, scratch_path
 
@@ -68,7 +69,7 @@ def _pack(mat: DataFrame, m: int) -> DataFrame:
                 seen = np.maximum((~gap).sum(axis=1, keepdims=True), 1)
                 x = np.where(gap, np.where(gap, 0.0, x).sum(axis=1, keepdims=True) / seen, x)
                 yield _block(np.asarray(b.column("row_id"), dtype=np.int64), x, gap)
-    return mat.where(F.col("row_id").isNotNull()).select("row_id", "vector").repartition("row_id").mapInArrow(run, _BLOCK)
+    return mat.where(F.col("row_id").isNotNull()).select("row_id", "vector").mapInArrow(run, _BLOCK)
 
 
 def _block(ids: np.ndarray, x: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
@@ -81,6 +82,27 @@ def _blocks(batch: pa.RecordBatch, m: int):
         yield ids, x.reshape(-1, m), gap.reshape(-1, m)
 
 
+def _merged(blocks: DataFrame) -> DataFrame:
+    """Small blocks of the same task joined to blocks of up to BLOCK_BYTES."""
+    def joined(parts):
+        return pa.RecordBatch.from_arrays([pa.array([sum(p["n"] for p in parts)], pa.int32()),
+                                           *(pa.array([b"".join(p[c] for p in parts)], pa.binary()) for c in ("ids", "x", "gap"))], names=["n", "ids", "x", "gap"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = batch.slice(r, 1).to_pylist()[0]
+                if parts and held + len(block["x"]) > BLOCK_BYTES:
+                    yield joined(parts)
+                    parts, held = [], 0
+                parts.append(block)
+                held += len(block["x"])
+        if parts:
+            yield joined(parts)
+    return blocks.mapInArrow(run, _BLOCK)
+
+
 def _round(x: np.ndarray, gap: np.ndarray, v: np.ndarray, accelerate: bool) -> np.ndarray:
     """The field after a round with these EOFs."""
     if accelerate:
@@ -168,7 +190,7 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
     spark = mat.sparkSession
     arrow_batch_guard(spark)
     k = min(k, n_cols)
-    kept, n, n_missing = _keep(_pack(mat, n_cols))
+    kept, tasks, n, n_missing = _keep(_pack(mat, n_cols))
     turns: list[np.ndarray] = []  # V of the rounds since the blocks were kept; accelerated rounds need the last only
     info = {"iterations": 0, "rms_change": None, "n_missing": n_missing, "converged": n_missing == 0}
 
@@ -185,7 +207,7 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
                 total += kernel(before, x, *value[1:])
             return total
         try:
-            return _sum_partials(kept, run, rows, cols, bc, tasks=kept_tasks(kept))
+            return _sum_partials(kept, run, rows, cols, bc, tasks=tasks)
         finally:
             bc.unpersist()
 
@@ -200,6 +222,14 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
         c = centered(x)
         return c.T @ (c @ y)
 
+    def cov_and_change(before, x, y):
+        return np.vstack([cov(before, x, y), np.full((1, y.shape[1]), ((x - before) ** 2).sum())])
+
+    ahead: list[np.ndarray] = []  # the first product of the coming round, if the pass before gave it
+
+    def times(y):
+        return (ahead.pop() if ahead else passed(cov, n_cols, y.shape[1], y)) / n
+
     def current(fn, schema: str) -> DataFrame:
         bc = spark.sparkContext.broadcast(list(turns))
 
@@ -219,7 +249,7 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
         if product == "gram":
             new_v, ok = sym_eig_desc(g[:n_cols])[1][:, :k], True
         else:
-            new_v, _, _, _, ok = krylov_eigs(lambda y: passed(cov, n_cols, y.shape[1], y) / n, n_cols, k, 1e-12 if accelerate else 1e-8, 100, seed, v if it else None)
+            new_v, _, _, _, ok = krylov_eigs(times, n_cols, k, 1e-12 if accelerate else 1e-8, 100, seed, v if it else None)
         if accelerate and it:
             new_v = mixing.next(v, new_v)
         if not accelerate and len(turns) >= SAVE_EVERY:
@@ -229,13 +259,15 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
             if saved:
                 delete_path(spark, saved)
             saved, turns[:] = path, []
-            kept, _, _ = _keep(spark.read.parquet(path))
+            kept = _dealt(spark.read.schema(_BLOCK).parquet(path), tasks).persist(StorageLevel.MEMORY_AND_DISK)
         turns[:], v = [*turns[-1:], new_v] if accelerate else [*turns, new_v], new_v
         if product == "gram":
             g = passed(gram_and_change, n_cols + 1, n_cols)
             d2 = g[n_cols, 0]
         else:
-            d2 = passed(lambda before, x: ((x - before) ** 2).sum(), 1, 1)[0, 0]
+            y = start_block(n_cols, k, seed, v)
+            g = passed(cov_and_change, n_cols + 1, y.shape[1], y)
+            ahead[:], d2 = [g[:n_cols]], g[n_cols, 0]
         rms = float(np.sqrt(d2 / n_missing))
         info.update(iterations=it + 1, rms_change=rms)
         if rms < tol and ok:
@@ -256,15 +288,19 @@ def dineof_fill(mat: DataFrame, k: int, n_cols: int, max_iter: int = 30, tol: fl
     return spark.read.parquet(done), info
 
 
-def _keep(blocks: DataFrame) -> tuple[DataFrame, int, int]:
-    """Blocks persisted in as few partitions as hold TASK_BYTES each: (blocks, rows, gaps)."""
+def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    return blocks.coalesce(1) if parts == 1 else blocks.repartition(parts)
+
+
+def _keep(blocks: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """Blocks persisted, dealt evenly to as few partitions as hold TASK_BYTES each: (blocks, partitions, rows, gaps)."""
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     gaps = F.length(F.replace(F.hex("gap"), F.lit("0"), F.lit("")))  # a gap is the byte 01
     n, missing, size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(gaps), F.lit(0)), F.coalesce(F.sum(F.length("x")), F.lit(0))).first()
     parts = max(1, -(-size // TASK_BYTES))
-    if 2 * parts < blocks.rdd.getNumPartitions():
-        few = blocks.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-        few.count()
+    if max(parts, blocks.rdd.getNumPartitions()) > 1:
+        even = _merged(_dealt(blocks, parts)).persist(StorageLevel.MEMORY_AND_DISK)
+        even.count()
         blocks.unpersist()
-        blocks = few
-    return blocks, int(n), int(missing)
+        blocks = even
+    return blocks, parts, int(n), int(missing)

@@ -130,3 +130,53 @@ def test_a_small_matrix_is_kept_in_few_partitions(spark, mk):
     kept, n, m = st.materialize_dims(mk(a, 40))
     assert (n, m) == a.shape and kept.rdd.getNumPartitions() == 1 and kept.is_cached
     kept.unpersist()
+
+
+def test_a_plain_round_of_gap_filling_is_one_pass(spark):
+    from fieldmodes.operators import gapfill as gf
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, [None if rng.random() < 0.1 else float(i * j % 5 + rng.random()) for j in range(7)]) for i in range(200)],
+                               "row_id bigint, vector array<double>").repartition(30)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(rounds):
+        group = f"plain-rounds-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        with pytest.warns(UserWarning, match="not converged"):
+            gf.dineof_fill(df, 1, 7, max_iter=rounds, tol=0.0)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+    assert jobs(7) - jobs(3) == 4  # a job a round: the change and the next product
+
+
+def test_a_field_of_two_blocks_takes_one_product():
+    rng = np.random.default_rng(1)
+    for m, k, few in ((7, 1, True), (12, 1, True), (13, 1, False), (40, 3, False)):
+        c = np.cov(rng.standard_normal((m, 3 * m)))
+        v0 = np.linalg.qr(rng.standard_normal((m, k)))[0]
+        y = fz.start_block(m, k, 0, v0)
+        assert y.shape[1] == (m if few else k + fz.OVERSAMPLE) and np.allclose(y.T @ y, np.eye(y.shape[1])) and np.allclose(y @ (y.T @ v0), v0)
+        v, lam, products, _, ok = fz.krylov_eigs(lambda b: c @ b, m, k, 1e-9, 100, 0, v0)
+        want = np.linalg.eigvalsh(c)[::-1][:k]
+        assert ok and np.allclose(lam, want) and np.allclose(c @ v, v * lam, atol=1e-6) and (products == 1) == few
+
+
+def test_blocks_are_dealt_evenly(spark, mk, monkeypatch):
+    from fieldmodes.operators import gapfill as gf
+    a = np.random.default_rng(3).standard_normal((600, 5))
+    a[::7, 2] = np.nan
+    monkeypatch.setattr(gf, "BLOCK_BYTES", 40 * 10)
+    for parts, task_bytes, want in ((1, 40 * 100, 6), (40, 40 * 100, 6), (40, 1 << 20, 1), (1, 1 << 20, 1)):
+        monkeypatch.setattr(gf, "TASK_BYTES", task_bytes)
+        kept, tasks, n, missing = gf._keep(gf._pack(mk(a, parts), 5))
+        rows = kept.withColumn("p", F.spark_partition_id()).collect()
+        assert tasks == kept.rdd.getNumPartitions() == want and n == 600 and missing == np.isnan(a).sum()
+        held = [sum(r["n"] for r in rows if r["p"] == p) for p in range(want)]
+        assert sum(held) == 600 and max(held) <= 2 * 600 / want
+        back = set()
+        for r in rows:
+            ids, x, gap = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]).reshape(-1, 5), np.frombuffer(r["gap"], np.bool_).reshape(-1, 5)
+            assert len(ids) == r["n"] and len(r["x"]) <= 40 * 10 and np.array_equal(gap, np.isnan(a[ids])) and np.allclose(x[~gap], a[ids][~gap])
+            back.update(ids.tolist())
+        assert len(back) == 600
+        kept.unpersist()
