@@ -364,6 +364,42 @@ def test_long_items_are_broadcast_once_or_not_at_all(spark, monkeypatch, bound):
     assert words == (40 * 500 if bound > 1000 else 0) and bool(sent) == (bound > 1000)
 
 
+def exchanged(plan):
+    """Column names of every shuffle in a plan."""
+    plan = plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    below = [names for i in range(plan.children().size()) for names in exchanged(plan.children().apply(i))]
+    return below + [{plan.output().apply(i).name() for i in range(plan.output().size())}] * (plan.nodeName() == "Exchange")
+
+
+@pytest.mark.parametrize("bound", [contamination.BROADCAST_ROWS, 0])
+def test_search_shuffles_no_texts_and_equal_items_once(spark, monkeypatch, bound):
+    """What leaves a task are a hit's few words, not those of its text; 30 items of the same words are one in the search, and each is found."""
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", bound)
+    kept, real = {}, contamination.keep
+    monkeypatch.setattr(contamination, "keep", lambda df, name: kept.setdefault(name, (df, real(df, name)))[1])
+    passage = " ".join(f"p{k}" for k in range(20))
+    items = [(i, passage if i % 2 else passage.upper()) for i in range(30)] + [(30, " ".join(f"q{k}" for k in range(500)))]
+    docs = [(1, f"{LONG} {passage.replace('p9', 'x').replace('p12', 'y')} {LONG}", "en"), (2, LONG, "en"), (3, " ".join(f"q{k}" for k in range(13)), "en")]
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all tables were large
+    try:
+        out = contamination.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+        shuffled = exchanged(kept["benchmark-leaks"][0]._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert {r["doc_id"]: r["_leaked"] for r in out} == {1: list(range(30)), 2: [], 3: [30]}
+    assert shuffled and not any(names & {"words", "ids"} for names in shuffled)
+    assert kept["benchmark-words"][1].count() == 2
+    assert kept["benchmark-seeds"][1].count() == sum(n - m[-1] for n in (20, 500) for m in contamination.MASKS)
+
+
+def test_bit_table_rules_out_most_but_no_hash_of_the_benchmark(spark):
+    tests = spark.range(20_000).select(F.xxhash64("id").alias("hash"))
+    placed = spark.range(100_000).select(F.col("id").alias("place"), F.xxhash64("id").alias("hash"))
+    passed = {r["place"] for r in contamination._possible(placed, tests, 20_000).select("place").collect()}
+    assert passed >= set(range(20_000)) and len(passed) < 22_000
+
+
 def test_decontamination_empty_sides(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert [r["_leaked"] for r in contamination.decontaminate(frame(spark, [(1, "a b", "en")]), items).collect()] == [[]]
